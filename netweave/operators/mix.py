@@ -20,8 +20,33 @@ def order_hash(order: str, seed: int) -> Column:
 
 
 def sample_n(df: DataFrame, n: int, order: str, seed: int) -> DataFrame:
-    """``n`` rows without replacement, by the least hash (top-k, no full sort)."""
-    return df.orderBy(order_hash(order, seed), order).limit(n)
+    """``n`` rows without replacement: those with the least hash, ties by ``order``.
+
+    No task sorts the sample.  Counts by the hash's upper bits, and then by the
+    whole hash in the bucket where the n-th row lies, find the last hash that is
+    in; only rows of that one hash are ordered.
+    """
+    hashed = df.withColumn("_h", order_hash(order, seed))
+    low, left = _cut(hashed, F.shiftright("_h", _LOW_BITS), n)
+    if low is None:
+        return df
+    inside = hashed.where(F.shiftright("_h", _LOW_BITS) == low)
+    last, left = _cut(inside, F.col("_h"), left)
+    ties = hashed.where(F.col("_h") == last).orderBy(order).limit(left)
+    return hashed.where(F.col("_h") < last).unionByName(ties).drop("_h")
+
+
+#: Bits of the hash below its upper ones: at most 2 ** 16 counts reach the driver.
+_LOW_BITS = 16
+
+
+def _cut(df: DataFrame, bucket: Column, n: int) -> tuple[int | None, int]:
+    """(bucket of the n-th row in order of buckets, rows wanted from it); None if there are fewer rows."""
+    for r in df.groupBy(bucket.alias("b")).count().orderBy("b").toLocalIterator():
+        if n <= r["count"]:
+            return r["b"], n
+        n -= r["count"]
+    return None, n
 
 
 def sample_share(df: DataFrame, share: float, order: str, seed: int) -> DataFrame:

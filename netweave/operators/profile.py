@@ -19,6 +19,31 @@ def quantiles(c: Column, at: tuple[float, ...], accuracy: int | None = None) ->
     return F.percentile_approx(c, list(at), accuracy) if accuracy else F.percentile(c, points)
 
 
+def spread_quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], parts: int = 256) -> DataFrame:
+    """(keys, n, q): exact quantiles without any task that sees all values of a key.
+
+    A sketch gives splitters per key; counts between splitters say in which
+    ranges the wanted ranks lie, and only rows of those ranges are numbered.
+    Use it where ``percentile``'s table of distinct values would grow too large.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"))
+    # The range of a value: how many splitters lie below it (one row of splitters per key).
+    cut = rows.join(cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    counts = cut.groupBy(*keys, "part").agg(F.count("*").alias("c"))
+    per_key = Window.partitionBy(*keys)
+    placed = counts.select(*keys, "part", (F.sum("c").over(per_key.orderBy("part")) - F.col("c")).alias("before"), "c", F.sum("c").over(per_key).alias("n"))
+    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("rank")) for i, p in enumerate(at))))
+    wanted = placed.select(*keys, "part", "before", "c", "n", ranks.alias("w")).select(*keys, "part", "before", "c", "n", "w.i", F.col("w.rank").alias("rank"), F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("at"))
+    wanted = wanted.where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("c")))
+    inside = Window.partitionBy(*keys, "part").orderBy("v")
+    numbered = cut.join(wanted.select(*keys, "part").distinct(), [*keys, "part"], "left_semi").withColumn("rn", F.row_number().over(inside) - 1)
+    hit = numbered.join(wanted, [*keys, "part"]).where(F.col("rn") == F.col("at") - F.col("before"))
+    share = 1 - F.abs(F.col("rank") - F.col("at"))
+    each = hit.groupBy(*keys, "i").agg(F.first("n").alias("n"), F.sum(F.col("v") * share).alias("q"))
+    return each.groupBy(*keys).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
+
+
 def frequency(df: DataFrame, *columns: str) -> DataFrame:
     """Rows per value (or tuple of values)."""
     return df.groupBy(*columns).agg(F.count("*").alias("cnt"))
