@@ -1,10 +1,613 @@
-"""Registered queries over the flow view and the star-schema tables."""
+"""Registered queries over the flow view and the star-schema tables, with their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from netweave.functions import expr, spectral
+from netweave.operators import encode, features, mix, profile, report, scoring, windows
+from netweave.plans import oracles as sql
+from netweave.plans.oracles import rnd
+from netweave.sources import logs
+from netweave.sources.flowview import read_flows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: The numeric columns that windows describe.
+NUMBERS = ["orig_p", "resp_p", "orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "duration"]
+
+
+def query(oracle: str | None = None):
+    """Register a query under its function's name, with its SQL."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if oracle is not None:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *columns: str, places: int = 4) -> DataFrame:
+    """Doubles rounded for comparison: sums depend on the order of rows."""
+    return df.withColumns({c: expr.rounded(F.col(c), places) for c in columns})
+
+
+def _doubles(df: DataFrame) -> list[str]:
+    return [c for c, kind in df.dtypes if kind == "double"]
+
+
+# --- positional windows and their features ---------------------------------------
+
+
+@query(f"WITH {sql.NUMBERED} SELECT pod, CAST((rn - 1) // 200 AS BIGINT) AS wid, {sql.window_stats(NUMBERS)} FROM n GROUP BY 1, 2")
+def window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.window_features(windows.tumbling(read_flows(spark, sf_dir), "pod", "seq"), ["pod", "wid"], NUMBERS)
+    return rounded(found, *_doubles(found))
+
+
+@query(f"WITH {sql.NUMBERED} SELECT pod, CAST((rn - 1) // 200 AS BIGINT) AS wid, {sql.window_stats(NUMBERS)} FROM n GROUP BY 1, 2 HAVING count(*) = 200")
+def window_features_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = features.window_features(windows.full_tumbling(read_flows(spark, sf_dir), "pod", "seq"), ["pod", "wid"], NUMBERS)
+    return rounded(found, *_doubles(found))
+
+
+_HOP = "SELECT pod, k, count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, abs(arg_max(ts_us, rn) - arg_min(ts_us, rn)) AS elapsed_us FROM {} GROUP BY pod, k"
+
+
+def _hops(spark: SparkSession, sf_dir: str, tail: bool) -> DataFrame:
+    hopped = windows.hopping(read_flows(spark, sf_dir), "pod", "seq", tail=tail)
+    return hopped.groupBy("pod", "k").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), windows.elapsed("ts_us", "rn").alias("elapsed_us"))
+
+
+@query(f"WITH {sql.HOPPED} {_HOP.format('hop')}")
+def hopping_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hops(spark, sf_dir, tail=True)
+
+
+@query(f"WITH {sql.HOPPED} {_HOP.format('h')}")
+def hopping_windows_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hops(spark, sf_dir, tail=False)
+
+
+@query(f"WITH {sql.NUMBERED} SELECT pod, seq, CAST(rn AS BIGINT) AS rn FROM n WHERE rn > total - 500")
+def last_n_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.last_n(read_flows(spark, sf_dir), "pod", "seq").select("pod", "seq", "rn")
+
+
+@query(f"WITH {sql.FLOW} SELECT pod, seq, lag(conn_state) OVER (PARTITION BY pod ORDER BY seq) AS prev_conn_state FROM f")
+def previous_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.lag_rows(read_flows(spark, sf_dir), "pod", "seq", ["conn_state"]).select("pod", "seq", "prev_conn_state")
+
+
+@query(
+    f"""WITH {sql.FLOW}, g AS (SELECT pod, (ts_us - lag(ts_us) OVER (PARTITION BY pod ORDER BY seq)) / 1e6 AS gap FROM f)
+SELECT pod, {rnd("avg(gap)")} AS gap_mean, {rnd("stddev_samp(gap)")} AS gap_std, {rnd("CASE WHEN avg(gap) <> 0 THEN stddev_samp(gap) / avg(gap) ELSE 0 END")} AS gap_cv FROM g GROUP BY pod"""
+)
+def interarrival_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gaps = profile.interarrival(read_flows(spark, sf_dir), "pod", "ts_us", "seq").withColumn("gap", F.col("gap") / 1e6)
+    return rounded(gaps.groupBy("pod").agg(*profile.moments(F.col("gap"), "gap")), "gap_mean", "gap_std", "gap_cv")
+
+
+# --- frequencies and profiles ------------------------------------------------------
+
+
+@query(f"WITH {sql.FLOW} SELECT orig_h, count(*) AS cnt FROM f GROUP BY orig_h")
+def addr_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.frequency(read_flows(spark, sf_dir), "orig_h")
+
+
+@query(f"WITH {sql.FLOW} SELECT orig_p, count(*) AS cnt FROM f GROUP BY orig_p")
+def port_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.frequency(read_flows(spark, sf_dir), "orig_p")
+
+
+@query(f"WITH {sql.FLOW} SELECT resp_h, resp_p, count(*) AS cnt FROM f GROUP BY resp_h, resp_p")
+def pair_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.frequency(read_flows(spark, sf_dir), "resp_h", "resp_p")
+
+
+@query(
+    f"WITH {sql.FLOW} "
+    + " UNION ALL ".join(f"SELECT '{c}' AS field, CAST({c} AS VARCHAR) AS value, count(*) AS cnt, {rnd('count(*) / sum(count(*)) OVER ()', 6)} AS share FROM f WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("proto", "service", "conn_state"))
+)
+def relative_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = read_flows(spark, sf_dir)
+    parts = [profile.relative_frequency(flows, c).select(F.lit(c).alias("field"), "value", "cnt", expr.rounded(F.col("share"), 6).alias("share")) for c in ("proto", "service", "conn_state")]
+    return mix.union_by_name(*parts)
+
+
+_Q5 = ", ".join(f"{rnd(f'quantile_cont(duration, {p})')} AS p{round(100 * p):02d}" for p in profile.PROFILE_QUANTILES)
+
+
+@query(f"WITH {sql.FLOW} SELECT pod, {rnd('avg(duration)')} AS d_mean, {rnd('stddev_samp(duration)')} AS d_std, {rnd('CASE WHEN avg(duration) <> 0 THEN stddev_samp(duration) / avg(duration) ELSE 0 END')} AS d_cv, {_Q5} FROM f GROUP BY pod")
+def duration_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_flows(spark, sf_dir).groupBy("pod").agg(*profile.moments(F.col("duration"), "d"), profile.quantiles(F.col("duration"), profile.PROFILE_QUANTILES).alias("q"))
+    named = found.select("pod", "d_mean", "d_std", "d_cv", *(F.get("q", F.lit(i)).alias(f"p{round(100 * p):02d}") for i, p in enumerate(profile.PROFILE_QUANTILES)))
+    return rounded(named, *_doubles(named))
+
+
+@query(f"WITH {sql.FLOW} SELECT pod, count(duration) AS n, {_Q5} FROM f GROUP BY pod")
+def spread_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact quantiles by the way that no task's memory limits."""
+    found = profile.spread_quantiles(read_flows(spark, sf_dir), ["pod"], "duration", profile.PROFILE_QUANTILES)
+    named = found.select("pod", "n", *(F.get("q", F.lit(i)).alias(f"p{round(100 * p):02d}") for i, p in enumerate(profile.PROFILE_QUANTILES)))
+    return rounded(named, *_doubles(named))
+
+
+def _totals_sql(u: str) -> str:
+    return f"WITH {sql.FLOW} SELECT pod, CAST(sum(orig_{u}) AS BIGINT) AS orig_total, CAST(sum(resp_{u}) AS BIGINT) AS resp_total, {rnd(f'sum(orig_{u}) / (sum(resp_{u}) + 1e-9)')} AS ratio FROM f GROUP BY pod"
+
+
+@query(_totals_sql("bytes"))
+def byte_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.totals(read_flows(spark, sf_dir), "orig_bytes", "resp_bytes", ["pod"]), "ratio")
+
+
+@query(_totals_sql("pkts"))
+def packet_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.totals(read_flows(spark, sf_dir), "orig_pkts", "resp_pkts", ["pod"]), "ratio")
+
+
+def _class_profile(spark: SparkSession, sf_dir: str, value, u: str) -> DataFrame:
+    found = profile.class_profile(read_flows(spark, sf_dir), value, f"orig_{u}", f"resp_{u}", ["pod"])
+    return rounded(found, *_doubles(found))
+
+
+@query(sql.rounded_profile(sql.volume("bytes"), "bytes"))
+def byte_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class_profile(spark, sf_dir, profile.volume("orig_bytes", "resp_bytes"), "bytes")
+
+
+@query(sql.rounded_profile(sql.volume("pkts"), "pkts"))
+def packet_class_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class_profile(spark, sf_dir, profile.volume("orig_pkts", "resp_pkts"), "pkts")
+
+
+@query(sql.rounded_profile(sql.rate("bytes"), "bytes"))
+def bps_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class_profile(spark, sf_dir, profile.rate("orig_bytes", "resp_bytes", "duration"), "bytes")
+
+
+@query(sql.rounded_profile(sql.rate("pkts"), "pkts"))
+def pps_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _class_profile(spark, sf_dir, profile.rate("orig_pkts", "resp_pkts", "duration"), "pkts")
+
+
+@query(sql.rounded_profile(sql.rate("bytes"), "pkts"))
+def pps_profile_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packet-rate profile with bytes over duration, by packet class."""
+    return _class_profile(spark, sf_dir, profile.rate("orig_bytes", "resp_bytes", "duration"), "pkts")
+
+
+_SECOND = "CAST(floor(ts_us / 1000000.0) AS BIGINT)"
+
+
+@query(f"WITH {sql.FLOW} SELECT pod, {_SECOND} AS sec, CAST(sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0)) AS BIGINT) AS bytes, count(*) AS conns FROM f GROUP BY 1, 2")
+def per_second_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.per_second(read_flows(spark, sf_dir), "ts_us", ["pod"], bytes=F.coalesce("orig_bytes", F.lit(0)) + F.coalesce("resp_bytes", F.lit(0)))
+
+
+@query(f"WITH {sql.FLOW} SELECT pod, {_SECOND} AS sec, CAST(sum(orig_pkts + resp_pkts) AS BIGINT) AS pkts, count(*) AS conns FROM f GROUP BY 1, 2")
+def per_second_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.per_second(read_flows(spark, sf_dir), "ts_us", ["pod"], pkts=F.col("orig_pkts") + F.col("resp_pkts"))
+
+
+@query(
+    f"""WITH {sql.FLOW}, s AS (SELECT pod, {_SECOND} AS sec, count(*) AS conns FROM f GROUP BY 1, 2),
+g AS (SELECT pod, unnest(range(min(sec), max(sec) + 1)) AS sec FROM s GROUP BY pod)
+SELECT g.pod, CAST(g.sec // 3600 AS BIGINT) AS hour, count(*) AS seconds, CAST(sum(coalesce(conns, 0)) AS BIGINT) AS conns FROM g LEFT JOIN s USING (pod, sec) GROUP BY 1, 2"""
+)
+def per_hour_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds, the empty ones too, and connections per hour."""
+    series = profile.per_second(read_flows(spark, sf_dir), "ts_us", ["pod"]).select("pod", "sec", "conns")
+    filled = profile.fill_seconds(series, ["pod"], ["conns"])
+    return filled.groupBy("pod", F.floor(F.col("sec") / 3600).alias("hour")).agg(F.count("*").alias("seconds"), F.sum("conns").alias("conns"))
+
+
+@query(f"WITH {sql.FLOW} SELECT pod, count(service) AS known, count(*) FILTER (WHERE service = 'login') AS flagged, {rnd('avg(CAST(service = $$login$$ AS INTEGER))', 6)} AS ratio FROM f GROUP BY pod")
+def flag_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.flag_ratio(read_flows(spark, sf_dir), F.col("service") == "login", ["pod"])
+    return rounded(found, "ratio", places=6)
+
+
+@query("SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY event_type")
+def distinct_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+
+
+_Q11 = ", ".join(f"{rnd(f'quantile_cont(duration, {p})')} AS q{round(100 * p):03d}" for p in profile.DESCRIBE_QUANTILES)
+
+
+@query(f"WITH {sql.FLOW} SELECT pod, count(duration) AS n, {rnd('avg(duration)')} AS mean, {rnd('stddev_pop(duration)')} AS std, {_Q11} FROM f GROUP BY pod")
+def describe_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = profile.describe(read_flows(spark, sf_dir), "duration", ["pod"])
+    return rounded(found, *_doubles(found))
+
+
+@query(
+    f"""WITH {sql.FLOW}
+SELECT pod, 'duration' AS section, unnest(['mean', 'std', 'cv', 'p01', 'p05', 'p50', 'p95', 'p99']) AS item,
+  round(unnest([avg(duration), stddev_samp(duration), stddev_samp(duration) / avg(duration), {', '.join(f'quantile_cont(duration, {p})' for p in profile.PROFILE_QUANTILES)}]), 4) + 0.0 AS value FROM f GROUP BY pod
+UNION ALL SELECT pod, 'bytes_totals', 'ratio', {rnd('sum(orig_bytes) / (sum(resp_bytes) + 1e-9)')} FROM f GROUP BY pod
+UNION ALL SELECT pod, 'pkts_totals', 'ratio', {rnd('sum(orig_pkts) / (sum(resp_pkts) + 1e-9)')} FROM f GROUP BY pod
+"""
+    + "".join(f"UNION ALL SELECT pod, '{c}', {c}, {rnd('count(*) / sum(count(*)) OVER (PARTITION BY pod)')} FROM f WHERE {c} IS NOT NULL GROUP BY pod, {c}\n" for c in ("proto", "service", "conn_state"))
+)
+def conn_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(profile.conn_profile(read_flows(spark, sf_dir)), "value")
+
+
+# --- ruleset scores ------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = read_flows(spark, sf_dir)
+    rules = scoring.build_ruleset(flows.where("pod = 0"), ["pod"]).drop("pod")
+    return scoring.rule_scores(flows, rules)
+
+
+_PARTS = ("dur_part", "vol_part", "pkt_part", "bps_part", "pps_part", "score")
+_POD0 = sql.scored("CROSS JOIN (SELECT * EXCLUDE (pod) FROM rules WHERE pod = 0)", "seq, pod, label")
+
+
+@query(f"WITH {_POD0} SELECT seq, {', '.join(f'{rnd(p)} AS {p}' for p in _PARTS)} FROM scored")
+def rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_scored(spark, sf_dir).select("seq", *_PARTS), *_PARTS)
+
+
+@query(f"WITH {_POD0} SELECT seq, pod, {rnd('score')} AS score FROM scored WHERE round(score, 6) >= 0.5")
+def rule_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _scored(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return rounded(scoring.alerts(scores).select("seq", "pod", "score"), "score")
+
+
+_RATES = "count(*) AS n, count(*) FILTER (WHERE round(score, 6) >= 0.5) AS flagged, " + rnd("avg(CAST(round(score, 6) >= 0.5 AS INTEGER))", 6) + " AS rate"
+
+
+@query(f"WITH {_POD0} SELECT pod, label, {_RATES} FROM scored GROUP BY pod, label")
+def detection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = _scored(spark, sf_dir).withColumn("score", F.round("score", 6))
+    return rounded(scoring.detection_rates(scores, ["pod", "label"]), "rate", places=6)
+
+
+@query(f"WITH {sql.scored('JOIN (SELECT pod AS rule_pod, * EXCLUDE (pod) FROM rules) r ON true', 'rule_pod, pod')} SELECT rule_pod, pod, {_RATES} FROM scored GROUP BY rule_pod, pod")
+def rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pod's rows by every pod's ruleset: one row per ruleset is broadcast."""
+    flows = read_flows(spark, sf_dir)
+    rules = scoring.build_ruleset(flows, ["pod"]).withColumnRenamed("pod", "rule_pod")
+    scores = scoring.rule_scores(flows, rules).withColumn("score", F.round("score", 6))
+    return rounded(scoring.detection_rates(scores, ["rule_pod", "pod"]), "rate", places=6)
+
+
+_KNOWN = "(SELECT DISTINCT orig_h, orig_p FROM f WHERE pod = 0 AND seq % 2 = 0)"
+
+
+def _known(spark: SparkSession, sf_dir: str, unknown: bool) -> DataFrame:
+    flows = read_flows(spark, sf_dir)
+    members = flows.where("pod = 0 and seq % 2 = 0").select("orig_h", "orig_p").distinct()
+    return scoring.known(flows, members, ["orig_h", "orig_p"], unknown).select("seq", "orig_h", "orig_p")
+
+
+@query(f"WITH {sql.FLOW} SELECT seq, orig_h, orig_p FROM f SEMI JOIN {_KNOWN} USING (orig_h, orig_p)")
+def known_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _known(spark, sf_dir, unknown=False)
+
+
+@query(f"WITH {sql.FLOW} SELECT seq, orig_h, orig_p FROM f ANTI JOIN {_KNOWN} USING (orig_h, orig_p)")
+def known_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _known(spark, sf_dir, unknown=True)
+
+
+# --- spectra ---------------------------------------------------------------------------
+
+#: Per window of 200 rows and pod: what each signal's series is.
+_WINDOWED = f"{sql.NUMBERED}, w AS (SELECT *, CAST((rn - 1) // 200 AS BIGINT) AS wid, {_SECOND} AS sec FROM n)"
+_SERIES = {
+    "ts": "SELECT pod, wid, row_number() OVER (PARTITION BY pod, wid ORDER BY seq) - 1 AS i, y, count(*) OVER (PARTITION BY pod, wid) AS n FROM (SELECT pod, wid, seq, (ts_us - lag(ts_us) OVER (PARTITION BY pod, wid ORDER BY seq)) / 1e6 AS y FROM w) WHERE y IS NOT NULL",
+}
+for _name, _value in (("bytes", "sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0))"), ("pkts", "sum(orig_pkts + resp_pkts)"), ("conns", "count(*)")):
+    _SERIES[_name] = f"SELECT pod, wid, row_number() OVER (PARTITION BY pod, wid ORDER BY sec) - 1 AS i, CAST(y AS DOUBLE) AS y, count(*) OVER (PARTITION BY pod, wid) AS n FROM (SELECT pod, wid, sec, {_value} AS y FROM w GROUP BY pod, wid, sec)"
+
+
+def signal_series(flows: DataFrame, signal: str, keys: list[str]) -> DataFrame:
+    """(keys, at, y): the series of a signal inside each window."""
+    if signal == "ts":
+        gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*keys).orderBy("seq"))
+        return flows.select(*keys, F.col("seq").alias("at"), (gap / 1e6).alias("y")).where("y is not null")
+    zero = F.lit(0)
+    sums = {"bytes": F.coalesce("orig_bytes", zero) + F.coalesce("resp_bytes", zero), "pkts": F.col("orig_pkts") + F.col("resp_pkts"), "conns": F.lit(1)}
+    return profile.per_second(flows, "ts_us", keys, y=sums[signal]).select(*keys, F.col("sec").alias("at"), F.col("y").cast("double").alias("y"))
+
+
+_METRICS = ", ".join(f"{rnd(m)} AS {m}" for m in ("entropy", "dominant_freq", "hf_lf"))
+
+
+def _spectral_query(signal: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
+        found = spectral.spectral_metrics(signal_series(flows, signal, ["pod", "wid"]), ["pod", "wid"], "at", "y")
+        found = found.withColumn("energy", F.col("energy") / 1e6)
+        return rounded(found, *spectral.METRICS)
+
+    run.__name__ = f"spectral_features_{signal}"
+    oracle = f"WITH {_WINDOWED}, {sql.dft(_SERIES[signal], 'pod, wid')}, m AS ({sql.spectral('pod, wid')}) SELECT pod, wid, n, {rnd('energy / 1e6')} AS energy, {_METRICS} FROM m"
+    query(oracle)(run)
+
+
+for _signal in _SERIES:
+    _spectral_query(_signal)
+
+
+@query(f"WITH {_WINDOWED}, {sql.dft(_SERIES['bytes'], 'pod, wid')} SELECT pod, wid, CAST(fk AS BIGINT) AS k, {rnd('m', 3)} AS magnitude FROM spec")
+def dft_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole spectrum, mean included, of bytes per second in each window."""
+    flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
+    return rounded(spectral.spectra(signal_series(flows, "bytes", ["pod", "wid"]), ["pod", "wid"], "at", "y"), "magnitude", places=3)
+
+
+def _signal_entropies(flows: DataFrame, keys: list[str]) -> DataFrame:
+    parts = [spectral.spectral_metrics(signal_series(flows, s, keys), keys, "at", "y").select(*keys, F.lit(s).alias("signal"), *spectral.METRICS) for s in _SERIES]
+    return mix.union_by_name(*parts)
+
+
+def fft_rules(flows: DataFrame, size: int = 500) -> DataFrame:
+    """Mean and population deviation of each signal's entropy over windows of ``size`` rows."""
+    cut = windows.tumbling(flows, "pod", "seq", size)
+    return _signal_entropies(cut, ["pod", "wid"]).groupBy("signal").agg(F.count("*").alias("n"), F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("std"))
+
+
+def _entropies_sql(source: str, keys: str) -> str:
+    """CTE ``ent`` (keys, signal, entropy) over ``source``, which has ``keys``, seq, ts_us, sec and the amounts."""
+    out = []
+    series = {
+        "ts": f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY seq) - 1 AS i, y, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, seq, (ts_us - lag(ts_us) OVER (PARTITION BY {keys} ORDER BY seq)) / 1e6 AS y FROM {source}) WHERE y IS NOT NULL",
+        "bytes": "sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0))",
+        "pkts": "sum(orig_pkts + resp_pkts)",
+        "conns": "count(*)",
+    }
+    for name, value in series.items():
+        if name != "ts":
+            value = f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY sec) - 1 AS i, CAST(y AS DOUBLE) AS y, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, sec, {value} AS y FROM {source} GROUP BY {keys}, sec)"
+        out.append(f"{sql.dft(value, keys, f'_{name}')}, m_{name} AS ({sql.spectral(keys, f'_{name}')})")
+    union = " UNION ALL ".join(f"SELECT {keys}, '{name}' AS signal, entropy FROM m_{name}" for name in series)
+    return ", ".join(out) + f", ent AS ({union})"
+
+
+@query(
+    f"WITH {sql.NUMBERED}, w AS (SELECT *, CAST((rn - 1) // 500 AS BIGINT) AS wid, {_SECOND} AS sec FROM n), {_entropies_sql('w', 'pod, wid')} SELECT signal, count(*) AS n, {rnd('avg(entropy)')} AS mean, {rnd('stddev_pop(entropy)')} AS std FROM ent GROUP BY signal"
+)
+def fft_ruleset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(fft_rules(read_flows(spark, sf_dir)), "mean", "std")
+
+
+#: Fixed value: the ruleset that the windows of ``fft_window_scores`` are scored by.
+_FFT_RULES = (("ts", 4.9, 0.05), ("bytes", 4.9, 0.04), ("pkts", 4.8, 0.3), ("conns", 4.5, 0.6))
+
+
+@query(
+    f"""WITH {sql.HOPPED}, hs AS (SELECT *, {_SECOND} AS sec FROM hop), {_entropies_sql('hs', 'pod, k')},
+rules(signal, mean, std, weight) AS (VALUES ('ts', 4.9, 0.05, 0.4), ('bytes', 4.9, 0.04, 0.1), ('pkts', 4.8, 0.3, 0.25), ('conns', 4.5, 0.6, 0.25)),
+z AS (SELECT pod, k, weight, abs(entropy - mean) / std AS z FROM ent JOIN rules USING (signal))
+SELECT pod, k, {rnd('sum(weight * CASE WHEN z > 3 THEN 1.0 WHEN z > 2 THEN 0.75 WHEN z > 1 THEN 0.5 ELSE 0.0 END)')} AS score FROM z GROUP BY pod, k"""
+)
+def fft_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hopped = windows.hopping(read_flows(spark, sf_dir), "pod", "seq")
+    rules = spark.createDataFrame(list(_FFT_RULES), "signal string, mean double, std double")
+    return rounded(scoring.window_scores(_signal_entropies(hopped, ["pod", "k"]), rules, ["pod", "k"]), "score")
+
+
+# --- encoders ---------------------------------------------------------------------------
+
+_STATES = ["CL", "ER", "LO", "PU", "VI"]
+
+
+@query(
+    f"""WITH {sql.FLOW} SELECT seq, CAST(duration IS NULL AS INTEGER) AS duration_missing, CAST(orig_bytes IS NULL AS INTEGER) AS orig_bytes_missing, CAST(resp_bytes IS NULL AS INTEGER) AS resp_bytes_missing,
+{rnd('coalesce(duration, 0)')} AS duration, CAST(coalesce(orig_bytes, 0) AS DOUBLE) AS orig_bytes, CAST(coalesce(resp_bytes, 0) AS DOUBLE) AS resp_bytes, CAST(coalesce(orig_bytes, 0) = 0 AND coalesce(resp_bytes, 0) = 0 AS INTEGER) AS zero_activity,
+CAST(proto = 'tcp' AS INTEGER) AS proto_tcp, CAST(proto = 'udp' AS INTEGER) AS proto_udp, CAST(coalesce(service, 'unknown') = 'unknown' AS INTEGER) AS service_unknown, CAST(coalesce(service, 'unknown') = 'click' AS INTEGER) AS service_click,
+{', '.join(f"CAST(conn_state = '{s}' AS INTEGER) AS conn_state_{s}" for s in _STATES)} FROM f"""
+)
+def encode_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flows = read_flows(spark, sf_dir).select("seq", "proto", "service", "conn_state", "duration", "orig_bytes", "resp_bytes")
+    found = encode.encode_conn(flows, {"proto": ["tcp", "udp"], "service": ["unknown", "click"], "conn_state": _STATES})
+    return rounded(found, "duration")
+
+
+_TTL = "list_transform(list_slice(string_split(text, ' '), 1, 6), lambda x: CAST(length(x) AS DOUBLE))"
+
+
+@query(
+    f"""SELECT doc_id, CAST(len(a) AS BIGINT) AS answers_count, CAST(len(list_distinct(a)) AS BIGINT) AS answers_unique, CAST(len(list_filter(a, lambda x: contains(x, ':'))) > 0 AS INTEGER) AS has_ipv6,
+{rnd('coalesce(list_avg(t), 0)')} AS ttl_mean, {rnd('coalesce(list_stddev_pop(t), 0)')} AS ttl_std, CAST(len(t) AS BIGINT) AS ttl_count, CAST(len(a) <> len(t) AS INTEGER) AS answer_ttl_mismatch
+FROM (SELECT doc_id, string_split(text, ' ') AS a, {_TTL} AS t FROM documents WHERE text IS NOT NULL AND text <> '')"""
+)
+def list_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List columns as a DNS encoder sees them: words as answers, lengths of the first six as TTLs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and text <> ''")
+    words = F.split("text", " ")
+    answers = docs.select("doc_id", words.alias("a"), F.array_join(F.transform(F.slice(words, 1, 6), F.length), ",").alias("t"))
+    stats = expr.list_stats(expr.list_items(F.col("t")))
+    found = answers.select(
+        "doc_id",
+        F.size("a").cast("bigint").alias("answers_count"),
+        F.size(F.array_distinct("a")).cast("bigint").alias("answers_unique"),
+        F.exists("a", lambda x: F.contains(x, F.lit(":"))).cast("int").alias("has_ipv6"),
+        stats["mean"].alias("ttl_mean"),
+        stats["std"].alias("ttl_std"),
+        stats["count"].cast("bigint").alias("ttl_count"),
+        (F.size("a") != F.size(expr.list_items(F.col("t")))).cast("int").alias("answer_ttl_mismatch"),
+    )
+    return rounded(found, "ttl_mean", "ttl_std")
+
+
+# --- composition -----------------------------------------------------------------------
+
+
+def _hash_sql(seed: int) -> str:
+    return f"((((seq % 2147483647) * 1103515245 + {12345 + 7919 * seed}) % 2147483647) * 48271 + {seed}) % 2147483647"
+
+
+def _sample_sql(source: str, n: str, seed: int) -> str:
+    return f"(SELECT * FROM (SELECT *, row_number() OVER (ORDER BY {_hash_sql(seed)}, seq) AS r FROM {source}) WHERE r <= {n})"
+
+
+_SPLIT = f"{sql.FLOW}, b AS (SELECT * FROM f WHERE label = 0), a AS (SELECT * FROM f WHERE label = 1)"
+
+
+def _share_sql(source: str, share: float, seed: int) -> str:
+    return _sample_sql(source, f"(SELECT floor({share} * count(*)) FROM {source})", seed)
+
+
+def _split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    flows = read_flows(spark, sf_dir)
+    return flows.where("label = 0"), flows.where("label = 1")
+
+
+@query(f"WITH {_SPLIT} SELECT 0 AS segment, seq, label FROM {_share_sql('b', 0.5, 1)} UNION ALL SELECT 1, seq, label FROM a")
+def mix_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_a(*_split(spark, sf_dir), "seq").select("segment", "seq", "label")
+
+
+@query(f"WITH {_SPLIT} SELECT 0 AS segment, seq, label FROM a UNION ALL SELECT 1, seq, label FROM {_share_sql('b', 0.5, 1)}")
+def mix_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_b(*_split(spark, sf_dir), "seq").select("segment", "seq", "label")
+
+
+@query(f"WITH {_SPLIT} SELECT {_hash_sql(2)} AS rank_key, seq, label FROM (SELECT * FROM {_share_sql('a', 0.3, 1)} UNION ALL SELECT * FROM {_share_sql('b', 0.7, 1)})")
+def mix_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_c(*_split(spark, sf_dir), "seq").select("rank_key", "seq", "label")
+
+
+@query(f"WITH {_SPLIT}, s AS (SELECT 0 AS segment, * FROM b UNION ALL SELECT 1, * FROM a), r AS (SELECT *, row_number() OVER (PARTITION BY segment ORDER BY seq) AS rn FROM s) SELECT CAST((rn - 1) // 500 AS BIGINT) AS block, segment, CAST(rn AS BIGINT) AS rn, seq FROM r")
+def mix_d(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix.mix_d(*_split(spark, sf_dir), "seq").select("block", "segment", "rn", "seq")
+
+
+@query(f"WITH {_SPLIT} SELECT 0 AS segment, seq FROM {_sample_sql('b', '300', 10)} UNION ALL SELECT 1, seq FROM {_sample_sql('f', '200', 11)} UNION ALL SELECT 2, seq FROM {_sample_sql('b', '300', 12)}")
+def mix_bmb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benign, _ = _split(spark, sf_dir)
+    return mix.mix_bmb(benign, read_flows(spark, sf_dir), "seq").select("segment", "seq")
+
+
+@query("SELECT 'customer' AS kind, c_custkey AS key, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal, NULL FROM supplier")
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.lit("customer").alias("kind"), F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.lit("supplier").alias("kind"), F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("key"))
+    return mix.union_by_name(customers, suppliers)
+
+
+@query(f"WITH {_SPLIT} SELECT avg(label) AS contamination, count(*) AS n FROM f")
+def class_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_flows(spark, sf_dir).agg(F.avg("label").alias("contamination"), F.count("*").alias("n"))
+
+
+# --- log lines: fields, tags, quarantine, repair ------------------------------------------
+
+_LINE = "concat_ws(chr(9), CAST(1700000000 + seq AS VARCHAR) || CASE WHEN seq % 97 = 0 THEN '.00' ELSE '.000000' END, 'C' || lpad(CAST(seq AS VARCHAR), CASE WHEN seq % 89 = 0 THEN 9 ELSE 16 END, '0'), orig_h, CAST(orig_p AS VARCHAR), CASE WHEN seq % 83 = 0 THEN '' ELSE resp_h END, proto)"
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flow view as log lines of six fields; a few have a short time stamp or uid, or an empty field."""
+    seq = F.col("seq")
+    ts = F.concat((seq + 1700000000).cast("string"), F.when(seq % 97 == 0, ".00").otherwise(".000000"))
+    uid = F.concat(F.lit("C"), F.when(seq % 89 == 0, F.lpad(seq.cast("string"), 9, "0")).otherwise(F.lpad(seq.cast("string"), 16, "0")))
+    fields = F.array(ts, uid, F.col("orig_h"), F.col("orig_p").cast("string"), F.when(seq % 83 == 0, "").otherwise(F.col("resp_h")), F.col("proto"))
+    return read_flows(spark, sf_dir).select("pod", seq.alias("pos"), logs.logify(fields).alias("value"))
+
+
+_LINES = f"{sql.FLOW}, l AS (SELECT pod, seq AS pos, {_LINE} AS value FROM f)"
+
+
+@query(f"WITH {_LINES} SELECT pos, CAST(len(t) AS BIGINT) AS n, t[2] AS uid, t[-1] AS last FROM (SELECT pos, list_filter(string_split(value, chr(9)), lambda x: x <> '') AS t FROM l)")
+def tokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields with runs of separators taken as one."""
+    parts = _lines(spark, sf_dir).select("pos", logs.tokens(F.col("value"), collapse=True).alias("t"))
+    return parts.select("pos", F.size("t").cast("bigint").alias("n"), F.get("t", F.lit(1)).alias("uid"), F.element_at("t", -1).alias("last"))
+
+
+@query(f"WITH {_LINES} SELECT pos, 'CONN,' || replace(value, chr(9), ',') AS line FROM l")
+def csvify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("pos", logs.csvify(logs.tokens(F.col("value")), "CONN").alias("line"))
+
+
+@query(f"WITH {_LINES} SELECT pos, 'DNS' AS tag, value AS line FROM l")
+def logify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged CSV lines back into log lines, whatever the tag's length."""
+    tagged = _lines(spark, sf_dir).select("pos", logs.csvify(logs.tokens(F.col("value")), "DNS").alias("line"))
+    tag, parts = logs.untag(F.col("line"))
+    return tagged.select("pos", tag.alias("tag"), logs.logify(parts).alias("line"))
+
+
+@query(f"WITH {_LINES} SELECT pos, value FROM (SELECT *, list_filter(string_split(value, chr(9)), lambda x: x <> '') AS t FROM l) WHERE len(t) <> 6 OR length(t[1]) <> 17 OR length(t[2]) < 15")
+def corrupt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where(logs.is_corrupt(logs.tokens(F.col("value"), collapse=True), 6)).select("pos", "value")
+
+
+@query(
+    f"""WITH {_LINES}, p AS (SELECT CAST(pod AS VARCHAR) AS file, pos, value, lag(value) OVER (PARTITION BY pod ORDER BY pos) AS prev FROM l)
+SELECT file, pos, CASE WHEN pos % 3 = 0 AND pos % 200 <> 0 THEN NULL ELSE value END AS repaired FROM p WHERE pos % 100 = 0 AND prev IS NOT NULL"""
+)
+def repair_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth line cut after 20 characters (some garbled) and found again in the log."""
+    lines = _lines(spark, sf_dir).select(F.col("pod").cast("string").alias("file"), "pos", "value")
+    cut = windows.lag_rows(lines, "file", "pos", ["value"]).where("pos % 100 = 0 and prev_value is not null")
+    garbled = (F.col("pos") % 3 == 0) & (F.col("pos") % 200 != 0)
+    fragments = cut.select("file", F.col("pos").alias("at"), F.col("prev_value").alias("prev"), F.when(garbled, "?").otherwise(F.substring("value", 1, 20)).alias("fragment"))
+    return logs.repair_lines(fragments, lines).select("file", F.col("at").alias("pos"), "repaired")
+
+
+@query(f"WITH {sql.FLOW} SELECT a.seq, CAST(b.ts_us - a.ts_us AS BIGINT) AS latency_us FROM f a JOIN f b ON b.seq = a.seq + 7")
+def latency_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time between a row and its output, matched by key (here the row seven later)."""
+    seen = read_flows(spark, sf_dir).select("seq", F.col("ts_us").alias("seen"))
+    out = read_flows(spark, sf_dir).select((F.col("seq") - 7).alias("seq"), F.col("ts_us").alias("out"))
+    return seen.join(out, "seq").select("seq", (F.col("out") - F.col("seen")).alias("latency_us"))
+
+
+# --- reports ------------------------------------------------------------------------------
+
+
+@query(f"WITH {sql.FLOW}, m AS (SELECT coalesce(service, 'unknown') AS metric, pod, count(*) AS n FROM f WHERE NOT (service = 'view' AND pod = 3) OR service IS NULL GROUP BY 1, 2) SELECT metric, " + ", ".join(f"coalesce(CAST(max(n) FILTER (WHERE pod = {p}) AS VARCHAR), '-1') AS \"{p}\"" for p in range(5)) + " FROM m GROUP BY metric")
+def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per metric and a column per data set; -1 where a data set lacks it."""
+    flows = read_flows(spark, sf_dir).where("not (service = 'view' and pod = 3) or service is null")
+    counts = flows.groupBy(F.coalesce("service", F.lit("unknown")).alias("metric"), F.col("pod").cast("string").alias("dataset")).agg(F.count("*").alias("n"))
+    return report.metric_matrix(counts, "metric", "dataset", "n", [str(p) for p in range(5)])
+
+
+@query(f"WITH {sql.FLOW} SELECT CAST(CASE WHEN duration < 0 THEN 0 WHEN duration >= 40 THEN 21 ELSE floor(duration / 2.0) + 1 END AS BIGINT) AS bin, count(*) AS n FROM f WHERE duration IS NOT NULL GROUP BY 1")
+def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.histogram(read_flows(spark, sf_dir).where("duration is not null"), F.col("duration"), 0.0, 40.0, 20)
+
+
+@query(f"WITH {sql.FLOW} SELECT seq, proto, CAST(orig_pkts >= 50 AS INTEGER) AS is_alert, '{{\"seq\":' || seq || ',\"proto\":\"' || proto || '\"}}' AS json FROM f")
+def alert_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.alert_json(read_flows(spark, sf_dir), ["seq", "proto"], F.col("orig_pkts") >= 50)
+
+
+# --- models ----------------------------------------------------------------------------
+
+_COV = ["orig_p", "orig_pkts", "resp_pkts"]
+
+
+@query(
+    f"WITH {sql.FLOW} SELECT pod, "
+    + ", ".join(f"{rnd(f'covar_pop({a}, {b})')} AS cov_{a}_{b}" for i, a in enumerate(_COV) for b in _COV[i:])
+    + " FROM f GROUP BY pod"
+)
+def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = [(a, b) for i, a in enumerate(_COV) for b in _COV[i:]]
+    found = read_flows(spark, sf_dir).groupBy("pod").agg(*(F.covar_pop(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"cov_{a}_{b}") for a, b in pairs))
+    return rounded(found, *_doubles(found))
+
+
+from netweave.plans import models as _model_queries  # noqa: E402
+
+QUERIES |= _model_queries.QUERIES
+ORACLE |= _model_queries.ORACLE
