@@ -27,6 +27,13 @@ class CountWindows(StatefulProcessor):
         self.rows = handle.getListState("rows", self.row_schema)
         self.done = handle.getValueState("done", "n long")
 
+    def keep(self, rows: pd.DataFrame) -> None:
+        """Put rows into the state; it takes no empty list."""
+        if len(rows):
+            self.rows.put([tuple(r) for r in rows.astype(object).where(rows.notna(), None).itertuples(index=False)])
+        else:
+            self.rows.clear()
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = self.row_schema.names
         new = pd.concat(list(rows), ignore_index=True)[names].sort_values(self.order, kind="stable")
@@ -34,12 +41,12 @@ class CountWindows(StatefulProcessor):
         both = pd.concat([held, new], ignore_index=True) if len(held) else new.reset_index(drop=True)
         if self.last_only:
             both = both.tail(self.size).reset_index(drop=True)
-            self.rows.put([tuple(r) for r in both.itertuples(index=False)])
+            self.keep(both)
             yield both.assign(wid=0)
             return
         wid = self.done.get()[0] if self.done.exists() else 0
         full = len(both) // self.size
-        self.rows.put([tuple(r) for r in both.iloc[full * self.size :].itertuples(index=False)])
+        self.keep(both.iloc[full * self.size :])
         if full:
             self.done.update((wid + full,))
             out = both.iloc[: full * self.size].copy()
