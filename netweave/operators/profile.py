@@ -139,3 +139,38 @@ def conn_profile(df: DataFrame, key: str = "pod") -> DataFrame:
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+#: What a profile of each log type looks at (numbers, categories, flags).
+PROFILED = {
+    "CONN": (("duration",), ("proto", "service", "conn_state"), ()),
+    "DNS": (("rtt",), ("query", "qclass_name", "qtype_name", "rcode_name"), ("rejected",)),
+    "SSL": ((), ("version", "cipher", "curve", "server_name"), ("established",)),
+    "HTTP": (("trans_depth",), ("host", "uri", "user_agent"), ()),
+}
+
+
+def log_profile(df: DataFrame, key: str, numbers: tuple[str, ...] = (), categories: tuple[str, ...] = (), flags: tuple[str, ...] = ()) -> DataFrame:
+    """Long (key, section, item, value): moments of numbers, shares of categories and of flags, nulls left out.
+
+    ``log_profile(rows, "pod", *PROFILED["DNS"])`` profiles DNS logs.  All
+    numbers and flags come from one pass; all categories from one more, over
+    rows pre-aggregated by value.
+    """
+    out = []
+    single = {(n, stat): made for n in numbers for stat, made in (("mean", F.avg(n)), ("std", F.stddev_samp(n)), ("cv", variation(F.avg(n), F.stddev_samp(n))))}
+    single |= {(f, "ratio"): F.avg(F.col(f).cast("double")) for f in flags}
+    if single:
+        names = list(single)
+        made = df.groupBy(key).agg(*(c.alias(f"_{i}") for i, c in enumerate(single.values())))
+        items = F.array(*(F.struct(F.lit(s).alias("section"), F.lit(t).alias("item"), F.col(f"_{i}").cast("double").alias("value")) for i, (s, t) in enumerate(names)))
+        out.append(made.select(key, F.explode(items).alias("x")).select(key, "x.section", "x.item", "x.value"))
+    if categories:
+        pairs = F.array(*(F.struct(F.lit(c).alias("section"), F.col(c).cast("string").alias("item")) for c in categories))
+        counts = df.select(key, F.explode(pairs).alias("x")).where("x.item is not null").groupBy(key, "x.section", "x.item").agg(F.count("*").alias("cnt"))
+        total = counts.groupBy(key, "section").agg(F.sum("cnt").alias("total"))
+        out.append(counts.join(total, [key, "section"]).select(key, "section", "item", (F.col("cnt") / F.col("total")).alias("value")))
+    found = out[0]
+    for p in out[1:]:
+        found = found.unionByName(p)
+    return found

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.functions import expr
-from netweave.operators import features, models, windows
+from netweave.operators import features, models, scoring, windows
 from netweave.plans import oracles as sql
 from netweave.plans.oracles import rnd
 from netweave.sources.flowview import flow_view, read_flows
@@ -41,6 +41,11 @@ def gbt_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predict(model, found, columns).select("pod", "wid", "label", "score", "predicted")
 
 
+def gbt_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged windows and their share per pod and label: the evaluation of a window classifier."""
+    return scoring.detection_rates(gbt_windows(spark, sf_dir), ["pod", "label"])
+
+
 def rf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows scored by a random forest."""
     flows = read_flows(spark, sf_dir)
@@ -98,5 +103,5 @@ def stream_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["stream_window_scores"] = f"WITH {sql.NUMBERED} SELECT pod, CAST((rn - 1) // 200 AS BIGINT) AS wid, {sql.window_stats(NUMBERS)} FROM n GROUP BY 1, 2 HAVING count(*) = 200"
 
-for _f in (gbt_windows, rf_rows, isolation_forest, isolation_forest_split, mahalanobis, mahalanobis_outliers, stream_window_scores):
+for _f in (gbt_windows, gbt_rates, rf_rows, isolation_forest, isolation_forest_split, mahalanobis, mahalanobis_outliers, stream_window_scores):
     QUERIES[_f.__name__] = _f

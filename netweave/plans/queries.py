@@ -243,6 +243,18 @@ def conn_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(profile.conn_profile(read_flows(spark, sf_dir)), "value")
 
 
+@query(
+    f"""WITH {sql.FLOW} SELECT pod, 'duration' AS section, unnest(['mean', 'std', 'cv']) AS item, round(unnest([avg(duration), stddev_samp(duration), stddev_samp(duration) / avg(duration)]), 4) + 0.0 AS value FROM f GROUP BY pod
+UNION ALL SELECT pod, 'label', 'ratio', {rnd("avg(label)")} FROM f GROUP BY pod
+"""
+    + "".join(f"UNION ALL SELECT pod, '{c}', {c}, {rnd('count(*) / sum(count(*)) OVER (PARTITION BY pod)')} FROM f WHERE {c} IS NOT NULL GROUP BY pod, {c}\n" for c in ("proto", "service", "resp_h"))
+)
+def log_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profile that any log type can have: moments, flag ratios, shares of categories."""
+    found = profile.log_profile(read_flows(spark, sf_dir), "pod", ("duration",), ("proto", "service", "resp_h"), ("label",))
+    return rounded(found, "value")
+
+
 # --- ruleset scores ------------------------------------------------------------------
 
 

@@ -128,3 +128,24 @@ def test_tail_follows_growing_files(spark, tmp_path):
         assert spark.table("tailed2").count() == 6
     finally:
         again.stop()
+
+
+def test_command_line(spark, log, tmp_path):
+    from netweave.__main__ import main
+
+    main(["replay", log, str(tmp_path / "copy.log"), "-d", "0"])
+    assert open(tmp_path / "copy.log").read() == open(log).read()
+    main(["export", log, str(tmp_path / "out"), "--type", "DNS"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 6
+    main(["query", "class_balance", "/root/testdata/sf0.001", "--out", str(tmp_path / "rows")])
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 1
+
+
+def test_profiles_of_log_types(spark, log):
+    from netweave.operators.profile import PROFILED, log_profile
+
+    rows, _ = logs.read_log(spark, log, "DNS")
+    got = {(r.section, r.item): r.value for r in log_profile(logs.with_log_type(rows), "pod", *PROFILED["DNS"]).collect()}
+    assert got["rtt", "mean"] == 0.25 and got["rejected", "ratio"] == 0.0 and got["qtype_name", "AAAA"] == 1.0
+    for kind, (numbers, categories, flags) in PROFILED.items():
+        assert {*numbers, *categories, *flags} <= set(schemas.schema(kind).names)
