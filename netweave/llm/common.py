@@ -4,18 +4,21 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows that one step of an Arrow task looks at; bounds its memory.
 SLICE_ROWS = 256
-#: Entries of a per-worker memo table before it starts afresh.
-MEMO_ROWS = 600_000
+#: Bytes of an Arrow batch on its way to Python, so that a batch of very long texts stays small.
+BATCH_BYTES = 8 << 20
+#: Entries of a memo table before it starts afresh; a worker holds several tables.
+MEMO_ROWS = 120_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +68,12 @@ def ascii_lower(column):
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def arrow_map(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` with batches of bounded bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into pieces of a bounded number of rows."""
     for batch in batches:
@@ -85,6 +94,9 @@ class WordHash(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: The one table of word hashes of a worker, whatever operators it runs.
+WORD_HASH = WordHash()
+
 #: Odd multipliers for mixing 64-bit hashes.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import Scratch, slices
+from netweave.llm.common import arrow_map, Scratch, slices
 
 #: Chunk sizes in bytes: at least, on average beyond that, at most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 2048, 16384
@@ -80,7 +80,7 @@ def recipes(docs: DataFrame, id_col: str, text: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["id", "text_sha256", "n_bytes", "hashes", "digests"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = docs.select(F.col(id_col).alias("id"), F.col(text)).mapInArrow(run, f"id {kind}, text_sha256 string, n_bytes long, hashes array<long>, digests array<binary>")
+    out = arrow_map(docs.select(F.col(id_col).alias("id"), F.col(text)), run, f"id {kind}, text_sha256 string, n_bytes long, hashes array<long>, digests array<binary>")
     return out.withColumn("row", F.monotonically_increasing_id())
 
 

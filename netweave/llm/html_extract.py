@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netweave.llm.common import slices
+from netweave.llm.common import arrow_map, slices
 
 #: Elements by their part in the layout.
 SKIPPED = frozenset("script style noscript template svg math head title object canvas iframe select textarea".split())
@@ -236,4 +236,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: s
             texts = [main_text(tree, x) if x else "" for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=[id_col, url, "text"])
 
-    return pages.select(id_col, url, html).mapInArrow(run, f"`{id_col}` {kinds[id_col]}, `{url}` {kinds[url]}, text string")
+    return arrow_map(pages.select(id_col, url, html), run, f"`{id_col}` {kinds[id_col]}, `{url}` {kinds[url]}, text string")

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import MIX, Scratch, WordHash, mix64, slices, windows
+from netweave.llm.common import MIX, WORD_HASH, arrow_map, mix64, Scratch, slices, windows
 from netweave.llm.connected import components
 
 #: Buckets of the sketch, and of one row of it.
@@ -50,15 +50,12 @@ FREQUENT, LOADS = 256, 4
 #: Bands of set sizes: (sub-classes m, least size, largest size); each overlaps the next by more than 1 / 0.8.
 BANDS = ((1, 0, 48), *((16**k, 0.8 * (48 if k == 1 else 75 * 16 ** (k - 1)), 75 * 16**k) for k in range(1, 7)))
 
-_hash = WordHash()
-
-
 def shingles(text: str, k: int) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
     words = text.encode().lower().split()  # bytes: A-Z and the six ASCII spaces only
     if not words:
         return np.zeros(0, np.uint64)
-    h = _hash.of(words)
+    h = WORD_HASH.of(words)
     if len(h) < k:
         return mix64(windows(h, len(h)) + np.uint64(len(h)))
     return np.unique(windows(h, k))
@@ -94,7 +91,7 @@ def _pass_one(docs: DataFrame, k: int) -> DataFrame:
             m = len(rows)
             yield pa.RecordBatch.from_arrays([pa.nulls(m, id_type), *(pa.nulls(m, pa.int64()) for _ in range(3)), pa.array(range(m), pa.int32()), pa.array(rows, pa.binary())], names=names)
 
-    return docs.mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, chunk int, counts binary")
+    return arrow_map(docs, run, f"id {kind}, n long, k1 long, k2 long, chunk int, counts binary")
 
 
 def _sketch(rows: DataFrame) -> np.ndarray:
@@ -160,7 +157,7 @@ def _signature_table(docs: DataFrame, levels, cut: int, k: int, percent: int) ->
             at = pa.array(np.concatenate(ids).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), b.column(0).take(at), pa.array(np.concatenate(sizes).astype(np.int32))], names=["sig", "id", "n"])
 
-    return docs.mapInArrow(run, f"sig long, id {kind}, n int")
+    return arrow_map(docs, run, f"sig long, id {kind}, n int")
 
 
 def _set_table(docs: DataFrame, k: int) -> DataFrame:
@@ -172,7 +169,7 @@ def _set_table(docs: DataFrame, k: int) -> DataFrame:
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "hashes"])
 
-    return docs.mapInArrow(run, f"id {kind}, hashes array<long>")
+    return arrow_map(docs, run, f"id {kind}, hashes array<long>")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import Scratch, slices
+from netweave.llm.common import arrow_map, Scratch, slices
 from netweave.llm.tokens import byte_bpe
 
 MAX_LEN = 1024
@@ -130,14 +130,14 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: str = "t
 
         return run
 
-    packed = scratch.store(docs.select(id_col, text).mapInArrow(first, schema).withColumn("part", F.spark_partition_id()), "packed")
+    packed = scratch.store(arrow_map(docs.select(id_col, text), first, schema).withColumn("part", F.spark_partition_id()), "packed")
     done, left, level = [packed.where("sequence_id is not null")], packed.where("sequence_id is null"), 0
     parts = 1 + (left.agg(F.max("part")).first()[0] or 0)
     while True:
         level, parts = level + 1, -(-parts // FAN_IN)
         group = left.withColumn("group", (F.col("part") / FAN_IN).cast("int"))
         dealt = group.repartitionByRange(parts, "group").sortWithinPartitions("part", "offset") if parts > 1 else group.repartition(1).sortWithinPartitions("part", "offset")
-        merged = dealt.select(*_NAMES).mapInArrow(again(level, parts == 1), schema).withColumn("part", F.spark_partition_id())
+        merged = arrow_map(dealt.select(*_NAMES), again(level, parts == 1), schema).withColumn("part", F.spark_partition_id())
         merged = scratch.store(merged, f"merged{level}")
         done.append(merged.where("sequence_id is not null"))
         if parts == 1:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import MEMO_ROWS, held_out, slices, word_grams
+from netweave.llm.common import MEMO_ROWS, arrow_map, held_out, slices, word_grams
 from netweave.llm.labelled import training_rows
 
 #: Most labelled rows that are trained on (a bound).
@@ -143,7 +143,7 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text: str = "te
             got = pa.array(scorer.scores([x or "" for x in b.column(1).to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=[id_col, "score"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return arrow_map(docs.select(id_col, text), run, f"`{id_col}` {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: tuple, text: str = "text", least: float = 0.5) -> DataFrame:
@@ -156,7 +156,7 @@ def keep_good(docs: DataFrame, model: tuple, text: str = "text", least: float =
         for b in slices(batches):
             yield b.filter(pa.array([x >= least for x in scorer.scores([x or "" for x in b.column(at).to_pylist()])], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 def verdicts(scored: DataFrame, id_col: str = "doc_id", cut: float = 0.5) -> DataFrame:

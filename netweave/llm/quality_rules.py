@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import WordHash, slices, windows
+from netweave.llm.common import WORD_HASH, arrow_map, slices, windows
 
 #: Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -31,9 +31,6 @@ MIN_WORDS = 50
 #: Rows of the sample on which cost and selectivity are measured (a bound).
 SAMPLE_ROWS = 400
 
-_hash = WordHash()
-
-
 def base_counts(text: str) -> dict:
     """The counts that every document gets, and the parts the rules reuse."""
     raw = text.encode()
@@ -42,7 +39,7 @@ def base_counts(text: str) -> dict:
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     repeat = 0
     if n >= 4:
-        h = windows(_hash.of(words), 3)
+        h = windows(WORD_HASH.of(words), 3)
         order = np.argsort(h)
         same = h[order[1:]] == h[order[:-1]]
         if same.any():
@@ -153,7 +150,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text: str = "text", order: li
             columns = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
             yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=[id_col, *(x.split()[0] for x in _JUDGED.split(", "))])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {id_type}, {_JUDGED}")
+    return arrow_map(docs.select(id_col, text), run, f"`{id_col}` {id_type}, {_JUDGED}")
 
 
 def keep_good(docs: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -169,4 +166,4 @@ def keep_good(docs: DataFrame, text: str = "text", order: list[str] | None = Non
                 keep.append(not base_failed(c) and first_rejecting(c, order) is None)
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netweave.llm.common import MEMO_ROWS, slices
+from netweave.llm.common import MEMO_ROWS, arrow_map, slices
 
 MARK = "▁"
 #: A space and the library's own marker mean the same in a text.
@@ -112,4 +112,4 @@ def encode_decode(docs: DataFrame, model: str, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([b.column(0), n, ids, back], names=[id_col, "n_tokens", "ids_sha256" if digests else "ids", "decoded_sha256" if digests else "decoded"])
 
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, {rest}")
+    return arrow_map(docs.select(id_col, text), run, f"`{id_col}` {kind}, n_tokens long, {rest}")

@@ -12,7 +12,8 @@ import os
 
 import numpy as np
 
-from netweave.llm.common import MEMO_ROWS
+#: Words of the table before it starts afresh.
+MEMO_ROWS = 500_000
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
 

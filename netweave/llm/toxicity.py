@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netweave.llm.common import MEMO_ROWS, slices, word_grams
+from netweave.llm.common import MEMO_ROWS, arrow_map, slices, word_grams
 from netweave.llm.labelled import MAX_ROWS, training_rows
 
 BUCKETS = 1 << 20
@@ -134,4 +134,4 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text: str = "te
             got = pa.array(scorer.scores([x or "" for x in b.column(1).to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=[id_col, "score"])
 
-    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return arrow_map(docs.select(id_col, text), run, f"`{id_col}` {kind}, score double")
