@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -57,10 +58,16 @@ class Scratch:
         return kept
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete stored tables that no later step reads."""
+        """Delete stored tables that no later step reads, and let Spark delete the shuffle files of finished jobs.
+
+        Spark's cleaner does so once the driver has collected its garbage,
+        which a driver with little to do may not do for long.
+        """
         for df in tables:
             where = self.spark._jvm.org.apache.hadoop.fs.Path(df._netweave_path)
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        gc.collect()
+        self.spark._jvm.System.gc()
 
 
 def ascii_lower(column):

@@ -27,4 +27,5 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         scratch.drop(labels, lower)
         labels = after
         if not labels.where("component <> was").limit(1).count():
+            scratch.drop(both)
             return labels.select("id", "component")

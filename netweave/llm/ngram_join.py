@@ -19,8 +19,11 @@ more are linked; the result is each document's component of links.
 3. Classes that share a signature are candidates, verified on their whole sets.
    First each is compared with the leader of its signature, a linear number of
    pairs that joins groups of near copies whole; then with another leader, and
-   last with every candidate in another component so far.  No link between
-   components is lost, and no group of near copies is expanded into its pairs.
+   last with every candidate in another component so far.  These last pairs are
+   made only where sketches of both sets (the parity of how many shingles fall
+   on each of some bits) allow a link: sketches differ in no more bits than the
+   sets differ in shingles.  No link between components is lost, and no group
+   of near copies is expanded into its pairs.
 
 Defined results: null or empty texts and texts without words have an empty set
 and are linked with nothing; texts of fewer words than a shingle have one
@@ -33,6 +36,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -160,16 +164,30 @@ def _signature_table(docs: DataFrame, levels, cut: int, k: int, percent: int) ->
     return arrow_map(docs, run, f"sig long, id {kind}, n int")
 
 
+#: 64-bit words of a set's parity sketch.
+PARITY = 16
+
+
+def parity(h: np.ndarray) -> np.ndarray:
+    """The parity sketch: bit i is set where an odd number of shingles falls on it."""
+    at = (mix64(h ^ MIX[1]) % np.uint64(64 * PARITY)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * PARITY) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _set_table(docs: DataFrame, k: int) -> DataFrame:
+    """(id, hashes, p0 ...): the sets of the candidates and their parity sketches."""
     kind = docs.schema["id"].dataType.simpleString()
+    names = ["id", "hashes", *(f"p{i}" for i in range(PARITY))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             sets = [shingles(value or "", k).view(np.int64) for value in b.column(1).to_pylist()]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["id", "hashes"])
+            bits = np.array([parity(x.view(np.uint64)) for x in sets])
+            columns = [b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets))), *(pa.array(bits[:, i]) for i in range(PARITY))]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return arrow_map(docs, run, f"id {kind}, hashes array<long>")
+    return arrow_map(docs, run, ", ".join([f"id {kind}", "hashes array<long>", *(f"p{i} long" for i in range(PARITY))]))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,6 +202,12 @@ def _sizes_fit(a: str, b: str, percent: int):
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.col("a") != F.col("b"))
 
 
+def _sketches_fit(percent: int):
+    """Whether two sketches (a0 ..., b0 ...) differ in no more bits than linked sets can in shingles."""
+    bits = reduce(lambda x, y: x + y, (F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(PARITY)))
+    return (100 + percent) * bits <= (100 - percent) * (F.col("na") + F.col("nb"))
+
+
 def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id."""
     spark = docs.sparkSession
@@ -213,11 +237,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         open_ = scratch.store(open_, "placed")
         mixed = scratch.store(open_.groupBy("sig").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min(F.struct(F.xxhash64("id", "sig").alias("x"), "id", "n", "component")).alias("lead")).where("low <> high").select("sig", "lead"), "mixed")
         if final:
-            part = open_.join(mixed.select("sig"), "sig", "left_semi").select("sig", "id", "n", "component")
-            part = scratch.store(part, "open")
-            one = part.select("sig", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-            two = part.select("sig", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-            pairs = one.join(two, "sig").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent)).select("a", "b")
+            sketch = sets.drop("hashes")
+            part = scratch.store(open_.join(mixed.select("sig"), "sig", "left_semi").join(sketch, "id"), "open")
+            side = lambda x: part.select("sig", F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), *(F.col(f"p{i}").alias(f"{x}{i}") for i in range(PARITY)))
+            pairs = side("a").join(side("b"), "sig").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent) & _sketches_fit(percent)).select("a", "b")
         else:
             pairs = open_.join(mixed, "sig").where(F.col("component") != F.col("lead.component")).select(F.col("lead.id").alias("a"), F.col("id").alias("b"), F.col("lead.n").alias("na"), F.col("n").alias("nb")).where(_sizes_fit("na", "nb", percent)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         pairs = scratch.store(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
