@@ -10,8 +10,9 @@ more are linked; the result is each document's component of links.
 2. Shingles are ordered by their count in the sketch, rare ones first.  A class
    of n shingles can miss at most d = n - ceil(percent * n / 100) of them in a
    partner, so a prefix of d + 1 rare shingles must share one with it: each is
-   a signature.  Where rare shingles do not reach, the prefix is extended by
-   frequent ones.  These are dealt by their hash to m sub-classes, and every
+   a signature.  A shingle that many classes turn out to have in their prefix
+   is frequent as well, until no single shingle has many classes.  Where rare
+   shingles do not reach, the prefix is extended by frequent ones.  These are dealt by their hash to m sub-classes, and every
    pair inside a sub-class is a signature: as the first shingle of a sub-class
    proves nothing, the prefix is longer by one for each sub-class it touches.
    m follows the size of the set, in overlapping bands, so that two sets that
@@ -49,8 +50,12 @@ from netweave.llm.connected import components
 
 #: Buckets of the sketch, and of one row of it.
 SKETCH_BITS, ROW_BITS = 20, 15
+#: Tasks whose sketches are summed in one step.
+FAN_IN = 64
 #: A shingle is frequent from this count on, over the mean load of a bucket.
 FREQUENT, LOADS = 256, 4
+#: Classes that may share a single shingle before it counts as frequent, whatever the sketch says.
+HEAVY = 4096
 #: Bands of set sizes: (sub-classes m, least size, largest size); each overlaps the next by more than 1 / 0.8.
 BANDS = ((1, 0, 48), *((16**k, 0.8 * (48 if k == 1 else 75 * 16 ** (k - 1)), 75 * 16**k) for k in range(1, 7)))
 
@@ -110,32 +115,46 @@ def _sketch(rows: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([zlib.compress(x.astype("<i8").tobytes(), 1) for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
     n = 1 << (SKETCH_BITS - ROW_BITS)
-    # Two levels: partial sums of many tasks' rows first, so no task reads them all.
-    spread = rows.repartition(4 * n, "chunk", F.pmod(F.xxhash64("counts"), F.lit(8))).mapInArrow(run, "chunk int, counts binary")
+    tasks = rows.where("chunk = 0").count()
+    if tasks > FAN_IN:  # two levels: partial sums of many tasks' rows first, so no task reads them all
+        rows = arrow_map(rows.repartition(n * min(8, -(-tasks // FAN_IN)), "chunk", F.pmod(F.xxhash64("counts"), F.lit(8))), run, "chunk int, counts binary")
+    parts = min(n, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     out = np.zeros(1 << SKETCH_BITS, np.int64)
-    for r in spread.repartition(n, "chunk").mapInArrow(run, "chunk int, counts binary").collect():
+    for r in arrow_map(rows.repartition(parts, "chunk"), run, "chunk int, counts binary").collect():
         out[r[0] << ROW_BITS : (r[0] + 1) << ROW_BITS] += np.frombuffer(zlib.decompress(r[1]), "<i8")
     return out
 
 
-def signatures(h: np.ndarray, levels: np.ndarray, cut: int, percent: int) -> np.ndarray:
-    """The signatures of a set (see above); sets that only equal ones can match have none."""
+def single(h: np.ndarray) -> np.ndarray:
+    """The signatures of single shingles."""
+    return mix64(h ^ MIX[2])
+
+
+def signatures(h: np.ndarray, levels: np.ndarray, cut: int, percent: int, heavy: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(single, combined) signatures of a set; sets that only equal ones can match have none.
+
+    ``heavy`` are single signatures that turned out to be frequent.
+    """
     n = len(h)
     d = n - (percent * n + 99) // 100
+    none = np.zeros(0, np.uint64)
     if 100 * n < percent * (n + 1):  # one shingle more or less is too much
-        return np.zeros(0, np.uint64)
+        return none, none
     q = levels[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-    order = np.lexsort((h, q))
-    h, rare = h[order], int((q <= cut).sum())
-    if rare > d:
-        return mix64(h[: d + 1] ^ MIX[2])
-    out, common = [mix64(h[:rare] ^ MIX[2])], h[rare:]
+    rare = q <= cut
+    if heavy:
+        rare &= ~np.isin(single(h), np.array(heavy, np.int64).view(np.uint64))
+    order = np.lexsort((h, q, ~rare))
+    h, n_rare = h[order], int(rare.sum())
+    if n_rare > d:
+        return single(h[: d + 1]), none
+    out, common = [none], h[n_rare:]
     for m, least, most in BANDS:
         if least <= n <= most:
             sub = (mix64(common) % np.uint64(m)).astype(np.int64)
             proves = np.ones(len(common), bool)
             proves[np.unique(sub, return_index=True)[1]] = False
-            end = int(np.searchsorted(np.cumsum(proves), d + 1 - rare)) + 1
+            end = int(np.searchsorted(np.cumsum(proves), d + 1 - n_rare)) + 1
             members, sub = common[:end], sub[:end]
             by = np.argsort(sub, kind="stable")
             for group in np.split(members[by], np.flatnonzero(np.diff(sub[by])) + 1):
@@ -143,25 +162,74 @@ def signatures(h: np.ndarray, levels: np.ndarray, cut: int, percent: int) -> np.
                     i, j = np.triu_indices(len(group), 1)
                     low, high = np.minimum(group[i], group[j]), np.maximum(group[i], group[j])
                     out.append(mix64(low * MIX[0] + mix64(high + np.uint64(m))))
-    return np.unique(np.concatenate(out))
+    return single(h[:n_rare]), np.unique(np.concatenate(out))
 
 
 def _signature_table(docs: DataFrame, levels, cut: int, k: int, percent: int) -> DataFrame:
+    """(sig, id, n, single) for docs (id, text, heavy)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            ids, sizes, found = [], [], []
-            for i, value in enumerate(b.column(1).to_pylist()):
+            ids, sizes, found, alone = [], [], [], []
+            for i, (value, heavy) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
                 h = shingles(value or "", k)
-                s = signatures(h, levels.value, cut, percent)
-                found.append(s)
-                ids.append(np.full(len(s), i))
-                sizes.append(np.full(len(s), len(h)))
+                one, two = signatures(h, levels.value, cut, percent, heavy)
+                found += [one, two]
+                alone += [np.ones(len(one), bool), np.zeros(len(two), bool)]
+                ids.append(np.full(len(one) + len(two), i))
+                sizes.append(np.full(len(one) + len(two), len(h)))
             at = pa.array(np.concatenate(ids).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), b.column(0).take(at), pa.array(np.concatenate(sizes).astype(np.int32))], names=["sig", "id", "n"])
+            columns = [pa.array(np.concatenate(found).view(np.int64)), b.column(0).take(at), pa.array(np.concatenate(sizes).astype(np.int32)), pa.array(np.concatenate(alone))]
+            yield pa.RecordBatch.from_arrays(columns, names=["sig", "id", "n", "single"])
+
+    return arrow_map(docs.select("id", "text", "heavy"), run, f"sig long, id {kind}, n int, single boolean")
 
-    return arrow_map(docs, run, f"sig long, id {kind}, n int")
+
+def _single_table(docs: DataFrame, k: int) -> DataFrame:
+    """(id, sig): the single signature of every shingle, one row each."""
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 32):
+            sets = [shingles(value or "", k) for value in b.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array(single(np.concatenate(sets)).view(np.int64))], names=["id", "sig"])
+
+    return arrow_map(docs.select("id", "text"), run, f"id {kind}, sig long")
+
+
+def _all_signatures(reps: DataFrame, levels, cut: int, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(signatures, the shared ones with their leader), once no single shingle is shared by more than HEAVY classes.
+
+    A shingle that more classes hold in their prefix than the sketch let expect
+    is counted as frequent from then on.  Only classes with such a shingle in
+    their prefix change, and they learn of all such shingles in their set, so
+    all classes go by one order.
+    """
+    plain = reps.withColumn("heavy", F.lit(None).cast("array<long>"))
+    sigs, heavy = scratch.store(_signature_table(plain, levels, cut, k, percent), "signatures"), None
+    while True:
+        scratch.drop()
+        leader = F.min(F.struct("id", "n")).alias("leader")
+        groups = sigs.groupBy("sig").agg(leader, F.max("id").alias("last"), F.count("*").alias("size"), F.max("single").alias("single")).where("leader.id <> last")
+        shared = scratch.store(groups.select("sig", F.col("leader.id").alias("lead"), F.col("leader.n").alias("lead_n"), "size", "single"), "shared")
+        scratch.drop()
+        new = shared.where((F.col("size") > HEAVY) & F.col("single")).select("sig")
+        if not new.limit(1).count():
+            return sigs, shared
+        heavy = scratch.store(new if heavy is None else heavy.unionByName(new).distinct(), "heavy")
+        held = lambda: sigs.where("single").join(heavy, "sig", "left_semi").select("id").distinct()  # noqa: B023, E731
+        # Most of what the next rounds would find: shingles that many of these classes hold anywhere.
+        near = _single_table(reps.join(held(), "id", "left_semi"), k).groupBy("sig").count().where(F.col("count") > HEAVY).select("sig")
+        heavy = scratch.store(heavy.unionByName(near).distinct(), "heavy")
+        changed = scratch.store(held(), "changed")
+        texts = reps.join(changed, "id", "left_semi")
+        theirs = _single_table(texts, k).join(heavy, "sig").groupBy("id").agg(F.collect_list("sig").alias("heavy"))
+        again = _signature_table(texts.join(scratch.store(theirs, "theirs"), "id"), levels, cut, k, percent)
+        after = scratch.store(sigs.join(changed, "id", "left_anti").unionByName(again), "signatures")
+        scratch.drop(sigs, shared)
+        sigs = after
 
 
 #: 64-bit words of a set's parity sketch.
@@ -221,16 +289,16 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     classes = scratch.store(rows.where("k1 is not null and id is not null").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = texts.join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    sigs = scratch.store(_signature_table(reps, levels, cut, k, percent), "signatures")
-    leader = F.min(F.struct("id", "n")).alias("leader")
-    shared = scratch.store(sigs.groupBy("sig").agg(leader, F.max("id").alias("last")).where("leader.id <> last").select("sig", F.col("leader.id").alias("lead"), F.col("leader.n").alias("lead_n")), "shared")
-    members = scratch.store(sigs.join(shared, "sig"), "members")
+    sigs, shared = _all_signatures(reps, levels, cut, k, percent, scratch)
+    members = scratch.store(sigs.drop("single").join(shared.select("sig", "lead", "lead_n"), "sig"), "members")
     scratch.drop(sigs, shared)
     sets = scratch.store(_set_table(texts.join(members.select("id").distinct(), "id", "left_semi"), k), "candidates")
+    scratch.drop()
 
     pairs = members.select(F.col("lead").alias("a"), F.col("id").alias("b"), "lead_n", "n").where(_sizes_fit("lead_n", "n", percent)).select("a", "b").distinct()
     tried = scratch.store(pairs, "pairs")
     links = scratch.store(_verified(tried, sets, percent), "links")
+    scratch.drop()
     found = components(links, scratch)
     for final in (False, True):
         open_ = members.select("sig", "id", "n").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
