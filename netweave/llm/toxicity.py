@@ -1,11 +1,11 @@
 """Toxicity: a character n-gram linear classifier with naive Bayes features.
 
 A document's features are the hashed character n-grams of its words (in angle
-brackets, lower case), present or not.  Each is scaled by its naive Bayes
-log-count ratio, smoothed towards the class balance, and a logistic regression
-is trained on the scaled features by stochastic gradient descent.  N-grams that
-carry next to no weight are dropped from the table, so most words of a text
-cost one lookup.
+brackets, lower case).  A feature's value is how often the n-gram occurs per
+word of the text, up to a bound, scaled by its naive Bayes log-count ratio,
+which is smoothed towards the class balance.  A logistic regression is trained
+on the scaled features by stochastic gradient descent.  N-grams that carry next
+to no weight are dropped from the table.
 
 Defined results: null text counts as empty; an empty text has the score of the
 bias alone; without any labelled row every score is 0.5; repeated rows each get
@@ -15,110 +15,117 @@ a row; extra columns are ignored.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netweave.llm.common import MEMO_ROWS, arrow_map, slices, word_grams
+from netweave.llm.common import arrow_map, slices, word_grams
 from netweave.llm.labelled import MAX_ROWS, training_rows
 
 BUCKETS = 1 << 20
-MIN_GRAM, MAX_GRAM = 4, 6
+MIN_GRAM, MAX_GRAM = 3, 6
+#: A value is SCALE times the occurrences per word, CAP at most.
+SCALE, CAP = 30.0, 3.0
 #: Pseudo-documents by which each ratio is pulled to the class balance.
 SMOOTH = 30.0
-EPOCHS = 6
-RATE = 0.5
-DECAY = 1e-4
+#: N-grams of fewer training texts, or with a ratio nearer to 0, are no features.
+MIN_TEXTS, MIN_RATIO = 3, 0.6
+EPOCHS = 12
+RATE = 0.2
+DECAY = 1e-3
 #: Weights under this part of a unit of log-odds are dropped.
-LEAST = 0.02
+LEAST = 0.01
+#: Texts whose n-grams are looked at together; bounds the memory of a step.
+STEP = 64
 
 
 #: ASCII letters in lower case, everything else of ASCII as a space; other bytes stay.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words_of(text: str) -> set[bytes]:
-    return set(text.encode().translate(_LETTERS).split())
-
-
-def _features(texts: list[str]) -> list[np.ndarray]:
-    """The distinct buckets of each text."""
-    split = [words_of(t) for t in texts]
-    place = {w: i for i, w in enumerate(dict.fromkeys(w for p in split for w in p))}
+def values(texts: list[str], live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, bucket, value) of every n-gram of the texts, by text; only ``live`` buckets if given."""
+    counts = [Counter(t.encode().translate(_LETTERS).split()) for t in texts]
+    place = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
     if not place:
-        return [np.zeros(0, np.int64) for _ in texts]
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     grams, owner = word_grams(list(place), MIN_GRAM, MAX_GRAM)
+    bucket = (grams % np.uint64(BUCKETS)).astype(np.int64)
+    if live is not None:
+        kept = live[bucket]
+        bucket, owner = bucket[kept], owner[kept]
     order = np.argsort(owner, kind="stable")
-    bucket, first = (grams[order] % np.uint64(BUCKETS)).astype(np.int64), np.searchsorted(owner[order], np.arange(len(place) + 1))
-    return [np.unique(np.concatenate([np.zeros(0, np.int64), *(bucket[first[place[w]] : first[place[w] + 1]] for w in p)])) for p in split]
-
-
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> tuple[dict[int, float], float]:
-    """(weights of the n-grams that count, bias)."""
+    bucket, first = bucket[order], np.searchsorted(owner[order], np.arange(len(place) + 1))
+    word = np.fromiter((place[w] for c in counts for w in c), np.int64)
+    times = np.fromiter((n for c in counts for n in c.values()), np.float64)
+    text = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
+    size = first[word + 1] - first[word]
+    # The n-grams of each (text, word), one after the other.
+    at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[word], size)
+    key, inverse = np.unique(np.repeat(text, size) * BUCKETS + bucket[at], return_inverse=True)
+    total = np.bincount(inverse, np.repeat(times, size), len(key))
+    n_words = np.array([max(1, sum(c.values())) for c in counts], float)
+    return key // BUCKETS, key % BUCKETS, np.minimum(SCALE * total / n_words[key // BUCKETS], CAP)
+
+
+def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
+    """(buckets that count, their weights, bias)."""
     if not texts:
-        return {}, 0.0
-    docs = _features(texts)
+        return np.zeros(0, np.int32), np.zeros(0), 0.0
+    docs = []
+    for at in range(0, len(texts), STEP):
+        part = texts[at : at + STEP]
+        text, bucket, value = values(part)
+        ends = np.searchsorted(text, np.arange(len(part) + 1))
+        docs += [(bucket[i:j].astype(np.int32), value[i:j].astype(np.float32)) for i, j in zip(ends[:-1], ends[1:])]
     y = np.array(labels)
-    share = np.clip(y.mean(), 0.01, 0.99)
-    total = np.bincount(np.concatenate(docs), minlength=BUCKETS)
-    positive = np.bincount(np.concatenate([d for d, v in zip(docs, y) if v] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    odds = lambda k, n, part: (k + SMOOTH * part) / (n + SMOOTH * part)
-    ratio = np.log(odds(positive, n1, share) / odds(total - positive, n0, 1 - share))
-    ratio -= math.log(odds(0, n1, share) / odds(0, n0, 1 - share))  # an unseen n-gram says nothing
-    ratio[total < 3] = 0
-    docs = [d[np.abs(ratio[d]) > 0.3] for d in docs]
+    share = float(np.clip(y.mean(), 0.01, 0.99))
+    mass, seen = np.zeros((2, BUCKETS)), np.zeros(BUCKETS, np.int32)
+    for (b, v), label in zip(docs, y):
+        mass[label][b] += v
+        seen[b] += 1
+    n1 = int(y.sum())
+    usual = mass.sum(0) / len(y)
+    ratio = np.log((mass[1] + SMOOTH * usual + 1e-9) / (n1 + SMOOTH)) - np.log((mass[0] + SMOOTH * usual + 1e-9) / (len(y) - n1 + SMOOTH))
+    ratio[(seen < MIN_TEXTS) | (np.abs(ratio) < MIN_RATIO)] = 0
+    for i, (b, v) in enumerate(docs):
+        used = ratio[b] != 0
+        docs[i] = (b[used], (v[used] * ratio[b[used]]).astype(np.float32))
     rng = np.random.default_rng(seed)
     w, bias, squares, step = np.zeros(BUCKETS), math.log(share / (1 - share)), np.full(BUCKETS, 1e-2), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            d = docs[i]
-            x = ratio[d]
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + float(w[d] @ x)))))
+            b, x = docs[i]
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + float(w[b] @ x)))))
             g = p - y[i]
             step += 1
             bias -= 0.05 * g / math.sqrt(1 + step / len(docs))
-            gx = g * x + DECAY * w[d]
-            squares[d] += gx * gx
-            w[d] -= RATE / 5 * gx / np.sqrt(squares[d])
+            gx = g * x + DECAY * w[b]
+            squares[b] += gx * gx
+            w[b] -= RATE * gx / np.sqrt(squares[b])
     weights = w * ratio
-    return {int(i): float(weights[i]) for i in np.flatnonzero(np.abs(weights) > LEAST)}, bias
+    live = np.flatnonzero(np.abs(weights) > LEAST)
+    return live.astype(np.int32), weights[live], bias
 
 
 class Scorer:
-    """Scores texts by a table: word -> its n-grams that carry weight (mostly none)."""
-
-    def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias, self.words = weights, bias, {}
-        self.live = np.zeros(BUCKETS, bool)
-        self.live[list(weights)] = True
+    """Scores texts by a table of weights."""
 
-    def learn(self, words: list[bytes]) -> None:
-        grams, owner = word_grams(words, MIN_GRAM, MAX_GRAM)
-        bucket = (grams % np.uint64(BUCKETS)).astype(np.int64)
-        live = self.live[bucket]
-        self.words.update(dict.fromkeys(words, ()))
-        for i, g in zip(owner[live].tolist(), bucket[live].tolist()):
-            self.words[words[i]] += (g,)
+    def __init__(self, buckets: np.ndarray, weights: np.ndarray, bias: float):
+        self.bias, self.table = bias, np.zeros(BUCKETS)
+        self.table[buckets] = weights
+        self.live = self.table != 0
 
     def scores(self, texts: list[str]) -> list[float]:
-        split = [words_of(t) for t in texts]
-        if len(self.words) > MEMO_ROWS:
-            self.words.clear()
-        new = list(set().union(*split).difference(self.words))
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        return [self._score(p) for p in split]
-
-    def _score(self, words: set[bytes]) -> float:
-        found = set().union(*map(self.words.__getitem__, words))
-        z = self.bias + math.fsum(map(self.weights.__getitem__, found))
-        return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
+        text, bucket, value = values(texts, self.live)
+        z = self.bias + np.bincount(text, self.table[bucket] * value, len(texts))
+        return (1 / (1 + np.exp(-np.clip(z, -500, 500)))).tolist()
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = MAX_ROWS) -> tuple[dict[int, float], float]:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text", rows: int = MAX_ROWS) -> tuple[np.ndarray, np.ndarray, float]:
     """Train on at most ``rows`` labelled rows outside the held-out fold."""
     return train(*training_rows(docs, labels, label, id_col, text, rows))
 
@@ -130,7 +137,7 @@ def score(docs: DataFrame, model: tuple, id_col: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for b in slices(batches):
+        for b in slices(batches, STEP):
             got = pa.array(scorer.scores([x or "" for x in b.column(1).to_pylist()]), pa.float64())
             yield pa.RecordBatch.from_arrays([b.column(0), got], names=[id_col, "score"])
 
