@@ -36,8 +36,6 @@ DIM = 8
 EPOCHS = 5
 RATE = 0.4
 MIN_GRAM, MAX_GRAM = 3, 4
-#: Texts are cut nowhere for scoring; one training step looks at this many words of a text.
-TRAIN_WORDS = 2000
 AGAIN = 0  # bucket of "the word before once more"
 
 
@@ -51,10 +49,10 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Distinct buckets of each text and their shares."""
-    split = [t.encode().split()[:TRAIN_WORDS] for t in texts]
+    split = [t.encode().split() for t in texts]
     place = {w: i for i, w in enumerate(dict.fromkeys(w for p in split for w in p))}
     if not place:
-        return [(np.zeros(0, np.int64), np.zeros(0, np.float32)) for _ in texts]
+        return [(np.zeros(0, np.int32), np.zeros(0, np.float32)) for _ in texts]
     bucket, owner = word_features(list(place))
     order = np.argsort(owner, kind="stable")
     bucket, first = bucket[order], np.searchsorted(owner[order], np.arange(len(place) + 1))
@@ -64,7 +62,7 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         ids = [bucket[first[i] : first[i + 1]] for i in at]
         ids.append(np.full(int((at[1:] == at[:-1]).sum()), AGAIN))
         found, n = np.unique(np.concatenate(ids), return_counts=True)
-        out.append((found, (n / max(1, n.sum())).astype(np.float32)))
+        out.append((found.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
