@@ -89,6 +89,36 @@ def test_html_tree_fits_its_table():
     assert (html_extract.predict(html_extract.grow(x, y), x) == (y == 1)).mean() > 0.97
 
 
+LONG = " ".join(f"<p>{' '.join(f'word{i}x{j}' for j in range(n))}</p>" for i, n in enumerate((90, 70, 15, 120, 80)))
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        "<body class='has-sidebar'><div class='article'>{}</div></body>",
+        "<body class='no-sidebar'>{}</body>",
+        "<body><div class='layout header-fixed'><div class='article'>{}</div></div></body>",
+        "<body><div class='related'><div class='article'>{}</div></div></body>",
+        "<body><aside>{}</aside></body>",
+        "<body><form id='aspnetForm'>{}</form></body>",
+        "<body><div class='popular'>{}</div></body>",
+    ],
+)
+def test_html_text_in_misnamed_containers(around):
+    tree = html_extract.grow(*html_extract.labelled_table())
+    found = html_extract.main_text(tree, f"<html>{around.format(LONG)}</html>")
+    assert [len(x.split()) for x in found.split("\n")] == [90, 70, 15, 120, 80]
+
+
+def test_html_words_and_links_decide_in_every_container():
+    links = "".join(f"<li><a href='{i}'>See also the other story {i}</a></li>" for i in range(4))
+    tree = html_extract.grow(*html_extract.labelled_table())
+    assert "See also" not in html_extract.main_text(tree, f"<body><article>{LONG}<ul>{links}</ul></article></body>")
+    comments = "<div id='comments'><article><p>Thank you, nice to read</p></article><article><p>I agree with that</p></article></div>"
+    assert html_extract.main_text(tree, f"<body><article><h1>A title of words</h1>{LONG}</article><p><a href='x'>More</a></p>{comments}</body>").startswith("A title of words\n")
+    assert "Thank you" not in html_extract.main_text(tree, f"<body><p><a href='x'>More</a></p>{comments}</body>")
+
+
 def _tokenizer():
     from tokenizers import Tokenizer
 
