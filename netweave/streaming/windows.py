@@ -1,7 +1,8 @@
 """Streaming: count windows per source, the last rows of a source, latency of matched rows.
 
-The window operator keeps fewer rows than a window per source in state; a
-window is emitted once its last row is there, a partial one stays.
+Count windows are cut by Spark, batch by batch: no task holds all rows of a
+source.  Between batches only the rows of each source's incomplete window and
+its number of rows are kept; a window is emitted once its last row is there.
 """
 
 from __future__ import annotations
@@ -9,84 +10,103 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from netweave.operators.features import window_features
+from netweave.operators.windows import number_rows
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class CountWindows(StatefulProcessor):
-    """Numbers the rows of a source in windows of ``size`` and holds the incomplete one back."""
+class LastRows(StatefulProcessor):
+    """Keeps the last ``size`` rows of a source; holds these and one chunk of a batch at a time."""
 
-    def __init__(self, schema: StructType, order: str, size: int, last_only: bool = False):
-        self.row_schema, self.order, self.size, self.last_only = schema, order, size, last_only
+    def __init__(self, schema: StructType, order: str, size: int):
+        self.row_schema, self.order, self.size = schema, order, size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.rows = handle.getListState("rows", self.row_schema)
-        self.done = handle.getValueState("done", "n long")
-
-    def keep(self, rows: pd.DataFrame) -> None:
-        """Put rows into the state; it takes no empty list."""
-        if len(rows):
-            self.rows.put([tuple(r) for r in rows.astype(object).where(rows.notna(), None).itertuples(index=False)])
-        else:
-            self.rows.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = self.row_schema.names
-        new = pd.concat(list(rows), ignore_index=True)[names].sort_values(self.order, kind="stable")
+        new = None
+        for chunk in rows:
+            both = chunk[names] if new is None else pd.concat([new, chunk[names]], ignore_index=True)
+            new = both.sort_values(self.order, kind="stable").tail(self.size).copy()
+            del both, chunk
         held = pd.DataFrame(list(self.rows.get()), columns=names)
-        both = pd.concat([held, new], ignore_index=True) if len(held) else new.reset_index(drop=True)
-        if self.last_only:
-            both = both.tail(self.size).reset_index(drop=True)
-            self.keep(both)
-            yield both.assign(wid=0)
-            return
-        wid = self.done.get()[0] if self.done.exists() else 0
-        full = len(both) // self.size
-        self.keep(both.iloc[full * self.size :])
-        if full:
-            self.done.update((wid + full,))
-            out = both.iloc[: full * self.size].copy()
-            out["wid"] = [wid + i // self.size for i in range(len(out))]
-            yield out
+        last = (pd.concat([held, new], ignore_index=True) if len(held) else new).tail(self.size).reset_index(drop=True)
+        self.rows.put([tuple(r) for r in last.astype(object).where(last.notna(), None).itertuples(index=False)])
+        yield last.assign(wid=0)
 
     def close(self) -> None:
         pass
 
 
-def _with_state(stream: DataFrame, key: str, order: str, size: int, last_only: bool, mode: str) -> DataFrame:
+def last_rows(stream: DataFrame, key: str, order: str, size: int = 500) -> DataFrame:
+    """The last ``size`` rows of each source that had new rows."""
     schema = StructType([f for f in stream.schema])
     out = StructType.fromJson(schema.jsonValue()).add("wid", "long")
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=CountWindows(schema, order, size, last_only), outputStructType=out, outputMode=mode, timeMode="None")
-
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=LastRows(schema, order, size), outputStructType=out, outputMode="Update", timeMode="None")
 
-def full_windows(stream: DataFrame, key: str, order: str, size: int = 200) -> DataFrame:
-    """Rows of complete windows with ``wid``, once per window, in order of ``order`` per batch."""
-    return _with_state(stream, key, order, size, False, "Append")
 
+def place(batch: DataFrame, held: DataFrame | None, seen: DataFrame | None, key: str, order: str, size: int) -> DataFrame:
+    """Add ``wid``, the window of each row, and ``_after``, the rows of its source so far; held rows come first.
 
-def last_rows(stream: DataFrame, key: str, order: str, size: int = 500) -> DataFrame:
-    """The last ``size`` rows of each source that had new rows."""
-    return _with_state(stream, key, order, size, True, "Update")
+    ``held``: rows of incomplete windows with ``wid``; ``seen``: (``_key``,
+    ``_seen``), the rows of a source before the batch, one row per source, so it is broadcast.
+    The key is compared inside a struct, as a source without a name is one too.
+    """
+    last = F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1))
+    new = number_rows(batch.withColumns({"_key": F.struct(F.col(key)), "_at": last}), "_key", "_at")
+    before = F.lit(0).cast("long")
+    if seen is not None:
+        new, before = new.join(F.broadcast(seen), "_key", "left"), F.coalesce("_seen", before)
+    names = [*batch.columns, "wid", "_after"]
+    placed = new.withColumns({"wid": F.floor((before + F.col("rn") - 1) / size).cast("long"), "_after": before + F.col("total")}).select(*names)
+    if held is None:
+        return placed
+    fresh = batch.groupBy(F.struct(F.col(key)).alias("_key")).agg(F.count("*").alias("_new"))
+    kept = held.withColumn("_key", F.struct(F.col(key))).join(seen, "_key").join(fresh, "_key", "left")
+    return kept.withColumn("_after", F.col("_seen") + F.coalesce("_new", F.lit(0))).select(*names).unionByName(placed)
+
+
+def _forget(spark, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def score_windows(spark, stream: DataFrame, key: str, order: str, columns: list[str], score, sink, checkpoint: str, size: int = 200, **trigger):
     """Run window features and ``score`` (frame -> frame) on complete windows; ``sink(frame, batch)`` gets the result.
 
-    All rows of a window are emitted together, so a plain aggregate per batch
-    is complete.
+    ``order`` is an integer column; it orders the rows of a batch, batches follow
+    each other.  What is kept after a batch lies in ``checkpoint`` under its
+    number, for the next one, so a batch that runs again finds what it found before.
     """
-    from netweave.operators.features import window_features
-
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
     def each(batch: DataFrame, number: int) -> None:
-        sink(score(window_features(batch, [key, "wid"], columns)), number)
-
-    return full_windows(stream, key, order, size).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+        own, at = batch.sparkSession, lambda n: f"{checkpoint.rstrip('/')}/open-windows/{n}"
+        held, seen = (own.read.parquet(f"{at(number - 1)}/{x}") for x in ("held", "seen")) if number else (None, None)
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        placed = place(batch, held, seen, key, order, size).persist(StorageLevel.DISK_ONLY)
+        try:
+            full = (F.col("wid") + 1) * size <= F.col("_after")
+            sink(score(window_features(placed.where(full), [key, "wid"], columns)), number)
+            placed.where(~full).drop("_after").write.mode("overwrite").parquet(f"{at(number)}/held")
+            counts = batch.groupBy(F.struct(F.col(key)).alias("_key")).agg(F.count("*").alias("_seen"))
+            counts = counts if seen is None else counts.unionByName(seen).groupBy("_key").agg(F.sum("_seen").alias("_seen"))
+            counts.write.mode("overwrite").parquet(f"{at(number)}/seen")
+        finally:
+            placed.unpersist()
+            batch.unpersist()
+        _forget(own, at(number - 2))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 def match_latency(out: DataFrame, source: DataFrame, on: str, out_time: str, source_time: str, delay: str = "60 seconds") -> DataFrame:

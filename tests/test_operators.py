@@ -1,11 +1,13 @@
 """Windows, expressions, spectra, models and streams on small inputs."""
 
 import math
+import weakref
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from netweave.functions import expr, spectral
 from netweave.operators import encode, features, mix, models, profile, report, windows
@@ -161,3 +163,49 @@ def test_last_rows_of_a_stream(spark, tmp_path):
     query = streaming.last_rows(stream, "source", "seq", 10).writeStream.format("memory").queryName("lasts").outputMode("update").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert sorted(r.seq for r in spark.table("lasts").collect()) == list(range(75, 95))
+
+
+def test_stream_windows_need_no_task_per_source(spark, tmp_path):
+    rows = [(None if i % 3 == 0 else f"s{i % 3}", i, float(i * i % 11)) for i in range(700)]
+    df = spark.createDataFrame(rows, "source string, seq long, v double")
+    for a, b in ((0, 100), (100, 130), (130, 450), (450, 700)):
+        df.where((F.col("seq") >= a) & (F.col("seq") < b)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out, failed = {}, []
+
+    def sink(x, number):
+        out[number] = x.collect()
+        if number == 2 and not failed:
+            failed.append(number)
+            raise ValueError("once")
+
+    start = lambda: streaming.score_windows(spark, stream, "source", "seq", ["v"], lambda x: x, sink, str(tmp_path / "check"), size=50, availableNow=True)
+    with pytest.raises(Exception, match="once"):
+        start().awaitTermination()
+    run = start()
+    run.awaitTermination()
+    assert not run.lastProgress["stateOperators"]  # rows of a source meet in a task of Python only there
+    v = {s: [r[2] for r in rows if r[0] == s] for s in (None, "s1", "s2")}
+    want = {(s, w): round(float(np.mean(x[50 * w : 50 * w + 50])), 9) for s, x in v.items() for w in range(len(x) // 50)}
+    assert {(r.source, r.wid): round(r.mean_v, 9) for x in out.values() for r in x} == want and sum(map(len, out.values())) == len(want) == 12
+
+
+def test_last_rows_hold_one_chunk():
+    marks, alive = [], []
+
+    class State:
+        get = staticmethod(lambda: [])
+        put = staticmethod(lambda rows: None)
+
+    def chunks():
+        for i in range(20):
+            frame = pd.DataFrame({"seq": np.arange(1000 * i, 1000 * i + 1000)})
+            marks.append(weakref.ref(frame))
+            alive.append(sum(m() is not None for m in marks))
+            yield frame
+            del frame
+
+    processor = streaming.LastRows(StructType().add("seq", "long"), "seq", 10)
+    processor.rows = State()
+    (got,) = processor.handleInputRows(("a",), chunks(), None)
+    assert list(got.seq) == list(range(19990, 20000)) and max(alive) <= 2
