@@ -20,6 +20,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweave.operators.profile import spread_quantiles
+
 #: Settings of the window and the row classifier.
 WINDOW_GBT = {"maxIter": 500, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxBins": 256}
 ROW_GBT = {"maxIter": 300, "maxDepth": 10, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "maxBins": 256}
@@ -138,7 +140,8 @@ def score_isolation(df: DataFrame, forest: dict, columns: list[str], keep: list[
 
 def score_cutoff(scored: DataFrame, contamination: float, score: str = "score") -> float:
     """The score above which a share of ``contamination`` of the rows lies."""
-    return scored.agg(F.percentile(score, F.lit(1.0 - contamination))).first()[0]
+    found = spread_quantiles(scored, [], score, (1.0 - contamination,)).first()
+    return found.q[0] if found else None
 
 
 def score_split(df: DataFrame, forests: dict[int, dict], columns: list[str], keep: list[str], route: str = "zero_activity") -> DataFrame:

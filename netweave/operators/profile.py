@@ -14,34 +14,49 @@ DESCRIBE_QUANTILES = (0.0, 0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99, 1.
 
 
 def quantiles(c: Column, at: tuple[float, ...], accuracy: int | None = None) -> Column:
-    """Exact quantiles with linear interpolation; with ``accuracy`` a bounded sketch instead."""
+    """Exact quantiles with linear interpolation, from all distinct values of a group in one task; with ``accuracy`` a bounded sketch instead."""
     points = F.array(*(F.lit(p) for p in at))
     return F.percentile_approx(c, list(at), accuracy) if accuracy else F.percentile(c, points)
 
 
+def _ranked(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], parts: int) -> DataFrame:
+    """(``_k``: struct of the keys, n, q); keys are compared inside a struct, as null is a key too."""
+    key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(key.alias("_k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    cuts = counts.groupBy("_k").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"))
+    # The range of a value: how many splitters lie below it (one row of splitters per key).
+    cut = counts.join(cuts, "_k").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    per_part = cut.groupBy("_k", "part").agg(F.sum("c").alias("own"))
+    per_key = Window.partitionBy("_k")
+    placed = per_part.select("_k", "part", (F.sum("own").over(per_key.orderBy("part")) - F.col("own")).alias("before"), "own", F.sum("own").over(per_key).alias("n"))
+    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("rank")) for i, p in enumerate(at))))
+    wanted = placed.select("_k", "part", "before", "own", "n", ranks.alias("w")).select("_k", "part", "before", "own", "n", "w.i", "w.rank", F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("at"))
+    wanted = wanted.where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("own"))).drop("own")
+    inside = Window.partitionBy("_k", "part").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = cut.join(wanted.select("_k", "part").distinct(), ["_k", "part"], "left_semi").withColumn("upto", F.sum("c").over(inside))
+    hit = upto.join(wanted, ["_k", "part"]).where((F.col("at") - F.col("before") >= F.col("upto") - F.col("c")) & (F.col("at") - F.col("before") < F.col("upto")))
+    ends = hit.groupBy("_k", "i").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.min("v").alias("low"), F.max("v").alias("high"))
+    between = (F.floor("rank") + 1 - F.col("rank")) * F.col("low") + (F.col("rank") - F.floor("rank")) * F.col("high")
+    each = ends.withColumn("q", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between))
+    return each.groupBy("_k").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
+
+
 def spread_quantiles(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], parts: int = 256) -> DataFrame:
     """(keys, n, q): exact quantiles without any task that sees all values of a key.
 
-    A sketch gives splitters per key; counts between splitters say in which
-    ranges the wanted ranks lie, and only rows of those ranges are numbered.
-    Use it where ``percentile``'s table of distinct values would grow too large.
+    Rows are counted per key and value first, so a common value is one row.  A
+    sketch of the distinct values gives splitters per key; counts between
+    splitters say in which ranges the wanted ranks lie, and only the values of
+    those ranges get running counts.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"))
-    # The range of a value: how many splitters lie below it (one row of splitters per key).
-    cut = rows.join(cuts, keys).withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
-    counts = cut.groupBy(*keys, "part").agg(F.count("*").alias("c"))
-    per_key = Window.partitionBy(*keys)
-    placed = counts.select(*keys, "part", (F.sum("c").over(per_key.orderBy("part")) - F.col("c")).alias("before"), "c", F.sum("c").over(per_key).alias("n"))
-    ranks = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (F.lit(p) * (F.col("n") - 1)).alias("rank")) for i, p in enumerate(at))))
-    wanted = placed.select(*keys, "part", "before", "c", "n", ranks.alias("w")).select(*keys, "part", "before", "c", "n", "w.i", F.col("w.rank").alias("rank"), F.explode(F.array_distinct(F.array(F.floor("w.rank"), F.ceil("w.rank")))).alias("at"))
-    wanted = wanted.where((F.col("at") >= F.col("before")) & (F.col("at") < F.col("before") + F.col("c")))
-    inside = Window.partitionBy(*keys, "part").orderBy("v")
-    numbered = cut.join(wanted.select(*keys, "part").distinct(), [*keys, "part"], "left_semi").withColumn("rn", F.row_number().over(inside) - 1)
-    hit = numbered.join(wanted, [*keys, "part"]).where(F.col("rn") == F.col("at") - F.col("before"))
-    share = 1 - F.abs(F.col("rank") - F.col("at"))
-    each = hit.groupBy(*keys, "i").agg(F.first("n").alias("n"), F.sum(F.col("v") * share).alias("q"))
-    return each.groupBy(*keys).agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
+    found = _ranked(df, keys, value, at, parts)
+    return found.select("_k.*", "n", "q") if keys else found.select("n", "q")
+
+
+def with_quantiles(stats: DataFrame, df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], name: str = "q") -> DataFrame:
+    """Add exact quantiles of ``value`` in ``df`` to ``stats``, one row per key; null where a key has no values."""
+    found = _ranked(df, keys, value, at, 256).select("_k", F.col("q").alias(name))
+    return stats.withColumn("_k", F.struct(*keys)).join(found, "_k", "left").drop("_k")
 
 
 def frequency(df: DataFrame, *columns: str) -> DataFrame:
@@ -72,18 +87,30 @@ def totals(df: DataFrame, orig: str, resp: str, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(o.alias("orig_total"), r.alias("resp_total"), guarded_ratio(o, r).alias("ratio"))
 
 
-def class_profile(df: DataFrame, value: Column, orig: str, resp: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
-    """Seven statistics of ``value`` per traffic class; -1 where a class has no values.
+def class_profiles(df: DataFrame, values: dict[str, tuple[Column, str, str]], keys: list[str], accuracy: int | None = None) -> DataFrame:
+    """Seven statistics per ``metric`` (a name in ``values``: value, orig, resp) and traffic class; -1 where a class has no values.
 
     Every class gets a row, so a scorer can tell an unseen class.
     """
+    metrics = F.explode(F.array(*(F.lit(m) for m in values))).alias("metric")
     classes = F.explode(F.array(F.lit("both"), F.lit("orig"), F.lit("resp"))).alias("cls")
-    kept = df.select(*keys, traffic_class(F.col(orig), F.col(resp)).alias("cls"), value.cast("double").alias("v")).where("cls in ('both', 'orig', 'resp') and v is not null")
-    stats = kept.groupBy(*keys, "cls").agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std"), quantiles(F.col("v"), PROFILE_QUANTILES, accuracy).alias("q"))
-    every = df.select(*keys).distinct().select(*keys, classes)
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), traffic_class(F.col(o), F.col(r)).alias("cls"), v.cast("double").alias("v")) for m, (v, o, r) in values.items()))
+    kept = df.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*").where("cls in ('both', 'orig', 'resp') and v is not null")
+    by = [*keys, "metric", "cls"]
+    columns = [F.count("v").alias("n"), F.avg("v").alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("std")]
+    if accuracy:
+        stats = kept.groupBy(*by).agg(*columns, quantiles(F.col("v"), PROFILE_QUANTILES, accuracy).alias("q"))
+    else:
+        stats = with_quantiles(kept.groupBy(*by).agg(*columns), kept, by, "v", PROFILE_QUANTILES)
+    every = df.select(*keys).distinct().select(*keys, metrics).select(*keys, "metric", classes)
     none = F.lit(-1.0)
     named = [F.coalesce(F.get("q", F.lit(i)), none).alias(f"p{int(100 * p):02d}") for i, p in enumerate(PROFILE_QUANTILES)]
-    return every.join(stats, [*keys, "cls"], "left").select(*keys, "cls", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", none).alias("mean"), F.coalesce("std", none).alias("std"), *named)
+    return every.join(stats, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", none).alias("mean"), F.coalesce("std", none).alias("std"), *named)
+
+
+def class_profile(df: DataFrame, value: Column, orig: str, resp: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
+    """Seven statistics of ``value`` per traffic class; -1 where a class has no values."""
+    return class_profiles(df, {"": (value, orig, resp)}, keys, accuracy).drop("metric")
 
 
 def volume(orig: str, resp: str) -> Column:
@@ -119,8 +146,11 @@ def flag_ratio(df: DataFrame, flag: Column, keys: list[str]) -> DataFrame:
 
 def describe(df: DataFrame, score: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
     """Count, mean, population deviation and eleven quantiles of a score."""
-    q = quantiles(F.col(score), DESCRIBE_QUANTILES, accuracy)
-    out = df.groupBy(*keys).agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std"), q.alias("_q"))
+    columns = [F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev_pop(score).alias("std")]
+    if accuracy:
+        out = df.groupBy(*keys).agg(*columns, quantiles(F.col(score), DESCRIBE_QUANTILES, accuracy).alias("_q"))
+    else:
+        out = with_quantiles(df.groupBy(*keys).agg(*columns), df, keys, score, DESCRIBE_QUANTILES, "_q")
     return out.select(*keys, "n", "mean", "std", *(F.get("_q", F.lit(i)).alias(f"q{round(100 * p):03d}") for i, p in enumerate(DESCRIBE_QUANTILES)))
 
 
@@ -128,7 +158,7 @@ def conn_profile(df: DataFrame, key: str = "pod") -> DataFrame:
     """Long (key, section, item, value): what a ruleset of connection logs holds."""
     k = [key]
     parts = [
-        df.groupBy(key).agg(*moments(F.col("duration"), "x"), quantiles(F.col("duration"), PROFILE_QUANTILES).alias("q")).select(key, F.lit("duration").alias("section"), F.explode(F.map_from_arrays(F.array(*(F.lit(x) for x in ("mean", "std", "cv", "p01", "p05", "p50", "p95", "p99"))), F.concat(F.array("x_mean", "x_std", "x_cv"), "q"))).alias("item", "value")),
+        with_quantiles(df.groupBy(key).agg(*moments(F.col("duration"), "x")), df, k, "duration", PROFILE_QUANTILES).select(key, F.lit("duration").alias("section"), F.explode(F.map_from_arrays(F.array(*(F.lit(x) for x in ("mean", "std", "cv", "p01", "p05", "p50", "p95", "p99"))), F.concat(F.array("x_mean", "x_std", "x_cv"), "q"))).alias("item", "value")),
         *(totals(df, f"orig_{u}", f"resp_{u}", k).select(key, F.lit(f"{u}_totals").alias("section"), F.lit("ratio").alias("item"), F.col("ratio").alias("value")) for u in ("bytes", "pkts")),
     ]
     for column in ("proto", "service", "conn_state"):

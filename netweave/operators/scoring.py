@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.functions.expr import band, z_band
-from netweave.operators.profile import PROFILE_QUANTILES, class_profile, quantiles, rate, volume
+from netweave.operators.profile import PROFILE_QUANTILES, class_profiles, rate, volume, with_quantiles
 
 #: The parts of a row score and of a spectral window score.
 ROW_WEIGHTS = {"dur": 0.1, "vol": 0.1, "pkt": 0.1, "bps": 0.35, "pps": 0.35}
@@ -22,17 +22,16 @@ def build_ruleset(df: DataFrame, keys: list[str], pps_numerator: str = "pkts") -
     without data has -1 everywhere, so that a row of an unseen class scores 1.
     """
     profiles = {
-        "vol": class_profile(df, volume("orig_bytes", "resp_bytes"), "orig_bytes", "resp_bytes", keys),
-        "pkt": class_profile(df, volume("orig_pkts", "resp_pkts"), "orig_pkts", "resp_pkts", keys),
-        "bps": class_profile(df, rate("orig_bytes", "resp_bytes", "duration"), "orig_bytes", "resp_bytes", keys),
-        "pps": class_profile(df, rate(f"orig_{pps_numerator}", f"resp_{pps_numerator}", "duration"), f"orig_{pps_numerator}", f"resp_{pps_numerator}", keys),
+        "vol": (volume("orig_bytes", "resp_bytes"), "orig_bytes", "resp_bytes"),
+        "pkt": (volume("orig_pkts", "resp_pkts"), "orig_pkts", "resp_pkts"),
+        "bps": (rate("orig_bytes", "resp_bytes", "duration"), "orig_bytes", "resp_bytes"),
+        "pps": (rate(f"orig_{pps_numerator}", f"resp_{pps_numerator}", "duration"), f"orig_{pps_numerator}", f"resp_{pps_numerator}"),
     }
-    out = df.groupBy(*keys).agg(quantiles(F.col("duration"), PROFILE_QUANTILES).alias("q"))
+    out = with_quantiles(df.select(*keys).distinct(), df, keys, "duration", PROFILE_QUANTILES)
     out = out.select(*keys, *(F.get("q", F.lit(PROFILE_QUANTILES.index(int(p[1:]) / 100))).alias(f"dur_{p}") for p in _Q))
-    for name, profile in profiles.items():
-        wide = profile.groupBy(*keys).agg(*(F.max(F.when(F.col("cls") == c, F.col(p))).alias(f"{name}_{c}_{p}") for c in ("both", "orig", "resp") for p in _Q))
-        out = out.join(wide, keys)
-    return out
+    one = lambda name, c, p: F.max(F.when((F.col("metric") == name) & (F.col("cls") == c), F.col(p))).alias(f"{name}_{c}_{p}")
+    wide = class_profiles(df, profiles, keys).groupBy(*keys).agg(*(one(name, c, p) for name in profiles for c in ("both", "orig", "resp") for p in _Q))
+    return out.join(wide, keys)
 
 
 def _class_band(name: str, value, cls):

@@ -127,7 +127,8 @@ _Q5 = ", ".join(f"{rnd(f'quantile_cont(duration, {p})')} AS p{round(100 * p):02d
 
 @query(f"WITH {sql.FLOW} SELECT pod, {rnd('avg(duration)')} AS d_mean, {rnd('stddev_samp(duration)')} AS d_std, {rnd('CASE WHEN avg(duration) <> 0 THEN stddev_samp(duration) / avg(duration) ELSE 0 END')} AS d_cv, {_Q5} FROM f GROUP BY pod")
 def duration_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = read_flows(spark, sf_dir).groupBy("pod").agg(*profile.moments(F.col("duration"), "d"), profile.quantiles(F.col("duration"), profile.PROFILE_QUANTILES).alias("q"))
+    flows = read_flows(spark, sf_dir)
+    found = profile.with_quantiles(flows.groupBy("pod").agg(*profile.moments(F.col("duration"), "d")), flows, ["pod"], "duration", profile.PROFILE_QUANTILES)
     named = found.select("pod", "d_mean", "d_std", "d_cv", *(F.get("q", F.lit(i)).alias(f"p{round(100 * p):02d}") for i, p in enumerate(profile.PROFILE_QUANTILES)))
     return rounded(named, *_doubles(named))
 

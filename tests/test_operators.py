@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from netweave.functions import expr, spectral
-from netweave.operators import encode, features, mix, models, profile, report, windows
+from netweave.operators import encode, features, mix, models, profile, report, scoring, windows
 from netweave.streaming import windows as streaming
 
 
@@ -57,6 +57,28 @@ def test_quantiles(spark):
     assert np.allclose(five, [1.04, 1.2, 5, 81.8, 96.36])
 
 
+def test_exact_quantiles_hold_no_group_in_one_task(spark):
+    """Ties, null keys, keys without values; no plan with an aggregate of all distinct values or a row of its own for each tied value."""
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=900), np.full(900, 0.1), np.full(20, 0.3)])
+    keys = [None if i % 3 == 0 else i % 3 for i in range(len(v))]
+    rows = [(k, float(x)) for k, x in zip(keys, v)] + [(7, None)]
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4)
+    own = {k: np.sort([x for j, x in zip(keys, v) if j == k]) for k in (None, 1, 2)}
+    got = {r.k: r for r in profile.describe(df, "v", ["k"]).collect()}
+    for k, x in own.items():
+        assert got[k].n == len(x) and np.allclose([got[k][f"q{round(100 * p):03d}"] for p in profile.DESCRIBE_QUANTILES], np.quantile(x, profile.DESCRIBE_QUANTILES))
+        assert got[k].q075 == 0.1  # a tie is the value itself
+    assert got[7].n == 0 and got[7].q050 is None
+    cut = models.score_cutoff(df, 0.1, "v")
+    assert math.isclose(cut, np.quantile(v, 0.9))
+    flows = spark.createDataFrame([(1, 5, 3, 2, 1, 0.5)], "pod int, orig_bytes long, resp_bytes long, orig_pkts long, resp_pkts long, duration double")
+    flows = flows.withColumns({c: F.lit("x") for c in ("proto", "service", "conn_state")})
+    made = [profile.describe(df, "v", ["k"]), profile.class_profile(flows, F.col("duration"), "orig_bytes", "resp_bytes", ["pod"]), profile.conn_profile(flows), scoring.build_ruleset(flows, ["pod"]), profile.spread_quantiles(df, ["k"], "v", (0.5,))]
+    for plan in (x._jdf.queryExecution().optimizedPlan().toString() for x in made):
+        assert "percentile(" not in plan and "row_number" not in plan
+
+
 def test_spectrum():
     assert np.allclose(spectral.magnitudes(np.array([3.0, 1, 4, 1, 5, 9, 2]))[1:], [8.14823, 7.10485, 7.08007], atol=1e-5)
     assert set(spectral.metrics(np.array([1.0, 2, 3])).values()) == {0.0}
