@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -20,18 +19,20 @@ SLICE_ROWS = 256
 BATCH_BYTES = 8 << 20
 #: Entries of a memo table before it starts afresh; a worker holds several tables.
 MEMO_ROWS = 120_000
+#: Longest word, in bytes or characters, that a memo table keeps; with MEMO_ROWS it bounds the table's bytes.
+MEMO_WORD = 64
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests in local mode) a temporary folder is made
-    and remembered in the session.
+    Only in local mode (tests) a temporary folder is made where that is unset,
+    and remembered in the session; on a cluster it has to be set.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("netweave.shared.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("netweave.shared.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="netweave-")
         spark.conf.set("netweave.shared.dir", found)
     return found.rstrip("/")
@@ -41,7 +42,8 @@ class Scratch:
     """Tables written to the shared folder, which cut lineage for good.
 
     A lost executor costs at most the stage that was running: what was stored
-    is read back from the shared folder, never recomputed.
+    is read back from the shared folder, never recomputed.  Tables that a
+    result is read from stay there; who runs the session removes the folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -57,17 +59,28 @@ class Scratch:
         kept._netweave_path = path
         return kept
 
-    def drop(self, *tables: DataFrame) -> None:
-        """Delete stored tables that no later step reads, and let Spark delete the shuffle files of finished jobs.
-
-        Spark's cleaner does so once the driver has collected its garbage,
-        which a driver with little to do may not do for long.
-        """
+    def free(self, *tables: DataFrame) -> None:
+        """Give back the space of stored tables that no later step reads."""
         for df in tables:
-            where = self.spark._jvm.org.apache.hadoop.fs.Path(df._netweave_path)
-            where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
-        gc.collect()
-        self.spark._jvm.System.gc()
+            self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(df._netweave_path)
+
+
+#: Most rows of a stored table of ids that is sent to all executors; each has some 50 bytes there.
+SMALL_ROWS = 1_000_000
+
+
+def having_ids(df: DataFrame, ids: DataFrame, *columns: str, without: bool = False) -> DataFrame:
+    """The rows of ``df`` whose columns are (or are not) in the stored table ``ids``.
+
+    Up to ``SMALL_ROWS`` ids are broadcast, so that the rows, whole texts, stay
+    where they are; more are joined by a shuffle of both sides.
+    """
+    few = ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    named = ids.select(*(F.col(c).alias(f"_id_{c}") for c in columns))
+    same = F.lit(True)
+    for c in columns:
+        same &= F.col(c).eqNullSafe(F.col(f"_id_{c}"))
+    return df.join(F.broadcast(named) if few else named, same, "left_anti" if without else "left_semi")
 
 
 def ascii_lower(column):
@@ -88,21 +101,10 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-class WordHash(dict):
-    """word (bytes) -> 64-bit hash, computed once per distinct word of a worker."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ROWS:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words; a table of known words costs more than hashing them."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
-#: The one table of word hashes of a worker, whatever operators it runs.
-WORD_HASH = WordHash()
 
 #: Odd multipliers for mixing 64-bit hashes.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -118,10 +120,18 @@ def mix64(h: np.ndarray) -> np.ndarray:
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-word windows of a sequence of word hashes (k <= len)."""
     n = len(h) - k + 1
-    out = np.zeros(n, np.uint64)
-    for j in range(k):
-        out = mix64(out + h[j : j + n] * MIX[j % 4] + np.uint64(j))
-    return out
+    out = h[:n].copy()
+    for j in range(1, k):
+        out *= MIX[0]
+        out ^= out >> np.uint64(32)
+        out += h[j : j + n]
+    return mix64(out)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    h = np.sort(h)
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
 
 
 def held_out(doc_id):

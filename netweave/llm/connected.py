@@ -24,8 +24,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         jump = lower.select(F.col("id").alias("component"), F.col("component").alias("top"))
         after = lower.join(jump, "component").select("id", F.least("component", "top").alias("component"), "was")
         after = scratch.store(after, "labels")
-        scratch.drop(labels, lower)
+        scratch.free(labels, lower)
         labels = after
         if not labels.where("component <> was").limit(1).count():
-            scratch.drop(both)
+            scratch.free(both)
             return labels.select("id", "component")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import WORD_HASH, arrow_map, slices, windows
+from netweave.llm.common import arrow_map, slices, windows, word_hashes
 
 #: Fixed values of the base counts.
 SYMBOLS = "#*$%&|<>"
@@ -39,7 +39,7 @@ def base_counts(text: str) -> dict:
     lines = [x for x in text.split("\n") if x.strip(SPACES)]
     repeat = 0
     if n >= 4:
-        h = windows(WORD_HASH.of(words), 3)
+        h = windows(word_hashes(words), 3)
         order = np.argsort(h)
         same = h[order[1:]] == h[order[:-1]]
         if same.any():
