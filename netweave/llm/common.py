@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -69,17 +69,17 @@ class Scratch:
 SMALL_ROWS = 1_000_000
 
 
-def having_ids(df: DataFrame, ids: DataFrame, *columns: str, without: bool = False) -> DataFrame:
-    """The rows of ``df`` whose columns are (or are not) in the stored table ``ids``.
+def having_ids(df: DataFrame, ids: DataFrame, *columns: str | Column, without: bool = False) -> DataFrame:
+    """The rows of ``df`` whose columns, or expressions, are (or are not) in the stored table ``ids``, column by column.
 
     Up to ``SMALL_ROWS`` ids are broadcast, so that the rows, whole texts, stay
     where they are; more are joined by a shuffle of both sides.
     """
     few = ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    named = ids.select(*(F.col(c).alias(f"_id_{c}") for c in columns))
+    named = ids.toDF(*(f"_id_{i}" for i in range(len(columns))))
     same = F.lit(True)
-    for c in columns:
-        same &= F.col(c).eqNullSafe(F.col(f"_id_{c}"))
+    for i, c in enumerate(columns):
+        same &= (df[c] if isinstance(c, str) else c).eqNullSafe(named[f"_id_{i}"])
     return df.join(F.broadcast(named) if few else named, same, "left_anti" if without else "left_semi")
 
 

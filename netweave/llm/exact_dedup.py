@@ -10,7 +10,8 @@
 
 Defined results: null text counts as empty and equals other empty texts; the
 row with the largest doc_id stays (null ids lose to any id); of rows that
-repeat the same doc_id and text exactly one is kept; extra columns are ignored.
+repeat the same doc_id and text exactly one is kept; very long texts are cut
+into chunks as any other; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import arrow_map, Scratch, slices
+from netweave.llm.common import arrow_map, having_ids, Scratch, slices
 
 #: Chunk sizes in bytes: at least, on average beyond that, at most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 2048, 16384
@@ -111,10 +112,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
-    found = Scratch(docs.sparkSession, "drop-copies").store(exact_groups(docs, id_col, text), "groups")
-    kept = found.where("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    mark = F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)
-    stay = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (mark == F.col("_kept_sha")), "left_semi")
-    repeated = found.groupBy(id_col, "text_sha256").count().where("count > 1").limit(1).count()
-    return stay.dropDuplicates([id_col, text]) if repeated else stay
+    """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns.
+
+    Of rows that repeat both doc_id and text the one stays whose columns have
+    the largest 64-bit hash.  Only ids and digests of groups are moved; texts
+    are hashed where they are.
+    """
+    scratch = Scratch(docs.sparkSession, "drop-copies")
+    found = scratch.store(exact_groups(docs, id_col, text), "groups").where("group_size > 1")
+    pairs = scratch.store(found.groupBy(id_col, "text_sha256").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "pairs")
+    gone = scratch.store(pairs.where("not kept").select(id_col, "text_sha256"), "gone")
+    twice = scratch.store(pairs.where("kept and n > 1").select(id_col, "text_sha256"), "twice")
+    mark = lambda df: F.sha2(F.coalesce(df[text], F.lit("")).cast("binary"), 256)
+    stay = having_ids(docs, gone, id_col, mark(docs), without=True)
+    again = having_ids(stay, twice, id_col, mark(stay))
+    one = again.groupBy(again[id_col].alias("k0"), mark(again).alias("k1")).agg(F.max_by(F.struct(*again.columns), F.xxhash64(*again.columns)).alias("r"))
+    return having_ids(stay, twice, id_col, mark(stay), without=True).unionByName(one.select("r.*"))

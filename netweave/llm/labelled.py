@@ -25,7 +25,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, id_col: str =
     ids = spark.createDataFrame([(r[0], r[1]) for r in chosen], usable.schema)
     found = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id")  # at most `rows` ids
     best: dict = {}
-    for r in found.toLocalIterator() if rows > 100_000 else found.collect():
+    for r in found.collect():
         t = r["t"] or ""
         if r["id"] not in best or t < best[r["id"]][0]:
             best[r["id"]] = (t, r["y"])

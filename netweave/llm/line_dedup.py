@@ -9,7 +9,7 @@ Defined results: null or empty text is one empty line, which is never dropped
 (its key is too short); a line repeated inside one document counts once and
 stays with the document; rows that repeat a doc_id count as one document; rows
 without a doc_id count for nothing and keep every line; extra columns are
-ignored.
+ignored; an empty table gives none.
 """
 
 from __future__ import annotations

@@ -453,10 +453,13 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             pairs = placed.join(mixed, "sig").where("component <> other.component and node <> lead").select(F.col("other.node").alias("a"), F.col("node").alias("b"), F.col("other.n").alias("na"), F.col("n").alias("nb")).where(_sizes_fit("na", "nb", percent))
             pairs = join.fitting(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         else:
-            part = placed.join(mixed, "sig").where("node <> lead and node <> other.node").select("sig", "node", "n", "component")
-            part = scratch.store(part.join(nodes.select("node", "sketch"), "node"), "open")
-            side = lambda x: part.select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"))
-            pairs = side("a").join(side("b"), "sig").where((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent)).where(_sketches_fit(percent)).select("a", "b").distinct()
+            part = scratch.store(placed.join(mixed, "sig").where("node <> lead and node <> other.node").select("sig", "node", "n", "component"), "open")
+            # A pair is made at the least signature that both nodes have here.
+            own = part.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(nodes.select("node", "sketch"), "node")
+            side = lambda x: part.join(own, "node").select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"), F.col("sigs").alias(f"g{x}"))
+            apart = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent)
+            once = F.array_min(F.array_intersect("ga", "gb")) == F.col("sig")
+            pairs = side("a").join(side("b"), "sig").where(apart & _sketches_fit(percent) & once).select("a", "b")
         pairs = scratch.store(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         scratch.free(placed)
         if pairs.limit(1).count():
