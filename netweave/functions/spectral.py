@@ -45,6 +45,34 @@ def spectral_metrics(series: DataFrame, keys: list[str], order: str, value: str)
     return series.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
 
 
+#: The signals of a window of connections.
+SIGNALS = ("ts", "bytes", "pkts", "conns")
+
+
+def signal(group: pd.DataFrame, name: str) -> np.ndarray:
+    """A signal of a window's rows (``at`` microseconds, ``seq``, bytes, pkts): gaps between rows, or sums per second that has rows."""
+    if name == "ts":
+        return np.diff(group.sort_values(["at", "seq"])["at"].to_numpy(np.int64)) / 1e6
+    value = pd.Series(1.0, group.index) if name == "conns" else group[name]
+    return value.groupby(group["at"] // 1_000_000).sum().to_numpy(float)
+
+
+def signal_metrics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """A row per group of ``keys`` and signal: n and the four metrics; all signals of a window come from one call.
+
+    ``rows``: keys, at, seq, bytes, pkts.  Groups are windows of a bounded number of rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "signal string", "n long", *(f"{m} double" for m in METRICS)])
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        first = {k: group[k].iloc[0] for k in keys}
+        series = {name: signal(group, name) for name in SIGNALS}
+        return pd.DataFrame([{**first, "signal": name, "n": len(y), **metrics(y)} for name, y in series.items() if len(y)], columns=[*keys, "signal", "n", *METRICS])
+
+    return rows.select(*keys, "at", "seq", "bytes", "pkts").groupBy(*keys).applyInPandas(run, schema)
+
+
 def spectra(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """One row per group and frequency index k (0 is the mean): magnitude."""
     kinds = {f.name: f.dataType.simpleString() for f in series.schema}

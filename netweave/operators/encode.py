@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,19 +14,31 @@ CONN_DROPPED = ("uid", "ts", "orig_h", "resp_h", "local_orig", "local_resp", "mi
 DNS_DROPPED = ("uid", "ts", "orig_h", "resp_h", "query", "qclass_name", "qtype_name", "rcode_name")
 SSL_DROPPED = ("uid", "ts", "orig_h", "resp_h", "server_name", "last_alert", "ssl_history", "cert_chain_fps", "client_cert_chain_fps", "sni_matches_cert")
 HTTP_DROPPED = ("uid", "ts", "orig_h", "resp_h", "host", "uri", "referrer", "user_agent", "origin", "status_msg", "info_msg", "username", "password", "proxied", "orig_fuids", "orig_filenames", "orig_mime_types", "resp_fuids", "resp_filenames", "resp_mime_types")
-#: Most values of a column that get a one-hot column of their own.
-MAX_VOCABULARY = 64
+#: Most values of a column that are made columns of their own; beyond, ``encode_sparse`` keeps every value.
+MAX_WIDE = 1000
 
 
-def fit_vocabulary(df: DataFrame, columns: list[str], most: int = MAX_VOCABULARY) -> dict[str, list[str]]:
-    """The ``most`` commonest values of each column, in order of name (a bounded result)."""
+def fit_vocabulary(df: DataFrame, columns: list[str], most: int = MAX_WIDE) -> dict[str, list[str]]:
+    """Every value of each column, in order of name; a column with more than ``most`` is an error."""
     out = {}
     for c in columns:
-        top = df.groupBy(known(F.col(c)).alias("v")).count().orderBy(F.desc("count"), "v").limit(most).collect()
-        out[c] = sorted(r["v"] for r in top)
+        values = sorted(r["v"] for r in df.select(known(F.col(c)).alias("v")).distinct().limit(most + 1).collect())
+        if len(values) > most:
+            raise ValueError(f"column {c} has more than {most} values: use encode_sparse")
+        out[c] = values
     return out
 
 
+def encode_sparse(df: DataFrame, columns: list[str], fitted: PipelineModel | None = None) -> tuple[DataFrame, PipelineModel]:
+    """Add ``<column>_hot``, a sparse one-hot vector over all values of the column, however many; unknown ones are all zeros."""
+    ready = df.withColumns({f"__{c}": known(F.col(c).cast("string")) for c in columns})
+    if fitted is None:
+        index = StringIndexer(inputCols=[f"__{c}" for c in columns], outputCols=[f"__{c}_at" for c in columns], handleInvalid="keep", stringOrderType="alphabetAsc")
+        hot = OneHotEncoder(inputCols=[f"__{c}_at" for c in columns], outputCols=[f"{c}_hot" for c in columns], dropLast=True)
+        fitted = Pipeline(stages=[index, hot]).fit(ready)
+    return fitted.transform(ready).drop(*(f"__{c}{x}" for c in columns for x in ("", "_at"))), fitted
+
+
 def _encode(df: DataFrame, dropped: tuple[str, ...], numeric: list[str], flags: list[str], categories: dict[str, list[str]]) -> DataFrame:
     made = {}
     for c in numeric:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,11 +17,12 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netweave.operators.profile import spread_quantiles
+from netweave.operators.scoring import detection_rates
+from netweave.operators.windows import join_on
 
 #: Settings of the window and the row classifier.
 WINDOW_GBT = {"maxIter": 500, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxBins": 256}
@@ -45,6 +47,25 @@ def fit_gbt(df: DataFrame, columns: list[str], label: str = "label", seed: int =
     return Pipeline(stages=[_assembled(columns), trees]).fit(zeros_for_unknown(df, columns))
 
 
+def fit_row_gbt(df: DataFrame, columns: list[str], label: str = "label", seed: int = 42, **settings) -> PipelineModel:
+    """Boosted trees over single rows; ``settings`` replace those of ROW_GBT."""
+    return fit_gbt(df, columns, label, seed, **(ROW_GBT | settings))
+
+
+def split_in_time(df: DataFrame, keys: list[str], at: str, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(rows to learn from, held-out rows): of each key the part of its range of ``at`` below ``share``, and the rest."""
+    ends = df.groupBy(*keys).agg(F.min(at).alias("__low"), F.max(at).alias("__high"))
+    cut = F.col("__low") + F.lit(share) * (F.col("__high") - F.col("__low") + 1)
+    marked = join_on(df, ends, keys).withColumn("__early", F.coalesce(F.col(at) < cut, F.lit(False))).drop("__low", "__high")
+    return marked.where("__early").drop("__early"), marked.where("not __early").drop("__early")
+
+
+def evaluate(model: PipelineModel, sets: dict[str, DataFrame], columns: list[str], keys: list[str], least: float = 0.5) -> DataFrame:
+    """(set, keys, n, flagged, rate) of each named data set under one model: detection rates where all is an attack, false-positive rates where nothing is."""
+    parts = [detection_rates(predict(model, df, columns), keys, "score", least).select(F.lit(name).alias("set"), *keys, "n", "flagged", "rate") for name, df in sets.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fit_forest(df: DataFrame, columns: list[str], label: str = "label", seed: int = 42, **settings) -> PipelineModel:
     """A random forest (Spark's deepest trees have 30 levels)."""
     trees = RandomForestClassifier(featuresCol="features", labelCol=label, seed=seed, **(ROW_FOREST | settings))
@@ -119,7 +140,13 @@ def fit_isolation_forest(df: DataFrame, columns: list[str], order: str, trees: i
     """A forest grown on at most ``rows`` rows, chosen by a hash of ``order`` (a documented bound)."""
     picked = zeros_for_unknown(df, columns).orderBy(F.xxhash64(F.lit(seed), F.col(order)), order).limit(rows).select(*columns)
     x = np.array([tuple(r) for r in picked.collect()], float)
-    return grow_isolation_forest(x, trees, psi, seed)
+    forest = grow_isolation_forest(x, trees, psi, seed)
+    return forest | {"sample": np.sort(isolation_scores(forest, x))}
+
+
+def sample_cutoff(forest: dict, contamination: float) -> float:
+    """The score above which a share of ``contamination`` of the rows lies that the forest was fitted on."""
+    return float(np.quantile(forest["sample"], 1.0 - contamination))
 
 
 def score_isolation(df: DataFrame, forest: dict, columns: list[str], keep: list[str]) -> DataFrame:
@@ -229,9 +256,3 @@ def chi2_quantile(p: float, freedom: int) -> float:
         mid = (low + high) / 2
         low, high = (mid, high) if _gamma_share(freedom / 2, mid / 2) < p else (low, mid)
     return (low + high) / 2
-
-
-def summary(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean and sample variance vectors of the columns."""
-    ready = _assembled(columns).transform(zeros_for_unknown(df, columns))
-    return ready.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).select("s.*")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netweave.functions.expr import guarded_ratio, safe_rate, traffic_class, variation
-from netweave.operators.windows import lag_rows
+from netweave.operators.windows import SPAN_ROWS, join_on, lag_rows, number_rows
 
 #: The quantiles of a profile, and of a description.
 PROFILE_QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
@@ -77,9 +77,34 @@ def moments(c: Column, name: str) -> list[Column]:
     return [mean.alias(f"{name}_mean"), deviation.alias(f"{name}_std"), variation(mean, deviation).alias(f"{name}_cv")]
 
 
-def interarrival(df: DataFrame, key: str, ts: str, order: str) -> DataFrame:
-    """Time since the row before, per key; the first row of a key has none."""
-    return lag_rows(df, key, order, [ts]).withColumn("gap", F.col(ts) - F.col(f"prev_{ts}"))
+def interarrival(df: DataFrame, key: str, ts: str, order: str | None = None) -> DataFrame:
+    """Time since the row before, per key, by ``ts`` (logs are not in its order); ``order`` tells rows of one time apart.
+
+    The first row of a key has none.
+    """
+    return lag_rows(df, key, [ts, order] if order else ts, [ts]).withColumn("gap", F.col(ts) - F.col(f"prev_{ts}"))
+
+
+def running_moments(df: DataFrame, key: str, order: str, value: str, span: int = SPAN_ROWS) -> DataFrame:
+    """Add n, mean and std (population) of ``value`` over the rows of a key up to each row; nulls are left out.
+
+    Sums inside spans of rows are added to those of the spans before, so no
+    task holds all rows of a key.  They are taken around the overall mean;
+    deviations some seven orders of magnitude below it lose their digits.
+    """
+    x = F.col(value).cast("double")
+    numbered = number_rows(df, key, order).withColumn("__block", F.floor((F.col("rn") - 1) / span))
+    centre = df.agg(F.avg(x)).first()[0] or 0.0  # sums around the middle keep their digits
+    sums = {"__n": F.count(x), "__s": F.sum(x - centre), "__q": F.sum((x - centre) * (x - centre))}
+    per_block = numbered.groupBy(key, "__block").agg(*(c.alias(name) for name, c in sums.items()))
+    earlier = Window.partitionBy(key).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
+    before = per_block.select(key, "__block", *(F.coalesce(F.sum(name).over(earlier), F.lit(0)).alias(f"{name}0") for name in sums))
+    inside = Window.partitionBy(key, "__block").orderBy("rn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = join_on(numbered, before, [key, "__block"])
+    both = both.withColumns({name: F.coalesce(c.over(inside), F.lit(0)) + F.col(f"{name}0") for name, c in sums.items()})
+    mean = F.when(F.col("__n") > 0, F.col("__s") / F.col("__n"))
+    std = F.when(F.col("__n") > 0, F.sqrt(F.greatest(F.lit(0.0), F.col("__q") / F.col("__n") - mean * mean)))
+    return both.withColumns({"n": F.col("__n"), "mean": mean + centre, "std": std}).drop("rn", "total", "__block", *sums, *(f"{name}0" for name in sums))
 
 
 def totals(df: DataFrame, orig: str, resp: str, keys: list[str]) -> DataFrame:
@@ -105,7 +130,7 @@ def class_profiles(df: DataFrame, values: dict[str, tuple[Column, str, str]], ke
     every = df.select(*keys).distinct().select(*keys, metrics).select(*keys, "metric", classes)
     none = F.lit(-1.0)
     named = [F.coalesce(F.get("q", F.lit(i)), none).alias(f"p{int(100 * p):02d}") for i, p in enumerate(PROFILE_QUANTILES)]
-    return every.join(stats, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", none).alias("mean"), F.coalesce("std", none).alias("std"), *named)
+    return join_on(every, stats, by, "left").select(*by, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", none).alias("mean"), F.coalesce("std", none).alias("std"), *named)
 
 
 def class_profile(df: DataFrame, value: Column, orig: str, resp: str, keys: list[str], accuracy: int | None = None) -> DataFrame:
@@ -139,6 +164,21 @@ def fill_seconds(series: DataFrame, keys: list[str], values: list[str]) -> DataF
     return spread.select(*keys, F.col("_at").alias("sec"), *(F.when(F.col("_at") == F.col("sec"), F.col(v)).otherwise(0).alias(v) for v in values))
 
 
+def filled_hours(series: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, hour, seconds, sums of ``values``): the filled series by hour, without a row per missing second.
+
+    A row stands for its second and the missing ones before it; a gap makes a
+    row for each hour it touches.
+    """
+    before = lag_rows(series.withColumn("__keys", F.struct(*keys)), "__keys", "sec", ["sec"])
+    first = F.coalesce(F.col("prev_sec") + 1, F.col("sec"))
+    hour = lambda sec: F.floor(sec / 3600)
+    each = before.withColumn("__first", first).withColumn("hour", F.explode(F.sequence(hour(F.col("__first")), hour(F.col("sec")))))
+    seconds = F.least(F.col("sec"), F.col("hour") * 3600 + 3599) - F.greatest("__first", F.col("hour") * 3600) + 1
+    here = F.col("hour") == hour(F.col("sec"))
+    return each.groupBy(*keys, "hour").agg(F.sum(seconds).alias("seconds"), *(F.sum(F.when(here, F.col(v)).otherwise(0)).alias(v) for v in values))
+
+
 def flag_ratio(df: DataFrame, flag: Column, keys: list[str]) -> DataFrame:
     """Share of rows with the flag among those where it is known."""
     return df.groupBy(*keys).agg(F.count(flag).alias("known"), F.sum(flag.cast("long")).alias("flagged"), F.avg(flag.cast("double")).alias("ratio"))
@@ -164,7 +204,7 @@ def conn_profile(df: DataFrame, key: str = "pod") -> DataFrame:
     for column in ("proto", "service", "conn_state"):
         counts = df.where(F.col(column).isNotNull()).groupBy(key, F.col(column).alias("item")).agg(F.count("*").alias("cnt"))
         all_ = df.where(F.col(column).isNotNull()).groupBy(key).agg(F.count("*").alias("total"))
-        parts.append(counts.join(all_, key).select(key, F.lit(column).alias("section"), "item", (F.col("cnt") / F.col("total")).alias("value")))
+        parts.append(join_on(counts, all_, [key]).select(key, F.lit(column).alias("section"), "item", (F.col("cnt") / F.col("total")).alias("value")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -199,7 +239,7 @@ def log_profile(df: DataFrame, key: str, numbers: tuple[str, ...] = (), categori
         pairs = F.array(*(F.struct(F.lit(c).alias("section"), F.col(c).cast("string").alias("item")) for c in categories))
         counts = df.select(key, F.explode(pairs).alias("x")).where("x.item is not null").groupBy(key, "x.section", "x.item").agg(F.count("*").alias("cnt"))
         total = counts.groupBy(key, "section").agg(F.sum("cnt").alias("total"))
-        out.append(counts.join(total, [key, "section"]).select(key, "section", "item", (F.col("cnt") / F.col("total")).alias("value")))
+        out.append(join_on(counts, total, [key, "section"]).select(key, "section", "item", (F.col("cnt") / F.col("total")).alias("value")))
     found = out[0]
     for p in out[1:]:
         found = found.unionByName(p)

@@ -39,3 +39,11 @@ def parse_report(lines: DataFrame, line: str = "value", order: str = "pos", repo
     section = F.last(F.when(~is_item & (text != ""), text), ignorenulls=True).over(at)
     cut = F.split(text, ":", 2)
     return lines.select(report, section.alias("section"), F.trim(F.get(cut, F.lit(0))).alias("key"), F.trim(F.get(cut, F.lit(1))).alias("value"), is_item.alias("item")).where("item").drop("item")
+
+
+def all_names(*reports: DataFrame, name: str = "name") -> DataFrame:
+    """The names that any of the reports has, once each."""
+    out = reports[0].select(name)
+    for r in reports[1:]:
+        out = out.unionByName(r.select(name))
+    return out.where(F.col(name).isNotNull()).distinct()

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netweave.functions.expr import band, z_band
 from netweave.operators.profile import PROFILE_QUANTILES, class_profiles, rate, volume, with_quantiles
+from netweave.operators.windows import join_on
 
 #: The parts of a row score and of a spectral window score.
 ROW_WEIGHTS = {"dur": 0.1, "vol": 0.1, "pkt": 0.1, "bps": 0.35, "pps": 0.35}
@@ -31,7 +32,7 @@ def build_ruleset(df: DataFrame, keys: list[str], pps_numerator: str = "pkts") -
     out = out.select(*keys, *(F.get("q", F.lit(PROFILE_QUANTILES.index(int(p[1:]) / 100))).alias(f"dur_{p}") for p in _Q))
     one = lambda name, c, p: F.max(F.when((F.col("metric") == name) & (F.col("cls") == c), F.col(p))).alias(f"{name}_{c}_{p}")
     wide = class_profiles(df, profiles, keys).groupBy(*keys).agg(*(one(name, c, p) for name in profiles for c in ("both", "orig", "resp") for p in _Q))
-    return out.join(wide, keys)
+    return join_on(out, wide, keys)
 
 
 def _class_band(name: str, value, cls):
@@ -45,13 +46,14 @@ def rule_scores(rows: DataFrame, ruleset: DataFrame, on: list[str] | None = None
     """Add the five parts of the row score and ``score``.
 
     ``ruleset`` has one row (or one per key of ``on``): one row per data set,
-    so it is broadcast.  Unknown amounts count as 0; rates count only where
-    time has passed.
+    so it is broadcast (a handful: without ``on`` every row is scored by each).
+    Rows of a key without a ruleset get no score and are left out.  Unknown
+    amounts count as 0; rates count only where time has passed.
     """
     from netweave.functions.expr import guarded_ratio, traffic_class
 
     n = {c: F.coalesce(c, F.lit(0)) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "duration")}
-    joined = rows.join(F.broadcast(ruleset), on) if on else rows.crossJoin(F.broadcast(ruleset))
+    joined = join_on(rows, F.broadcast(ruleset), on) if on else rows.crossJoin(F.broadcast(ruleset))
     bytes_cls, pkts_cls = traffic_class(n["orig_bytes"], n["resp_bytes"]), traffic_class(n["orig_pkts"], n["resp_pkts"])
     amount = lambda cls, o, r: F.when(cls == "both", guarded_ratio(o, r)).when(cls == "orig", o).otherwise(r)
     timed = lambda name, cls, o, r: F.when(n["duration"] > 0, _class_band(name, (o + r) / n["duration"], cls)).otherwise(0.0)
@@ -78,6 +80,16 @@ def detection_rates(scored: DataFrame, keys: list[str], score: str = "score", le
     return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(hit).alias("flagged"), F.avg(hit.cast("double")).alias("rate"))
 
 
+def metric_rules(found: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, metric, n, mean, std, values): each metric's values in order, their mean and population deviation.
+
+    One row per window of a baseline: the values are as many as its windows.
+    """
+    each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))
+    long = found.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+    return long.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.array_sort(F.collect_list("v")).alias("values"))
+
+
 def window_scores(features: DataFrame, ruleset: DataFrame, keys: list[str]) -> DataFrame:
     """Score windows by how far the entropy of each signal is from the ruleset's.
 

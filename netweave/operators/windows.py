@@ -1,51 +1,105 @@
 """Positional windows that hold up when one key has a large part of all rows.
 
 A plain ``row_number() over (partition by key order by seq)`` puts a key into
-one task.  Here the order column, an integer, is cut into spans; rows are
-numbered inside (key, span), and the counts of the spans before are added.
-Only span counts, one row per key and span, are ordered per key.
+one task.  Here the order column is cut into spans of about as many rows each,
+by splitters from a quantile sketch, however dense or sparse its values are;
+rows are numbered inside (key, span), and the counts of the spans before are
+added.  Only span counts, one row per key and span, are ordered per key.
+
+Every row stays: null is a key like any other, and rows without an order value
+come last in their key.  Rows with equal order values are numbered in no
+particular order; give further columns to tell them apart.  Columns that a
+function adds replace columns of the same name.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Values of the order column that one task numbers at a time.
-SPAN = 1 << 16
+#: Rows, about, that one task numbers at a time, and the most spans; both change the work, not the result.
+SPAN_ROWS, MOST_SPANS = 1 << 16, 10_000
 
+_KEY, _SPAN, _AT = "__key", "__span", "__at"
 
-def number_rows(df: DataFrame, key: str, order: str, span: int = SPAN) -> DataFrame:
-    """Add ``rn`` (1.. per key by ``order``) and ``total`` (rows of the key)."""
-    cut = df.withColumn("_span", F.floor(F.col(order) / F.lit(span)).cast("long"))
-    counts = cut.groupBy(key, "_span").agg(F.count("*").alias("_n"))
-    per_key = Window.partitionBy(key)
-    counts = counts.select(key, "_span", (F.sum("_n").over(per_key.orderBy("_span")) - F.col("_n")).alias("_before"), F.sum("_n").over(per_key).alias("total"))
-    inside = Window.partitionBy(key, "_span").orderBy(order)
-    return cut.join(counts, [key, "_span"]).withColumn("rn", F.row_number().over(inside).cast("long") + F.col("_before")).drop("_span", "_before")
 
+def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """An equi-join on ``keys`` in which null matches null; the keys come from ``left``."""
+    named = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(Column.__and__, (left[k].eqNullSafe(named[f"__right_{k}"]) for k in keys))
+    return left.join(named, same, how).drop(*(f"__right_{k}" for k in keys))
+
+
+def _columns(order: str | Sequence[str]) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def _spanned(df: DataFrame, key: str, order: list[str], rows: int, adds: Sequence[str]) -> DataFrame:
+    """``df`` without ``adds``, with inner columns for the key, the order and the span of its first column."""
+    first = F.col(order[0]).cast("double")
+    spans = min(MOST_SPANS, math.ceil(df.count() / rows))
+    cuts: list[float] = []
+    if spans > 1:
+        found = df.agg(F.percentile_approx(first, [i / spans for i in range(1, spans)], 10 * spans)).first()[0]
+        cuts = sorted({c for c in found or [] if math.isfinite(c)})
+    marked = df.withColumns({_KEY: F.col(key), _AT: first} | {f"{_AT}{i}": F.col(c) for i, c in enumerate(order)}).drop(*adds)
+    if not cuts:
+        return marked.withColumn(_SPAN, F.lit(0.0))
+    # Null, as NaN, gets the last bucket of its own.
+    splits = [-math.inf, *cuts, math.inf]
+    ready = marked.withColumn(_AT, F.coalesce(_AT, F.lit(math.nan)))
+    return Bucketizer(splits=splits, inputCol=_AT, outputCol=_SPAN, handleInvalid="keep").transform(ready)
 
-def lag_rows(df: DataFrame, key: str, order: str, values: list[str], span: int = SPAN) -> DataFrame:
-    """Add ``prev_<value>``: the value of the row before, per key by ``order``."""
-    cut = df.withColumn("_span", F.floor(F.col(order) / F.lit(span)).cast("long"))
-    last = cut.groupBy(key, "_span").agg(F.max_by(F.struct(*values), F.col(order)).alias("_last"))
-    carried = last.select(key, "_span", F.lag("_last").over(Window.partitionBy(key).orderBy("_span")).alias("_carried"))
-    inside = Window.partitionBy(key, "_span").orderBy(order)
-    out = cut.join(carried, [key, "_span"]).withColumn("_prev", F.coalesce(F.lag(F.struct(*values)).over(inside), F.col("_carried")))
-    return out.select(*df.columns, *(F.col(f"_prev.{v}").alias(f"prev_{v}") for v in values))
 
+def _by(order: list[str]) -> list[Column]:
+    return [F.col(f"{_AT}{i}").asc_nulls_last() for i in range(len(order))]
 
-def tumbling(df: DataFrame, key: str, order: str, size: int = 200) -> DataFrame:
+
+def _inner(order: list[str]) -> list[str]:
+    return [_KEY, _SPAN, _AT, *(f"{_AT}{i}" for i in range(len(order)))]
+
+
+def number_rows(df: DataFrame, key: str, order: str | Sequence[str], span: int = SPAN_ROWS) -> DataFrame:
+    """Add ``rn`` (1.. per key by ``order``) and ``total`` (rows of the key)."""
+    order = _columns(order)
+    cut = _spanned(df, key, order, span, ["rn", "total"])
+    counts = cut.groupBy(_KEY, _SPAN).agg(F.count("*").alias("__n"))
+    per_key = Window.partitionBy(_KEY)
+    counts = counts.select(_KEY, _SPAN, (F.sum("__n").over(per_key.orderBy(_SPAN)) - F.col("__n")).alias("__before"), F.sum("__n").over(per_key).alias("total"))
+    inside = Window.partitionBy(_KEY, _SPAN).orderBy(*_by(order))
+    numbered = join_on(cut, counts, [_KEY, _SPAN]).withColumn("rn", F.row_number().over(inside).cast("long") + F.col("__before"))
+    return numbered.drop(*_inner(order), "__before")
+
+
+def lag_rows(df: DataFrame, key: str, order: str | Sequence[str], values: list[str], span: int = SPAN_ROWS) -> DataFrame:
+    """Add ``prev_<value>``: the value of the row before, per key by ``order``."""
+    order = _columns(order)
+    names = [f"prev_{v}" for v in values]
+    cut = _spanned(df, key, order, span, names).withColumn("__values", F.struct(*values))
+    at = F.struct(*(F.col(f"{_AT}{i}") for i in range(len(order))))
+    last = cut.groupBy(_KEY, _SPAN).agg(F.max_by("__values", at).alias("__last"))
+    carried = last.select(_KEY, _SPAN, F.lag("__last").over(Window.partitionBy(_KEY).orderBy(_SPAN)).alias("__carried"))
+    inside = Window.partitionBy(_KEY, _SPAN).orderBy(*_by(order))
+    out = join_on(cut, carried, [_KEY, _SPAN]).withColumn("__prev", F.coalesce(F.lag("__values").over(inside), F.col("__carried")))
+    return out.withColumns({name: F.col("__prev").getField(v) for name, v in zip(names, values)}).drop(*_inner(order), "__values", "__carried", "__prev")
+
+
+def tumbling(df: DataFrame, key: str, order: str | Sequence[str], size: int = 200) -> DataFrame:
     """Add ``wid`` and ``rn``: windows of ``size`` rows in order of arrival, the last one partial."""
     return number_rows(df, key, order).withColumn("wid", F.floor((F.col("rn") - 1) / size).cast("long"))
 
 
-def full_tumbling(df: DataFrame, key: str, order: str, size: int = 200) -> DataFrame:
+def full_tumbling(df: DataFrame, key: str, order: str | Sequence[str], size: int = 200) -> DataFrame:
     """Only windows that are complete, as a live scorer sees them."""
     return tumbling(df, key, order, size).where((F.col("wid") + 1) * size <= F.col("total"))
 
 
-def hopping(df: DataFrame, key: str, order: str, size: int = 500, hop: int = 250, tail: bool = True) -> DataFrame:
+def hopping(df: DataFrame, key: str, order: str | Sequence[str], size: int = 500, hop: int = 250, tail: bool = True) -> DataFrame:
     """A row per row and window ``k`` it is in; window k covers rows 1 + hop k .. size + hop k.
 
     With ``tail`` the last ``size`` rows make one more window (k = -1) if rows
@@ -62,7 +116,7 @@ def hopping(df: DataFrame, key: str, order: str, size: int = 500, hop: int = 250
     return numbered.withColumn("k", F.explode(ks))
 
 
-def last_n(df: DataFrame, key: str, order: str, n: int = 500) -> DataFrame:
+def last_n(df: DataFrame, key: str, order: str | Sequence[str], n: int = 500) -> DataFrame:
     """The last ``n`` rows of each key."""
     return number_rows(df, key, order).where(F.col("rn") > F.col("total") - n)
 
@@ -72,6 +126,6 @@ def elapsed(ts: str, order: str):
     return F.abs(F.max_by(ts, order) - F.min_by(ts, order))
 
 
-def interleave(df: DataFrame, source: str, order: str, block: int = 500) -> DataFrame:
+def interleave(df: DataFrame, source: str, order: str | Sequence[str], block: int = 500) -> DataFrame:
     """Add ``block`` and ``rn``: sources alternate in blocks of ``block`` rows when sorted by (block, source, rn)."""
     return number_rows(df, source, order).withColumn("block", F.floor((F.col("rn") - 1) / block).cast("long"))

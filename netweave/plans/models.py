@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.functions import expr
-from netweave.operators import features, models, scoring, windows
+from netweave.operators import features, mix, models, windows
 from netweave.plans import oracles as sql
 from netweave.plans.oracles import rnd
 from netweave.sources.flowview import flow_view, read_flows
@@ -27,6 +27,10 @@ _MEAN = np.array([500.0, 25.0, 3.0])
 _INVERSE = np.array([[2e-5, 0.0, 0.0], [0.0, 2e-3, 1e-4], [0.0, 1e-4, 0.25]])
 
 
+#: Settings of the registered boosters: less than the operators' own, so that a run takes seconds (see the README).
+SMALL = {"maxIter": 10, "maxDepth": 3, "maxBins": 32}
+
+
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Window features with the windows' label, and the feature columns."""
     flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
@@ -35,19 +39,35 @@ def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 def gbt_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows scored by boosted trees (fewer and shallower than the default, for a demonstration)."""
+    """Windows scored by boosted trees that learned from the earlier ones (fewer and shallower trees than the default)."""
     found, columns = _windows(spark, sf_dir)
-    model = models.fit_gbt(found, columns, maxIter=10, maxDepth=3, maxBins=32)
-    return models.predict(model, found, columns).select("pod", "wid", "label", "score", "predicted")
+    early, _ = models.split_in_time(found, ["pod"], "wid")
+    return models.predict(models.fit_gbt(early, columns, **SMALL), found, columns).select("pod", "wid", "label", "score", "predicted")
 
 
 def gbt_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged windows and their share per pod and label: the evaluation of a window classifier."""
-    return scoring.detection_rates(gbt_windows(spark, sf_dir), ["pod", "label"])
+    """Flagged windows per pod and label: of the windows learned from, of held-out ones, and of held-out rows mixed in blocks."""
+    flows = read_flows(spark, sf_dir)
+    found, columns = _windows(spark, sf_dir)
+    early, late = models.split_in_time(found, ["pod"], "wid")
+    model = models.fit_gbt(early, columns, **SMALL)
+    _, rows = models.split_in_time(flows, ["pod"], "seq")
+    mixed = mix.mix_d(rows.where("label = 0"), rows.where("label = 1"), "seq").withColumn("at", F.col("block") * 2 + F.col("segment")).withColumn("pod", F.lit(-1).cast("long"))
+    mixed = windows.tumbling(mixed.withColumn("place", F.col("rn")), "pod", ["at", "place"])
+    mixed = features.window_features(mixed.withColumn("label", F.lit(-1)), ["pod", "wid", "label"], NUMBERS)
+    return models.evaluate(model, {"learned": early, "held out": late, "mixed": mixed}, columns, ["pod", "label"])
+
+
+def gbt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged rows per pod and label, of rows learned from and held-out ones, under boosted trees over rows (fewer than the default)."""
+    flows = read_flows(spark, sf_dir)
+    early, late = models.split_in_time(flows, ["pod"], "seq")
+    model = models.fit_row_gbt(early, NUMBERS, **SMALL)
+    return models.evaluate(model, {"learned": early, "held out": late}, NUMBERS, ["pod", "label"])
 
 
 def rf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows scored by a random forest."""
+    """Rows scored by a random forest (fewer and shallower trees than the default)."""
     flows = read_flows(spark, sf_dir)
     model = models.fit_forest(flows, NUMBERS, numTrees=20, maxDepth=8)
     return models.predict(model, flows, NUMBERS).select("seq", "label", "score", "predicted")
@@ -56,8 +76,9 @@ def rf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlier scores of rows, and the mark of the share that counts as anomalous."""
     flows = read_flows(spark, sf_dir)
-    scored = models.score_isolation(flows, models.fit_isolation_forest(flows, NUMBERS, "seq"), NUMBERS, ["seq", "label"])
-    cut = models.score_cutoff(scored, 0.02)
+    forest = models.fit_isolation_forest(flows, NUMBERS, "seq")
+    scored = models.score_isolation(flows, forest, NUMBERS, ["seq", "label"])
+    cut = models.sample_cutoff(forest, 0.02)
     return scored.withColumn("predicted", F.when(F.col("score") > cut, -1).otherwise(1))
 
 
@@ -89,7 +110,11 @@ def mahalanobis_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream: features of each complete window of 200 rows per pod."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="netweave-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="netweave-stream-")
     root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/events.parquet"
     # A pattern, as a stream's plain path has to be a folder.
@@ -103,5 +128,5 @@ def stream_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE["stream_window_scores"] = f"WITH {sql.NUMBERED} SELECT pod, CAST((rn - 1) // 200 AS BIGINT) AS wid, {sql.window_stats(NUMBERS)} FROM n GROUP BY 1, 2 HAVING count(*) = 200"
 
-for _f in (gbt_windows, gbt_rates, rf_rows, isolation_forest, isolation_forest_split, mahalanobis, mahalanobis_outliers, stream_window_scores):
+for _f in (gbt_windows, gbt_rates, gbt_rows, rf_rows, isolation_forest, isolation_forest_split, mahalanobis, mahalanobis_outliers, stream_window_scores):
     QUERIES[_f.__name__] = _f

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netweave.functions import expr, spectral
@@ -86,7 +86,7 @@ def previous_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {sql.FLOW}, g AS (SELECT pod, (ts_us - lag(ts_us) OVER (PARTITION BY pod ORDER BY seq)) / 1e6 AS gap FROM f)
+    f"""WITH {sql.FLOW}, g AS (SELECT pod, (ts_us - lag(ts_us) OVER (PARTITION BY pod ORDER BY ts_us, seq)) / 1e6 AS gap FROM f)
 SELECT pod, {rnd("avg(gap)")} AS gap_mean, {rnd("stddev_samp(gap)")} AS gap_std, {rnd("CASE WHEN avg(gap) <> 0 THEN stddev_samp(gap) / avg(gap) ELSE 0 END")} AS gap_cv FROM g GROUP BY pod"""
 )
 def interarrival_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,8 +207,7 @@ SELECT g.pod, CAST(g.sec // 3600 AS BIGINT) AS hour, count(*) AS seconds, CAST(s
 def per_hour_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seconds, the empty ones too, and connections per hour."""
     series = profile.per_second(read_flows(spark, sf_dir), "ts_us", ["pod"]).select("pod", "sec", "conns")
-    filled = profile.fill_seconds(series, ["pod"], ["conns"])
-    return filled.groupBy("pod", F.floor(F.col("sec") / 3600).alias("hour")).agg(F.count("*").alias("seconds"), F.sum("conns").alias("conns"))
+    return profile.filled_hours(series, ["pod"], ["conns"])
 
 
 @query(f"WITH {sql.FLOW} SELECT pod, count(service) AS known, count(*) FILTER (WHERE service = 'login') AS flagged, {rnd('avg(CAST(service = $$login$$ AS INTEGER))', 6)} AS ratio FROM f GROUP BY pod")
@@ -298,21 +297,22 @@ def rule_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.detection_rates(scores, ["rule_pod", "pod"]), "rate", places=6)
 
 
-_KNOWN = "(SELECT DISTINCT orig_h, orig_p FROM f WHERE pod = 0 AND seq % 2 = 0)"
+_KNOWN = "(SELECT DISTINCT resp_h, orig_p FROM f WHERE pod = 0)"
 
 
 def _known(spark: SparkSession, sf_dir: str, unknown: bool) -> DataFrame:
+    """All rows against the services and ports that one data set knows."""
     flows = read_flows(spark, sf_dir)
-    members = flows.where("pod = 0 and seq % 2 = 0").select("orig_h", "orig_p").distinct()
-    return scoring.known(flows, members, ["orig_h", "orig_p"], unknown).select("seq", "orig_h", "orig_p")
+    members = flows.where("pod = 0").select("resp_h", "orig_p").distinct()
+    return scoring.known(flows, members, ["resp_h", "orig_p"], unknown).select("seq", "resp_h", "orig_p")
 
 
-@query(f"WITH {sql.FLOW} SELECT seq, orig_h, orig_p FROM f SEMI JOIN {_KNOWN} USING (orig_h, orig_p)")
+@query(f"WITH {sql.FLOW} SELECT seq, resp_h, orig_p FROM f SEMI JOIN {_KNOWN} USING (resp_h, orig_p)")
 def known_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _known(spark, sf_dir, unknown=False)
 
 
-@query(f"WITH {sql.FLOW} SELECT seq, orig_h, orig_p FROM f ANTI JOIN {_KNOWN} USING (orig_h, orig_p)")
+@query(f"WITH {sql.FLOW} SELECT seq, resp_h, orig_p FROM f ANTI JOIN {_KNOWN} USING (resp_h, orig_p)")
 def known_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _known(spark, sf_dir, unknown=True)
 
@@ -321,21 +321,20 @@ def known_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Per window of 200 rows and pod: what each signal's series is.
 _WINDOWED = f"{sql.NUMBERED}, w AS (SELECT *, CAST((rn - 1) // 200 AS BIGINT) AS wid, {_SECOND} AS sec FROM n)"
-_SERIES = {
-    "ts": "SELECT pod, wid, row_number() OVER (PARTITION BY pod, wid ORDER BY seq) - 1 AS i, y, count(*) OVER (PARTITION BY pod, wid) AS n FROM (SELECT pod, wid, seq, (ts_us - lag(ts_us) OVER (PARTITION BY pod, wid ORDER BY seq)) / 1e6 AS y FROM w) WHERE y IS NOT NULL",
-}
-for _name, _value in (("bytes", "sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0))"), ("pkts", "sum(orig_pkts + resp_pkts)"), ("conns", "count(*)")):
-    _SERIES[_name] = f"SELECT pod, wid, row_number() OVER (PARTITION BY pod, wid ORDER BY sec) - 1 AS i, CAST(y AS DOUBLE) AS y, count(*) OVER (PARTITION BY pod, wid) AS n FROM (SELECT pod, wid, sec, {_value} AS y FROM w GROUP BY pod, wid, sec)"
+_AMOUNTS = {"bytes": "sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0))", "pkts": "sum(orig_pkts + resp_pkts)", "conns": "count(*)"}
 
 
-def signal_series(flows: DataFrame, signal: str, keys: list[str]) -> DataFrame:
-    """(keys, at, y): the series of a signal inside each window."""
+def _series_sql(signal: str, source: str, keys: str) -> str:
+    """(keys, i, y, n): a signal's series in each window of ``source``."""
     if signal == "ts":
-        gap = F.col("ts_us") - F.lag("ts_us").over(Window.partitionBy(*keys).orderBy("seq"))
-        return flows.select(*keys, F.col("seq").alias("at"), (gap / 1e6).alias("y")).where("y is not null")
+        return f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY ts_us, seq) - 1 AS i, y, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, ts_us, seq, (ts_us - lag(ts_us) OVER (PARTITION BY {keys} ORDER BY ts_us, seq)) / 1e6 AS y FROM {source}) WHERE y IS NOT NULL"
+    return f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY sec) - 1 AS i, CAST(y AS DOUBLE) AS y, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, sec, {_AMOUNTS[signal]} AS y FROM {source} GROUP BY {keys}, sec)"
+
+
+def signal_rows(flows: DataFrame, keys: list[str]) -> DataFrame:
+    """What the signals of windows are made from."""
     zero = F.lit(0)
-    sums = {"bytes": F.coalesce("orig_bytes", zero) + F.coalesce("resp_bytes", zero), "pkts": F.col("orig_pkts") + F.col("resp_pkts"), "conns": F.lit(1)}
-    return profile.per_second(flows, "ts_us", keys, y=sums[signal]).select(*keys, F.col("sec").alias("at"), F.col("y").cast("double").alias("y"))
+    return flows.select(*keys, F.col("ts_us").alias("at"), "seq", (F.coalesce("orig_bytes", zero) + F.coalesce("resp_bytes", zero)).alias("bytes"), (F.col("orig_pkts") + F.col("resp_pkts")).alias("pkts"))
 
 
 _METRICS = ", ".join(f"{rnd(m)} AS {m}" for m in ("entropy", "dominant_freq", "hf_lf"))
@@ -344,95 +343,160 @@ _METRICS = ", ".join(f"{rnd(m)} AS {m}" for m in ("entropy", "dominant_freq", "h
 def _spectral_query(signal: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
-        found = spectral.spectral_metrics(signal_series(flows, signal, ["pod", "wid"]), ["pod", "wid"], "at", "y")
+        found = spectral.signal_metrics(signal_rows(flows, ["pod", "wid"]), ["pod", "wid"]).where(F.col("signal") == signal).drop("signal")
         found = found.withColumn("energy", F.col("energy") / 1e6)
         return rounded(found, *spectral.METRICS)
 
     run.__name__ = f"spectral_features_{signal}"
-    oracle = f"WITH {_WINDOWED}, {sql.dft(_SERIES[signal], 'pod, wid')}, m AS ({sql.spectral('pod, wid')}) SELECT pod, wid, n, {rnd('energy / 1e6')} AS energy, {_METRICS} FROM m"
+    oracle = f"WITH {_WINDOWED}, {sql.dft(_series_sql(signal, 'w', 'pod, wid'), 'pod, wid')}, m AS ({sql.spectral('pod, wid')}) SELECT pod, wid, n, {rnd('energy / 1e6')} AS energy, {_METRICS} FROM m"
     query(oracle)(run)
 
 
-for _signal in _SERIES:
+for _signal in spectral.SIGNALS:
     _spectral_query(_signal)
 
 
-@query(f"WITH {_WINDOWED}, {sql.dft(_SERIES['bytes'], 'pod, wid')} SELECT pod, wid, CAST(fk AS BIGINT) AS k, {rnd('m', 3)} AS magnitude FROM spec")
-def dft_magnitudes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole spectrum, mean included, of bytes per second in each window."""
-    flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
-    return rounded(spectral.spectra(signal_series(flows, "bytes", ["pod", "wid"]), ["pod", "wid"], "at", "y"), "magnitude", places=3)
+def _raw_spectrum(signal: str, name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The whole spectrum, mean included, of a sum per second in each window."""
+        flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
+        amount = {"bytes": F.coalesce("orig_bytes", F.lit(0)) + F.coalesce("resp_bytes", F.lit(0)), "pkts": F.col("orig_pkts") + F.col("resp_pkts"), "conns": F.lit(1)}[signal]
+        series = profile.per_second(flows, "ts_us", ["pod", "wid"], y=amount)
+        return rounded(spectral.spectra(series, ["pod", "wid"], "sec", "y"), "magnitude", places=3)
 
+    run.__name__ = name
+    query(f"WITH {_WINDOWED}, {sql.dft(_series_sql(signal, 'w', 'pod, wid'), 'pod, wid')} SELECT pod, wid, CAST(fk AS BIGINT) AS k, {rnd('m', 3)} AS magnitude FROM spec")(run)
 
-def _signal_entropies(flows: DataFrame, keys: list[str]) -> DataFrame:
-    parts = [spectral.spectral_metrics(signal_series(flows, s, keys), keys, "at", "y").select(*keys, F.lit(s).alias("signal"), *spectral.METRICS) for s in _SERIES]
-    return mix.union_by_name(*parts)
+
+for _signal, _name in (("bytes", "dft_magnitudes"), ("pkts", "dft_packets"), ("conns", "dft_conns")):
+    _raw_spectrum(_signal, _name)
+
+
+def _metrics_sql(source: str, keys: str) -> str:
+    """CTE ``ent`` (keys, signal, and the four metrics) over ``source``, which has ``keys``, seq, ts_us, sec and the amounts."""
+    out = [f"{sql.dft(_series_sql(x, source, keys), keys, f'_{source}_{x}')}, m_{source}_{x} AS ({sql.spectral(keys, f'_{source}_{x}')})" for x in spectral.SIGNALS]
+    union = " UNION ALL ".join(f"SELECT {keys}, '{x}' AS signal, energy, entropy, dominant_freq, hf_lf FROM m_{source}_{x}" for x in spectral.SIGNALS)
+    return ", ".join(out) + f", ent_{source} AS ({union})"
 
 
 def fft_rules(flows: DataFrame, size: int = 500) -> DataFrame:
-    """Mean and population deviation of each signal's entropy over windows of ``size`` rows."""
+    """(signal, metric, n, mean, std, values): the four metrics of each signal over windows of ``size`` rows of benign data.
+
+    Windows stand for the whole files that a ruleset is otherwise made from, so that no task holds a data set.
+    """
     cut = windows.tumbling(flows, "pod", "seq", size)
-    return _signal_entropies(cut, ["pod", "wid"]).groupBy("signal").agg(F.count("*").alias("n"), F.avg("entropy").alias("mean"), F.stddev_pop("entropy").alias("std"))
-
-
-def _entropies_sql(source: str, keys: str) -> str:
-    """CTE ``ent`` (keys, signal, entropy) over ``source``, which has ``keys``, seq, ts_us, sec and the amounts."""
-    out = []
-    series = {
-        "ts": f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY seq) - 1 AS i, y, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, seq, (ts_us - lag(ts_us) OVER (PARTITION BY {keys} ORDER BY seq)) / 1e6 AS y FROM {source}) WHERE y IS NOT NULL",
-        "bytes": "sum(coalesce(orig_bytes, 0) + coalesce(resp_bytes, 0))",
-        "pkts": "sum(orig_pkts + resp_pkts)",
-        "conns": "count(*)",
-    }
-    for name, value in series.items():
-        if name != "ts":
-            value = f"SELECT {keys}, row_number() OVER (PARTITION BY {keys} ORDER BY sec) - 1 AS i, CAST(y AS DOUBLE) AS y, count(*) OVER (PARTITION BY {keys}) AS n FROM (SELECT {keys}, sec, {value} AS y FROM {source} GROUP BY {keys}, sec)"
-        out.append(f"{sql.dft(value, keys, f'_{name}')}, m_{name} AS ({sql.spectral(keys, f'_{name}')})")
-    union = " UNION ALL ".join(f"SELECT {keys}, '{name}' AS signal, entropy FROM m_{name}" for name in series)
-    return ", ".join(out) + f", ent AS ({union})"
+    found = spectral.signal_metrics(signal_rows(cut, ["pod", "wid"]), ["pod", "wid"])
+    return scoring.metric_rules(found, ["signal"], list(spectral.METRICS))
 
 
-@query(
-    f"WITH {sql.NUMBERED}, w AS (SELECT *, CAST((rn - 1) // 500 AS BIGINT) AS wid, {_SECOND} AS sec FROM n), {_entropies_sql('w', 'pod, wid')} SELECT signal, count(*) AS n, {rnd('avg(entropy)')} AS mean, {rnd('stddev_pop(entropy)')} AS std FROM ent GROUP BY signal"
-)
-def fft_ruleset(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(fft_rules(read_flows(spark, sf_dir)), "mean", "std")
+_BENIGN = f"{sql.NUMBERED}, bn AS (SELECT *, row_number() OVER (PARTITION BY pod ORDER BY seq) AS brn FROM f WHERE label = 0), w AS (SELECT *, CAST((brn - 1) // 500 AS BIGINT) AS wid, {_SECOND} AS sec FROM bn), {_metrics_sql('w', 'pod, wid')}"
+_UNPIVOT = " UNION ALL ".join(f"SELECT signal, '{m}' AS metric, {m}{' / 1e6' if m == 'energy' else ''} AS v FROM ent_w" for m in spectral.METRICS)
 
 
-#: Fixed value: the ruleset that the windows of ``fft_window_scores`` are scored by.
-_FFT_RULES = (("ts", 4.9, 0.05), ("bytes", 4.9, 0.04), ("pkts", 4.8, 0.3), ("conns", 4.5, 0.6))
+@query(f"WITH {_BENIGN}, u AS ({_UNPIVOT}) SELECT signal, metric, count(*) AS n, {rnd('avg(v)')} AS mean, {rnd('stddev_pop(v)')} AS std, {rnd('min(v)')} AS least, {rnd('max(v)')} AS most FROM u GROUP BY signal, metric")
+def fft_ruleset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectral ruleset of the benign rows, with the ends of its values."""
+    rules = fft_rules(read_flows(spark, sf_dir).where("label = 0"))
+    unit = F.when(F.col("metric") == "energy", 1e6).otherwise(1.0)
+    ends = rules.select("signal", "metric", "n", *((F.col(c) / unit).alias(c) for c in ("mean", "std")), (F.array_min("values") / unit).alias("least"), (F.array_max("values") / unit).alias("most"))
+    return rounded(ends, "mean", "std", "least", "most")
 
 
 @query(
-    f"""WITH {sql.HOPPED}, hs AS (SELECT *, {_SECOND} AS sec FROM hop), {_entropies_sql('hs', 'pod, k')},
-rules(signal, mean, std, weight) AS (VALUES ('ts', 4.9, 0.05, 0.4), ('bytes', 4.9, 0.04, 0.1), ('pkts', 4.8, 0.3, 0.25), ('conns', 4.5, 0.6, 0.25)),
-z AS (SELECT pod, k, weight, abs(entropy - mean) / std AS z FROM ent JOIN rules USING (signal))
+    f"""WITH {_BENIGN}, {sql.HOPPED.removeprefix(sql.NUMBERED + ",")}, hs AS (SELECT *, {_SECOND} AS sec FROM hop), {_metrics_sql('hs', 'pod, k')},
+weights(signal, weight) AS (VALUES ('ts', 0.4), ('bytes', 0.1), ('pkts', 0.25), ('conns', 0.25)),
+rules AS (SELECT signal, avg(entropy) AS mean, stddev_pop(entropy) AS std FROM ent_w GROUP BY signal),
+z AS (SELECT pod, k, weight, CASE WHEN std < 1e-9 THEN 0 ELSE abs(entropy - mean) / std END AS z FROM ent_hs JOIN rules USING (signal) JOIN weights USING (signal))
 SELECT pod, k, {rnd('sum(weight * CASE WHEN z > 3 THEN 1.0 WHEN z > 2 THEN 0.75 WHEN z > 1 THEN 0.5 ELSE 0.0 END)')} AS score FROM z GROUP BY pod, k"""
 )
 def fft_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hopped = windows.hopping(read_flows(spark, sf_dir), "pod", "seq")
-    rules = spark.createDataFrame(list(_FFT_RULES), "signal string, mean double, std double")
-    return rounded(scoring.window_scores(_signal_entropies(hopped, ["pod", "k"]), rules, ["pod", "k"]), "score")
+    """Hopping windows of all rows by the spectral ruleset of the benign ones."""
+    flows = read_flows(spark, sf_dir)
+    rules = fft_rules(flows.where("label = 0")).where("metric = 'entropy'").select("signal", "mean", "std")
+    hopped = windows.hopping(flows, "pod", "seq")
+    found = spectral.signal_metrics(signal_rows(hopped, ["pod", "k"]), ["pod", "k"])
+    return rounded(scoring.window_scores(found, rules, ["pod", "k"]), "score")
 
 
 # --- encoders ---------------------------------------------------------------------------
 
-_STATES = ["CL", "ER", "LO", "PU", "VI"]
+#: The categories of the flow view, for the SQL; the query fits them.
+_STATES = ["CL", "ER", "PU", "SI", "VI"]
+_SERVICES = ["click", "purchase", "signup", "unknown", "view"]
+_ONE_HOT = ", ".join(f"CAST(coalesce({c}, 'unknown') = '{v}' AS INTEGER) AS {c}_{v}" for c, values in (("proto", ["tcp", "udp"]), ("service", _SERVICES), ("conn_state", _STATES)) for v in values)
 
 
 @query(
     f"""WITH {sql.FLOW} SELECT seq, CAST(duration IS NULL AS INTEGER) AS duration_missing, CAST(orig_bytes IS NULL AS INTEGER) AS orig_bytes_missing, CAST(resp_bytes IS NULL AS INTEGER) AS resp_bytes_missing,
 {rnd('coalesce(duration, 0)')} AS duration, CAST(coalesce(orig_bytes, 0) AS DOUBLE) AS orig_bytes, CAST(coalesce(resp_bytes, 0) AS DOUBLE) AS resp_bytes, CAST(coalesce(orig_bytes, 0) = 0 AND coalesce(resp_bytes, 0) = 0 AS INTEGER) AS zero_activity,
-CAST(proto = 'tcp' AS INTEGER) AS proto_tcp, CAST(proto = 'udp' AS INTEGER) AS proto_udp, CAST(coalesce(service, 'unknown') = 'unknown' AS INTEGER) AS service_unknown, CAST(coalesce(service, 'unknown') = 'click' AS INTEGER) AS service_click,
-{', '.join(f"CAST(conn_state = '{s}' AS INTEGER) AS conn_state_{s}" for s in _STATES)} FROM f"""
+{_ONE_HOT} FROM f"""
 )
 def encode_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows = read_flows(spark, sf_dir).select("seq", "proto", "service", "conn_state", "duration", "orig_bytes", "resp_bytes")
-    found = encode.encode_conn(flows, {"proto": ["tcp", "udp"], "service": ["unknown", "click"], "conn_state": _STATES})
+    found = encode.encode_conn(flows, encode.fit_vocabulary(flows, ["proto", "service", "conn_state"]))
     return rounded(found, "duration")
 
 
-_TTL = "list_transform(list_slice(string_split(text, ' '), 1, 6), lambda x: CAST(length(x) AS DOUBLE))"
+def _as_log(flows: DataFrame) -> DataFrame:
+    """The flow view with the columns of DNS, SSL and HTTP logs."""
+    mark = lambda c: F.when(c, "T").otherwise("F")
+    return flows.select(
+        "seq", "proto", F.col("duration").alias("rtt"), F.col("resp_h").alias("query"), F.col("orig_h").alias("host"), F.col("service").alias("version"), F.col("conn_state").alias("cipher"),
+        *(mark(F.col("orig_pkts") > n).alias(c) for c, n in (("AA", 5), ("TC", 10), ("RD", 20), ("RA", 30), ("rejected", 40), ("resumed", 15), ("established", 25))),
+        F.when(F.col("service").isNotNull(), F.concat_ws(",", F.col("orig_h"), F.concat(F.lit("::"), F.col("resp_p").cast("string")), F.col("orig_h"))).alias("answers"),
+        F.when(F.col("resp_bytes") > 50, F.concat_ws(",", F.col("resp_bytes").cast("string"), F.col("orig_p").cast("string"))).alias("TTLs"),
+        F.col("orig_bytes").alias("request_body_len"),
+    )
+
+
+_FLAGS = ", ".join(f"CAST(orig_pkts > {n} AS INTEGER) AS {c}" for c, n in (("AA", 5), ("TC", 10), ("RD", 20), ("RA", 30), ("rejected", 40)))
+
+
+@query(
+    f"""WITH {sql.FLOW}, l AS (SELECT *, CASE WHEN service IS NOT NULL THEN [orig_h, '::' || resp_p, orig_h] ELSE [] END AS a, CASE WHEN resp_bytes > 50 THEN [CAST(resp_bytes AS DOUBLE), CAST(orig_p AS DOUBLE)] ELSE [] END AS t FROM f)
+SELECT seq, CAST(duration IS NULL AS INTEGER) AS rtt_missing, {rnd('coalesce(duration, 0)')} AS rtt, {_FLAGS}, CAST(len(a) AS INTEGER) AS answers_count, CAST(len(list_distinct(a)) AS INTEGER) AS answers_unique, CAST(len(a) > 0 AS INTEGER) AS has_ipv6,
+{rnd('coalesce(list_avg(t), 0)')} AS ttl_mean, {rnd('coalesce(list_stddev_pop(t), 0)')} AS ttl_std, CAST(len(t) AS INTEGER) AS ttl_count, CAST(len(a) <> len(t) AS INTEGER) AS answer_ttl_mismatch, CAST(proto = 'tcp' AS INTEGER) AS proto_tcp, CAST(proto = 'udp' AS INTEGER) AS proto_udp FROM l"""
+)
+def encode_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _as_log(read_flows(spark, sf_dir)).select("seq", "proto", "rtt", "query", "AA", "TC", "RD", "RA", "rejected", "answers", "TTLs")
+    return rounded(encode.encode_dns(rows, encode.fit_vocabulary(rows, ["proto"])), "rtt", "ttl_mean", "ttl_std")
+
+
+@query(
+    f"WITH {sql.FLOW} SELECT seq, CAST(orig_pkts > 15 AS INTEGER) AS resumed, CAST(orig_pkts > 25 AS INTEGER) AS established, "
+    + ", ".join(f"CAST(coalesce(service, 'unknown') = '{v}' AS INTEGER) AS version_{v}" for v in _SERVICES)
+    + ", "
+    + ", ".join(f"CAST(conn_state = '{v}' AS INTEGER) AS cipher_{v}" for v in _STATES)
+    + " FROM f"
+)
+def encode_ssl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _as_log(read_flows(spark, sf_dir)).select("seq", "version", "cipher", "resumed", "established", F.col("query").alias("server_name"))
+    return encode.encode_ssl(rows, encode.fit_vocabulary(rows, ["version", "cipher"]))
+
+
+@query(f"WITH {sql.FLOW} SELECT seq, proto, orig_bytes AS request_body_len FROM f")
+def encode_http(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode.encode_http(_as_log(read_flows(spark, sf_dir)).select("seq", "proto", "host", F.col("query").alias("uri"), "request_body_len"))
+
+
+_NUMERIC = "duration IS NOT NULL AND orig_bytes IS NOT NULL AND resp_bytes IS NOT NULL"
+
+
+@query(f"WITH {sql.FLOW} SELECT seq, label FROM f WHERE {_NUMERIC}")
+def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a model of whole transactions takes: none of their numbers is unset."""
+    rows = logs.without_unset(logs.without_nulls(read_flows(spark, sf_dir).withColumn("ts", F.col("ts_us")), "CONN", complete=True), "CONN")
+    return rows.select("seq", "label")
+
+
+@query("SELECT CAST(unnest(['orig_p', 'resp_p', 'duration', 'orig_bytes', 'resp_bytes', 'missed_bytes', 'orig_pkts', 'orig_ip_bytes', 'resp_pkts', 'resp_ip_bytes']) AS VARCHAR) AS name")
+def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers that a connection log declares (its time stamp left out)."""
+    return spark.createDataFrame([(c,) for c in logs.numeric_columns("CONN", without=("ts",))], "name string")
+
+
+#: Words of more than three characters stand for answers with a time to live.
+_TTL = "list_transform(list_filter(string_split(text, ' '), lambda x: length(x) > 3), lambda x: CAST(length(x) AS DOUBLE))"
 
 
 @query(
@@ -441,11 +505,11 @@ _TTL = "list_transform(list_slice(string_split(text, ' '), 1, 6), lambda x: CAST
 FROM (SELECT doc_id, string_split(text, ' ') AS a, {_TTL} AS t FROM documents WHERE text IS NOT NULL AND text <> '')"""
 )
 def list_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List columns as a DNS encoder sees them: words as answers, lengths of the first six as TTLs."""
+    """List columns as a DNS encoder sees them: words as answers, lengths of the longer ones as TTLs."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and text <> ''")
     words = F.split("text", " ")
-    answers = docs.select("doc_id", words.alias("a"), F.array_join(F.transform(F.slice(words, 1, 6), F.length), ",").alias("t"))
-    stats = expr.list_stats(expr.list_items(F.col("t")))
+    answers = docs.select("doc_id", words.alias("a"), F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.length(w).cast("string")).alias("t"))
+    stats = expr.list_stats(F.col("t"))
     found = answers.select(
         "doc_id",
         F.size("a").cast("bigint").alias("answers_count"),
@@ -454,7 +518,7 @@ def list_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         stats["mean"].alias("ttl_mean"),
         stats["std"].alias("ttl_std"),
         stats["count"].cast("bigint").alias("ttl_count"),
-        (F.size("a") != F.size(expr.list_items(F.col("t")))).cast("int").alias("answer_ttl_mismatch"),
+        (F.size("a") != F.size("t")).cast("int").alias("answer_ttl_mismatch"),
     )
     return rounded(found, "ttl_mean", "ttl_std")
 
@@ -583,17 +647,31 @@ def latency_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.join(out, "seq").select("seq", (F.col("out") - F.col("seen")).alias("latency_us"))
 
 
+@query(f"WITH {sql.FLOW}, l AS (SELECT a.pod, a.seq, b.ts_us - a.ts_us AS x FROM f a JOIN f b ON b.seq = a.seq + 7) SELECT seq, CAST(count(*) OVER w AS BIGINT) AS n, {rnd('avg(x) OVER w')} AS mean_us, {rnd('stddev_pop(x) OVER w', 1)} AS std_us FROM l WINDOW w AS (PARTITION BY pod ORDER BY seq ROWS UNBOUNDED PRECEDING)")
+def running_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, mean and deviation of the latencies up to each row."""
+    rows = latency_join(spark, sf_dir).join(read_flows(spark, sf_dir).select("seq", "pod"), "seq")
+    found = profile.running_moments(rows, "pod", "seq", "latency_us")
+    return found.select("seq", "n", expr.rounded(F.col("mean")).alias("mean_us"), expr.rounded(F.col("std"), 1).alias("std_us"))
+
+
 # --- reports ------------------------------------------------------------------------------
 
 
-@query(f"WITH {sql.FLOW}, m AS (SELECT coalesce(service, 'unknown') AS metric, pod, count(*) AS n FROM f WHERE NOT (service = 'view' AND pod = 3) OR service IS NULL GROUP BY 1, 2) SELECT metric, " + ", ".join(f"coalesce(CAST(max(n) FILTER (WHERE pod = {p}) AS VARCHAR), '-1') AS \"{p}\"" for p in range(5)) + " FROM m GROUP BY metric")
+@query(f"WITH {sql.FLOW}, m AS (SELECT 'port_' || resp_p AS metric, pod, count(*) AS n FROM f GROUP BY 1, 2) SELECT metric, " + ", ".join(f"coalesce(CAST(max(n) FILTER (WHERE pod = {p}) AS VARCHAR), '-1') AS \"{p}\"" for p in range(5)) + " FROM m GROUP BY metric")
 def metric_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per metric and a column per data set; -1 where a data set lacks it."""
-    flows = read_flows(spark, sf_dir).where("not (service = 'view' and pod = 3) or service is null")
-    counts = flows.groupBy(F.coalesce("service", F.lit("unknown")).alias("metric"), F.col("pod").cast("string").alias("dataset")).agg(F.count("*").alias("n"))
+    """One row per metric (rows of a port) and a column per data set; -1 where a data set lacks it."""
+    counts = read_flows(spark, sf_dir).groupBy(F.concat(F.lit("port_"), F.col("resp_p").cast("string")).alias("metric"), F.col("pod").cast("string").alias("dataset")).agg(F.count("*").alias("n"))
     return report.metric_matrix(counts, "metric", "dataset", "n", [str(p) for p in range(5)])
 
 
+@query(f"WITH {sql.FLOW} SELECT DISTINCT name FROM (SELECT service AS name FROM f UNION ALL SELECT conn_state FROM f) WHERE name IS NOT NULL")
+def metric_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names that any of several reports has."""
+    flows = read_flows(spark, sf_dir)
+    return report.all_names(flows.select(F.col("service").alias("name")), flows.select(F.col("conn_state").alias("name")))
+
+
 @query(f"WITH {sql.FLOW} SELECT CAST(CASE WHEN duration < 0 THEN 0 WHEN duration >= 40 THEN 21 ELSE floor(duration / 2.0) + 1 END AS BIGINT) AS bin, count(*) AS n FROM f WHERE duration IS NOT NULL GROUP BY 1")
 def score_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.histogram(read_flows(spark, sf_dir).where("duration is not null"), F.col("duration"), 0.0, 40.0, 20)

@@ -10,13 +10,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netweave.functions.expr import base_name, log_type, parent_name
 from netweave.operators.windows import lag_rows
 from netweave.sources.schemas import NARROW, column_name, fields, schema, typed, width
 
 #: What a sound line has (length of the time stamp, least length of the uid).
-TS_CHARS, UID_CHARS, MAX_TOKENS = 17, 15, 256
+TS_CHARS, UID_CHARS = 17, 15
 #: Blocks of a file start at least so many bytes apart.
 _BLOCK_BITS, _ROW_BITS = 20, 33
 
@@ -40,7 +41,7 @@ def is_data(line: Column) -> Column:
 def tokens(line: Column, collapse: bool = False, separator: str = "\t") -> Column:
     """The fields of a line; with ``collapse`` runs of separators count as one, as in C."""
     parts = F.split(line, separator)
-    return F.slice(F.filter(parts, lambda x: x != ""), 1, MAX_TOKENS) if collapse else parts
+    return F.filter(parts, lambda x: x != "") if collapse else parts
 
 
 def is_corrupt(parts: Column, n_fields: Column | int) -> Column:
@@ -124,6 +125,27 @@ def write_export(lines: DataFrame, kind: str, path: str) -> None:
     parts.select(*cols).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
+#: The columns without which a row of a log type is left out, for profiles and for models of whole transactions.
+REQUIRED = {kind: ("ts", "orig_h", "resp_h") for kind in ("CONN", "DNS", "HTTP", "SSL", "WEIRD")}
+COMPLETE = {"CONN": ("orig_bytes", "resp_bytes")}
+
+
+def without_nulls(rows: DataFrame, kind: str, complete: bool = False) -> DataFrame:
+    """Rows that have what every row of the log type needs; with ``complete`` also what only whole transactions have."""
+    needed = [*REQUIRED[kind], *(COMPLETE.get(kind, ()) if complete else ())]
+    return rows.dropna(subset=[c for c in needed if c in rows.columns])
+
+
+def numeric_columns(kind: str, without: tuple[str, ...] = ()) -> list[str]:
+    """The columns that a log type declares as numbers, in file order."""
+    return [f.name for f in schema(kind) if isinstance(f.dataType, T.NumericType) and f.name not in without]
+
+
+def without_unset(rows: DataFrame, kind: str) -> DataFrame:
+    """Rows in which no number is unset."""
+    return rows.dropna(subset=[c for c in numeric_columns(kind) if c in rows.columns])
+
+
 def write_tables(rows: DataFrame, path: str, by: tuple[str, ...] = ("log_type", "pod")) -> None:
     """Typed rows as Parquet, a folder per log type and pod, so that scans of one are pruned."""
     rows.write.mode("append").partitionBy(*by).parquet(path)
