@@ -9,7 +9,9 @@ partial window.  The partial windows of all tasks (under one window each) are
 merged by the same packer in rounds, each over ``FAN_IN`` times fewer tasks.
 
 Defined results: null text counts as empty and gives one piece, the closing id
-alone; repeated rows are packed each on its own; extra columns are ignored.
+alone; repeated rows are packed each on its own; extra columns are ignored; an
+empty table gives no piece.  A very long text is cut as it goes, in time that
+grows with its length.
 """
 
 from __future__ import annotations
@@ -56,12 +58,12 @@ class Packer:
         self.next_id += 1
 
     def add(self, doc, start: int, ids: bytes, total: int) -> None:
-        step = 4 * self.max_len
-        while len(ids) >= step:
-            self._emit([(doc, start, ids[:step], total)])
-            start, ids = start + self.max_len, ids[step:]
-        while ids:
-            n = len(ids) // 4
+        step, at, size = 4 * self.max_len, 0, len(ids)
+        while size - at >= step:
+            self._emit([(doc, start + at // 4, ids[at : at + step], total)])
+            at += step
+        while at < size:
+            n = (size - at) // 4
             fit = max((w for w in self.open if w[0] + n <= self.max_len), key=lambda w: w[0], default=None)
             if fit is None and len(self.open) < self.most:
                 fit = [0, []]
@@ -70,8 +72,8 @@ class Packer:
                 fit = max(self.open, key=lambda w: w[0])
                 n = self.max_len - fit[0]
             fit[0] += n
-            fit[1].append((doc, start, ids[: 4 * n], total))
-            start, ids = start + n, ids[4 * n :]
+            fit[1].append((doc, start + at // 4, ids[at : at + 4 * n], total))
+            at += 4 * n
             if fit[0] == self.max_len:
                 self._emit(fit[1])
                 self.open.remove(fit)

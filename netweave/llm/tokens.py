@@ -1,72 +1,66 @@
-"""Byte-pair ids of whole texts, through a table of distinct words.
+"""Byte-pair ids of whole texts.
 
-A text is cut at its single spaces.  The vocabulary's pre-tokeniser joins a
-space to the word after it and never joins characters over the end of a word,
-so each distinct word is encoded once per worker and the ids are joined by
-position.  Texts in which a space touches other white space are encoded whole.
+A vocabulary file whose ids follow its merges (byte-level, without
+normalisation) is loaded into the quicker of the two public tokenizer
+libraries, which gives the same ids and keeps no table of words; any other
+byte-level file is left to the library it was written for.  Nothing is kept
+between texts, so a task's memory follows its longest text alone.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-#: Words of the table before it starts afresh.
-MEMO_ROWS = 500_000
+#: Fixed value: the split pattern of byte-level vocabularies.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task has one core
 
 
+def byte_of_char() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable ones stand for themselves."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def ranks_of(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes -> id where ids follow the merges and texts are split by PATTERN alone; else None."""
+    split, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    if spec.get("normalizer") or not plain or model["type"] != "BPE" or model.get("ignore_merges") or model.get("dropout"):
+        return None
+    vocab, chars = model["vocab"], byte_of_char()
+    made = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if made != sorted(made) or len(made) + 256 != len(vocab):
+        return None
+    return {bytes(chars[c] for c in token): i for token, i in vocab.items()}
+
+
 class ByteBpe:
-    """Encoder of one vocabulary file; kept per worker."""
+    """Encoder of one vocabulary file; kept per worker.  Strings of special tokens are ordinary text."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        size = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
-        for token, i in self.tokenizer.get_vocab().items():
-            size[i] = len(token)  # a byte-level token has one character per byte
-        self.size = size
-        #: word -> ids of the word after a space, as bytes; None: not to be cut there
-        self.memo: dict[str, bytes | None] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn(self, words: list[str]) -> None:
-        """Encode new words, each after a space, in one text; cut the ids at the words' ends."""
-        clean = [w for w in words if w and not w[0].isspace() and not w[-1].isspace()]
-        self.memo.update(dict.fromkeys(words))
-        if clean:
-            ids = np.array(self.tokenizer.encode(" " + " ".join(clean), add_special_tokens=False).ids, "<u4")
-            ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(w.encode()) + 1 for w in clean])) + 1
-            data, last = ids.tobytes(), 0
-            for w, end in zip(clean, (4 * ends).tolist()):
-                self.memo[w] = data[last:end]
-                last = end
+        with open(path, encoding="utf-8") as f:
+            ranks = ranks_of(json.load(f))
+        if ranks:
+            import tiktoken
+
+            self.whole = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.ids = lambda text: self.whole.encode_to_numpy(text, disallowed_special=())
+        else:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(path)
+            self.whole.encode_special_tokens = True
+            self.ids = lambda text: self.whole.encode(text, add_special_tokens=False).ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit values."""
-        parts = [t.split(" ") for t in texts]
-        new: set[str] = set()
-        for p in parts:
-            new.update(p[1:])
-        if len(self.memo) > MEMO_ROWS:
-            self.memo.clear()
-        unknown = list(new.difference(self.memo))
-        for at in range(0, len(unknown), 2048):
-            self.learn(unknown[at : at + 2048])
-        get, out = self.memo.__getitem__, []
-        for t, p in zip(texts, parts):
-            rest = list(map(get, p[1:]))
-            if None in rest or t[:1].isspace() or p[0][-1:].isspace() or p[0] == "":
-                out.append(self.whole(t))
-            else:
-                out.append(self.whole(p[0]) + b"".join(rest))
-        return out
+        return [np.asarray(self.ids(t), "<u4").tobytes() for t in texts]
 
 
 _open: dict[str, ByteBpe] = {}
