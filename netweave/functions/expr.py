@@ -76,13 +76,17 @@ def list_items(c: Column, separator: str = ",") -> Column:
 
 
 def list_stats(items: Column) -> dict[str, Column]:
-    """Count, mean and population deviation of the numbers in a list."""
-    numbers = F.transform(items, number_or_zero)
-    n = F.size(items)
-    add = lambda a, x: a + x
-    mean = F.when(n > 0, F.aggregate(numbers, F.lit(0.0), add) / n).otherwise(0.0)
-    square = F.when(n > 0, F.aggregate(F.transform(numbers, lambda x: (x - mean) * (x - mean)), F.lit(0.0), add) / n).otherwise(0.0)
-    return {"count": n, "mean": mean, "std": F.sqrt(square)}
+    """Count, mean and population deviation of the numbers in a list, in one pass over it."""
+
+    def add(state: Column, x: Column) -> Column:
+        n, off = state["n"] + 1, x - state["mean"]
+        mean = state["mean"] + off / n
+        return F.struct(n.alias("n"), (state["sum"] + x).alias("sum"), mean.alias("mean"), (state["square"] + off * (x - mean)).alias("square"))
+
+    none = F.struct(*(F.lit(0.0).alias(c) for c in ("n", "sum", "mean", "square")))
+    got = F.aggregate(F.transform(items, number_or_zero), none, add)
+    n = F.greatest(got["n"], F.lit(1.0))
+    return {"count": F.size(items), "mean": got["sum"] / n, "std": F.sqrt(got["square"] / n)}
 
 
 def base_name(path: Column) -> Column:

@@ -25,7 +25,9 @@ def _ranked(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], p
     counts = df.where(F.col(value).isNotNull()).groupBy(key.alias("_k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
     cuts = counts.groupBy("_k").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"))
     # The range of a value: how many splitters lie below it (one row of splitters per key).
-    cut = counts.join(cuts, "_k").withColumn("part", F.size(F.filter("cuts", lambda c: c < F.col("v")))).drop("cuts")
+    below = lambda at, step: F.when((at + step <= F.size("cuts")) & (F.get("cuts", at + step - 1) < F.col("v")), at + step).otherwise(at)
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(parts.bit_length()))))  # a binary search
+    cut = counts.join(cuts, "_k").withColumn("part", F.aggregate(steps, F.lit(0), below)).drop("cuts")
     per_part = cut.groupBy("_k", "part").agg(F.sum("c").alias("own"))
     per_key = Window.partitionBy("_k")
     placed = per_part.select("_k", "part", (F.sum("own").over(per_key.orderBy("part")) - F.col("own")).alias("before"), "own", F.sum("own").over(per_key).alias("n"))
