@@ -2,14 +2,15 @@
 
 A document's features are the hashed character n-grams of its words (in angle
 brackets, lower case).  A feature's value is how often the n-gram occurs per
-word of the text, up to a bound, scaled by its naive Bayes log-count ratio,
-which is smoothed towards the class balance.  A logistic regression is trained
-on the scaled features by stochastic gradient descent.  N-grams that carry next
-to no weight are dropped from the table.
+word of the text, scaled by its naive Bayes log-count ratio, which is smoothed
+towards the class balance.  Only n-grams that tell the classes apart with some
+certainty are features: with all of them, a few hundred texts of the rare class
+are learned by heart.  A logistic regression is trained on the scaled features
+by stochastic gradient descent.
 
 Defined results: null text counts as empty; an empty text has the score of the
 bias alone; without any labelled row every score is 0.5; repeated rows each get
-a row; extra columns are ignored.
+a row; extra columns are ignored; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -27,17 +28,18 @@ from netweave.llm.labelled import MAX_ROWS, training_rows
 
 BUCKETS = 1 << 20
 MIN_GRAM, MAX_GRAM = 3, 6
-#: A value is SCALE times the occurrences per word, CAP at most.
-SCALE, CAP = 30.0, 3.0
+#: A value is SCALE times the occurrences per word.
+SCALE = 30.0
 #: Pseudo-documents by which each ratio is pulled to the class balance.
 SMOOTH = 30.0
-#: N-grams of fewer training texts, or with a ratio nearer to 0, are no features.
+#: N-grams of fewer training texts, with a ratio nearer to 0, or that tell the classes apart by fewer standard errors, are no features.
 MIN_TEXTS, MIN_RATIO = 3, 0.6
+MIN_SURE = 3.0
 EPOCHS = 12
+#: Most that a row of the rarer class weighs in the loss.
+MOST_WEIGHT = 8.0
 RATE = 0.2
 DECAY = 1e-3
-#: Weights under this part of a unit of log-odds are dropped.
-LEAST = 0.01
 #: Texts whose n-grams are looked at together; bounds the memory of a step.
 STEP = 64
 
@@ -68,7 +70,7 @@ def values(texts: list[str], live: np.ndarray | None = None) -> tuple[np.ndarray
     key, inverse = np.unique(np.repeat(text, size) * BUCKETS + bucket[at], return_inverse=True)
     total = np.bincount(inverse, np.repeat(times, size), len(key))
     n_words = np.array([max(1, sum(c.values())) for c in counts], float)
-    return key // BUCKETS, key % BUCKETS, np.minimum(SCALE * total / n_words[key // BUCKETS], CAP)
+    return key // BUCKETS, key % BUCKETS, SCALE * total / n_words[key // BUCKETS]
 
 
 def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
@@ -82,32 +84,36 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS, seed: int =
         ends = np.searchsorted(text, np.arange(len(part) + 1))
         docs += [(bucket[i:j].astype(np.int32), value[i:j].astype(np.float32)) for i, j in zip(ends[:-1], ends[1:])]
     y = np.array(labels)
-    share = float(np.clip(y.mean(), 0.01, 0.99))
-    mass, seen = np.zeros((2, BUCKETS)), np.zeros(BUCKETS, np.int32)
+    mass, seen = np.zeros((2, BUCKETS)), np.zeros((2, BUCKETS))
     for (b, v), label in zip(docs, y):
         mass[label][b] += v
-        seen[b] += 1
+        seen[label][b] += 1
     n1 = int(y.sum())
     usual = mass.sum(0) / len(y)
     ratio = np.log((mass[1] + SMOOTH * usual + 1e-9) / (n1 + SMOOTH)) - np.log((mass[0] + SMOOTH * usual + 1e-9) / (len(y) - n1 + SMOOTH))
-    ratio[(seen < MIN_TEXTS) | (np.abs(ratio) < MIN_RATIO)] = 0
+    # How far the share of texts with the n-gram differs between the classes, in standard errors of its log-odds.
+    odds = np.log(seen[1] + 0.5) - np.log(n1 - seen[1] + 0.5) - np.log(seen[0] + 0.5) + np.log(len(y) - n1 - seen[0] + 0.5)
+    sure = np.abs(odds) / np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    ratio[(seen.sum(0) < MIN_TEXTS) | (np.abs(ratio) < MIN_RATIO) | (sure < MIN_SURE)] = 0
     for i, (b, v) in enumerate(docs):
         used = ratio[b] != 0
         docs[i] = (b[used], (v[used] * ratio[b[used]]).astype(np.float32))
     rng = np.random.default_rng(seed)
-    w, bias, squares, step = np.zeros(BUCKETS), math.log(share / (1 - share)), np.full(BUCKETS, 1e-2), 0
+    # Both classes weigh the same in the loss: the rare one has to be found.
+    weigh = len(y) / (2 * np.maximum(np.bincount(y, minlength=2), 1))
+    w, bias, squares, step = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-2), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             b, x = docs[i]
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, bias + float(w[b] @ x)))))
-            g = p - y[i]
+            g = float(min(weigh[y[i]], MOST_WEIGHT)) * (p - y[i])
             step += 1
             bias -= 0.05 * g / math.sqrt(1 + step / len(docs))
             gx = g * x + DECAY * w[b]
             squares[b] += gx * gx
             w[b] -= RATE * gx / np.sqrt(squares[b])
     weights = w * ratio
-    live = np.flatnonzero(np.abs(weights) > LEAST)
+    live = np.flatnonzero(weights)
     return live.astype(np.int32), weights[live], bias
 
 
