@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import MEMO_ROWS, arrow_map, held_out, slices, word_grams
+from netweave.llm.common import MEMO_ROWS, MEMO_WORD, arrow_map, held_out, slices, word_grams
 from netweave.llm.labelled import training_rows
 
 #: Most labelled rows that are trained on (a bound).
@@ -115,7 +115,11 @@ class Scorer:
         new = list(set().union(*split).difference(self.words))
         for at in range(0, len(new), 20_000):
             self.learn(new[at : at + 20_000])
-        return [self._score(p) for p in split]
+        out = [self._score(p) for p in split]
+        for w in new:
+            if len(w) > MEMO_WORD:  # a text without spaces is one word: not to be kept
+                del self.words[w]
+        return out
 
     def _score(self, words: list[bytes]) -> float:
         total = sum(map(self.words.__getitem__, words), 0j)

@@ -7,7 +7,8 @@ segmented, and its ids are decoded, once per worker and batch; ids and decoded
 words are joined back by position.  ``check_model`` refuses other vocabularies.
 
 Defined results: null text counts as empty and has no ids; repeated rows each
-get a row; extra columns are ignored.
+get a row; extra columns are ignored; an empty table gives none.  The table
+keeps words of MEMO_WORD characters at most, MEMO_ROWS of them and one batch.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netweave.llm.common import MEMO_ROWS, arrow_map, slices
+from netweave.llm.common import MEMO_ROWS, MEMO_WORD, arrow_map, slices
 
 MARK = "▁"
 #: A space and the library's own marker mean the same in a text.
@@ -79,6 +80,10 @@ class PieceTable:
             ids = ",".join(map(get, p))
             back = " ".join(p) if odd.keys().isdisjoint(p) else " ".join([odd.get(w, w) for w in p])
             out.append((ids.count(",") + 1 if ids else 0, ids, back))
+        for w in unknown:
+            if len(w) > MEMO_WORD:  # a text without spaces is one word: not to be kept
+                del self.ids[w]
+                odd.pop(w, None)
         return out
 
 
