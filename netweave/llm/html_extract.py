@@ -7,14 +7,16 @@ small labelled table below, says which blocks are main text; words and link
 density decide in every container, whatever its name.
 
 Defined results: null or empty html, and pages without main text, give an empty
-text; broken markup (unclosed tags, cut-off pages) is read as far as it goes;
-repeated pages each get a row; extra columns are ignored.
+text; broken markup (unclosed tags and quotes, cut-off pages) is read as far as
+it goes, in time that grows with the page's length; repeated pages each get a
+row; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,15 +49,15 @@ LIKELY = {"article": 3, "none": 2, "aside": 1, "comment": 1, "form": 1, "header"
 #: Names with one of these words tell of a layout, not of what is inside ("no-sidebar", "header-fixed").
 LAYOUT = frozenset("no not non without has have with hide hidden layout fixed sticky open closed collapsed enabled disabled content".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(/?)>", re.S)
+_NAME = re.compile(r"[A-Za-z][^\s/><]*")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-_CLOSE = {x: re.compile(rf"</{x}\b[^>]*>", re.I) for x in SKIPPED}
+_CLOSE = {x: re.compile(rf"</{x}\b", re.I) for x in SKIPPED} | {"head": re.compile(r"</head\s*>|<body\b", re.I)}
 
 
-def container(tag: str, attributes: str, inside: list[tuple[str, str]]) -> str:
-    """The kind of container that an opening tag begins ('' keeps the outer kind)."""
-    outer = inside[-1][1] if inside else "none"
+def container(tag: str, attributes: str, outer: str, firm: bool) -> str:
+    """The kind of container that an opening tag begins ('' keeps ``outer``); ``firm``: an element of that kind is open."""
     if tag in ("html", "body"):
         return ""  # their names tell of the whole page
     if tag == "header" and outer == "article":
@@ -78,14 +80,76 @@ def container(tag: str, attributes: str, inside: list[tuple[str, str]]) -> str:
                     elif kind and not (kind == "header" and outer == "article"):
                         return kind
     # A name undoes an outer name or a form around the page, but no element such as <nav>, and neither comments nor asides.
-    firm = outer in ("comment", "aside") or outer != "form" and any(CONTAINERS.get(x) == outer for x, _ in inside)
-    return "" if firm else weak
+    return "" if outer in ("comment", "aside") or firm and outer != "form" else weak
+
+
+class _Tags:
+    """The tags of a page in order, in time that grows with its length, however broken it is."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.quotes = True  # until quotes have swallowed the rest of the page once
+
+    def end(self, at: int) -> int:
+        """Where the tag that is open at ``at`` ends, -1 if it does not."""
+        if at > self.last:
+            return -1
+        start = at
+        while self.quotes:
+            m = _STOP.search(self.page, at)
+            if m is None:
+                self.quotes = False
+            elif m[0] == ">":
+                return m.start()
+            else:  # a quote without its fellow is an ordinary character: there is no other one after it
+                close = self.page.find(m[0], m.end())
+                at = close + 1 if close >= 0 else m.end()
+        return self.page.find(">", start)
+
+    def __iter__(self) -> Iterator[tuple[str, str, str, bool]]:
+        """(text before, tag name or '', attributes, whether it closes); text after the last tag comes with ''."""
+        page, n = self.page, len(self.page)
+        self.at = 0  # where to go on; the reader may move it
+        while True:
+            at = self.at
+            open_ = page.find("<", at)
+            if open_ < 0:
+                yield page[at:], "", "", False
+                return
+            nxt = page[open_ + 1 : open_ + 2]
+            if nxt in ("!", "?") and nxt:
+                mark, least = ("-->", open_ + 4) if page.startswith("<!--", open_) else (">", open_ + 1)
+                end = page.find(mark, least)
+                self.at = end + len(mark) if end >= 0 else n
+                yield page[at:open_], "", "", False
+                continue
+            closes = nxt == "/"
+            m = _NAME.match(page, open_ + 1 + closes)
+            end = self.end(m.end()) if m else -1
+            if end < 0:
+                cut = m and page.find("<", open_ + 1) < 0  # a tag cut off by the end of the page
+                self.at = n if cut else open_ + 1
+                yield page[at : open_ + (not cut)], "", "", False
+                continue
+            self.at = end + 1
+            yield page[at:open_], m[0].lower(), page[m.end() : end], closes
+
+    def skip(self, tag: str) -> None:
+        """Go on after the end of ``tag``, or at the end of the page."""
+        end = _CLOSE[tag].search(self.page, self.at)
+        if tag == "head":
+            self.at = end.start() if end else self.at
+        else:
+            close = self.page.find(">", end.end()) if end else -1
+            self.at = close + 1 if close >= 0 else len(self.page)
 
 
 def blocks(page: str) -> list[tuple[str, int, int, str]]:
     """Flat text blocks: (text, words, words inside links, kind of container)."""
     out: list[tuple[str, int, int, str]] = []
     inside: list[tuple[str, str]] = []
+    depth: Counter = Counter()  # open elements by tag
+    firm: Counter = Counter()  # open elements by the kind their tag stands for
     text: list[str] = []
     linked: list[str] = []
     link = False
@@ -96,62 +160,63 @@ def blocks(page: str) -> list[tuple[str, int, int, str]]:
             words = entities.unescape("".join(text)).split()
             if words:
                 in_links = len(entities.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((" ".join(words), len(words), min(in_links, len(words)), inside[-1][1] if inside else "none"))
+                out.append((" ".join(words), len(words), min(in_links, len(words)), outer()))
             text, linked = [], []
 
-    def take(piece: str) -> None:
+    def outer() -> str:
+        return inside[-1][1] if inside else "none"
+
+    def kind_of(tag: str, attributes: str) -> str:
+        return container(tag, attributes, outer(), firm[outer()] > 0)
+
+    def push(tag: str, kind: str) -> None:
+        inside.append((tag, kind))
+        depth[tag] += 1
+        firm[CONTAINERS.get(tag)] += 1
+
+    def pop() -> str:
+        tag = inside.pop()[0]
+        depth[tag] -= 1
+        firm[CONTAINERS.get(tag)] -= 1
+        return tag
+
+    tags = _Tags(page)
+    for piece, tag, attributes, closes in tags:
         if piece:
             text.append(piece)
             if link:
                 linked.append(piece)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[A-Za-z/!?][^<>]*\Z", rest)  # a tag cut off by the end of the page
-            take(rest[: cut.start()] if cut else rest)
-            break
-        take(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if tag in SKIPPED and not m[1]:
-            if tag == "head" or m[4]:
-                if tag == "head" and (end := re.compile(r"</head\s*>|<body\b", re.I).search(page, at)):
-                    at = end.start()
-                continue
-            end = _CLOSE[tag].search(page, at)
-            at = end.end() if end else n
+        if not tag:
             continue
-        if tag == "a":
-            link = not m[1]
-            continue
-        if tag in INLINE:
-            if not m[1] and tag == "span" and container(tag, m[3], inside):
+        whole = attributes.endswith("/")
+        if tag in SKIPPED and not closes:
+            if tag == "head" or not whole:
+                tags.skip(tag)
+        elif tag == "a":
+            link = not closes
+        elif tag in INLINE:
+            if tag == "span" and not closes and (kind := kind_of(tag, attributes)):
                 flush()  # a span that is named as an advert or the like stands apart
-                inside.append((tag, container(tag, m[3], inside)))
-            elif m[1] and tag == "span" and inside and inside[-1][0] == "span":
+                push(tag, kind)
+            elif tag == "span" and closes and inside and inside[-1][0] == "span":
                 flush()
-                inside.pop()
-            continue
-        flush()
-        link = False
-        if tag in VOID:
-            continue
-        if tag in OPTIONAL and not m[1]:  # its end may be missing: it is on the stack only where it is named
-            if inside and inside[-1][0] == tag:
-                inside.pop()
-            if kind := container(tag, m[3], inside):
-                inside.append((tag, kind))
-        elif not m[1]:
-            if not m[4]:
-                inside.append((tag, container(tag, m[3], inside) or (inside[-1][1] if inside else "none")))
-        elif any(x == tag for x, _ in inside):
-            while inside.pop()[0] != tag:
-                pass
+                pop()
+        else:
+            flush()
+            link = False
+            if tag in VOID:
+                continue
+            if tag in OPTIONAL and not closes:  # its end may be missing: it is on the stack only where it is named
+                if inside and inside[-1][0] == tag:
+                    pop()
+                if kind := kind_of(tag, attributes):
+                    push(tag, kind)
+            elif not closes:
+                if not whole:
+                    push(tag, kind_of(tag, attributes) or outer())
+            elif depth[tag]:
+                while pop() != tag:
+                    pass
     flush()
     return out
 
@@ -169,6 +234,10 @@ form 2 0 0; form 5 0 0; none 3 3 0; none 14 0 1; none 50 0 1; none 45 0 1; none
 article 6 0 1; article 20 0 1; article 25 0 1; ad 25 3 0; article 44 0 1; article 2 0 1; article 61 0 1; notice 12 0 0; article 8 0 1; article 150 9 1
 header 2 2 0; header 60 0 0; nav 12 12 0; article 1 0 1; article 1 0 1; article 1 0 1; comment 1 0 0; comment 2 0 0; footer 120 0 0
 none 2 0 0; none 1 1 0; none 2 2 0; none 1 1 0; none 3 3 0; none 2 0 0
+none 4 0 1; none 2 0 1; none 90 0 1; none 70 0 1; none 15 0 1; none 120 0 1; none 80 0 1; none 2 0 1; none 3 0 1; none 90 0 1; none 2 0 1; none 60 0 1
+none 6 0 1; none 3 0 1; none 45 0 1; none 3 0 1; none 60 0 1; none 2 0 1; none 4 0 1; none 50 0 1; none 1 0 1; none 35 0 1; none 5 0 1; none 6 0 1
+none 1 1 0; none 2 2 0; none 1 0 1; none 12 0 1; none 3 0 1; none 40 0 1; none 4 0 1; none 5 0 1; none 20 0 1; none 2 0 1; none 30 0 1; none 3 3 0; none 2 2 0
+none 3 0 1; none 9 0 1; none 2 0 1; none 8 0 1; none 4 0 1; none 100 0 1; none 3 0 1; none 25 0 1; none 1 0 1; none 2 0 1; none 75 0 1; footer 9 0 0
 none 95 0 1; none 15 0 1; none 200 2 1; none 6 0 1; none 58 0 1; none 1 0 1; none 77 1 1; none 4 4 0; none 4 3 0; none 2 0 0
 ad 4 4 0; ad 90 0 0; article 12 0 1; article 310 0 1; form 40 0 0; form 1 0 0; aside 1 1 0; aside 140 1 1; footer 2 0 0; footer 45 0 0
 none 14 14 0; none 22 20 0; none 9 8 0; none 16 1 1; none 70 2 1; none 11 0 1; none 48 0 1; none 10 10 0; none 35 30 0; none 12 9 0; footer 15 1 0
