@@ -146,11 +146,11 @@ def word_grams(words: list[bytes], least: int, most: int) -> tuple[np.ndarray, n
     owner = np.repeat(np.arange(len(words)), sizes)
     room = np.cumsum(sizes)[owner] - np.arange(len(data))  # bytes to the end of the word
     packed, hashes, owners = data.copy(), [], []
-    for n in range(1, most + 1):
+    for n in range(1, min(most, len(data)) + 1):
         if n > 1:
             packed[: len(data) - n + 1] |= data[n - 1 :] << np.uint64(8 * (n - 1))
         if n >= least:
             whole = room >= n
             hashes.append(mix64(packed[whole] + np.uint64(n << 58)))
             owners.append(owner[whole])
-    return np.concatenate(hashes), np.concatenate(owners)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *owners])
