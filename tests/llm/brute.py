@@ -57,6 +57,24 @@ def base_counts(text):
     return {"n_words": len(w), "word_chars": sum(map(len, w)), "n_symbols": len(re.findall(r"[#*$%&|<>]", text)), "n_dup_lines": dup, "n_repeat_words": len(covered), "base_failed": len(w) < 50 or 100 * len(covered) > 50 * len(w)}
 
 
+def kept(text):
+    """Whether the base and every quality rule let a text pass."""
+    text = text or ""
+    c, w = base_counts(text), words(text)
+    lines = [x for x in text.split("\n") if words(x)]
+    rejected = [
+        c["base_failed"],
+        100 * c["n_symbols"] > 30 * c["n_words"],
+        not 2 * c["n_words"] <= c["word_chars"] <= 30 * c["n_words"],
+        100 * c["n_dup_lines"] > 60 * len(lines),
+        100 * sum(x.endswith("!") for x in w) > 50 * c["n_words"],
+        100 * sum(x.rstrip(" \t\n\x0b\x0c\r").endswith(("...", "…")) for x in lines) > 60 * len(lines),
+        100 * sum(x.isalpha() for x in text) < 40 * c["word_chars"],
+        100 * sum(a == b for a, b in zip(w, w[1:])) > 40 * c["n_words"],
+    ]
+    return not any(rejected)
+
+
 def kept_lines(rows):
     """doc_id -> (lines, dropped, kept text)."""
     key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
@@ -84,5 +102,6 @@ def judge_url(url, rules=RULES, default="allow"):
         host, rest = (rest[: cut.start()], rest[cut.start() :]) if cut else (rest, "")
         path = re.split(r"[?#]", rest, maxsplit=1)[0]
     host = lower(host)
-    best = max(((len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)), default=(0, None, default))
-    return host, path, best[1], best[2]
+    fit = ((len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
+    best = max(fit, default=(0, 0, None, default))  # of two of one length the one with the longer host
+    return host, path, best[2], best[3]

@@ -46,6 +46,62 @@ def test_link_components(spark, k, percent):
     assert found == brute.components(rows, k, percent)
 
 
+def test_lower_similarity_and_frequent_shingles(spark, monkeypatch):
+    """At 70 percent, with pairs of frequent shingles for all: no link is lost; below 50 is refused."""
+    monkeypatch.setattr(ngram_join, "FREQUENT", 0)
+    monkeypatch.setattr(ngram_join, "LOADS", 0)
+    rows = corpus(seed=6, size=90)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(documents(spark, rows), k=4, percent=70).collect()}
+    assert found == brute.components(rows, 4, 70)
+    with pytest.raises(ValueError):
+        ngram_join.link_components(documents(spark, rows), percent=40)
+
+
+def test_signatures_of_linked_sets_meet():
+    """Any two sets at the threshold share a signature, at every percent and size."""
+    import random
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    levels = np.full(1 << ngram_join.SKETCH_BITS, 9, np.uint8)
+    for percent in (50, 60, 70, 80, 85, 95):
+        for n in (20, 60, 200, 900, 1500):
+            shared = int(np.ceil(n * percent / 100))  # the smaller set lies inside the larger one
+            for _ in range(10):
+                a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+                b = np.sort(np.array(random.Random(int(a[0])).sample(a.tolist(), shared), np.uint64))
+                for cut in (0, 200):  # all frequent; all rare
+                    got = [np.concatenate(ngram_join.signatures(x, levels, cut, percent)) for x in (a, b)]
+                    assert len(np.intersect1d(*got)), (percent, n, cut)
+
+
+def test_sketches_never_tell_more_than_the_sets():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 43, 300, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 2**63, n // 3 + 1, dtype=np.int64).astype(np.uint64)]))
+        x, y = ngram_join.parity(a), ngram_join.parity(b)
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        while len(y) > len(x):
+            y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+        bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64))
+        assert bits <= len(np.setxor1d(a, b))
+
+
+def test_sweep_of_one_signature_over_many_partitions(spark):
+    """All rows of a hot signature keep one leader wherever partitions are cut."""
+    from netweave.llm.common import Scratch
+
+    rows = [(7, n, 10) for n in range(50)] * 2 + [(3, 1, 10), (9, 4, 10), (9, 5, 10), (11, 6, 10)]
+    sigs = spark.createDataFrame(rows, "sig long, node long, n int").repartition(4)
+    got = sorted((r.sig, r.lead, r.node) for r in ngram_join._members(sigs, Scratch(spark, "sweep")).collect())
+    assert got == sorted([(7, 0, n) for n in range(50)] + [(9, 4, 4), (9, 4, 5)])
+
+
 def test_near_copies_of_one_base(spark):
     """Many copies whose similarity to each other lies around the threshold."""
     import random

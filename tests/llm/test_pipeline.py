@@ -2,17 +2,18 @@
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from netweave.llm import quality_model, quality_rules
+from netweave.llm import quality_model
 from tests.llm import brute
 
 
 def test_pipeline_against_plain_steps(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    rows = [(i, t) for i, t in rows if not quality_rules.base_failed(c := quality_rules.base_counts(t or "")) and not any(rule(c) for rule in quality_rules.RULES.values())]
+    rows = [(i, t) for i, t in rows if brute.kept(t)]
     model = quality_model.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = quality_model.Scorer(*model).scores([t or "" for _, t in rows])
     rows = [r for r, s in zip(rows, scores) if s >= 0.5]
@@ -49,6 +50,25 @@ def test_stages_keep_the_columns_of_documents(spark, sf_dir):
         assert stage(spark, docs, sf_dir).columns == docs.columns, name
 
 
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_on_awkward_rows(spark, sf_dir):
+    """Nulls in any column, repeated rows and clashing names go through every stage."""
+    from tests.llm.tables import corpus, documents
+
+    rows = [(i, t) for i, t in corpus(size=40)] + [(None, None), (None, "a b c"), (12, "x y"), (12, "x y")]
+    docs = documents(spark, rows).withColumns({c: F.lit(None).cast("string") for c in ("lang", "source")})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() <= len(rows), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).count() >= len(rows)
+
+
 def test_queries_and_oracles():
     import __spark_entry__ as entry
 
