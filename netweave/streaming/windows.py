@@ -76,9 +76,8 @@ def place(batch: DataFrame, held: DataFrame | None, seen: DataFrame | None, key:
 
 
 def _forget(spark, path: str) -> None:
-    """Delete a folder in whatever store it is."""
-    old = spark._jvm.org.apache.hadoop.fs.Path(path)
-    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    """Give back the space of a stored folder, in whatever store it is: an empty table takes its place."""
+    spark.createDataFrame([], "none int").write.mode("overwrite").parquet(path)
 
 
 def score_windows(spark, stream: DataFrame, key: str, order: str, columns: list[str], score, sink, checkpoint: str, size: int = 200, **trigger):
@@ -104,7 +103,8 @@ def score_windows(spark, stream: DataFrame, key: str, order: str, columns: list[
         finally:
             placed.unpersist()
             batch.unpersist()
-        _forget(own, at(number - 2))
+        if number > 1:
+            _forget(own, at(number - 2))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
