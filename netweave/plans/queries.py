@@ -344,11 +344,11 @@ def _spectral_query(signal: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
         found = spectral.signal_metrics(signal_rows(flows, ["pod", "wid"]), ["pod", "wid"]).where(F.col("signal") == signal).drop("signal")
-        found = found.withColumn("energy", F.col("energy") / 1e6)
-        return rounded(found, *spectral.METRICS)
+        # Energies of whole numbers are multiples of a half: with fewer places, ties would be rounded by their last bit.
+        return rounded(rounded(found.withColumn("energy", F.col("energy") / 1e6), "energy", places=7), *spectral.METRICS[1:])
 
     run.__name__ = f"spectral_features_{signal}"
-    oracle = f"WITH {_WINDOWED}, {sql.dft(_series_sql(signal, 'w', 'pod, wid'), 'pod, wid')}, m AS ({sql.spectral('pod, wid')}) SELECT pod, wid, n, {rnd('energy / 1e6')} AS energy, {_METRICS} FROM m"
+    oracle = f"WITH {_WINDOWED}, {sql.dft(_series_sql(signal, 'w', 'pod, wid'), 'pod, wid')}, m AS ({sql.spectral('pod, wid')}) SELECT pod, wid, n, {rnd('energy / 1e6', 7)} AS energy, {_METRICS} FROM m"
     query(oracle)(run)
 
 
@@ -393,13 +393,13 @@ _BENIGN = f"{sql.NUMBERED}, bn AS (SELECT *, row_number() OVER (PARTITION BY pod
 _UNPIVOT = " UNION ALL ".join(f"SELECT signal, '{m}' AS metric, {m}{' / 1e6' if m == 'energy' else ''} AS v FROM ent_w" for m in spectral.METRICS)
 
 
-@query(f"WITH {_BENIGN}, u AS ({_UNPIVOT}) SELECT signal, metric, count(*) AS n, {rnd('avg(v)')} AS mean, {rnd('stddev_pop(v)')} AS std, {rnd('min(v)')} AS least, {rnd('max(v)')} AS most FROM u GROUP BY signal, metric")
+@query(f"WITH {_BENIGN}, u AS ({_UNPIVOT}) SELECT signal, metric, count(*) AS n, {rnd('avg(v)', 7)} AS mean, {rnd('stddev_pop(v)', 7)} AS std, {rnd('min(v)', 7)} AS least, {rnd('max(v)', 7)} AS most FROM u GROUP BY signal, metric")
 def fft_ruleset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spectral ruleset of the benign rows, with the ends of its values."""
     rules = fft_rules(read_flows(spark, sf_dir).where("label = 0"))
     unit = F.when(F.col("metric") == "energy", 1e6).otherwise(1.0)
     ends = rules.select("signal", "metric", "n", *((F.col(c) / unit).alias(c) for c in ("mean", "std")), (F.array_min("values") / unit).alias("least"), (F.array_max("values") / unit).alias("most"))
-    return rounded(ends, "mean", "std", "least", "most")
+    return rounded(ends, "mean", "std", "least", "most", places=7)
 
 
 @query(
