@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages, each on all that its predecessor kept."""
+"""The corpus pipeline: five stages, each on all that its predecessor kept.
+
+Defined results: null and empty texts fail the quality rules and go; other
+columns may be null and pass through, extra ones and clashing names too; of
+rows that repeat doc_id and text a defined one stays (the exact dedup); rows
+without a doc_id are judged and deduplicated by their text, link nothing in the
+near dedup and are packed; very long texts count whole; an empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
