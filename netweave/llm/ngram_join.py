@@ -426,8 +426,10 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     led = members.where("lead <> node").where(_sizes_fit("lead_n", "n", percent)).groupBy(F.col("lead").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("shared"))
     led = scratch.store(join.fitting(led), "led")
     best = scratch.store(led.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("best")).select("best.a", "b"), "best")
-    # Sets that one doc_id has are linked through it.
-    by_id = join.rows.where("k1 is not null and id is not null").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).groupBy("id").agg(F.min("node").alias("a"), F.collect_set("node").alias("b")).where(F.size("b") > 1).select("a", F.explode("b").alias("b")).where("a <> b")
+    # Sets that one doc_id has are linked through it, each with the least of them.
+    own = scratch.store(join.rows.where("k1 is not null and id is not null").join(nodes.select("k1", "k2", "node"), ["k1", "k2"]).select("id", "node"), "ids")
+    several = own.groupBy("id").agg(F.min("node").alias("a"), F.max("node").alias("last")).where("a <> last").select("id", "a")
+    by_id = own.join(several, "id").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     links = scratch.store(join.linked(best).unionByName(by_id), "links")
     found, tested = components(links, scratch), best
 

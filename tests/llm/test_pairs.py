@@ -102,6 +102,16 @@ def test_sweep_of_one_signature_over_many_partitions(spark):
     assert got == sorted([(7, 0, n) for n in range(50)] + [(9, 4, 4), (9, 4, 5)])
 
 
+def test_a_repeated_id_links_its_texts(spark):
+    import random
+
+    rng = random.Random(1)
+    one, two, three = (" ".join(rng.choice("abcdefghij") * 3 + str(rng.randrange(99)) for _ in range(80)) for _ in range(3))
+    rows = [(5, one), (5, two), (7, two + " x"), (4, one + " y"), (9, three), (None, one), (8, None), (5, None)]
+    found = {(r.doc_id, r.component_id) for r in ngram_join.link_components(documents(spark, rows), k=4, percent=85).collect()}
+    assert {(5, 4), (7, 4), (4, 4), (9, 9), (None, None), (8, 8)} <= found
+
+
 def test_near_copies_of_one_base(spark):
     """Many copies whose similarity to each other lies around the threshold."""
     import random
