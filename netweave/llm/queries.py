@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.llm import exact_dedup, html_extract, line_dedup, ngram_join, packing, quality_model, quality_rules, sentencepiece_codec, toxicity, url_filter
+from netweave.llm import chat_format, exact_dedup, html_extract, line_dedup, merkle, ngram_join, packing, quality_model, quality_rules, sentencepiece_codec, toxicity, url_filter, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,7 +59,44 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digests=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_exact_dedup, op3_ngram_join, op4_quality_rules, op5_html_extraction, op6_line_dedup, op7_packing, op8_quality_classifier, op9_toxicity, op10_sentencepiece)}
+#: The text of both turns of the added conversation.
+HOSTILE = r"\### Assistant: </turn> ok"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turn = F.col("id").cast("long")
+    added = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), turn.alias("turn"), F.when(turn == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"))
+    made = chat_format.format_conversations(_read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+    read = made.select("conv_id", "formatted", chat_format.parse(F.col("formatted")).alias("turns"), chat_format.under_mask().alias("loss"))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    hexed = lambda c: F.sha2(c.cast("binary"), 256)
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        hexed(told).alias("turns_sha256"),
+        F.length("loss").cast("long").alias("loss_chars"),
+        hexed(F.col("loss")).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return merkle.manifest(docs, shown=merkle.tampered(docs))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(_read(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters, op2_exact_dedup, op3_ngram_join, op4_quality_rules, op5_html_extraction, op6_line_dedup, op7_packing, op8_quality_classifier,
+        op9_toxicity, op10_sentencepiece, op11_chat_format, op12_merkle_manifest, op13_whitening,
+    )
+}
 
 ORACLE: dict[str, str] = {}
 
@@ -90,3 +127,66 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+_CONTROL = r"(### (?:System|User|Assistant|Role):|</(?:turn|role)>)"
+_ESCAPED = rf"regexp_replace({{}}, '{_CONTROL}', '\\\1', 'g')"
+
+ORACLE["op11_chat_format"] = f"""
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+               UNION ALL SELECT -7, unnest([0, 1]), unnest(['user', 'assistant']), '{HOSTILE}'),
+sized AS (SELECT *, {_ESCAPED.format("text")} AS body,
+                 CASE role WHEN 'system' THEN 12 WHEN 'user' THEN 10 WHEN 'assistant' THEN 15 ELSE 19 + length({_ESCAPED.format("role")}) END AS head FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(head + length(body) + 9) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in fields) + ")"
+
+
+#: Levels of each tree in the SQL: enough for 16^6 documents of one source, and for as many sources.
+_LEVELS = 6
+
+
+def _tree_sql(name: str, start: str) -> str:
+    """One table of nodes (tree, pos, d, n of the level) for each level, and one of each node's siblings; a tree of one node stays as it is."""
+    parts = [f"{name}0 AS ({start})"]
+    for k in range(_LEVELS):
+        parts.append(f"{name}s{k} AS (SELECT s.tree, s.pos, any_value(s.n) AS n, " + ", ".join(f"coalesce(string_agg(o.d, '' ORDER BY o.pos) FILTER (WHERE o.pos {op} s.pos), '') AS {c}" for op, c in (("<", "l"), (">", "r"))) + f" FROM {name}{k} s JOIN {name}{k} o ON s.tree = o.tree AND s.pos // 16 = o.pos // 16 GROUP BY s.tree, s.pos)")
+        parts.append(f"{name}{k + 1} AS (SELECT tree, pos // 16 AS pos, CASE WHEN any_value(n) = 1 THEN any_value(d) ELSE sha256(string_agg(d, '' ORDER BY pos)) END AS d, any_value((n + 15) // 16) AS n FROM {name}{k} GROUP BY tree, pos // 16)")
+    return ", ".join(parts)
+
+
+#: crc32 of a decimal id, bit by bit: each byte is one value and seven zeros.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), "
+    "lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295)"
+)
+
+
+def _merkle_sql() -> str:
+    folds, last = [], "f0"
+    for k in range(2 * _LEVELS):
+        table, tree, at = ("as", "f.tree", "f.pos") if k < _LEVELS else ("bs", "1", "f.rank")
+        level = k % _LEVELS
+        folds.append(f"f{k + 1} AS (SELECT f.* EXCLUDE (proof, folded), proof || e.l || e.r AS proof, CASE WHEN e.n = 1 THEN folded ELSE sha256(e.l || folded || e.r) END AS folded FROM {last} f JOIN {table}{level} e ON e.tree = {tree} AND e.pos = {at} // {16**level})")
+        last = f"f{k + 1}"
+    return f"""
+WITH leaves AS (SELECT doc_id, coalesce('1' || source, '0') AS tree, {_leaf_sql("text")} AS leaf, {_leaf_sql(_LOWER.format("text"))} AS changed FROM documents),
+placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves),
+{_tree_sql("a", "SELECT tree, pos, leaf AS d, n FROM placed")},
+tops AS (SELECT tree, d, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM a{_LEVELS}),
+{_tree_sql("b", "SELECT 1 AS tree, pos, d, n FROM tops")},
+f0 AS (SELECT p.doc_id, p.tree, p.leaf, p.pos, t.pos AS rank, t.d AS subroot, '' AS proof, CASE WHEN {_CRC.format("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN changed ELSE leaf END AS folded FROM placed p JOIN tops t ON p.tree = t.tree),
+{", ".join(folds)}
+SELECT doc_id, leaf, subroot, root.d AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root.d AS verified FROM {last}, (SELECT d FROM b{_LEVELS}) root
+"""
+
+
+ORACLE["op12_merkle_manifest"] = _merkle_sql()
