@@ -10,8 +10,9 @@ merged by the same packer in rounds, each over ``FAN_IN`` times fewer tasks.
 
 Defined results: null text counts as empty and gives one piece, the closing id
 alone; repeated rows are packed each on its own; extra columns are ignored; an
-empty table gives no piece.  A very long text is cut as it goes, in time that
-grows with its length.
+empty table gives no piece.  A very long text, also one long run of white space
+or letters, is encoded whole and cut as it goes, in time that grows with its
+length; added tokens of the vocabulary that stand in a text are single ids.
 """
 
 from __future__ import annotations

@@ -3,14 +3,21 @@
 A vocabulary file whose ids follow its merges (byte-level, without
 normalisation) is loaded into the quicker of the two public tokenizer
 libraries, which gives the same ids and keeps no table of words; any other
-byte-level file is left to the library it was written for.  Nothing is kept
-between texts, so a task's memory follows its longest text alone.
+byte-level file is left to the library it was written for.  Added tokens of the
+file are found in texts first, as that library does.  Nothing is kept between
+texts, so a task's memory follows its longest text alone.
+
+The quicker library's pattern gives up on very long runs of one kind of
+character.  A text is therefore cut around them, where the pattern, which looks
+ahead only, is bound to end a match; the run itself, one match, is merged by the
+library the file was written for.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
 
@@ -40,27 +47,74 @@ def ranks_of(spec: dict) -> dict[bytes, int] | None:
     return {bytes(chars[c] for c in token): i for token, i in vocab.items()}
 
 
+#: Fixed value: white space as the pattern knows it.
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of white space of at least so many characters are cut out.
+LONG = 10_000
+_LONG_RUN = re.compile(f"(?<![{SPACE}])[{SPACE}]{{{LONG},}}")  # tried once for each run
+
+
+def added_tokens(spec: dict) -> dict[str, int] | None:
+    """Added tokens -> id; None where finding them takes more than a plain search."""
+    added = spec.get("added_tokens") or []
+    names = [t["content"] for t in added]
+    plain = all(not (t.get("single_word") or t.get("lstrip") or t.get("rstrip")) for t in added)
+    apart = all(a == b or a not in b for a in names for b in names)
+    return {t["content"]: t["id"] for t in added} if plain and apart and not any(re.search(f"[{SPACE}]", a) for a in names) else None
+
+
+def stretches(text: str) -> list[tuple[str, bool]]:
+    """The text in pieces that are encoded apart, with whether a piece is one run of white space.
+
+    A run gives its last character to what follows, as the pattern does.
+    """
+    out, at = [], 0
+    for run in _LONG_RUN.finditer(text) if len(text) >= LONG else ():
+        end = run.end() - (run.end() < len(text))
+        out += [(text[at : run.start()], False), (text[run.start() : end], True)]
+        at = end
+    return [*out, (text[at:], False)]
+
+
 class ByteBpe:
-    """Encoder of one vocabulary file; kept per worker.  Strings of special tokens are ordinary text."""
+    """Encoder of one vocabulary file; kept per worker."""
 
     def __init__(self, path: str):
+        self.path, self.named = path, None
         with open(path, encoding="utf-8") as f:
-            ranks = ranks_of(json.load(f))
-        if ranks:
+            spec = json.load(f)
+        ranks, added = ranks_of(spec), added_tokens(spec)
+        self.quick = None
+        if ranks and added is not None:
             import tiktoken
 
-            self.whole = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-            self.ids = lambda text: self.whole.encode_to_numpy(text, disallowed_special=())
-        else:
+            self.quick = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.added = added
+            self.mark = re.compile("|".join(map(re.escape, added))) if added else None
+
+    def _whole(self, text: str) -> list[int]:
+        if self.named is None:
             from tokenizers import Tokenizer
 
-            self.whole = Tokenizer.from_file(path)
-            self.whole.encode_special_tokens = True
-            self.ids = lambda text: self.whole.encode(text, add_special_tokens=False).ids
+            self.named = Tokenizer.from_file(self.path)
+        return self.named.encode(text, add_special_tokens=False).ids
+
+    def _ordinary(self, text: str) -> list[np.ndarray]:
+        return [np.asarray(self._whole(t) if run else self.quick.encode_to_numpy(t, disallowed_special=()), "<u4") for t, run in stretches(text) if t]
+
+    def ids(self, text: str) -> np.ndarray:
+        if self.quick is None:
+            return np.asarray(self._whole(text), "<u4")
+        parts, at = [], 0
+        for found in self.mark.finditer(text) if self.mark else ():
+            parts += [*self._ordinary(text[at : found.start()]), np.array([self.added[found[0]]], "<u4")]
+            at = found.end()
+        parts += self._ordinary(text[at:] if at else text)
+        return parts[0] if len(parts) == 1 else np.concatenate([np.zeros(0, "<u4"), *parts])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit values."""
-        return [np.asarray(self.ids(t), "<u4").tobytes() for t in texts]
+        return [self.ids(t).tobytes() for t in texts]
 
 
 _open: dict[str, ByteBpe] = {}

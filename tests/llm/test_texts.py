@@ -187,9 +187,7 @@ def test_html_short_blocks_of_plain_pages_stay():
 def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 TEXTS = ["", " ", "  a", "a ", "a  b", "\n a\tb ", "tab\t word", "<|endoftext|> x", "don't  stop", "ein Wort\u00a0hier", "▁ x▁y", "日本 語", "a\u2003b c", "🙂 x  🙂", "1 234 5,6", "'s 's", " leading", "x" * 5000, "ﬁ \u3000 ２", "a\r\nb", "\x00 b", "é e\u0301"]
@@ -202,12 +200,33 @@ def test_byte_bpe_is_exact():
         assert np.frombuffer(ids, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, repr(t[:40])
 
 
+def test_added_tokens_and_long_runs_are_exact():
+    plain, own = _tokenizer(), byte_bpe(public_tokenizers.path("byte_bpe_50k.json"))
+    assert np.frombuffer(own.encode(["a<|endoftext|>b"])[0], "<u4").tolist() == [64, 50256, 65]
+    for n in (9_999, 10_000, 10_001):
+        for c in (" ", "\n", "\t", "\u3000", "\xa0", "\x1c", " \n"):
+            run = (c * n)[:n]
+            for t in (run, f"a{run}", f"a{run}b", f"a{run}.", f"{run} b{run}'s", f"a{run}<|endoftext|>{run}'s", f"<|endoftext|>{run}<|endoftext|<|endoftext|>"):
+                assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, (n, c, t[:3])
+
+
+LONG_TEXTS = [" " * 3_000_000, "x" + "\n" * 3_000_000 + "y", "a\t" + "\t" * 3_000_000, "abcdefghij" * 300_000, "1" * 3_000_000, "." * 3_000_000, ("a" + " " * 9_999) * 300]
+
+
+def test_very_long_runs_are_packed(spark):
+    rows = list(enumerate(LONG_TEXTS))
+    got = packing.pack(documents(spark, rows), public_tokenizers.path("byte_bpe_50k.json")).collect()
+    plain = _tokenizer()
+    for i, t in rows:
+        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.start)
+        assert np.frombuffer(b"".join(r.ids for r in own), "<u4").tolist() == [*plain.encode(t, add_special_tokens=False).ids, 0]
+
+
 def test_other_vocabularies_are_left_to_their_library():
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
     for t in ("A word, and another", "", "x\ny"):
         assert np.frombuffer(byte_bpe(path).encode([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
