@@ -1,16 +1,15 @@
 """A Merkle manifest of a table, built and verified in Pregel-style supersteps.
 
-Rows are leaves.  In each superstep every node sends its digest to its parent;
-a parent that has its whole run of children hashes them and is a node of the
-next superstep.  A tree per source ends in a subroot, and the subroots are the
-leaves of one more tree.  Then messages go down: each parent hands every child
-the digests of its siblings and the path above, until each leaf can fold its
-own digest up to a root.
-
-A run has at most ``FAN`` children and its key holds its position, so one source
-with most of the rows is spread like any other.  The last step is made where
-the leaves of a run already stand together, so the long paths travel once for
-each run, not once for each leaf.  Positions come from one range partitioning;
+Rows are leaves.  Every node sends its digest to its parent; a parent that has
+its whole run of children hashes them and is a node of the next level.  A tree
+per source ends in a subroot, and the subroots are the leaves of one more tree.
+Then messages go down: each parent hands every child the digests of its siblings
+and the path above, until each leaf can fold its own digest up to a root.
+
+A superstep takes ``STEPS`` levels: the nodes of a block of ``FAN ** STEPS`` stand
+together, so messages between them need no shuffle, and a path travels down once
+for each block.  A block's key holds its position, so one source with most of
+the rows is spread like any other.  Positions come from one range partitioning;
 the driver sees two sources and two counts for each partition of it, and the
 root.  Each superstep's result is written to the shared folder.
 
@@ -33,8 +32,9 @@ from pyspark.sql import functions as F
 
 from netweave.llm.common import Scratch, ascii_lower
 
-#: Consecutive nodes that one parent hashes.
-FAN = 16
+#: Consecutive nodes that one parent hashes, levels of a superstep, and the nodes that stand together in it.
+FAN, STEPS = 16, 3
+BLOCK = FAN**STEPS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 
 
@@ -77,60 +77,76 @@ def _carried(parts: list[tuple]) -> dict[int, tuple]:
     return out
 
 
-class _Supersteps:
-    """The supersteps over nodes (tree, position, digest, payload)."""
-
-    def __init__(self, keep: Callable[[RDD, str], RDD], parts: int):
-        self.keep, self.parts = keep, parts
-
-    def up(self, nodes: RDD, label: str) -> tuple[list[RDD], RDD]:
-        """Runs of each level, ((tree, position of the parent), children), and the tops as (tree, height, digest)."""
-        levels, tops, height = [], nodes.context.emptyRDD(), 0
-        while True:
-            sent = nodes.map(lambda n: ((n[0], n[1] // FAN), (n[1] % FAN, n[2], n[3])))
-            parts = max(1, self.parts // FAN**height)
-            runs = self.keep(sent.groupByKey(parts, _place).mapValues(lambda kids: [k[1:] for k in sorted(kids, key=lambda k: k[0])]), f"{label}{height}")
-            levels.append(runs)
-            # A run that is the first of its tree and has one node is all that remains of that tree.
-            alone = lambda run: run[0][1] == 0 and len(run[1]) == 1
-            tops = tops.union(runs.filter(alone).map(lambda run, h=height: (run[0][0], h, run[1][0][0])))
-            more = runs.filter(lambda run: not alone(run))
-            if more.isEmpty():
-                return levels, tops
-            nodes = more.map(lambda run: (*run[0], digest([c[0] for c in run[1]]), None))
-            height += 1
-
-    def down(self, levels: list[RDD], tops: RDD) -> RDD:
-        """Leaf runs with what they get from above: (children, path of the parent, note of the top).
-
-        ``tops``: (tree, height, path, note).  A path lists (place, siblings) from a
-        node up to the root.  A leaf that is a whole tree has no parent: its run
-        gets the path of the leaf itself.
-        """
-        paths = None
-        for height in range(len(levels) - 1, 0, -1):
-            own = tops.filter(lambda t, h=height: t[1] == h).map(lambda t: ((t[0], 0), (t[2], t[3])))
-            paths = own if paths is None else paths.union(own)
-            if height > 1:
-                paths = self._meet(levels[height - 1], paths, height - 1).flatMap(_hand_down)
-        own = tops.filter(lambda t: t[1] == 0).map(lambda t: ((t[0], 0), (t[2], t[3])))
-        # A tree of one leaf meets its path at the only run it has; no other run of it takes part.
-        return self._meet(levels[0], own if paths is None else paths.union(own), 0)
-
-    def _meet(self, runs: RDD, paths: RDD, height: int) -> RDD:
-        return runs.join(paths, max(1, self.parts // FAN**height)) if runs is not None else paths
-
-
-def _siblings(children: list[tuple], at: int) -> list[bytes]:
-    return [c[0] for i, c in enumerate(children) if i != at]
+def _whole(index: int, nodes: list) -> bool:
+    """Whether a block is all that remains of its tree: the first one, not full."""
+    return index == 0 and len(nodes) < BLOCK
+
+
+def _layers(index: int, nodes: list[bytes]) -> list[list[bytes]]:
+    """The digests of a block level by level: ``STEPS`` levels up to its one parent, or as far as the top of a whole tree."""
+    layers = [nodes]
+    while len(layers) <= STEPS and not (_whole(index, nodes) and len(layers[-1]) == 1):
+        layers.append([digest(layers[-1][i : i + FAN]) for i in range(0, len(layers[-1]), FAN)])
+    return layers
+
+
+def _completed(block: tuple) -> tuple:
+    """A block whose nodes have all sent their digests: the nodes in order, and the digest that they end in."""
+    (tree, index), sent = block
+    nodes = [n[1:] for n in sorted(sent, key=lambda n: n[0])]
+    return (tree, index), (nodes, _layers(index, [n[0] for n in nodes])[-1][0])
+
+
+def _paths(index: int, nodes: list[tuple], above: list[tuple]) -> Iterator[list[tuple]]:
+    """For each node of a block its path to the root: (place, siblings) by level."""
+    layers = _layers(index, [n[0] for n in nodes])
+    for i in range(len(nodes)):
+        path = []
+        for height, layer in enumerate(layers[:-1]):
+            at = i // FAN**height
+            first = at - at % FAN
+            path.append((at % FAN, layer[first:at] + layer[at + 1 : first + FAN]))
+        yield path + above
+
+
+def _up(nodes: RDD, keep: Callable[[RDD, str], RDD], parts: int, label: str) -> tuple[list[RDD], RDD]:
+    """The blocks of each superstep, ((tree, index), (nodes, digest)), and the tops as (tree, superstep, digest); nodes are (tree, position, digest, payload)."""
+    steps: list[RDD] = []
+    while True:
+        grown = nodes.context.accumulator(0)
+
+        def forward(block: tuple, grown=grown) -> tuple:
+            if not _whole(block[0][1], block[1][0]):
+                grown.add(1)
+            return block
+
+        sent = nodes.map(lambda n: ((n[0], n[1] // BLOCK), (n[1] % BLOCK, n[2], n[3])))
+        steps.append(keep(sent.groupByKey(max(1, parts // BLOCK ** len(steps)), _place).map(_completed).map(forward), f"{label}{len(steps)}"))
+        if not grown.value:  # every tree has ended; counts of a task that ran twice only add to what is not zero
+            break
+        nodes = steps[-1].filter(lambda b: not _whole(b[0][1], b[1][0])).map(lambda b: (*b[0], b[1][1], None))
+    tops = [blocks.filter(lambda b: _whole(b[0][1], b[1][0])).map(lambda b, k=k: (b[0][0], k, b[1][1])) for k, blocks in enumerate(steps)]
+    return steps, keep(nodes.context.union(tops).coalesce(max(1, parts // FAN)), f"{label}-tops")
+
+
+def _down(steps: list[RDD], tops: RDD, parts: int) -> RDD:
+    """The blocks of the first superstep with what came from above: (key, (nodes, (path of the block's last digest, note of the tree))).
+
+    ``tops``: (tree, superstep in which it ends, path, note).
+    """
+    paths = None
+    for k in range(len(steps) - 1, -1, -1):
+        own = tops.filter(lambda t, k=k: t[1] == k).map(lambda t: ((t[0], 0), (t[2], t[3])))
+        paths = own if paths is None else paths.union(own)
+        met = steps[k].mapValues(lambda b: b[0]).join(paths, max(1, parts // BLOCK**k))
+        paths = met.flatMap(_hand_down)
+    return met
 
 
 def _hand_down(met: tuple) -> Iterator[tuple]:
-    (tree, parent), (children, (path, note)) = met
-    if len(children) == 1 and parent == 0:  # the only node of its tree, which has no parent
-        return
-    for at in range(len(children)):
-        yield (tree, parent * FAN + at), ([(at, _siblings(children, at)), *path], note)
+    (tree, index), (nodes, (above, note)) = met
+    for i, path in enumerate(_paths(index, nodes, above)):
+        yield (tree, index * BLOCK + i), (path, note)
 
 
 def _fold(own: bytes, path: list[tuple]) -> bytes:
@@ -141,11 +157,10 @@ def _fold(own: bytes, path: list[tuple]) -> bytes:
 
 def _verify(root: bytes) -> Callable[[tuple], Iterator[tuple]]:
     def run(met: tuple) -> Iterator[tuple]:
-        (_, parent), (children, (path, (subroot, height))) = met
-        for at, (own, (doc_id, shown)) in enumerate(children):
-            whole = path if height == 0 else [(at, _siblings(children, at)), *path]
-            folded = _fold(shown or own, whole)
-            proof = digest([s for _, siblings in whole for s in siblings])
+        (_, index), (nodes, (above, subroot)) = met
+        for (own, (doc_id, shown)), path in zip(nodes, _paths(index, nodes, above)):
+            folded = _fold(shown or own, path)
+            proof = digest([s for _, siblings in path for s in siblings])
             yield doc_id, own.hex(), subroot.hex(), root.hex(), proof.hex(), folded.hex(), folded == root
 
     return run
@@ -183,17 +198,14 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", source: str = "source", fi
         first, before = carried[part]
         return tree, at + (before if tree == first else 0), bytes(own), (doc_id, shown and bytes(shown))
 
-    steps = _Supersteps(keep, parts)
-    levels, tops = steps.up(numbered.filter(lambda r: r[1] is not None).map(node), "up")
-    tops = keep(tops, "tops")
-    ordered = tops.map(lambda t: (t[0] is not None, (t[0] or "").encode(), t)).sortBy(lambda t: t[:2], numPartitions=max(1, parts // FAN))
-    above = ordered.zipWithIndex().map(lambda t: (0, t[1], t[0][2][2], t[0][2]))
-    upper, last = steps.up(above, "top")
-    ((_, height, root),) = last.collect()
+    steps, tops = _up(numbered.filter(lambda r: r[1] is not None).map(node), keep, parts, "up")
+    ordered = tops.sortBy(lambda t: (t[0] is not None, (t[0] or "").encode()), numPartitions=max(1, parts // FAN))
+    upper, last = _up(ordered.zipWithIndex().map(lambda t: (0, t[1], t[0][2], t[0])), keep, parts, "top")
+    ((_, step, root),) = last.collect()
     # Every subroot gets its path in the upper tree, and takes it to the top of its own tree.
-    met = steps.down(upper, sc.parallelize([(0, height, [], None)], 1))
-    ways = met.flatMap(lambda m: [(c[1][0], c[1][1], m[1][1][0] if height == 0 else [(at, _siblings(m[1][0], at)), *m[1][1][0]], (c[1][2], c[1][1])) for at, c in enumerate(m[1][0])])
-    found = steps.down(levels, keep(ways, "ways")).flatMap(_verify(root))
+    met = _down(upper, sc.parallelize([(0, step, [], None)], 1), parts)
+    ways = met.flatMap(lambda m: [(source, k, path, subroot) for (_, (source, k, subroot)), path in zip(m[1][0], _paths(m[0][1], m[1][0], m[1][1][0]))])
+    found = _down(steps, keep(ways, "ways"), parts).flatMap(_verify(root))
     return spark.createDataFrame(found, schema, verifySchema=False)
 
 
