@@ -1,6 +1,6 @@
 """Anomaly models: window and row classifiers, isolation forest, Mahalanobis distance.
 
-Classifiers are Spark ML pipelines.  The isolation forest, which Spark lacks, is
+Boosted trees are those of ``boosting``, the random forest is a Spark ML pipeline.  The isolation forest, which Spark lacks, is
 grown from a bounded uniform sample and scored with Arrow batches; a distance
 is a column expression over a fitted mean and inverse covariance.
 """
@@ -14,19 +14,18 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netweave.operators import boosting
 from netweave.operators.profile import spread_quantiles
 from netweave.operators.scoring import detection_rates
 from netweave.operators.windows import join_on
 
-#: Settings of the window and the row classifier.
-WINDOW_GBT = {"maxIter": 500, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxBins": 256}
-ROW_GBT = {"maxIter": 300, "maxDepth": 10, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9", "maxBins": 256}
+#: Settings of the row forest.
 ROW_FOREST = {"numTrees": 200, "maxDepth": 30}
 #: Rows of the sample that an isolation tree is grown on, and of all trees together.
 PSI, SAMPLE_ROWS = 256, 20_000
@@ -41,15 +40,14 @@ def zeros_for_unknown(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in columns})
 
 
-def fit_gbt(df: DataFrame, columns: list[str], label: str = "label", seed: int = 42, **settings) -> PipelineModel:
-    """Boosted trees for P(label = 1); ``settings`` replace those of WINDOW_GBT."""
-    trees = GBTClassifier(featuresCol="features", labelCol=label, seed=seed, **(WINDOW_GBT | settings))
-    return Pipeline(stages=[_assembled(columns), trees]).fit(zeros_for_unknown(df, columns))
+def fit_gbt(df: DataFrame, columns: list[str], label: str = "label", **settings) -> boosting.Boosted:
+    """Boosted trees over windows; ``settings`` replace those of ``boosting.WINDOW``."""
+    return boosting.fit(df, columns, label, boosting.WINDOW, **settings)
 
 
-def fit_row_gbt(df: DataFrame, columns: list[str], label: str = "label", seed: int = 42, **settings) -> PipelineModel:
-    """Boosted trees over single rows; ``settings`` replace those of ROW_GBT."""
-    return fit_gbt(df, columns, label, seed, **(ROW_GBT | settings))
+def fit_row_gbt(df: DataFrame, columns: list[str], label: str = "label", **settings) -> boosting.Boosted:
+    """Boosted trees over single rows; ``settings`` replace those of ``boosting.ROW``."""
+    return boosting.fit(df, columns, label, boosting.ROW, **settings)
 
 
 def split_in_time(df: DataFrame, keys: list[str], at: str, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
@@ -60,7 +58,7 @@ def split_in_time(df: DataFrame, keys: list[str], at: str, share: float = 0.7) -
     return marked.where("__early").drop("__early"), marked.where("not __early").drop("__early")
 
 
-def evaluate(model: PipelineModel, sets: dict[str, DataFrame], columns: list[str], keys: list[str], least: float = 0.5) -> DataFrame:
+def evaluate(model: PipelineModel | boosting.Boosted, sets: dict[str, DataFrame], columns: list[str], keys: list[str], least: float = 0.5) -> DataFrame:
     """(set, keys, n, flagged, rate) of each named data set under one model: detection rates where all is an attack, false-positive rates where nothing is."""
     parts = [detection_rates(predict(model, df, columns), keys, "score", least).select(F.lit(name).alias("set"), *keys, "n", "flagged", "rate") for name, df in sets.items()]
     return reduce(DataFrame.unionByName, parts)
@@ -72,8 +70,10 @@ def fit_forest(df: DataFrame, columns: list[str], label: str = "label", seed: in
     return Pipeline(stages=[_assembled(columns), trees]).fit(zeros_for_unknown(df, columns))
 
 
-def predict(model: PipelineModel, df: DataFrame, columns: list[str]) -> DataFrame:
+def predict(model: PipelineModel | boosting.Boosted, df: DataFrame, columns: list[str]) -> DataFrame:
     """Add ``score``, the probability of label 1, and ``predicted``."""
+    if isinstance(model, boosting.Boosted):
+        return boosting.predict(model, df)
     out = model.transform(zeros_for_unknown(df, columns)).withColumn("score", vector_to_array("probability")[1])
     return out.select(*df.columns, "score", F.col("prediction").cast("int").alias("predicted"))
 

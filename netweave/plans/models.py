@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -15,6 +13,7 @@ from netweave.operators import features, mix, models, windows
 from netweave.plans import oracles as sql
 from netweave.plans.oracles import rnd
 from netweave.sources.flowview import flow_view, read_flows
+from netweave.sources.shared import shared_folder
 from netweave.streaming import windows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -27,11 +26,7 @@ _MEAN = np.array([500.0, 25.0, 3.0])
 _INVERSE = np.array([[2e-5, 0.0, 0.0], [0.0, 2e-3, 1e-4], [0.0, 1e-4, 0.25]])
 
 
-#: Settings of the registered boosters: less than the operators' own, so that a run takes seconds (see the README).
-SMALL = {"maxIter": 10, "maxDepth": 3, "maxBins": 32}
-
-
-def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+def window_table(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     """Window features with the windows' label, and the feature columns."""
     flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
     found = features.window_features(flows, ["pod", "wid", "label"], NUMBERS)
@@ -39,18 +34,18 @@ def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
 
 
 def gbt_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows scored by boosted trees that learned from the earlier ones (fewer and shallower trees than the default)."""
-    found, columns = _windows(spark, sf_dir)
+    """Windows scored by 500 boosted trees of depth 8 that learned from the earlier ones."""
+    found, columns = window_table(spark, sf_dir)
     early, _ = models.split_in_time(found, ["pod"], "wid")
-    return models.predict(models.fit_gbt(early, columns, **SMALL), found, columns).select("pod", "wid", "label", "score", "predicted")
+    return models.predict(models.fit_gbt(early, columns), found, columns).select("pod", "wid", "label", "score", "predicted")
 
 
 def gbt_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagged windows per pod and label: of the windows learned from, of held-out ones, and of held-out rows mixed in blocks."""
     flows = read_flows(spark, sf_dir)
-    found, columns = _windows(spark, sf_dir)
+    found, columns = window_table(spark, sf_dir)
     early, late = models.split_in_time(found, ["pod"], "wid")
-    model = models.fit_gbt(early, columns, **SMALL)
+    model = models.fit_gbt(early, columns)
     _, rows = models.split_in_time(flows, ["pod"], "seq")
     mixed = mix.mix_d(rows.where("label = 0"), rows.where("label = 1"), "seq").withColumn("at", F.col("block") * 2 + F.col("segment")).withColumn("pod", F.lit(-1).cast("long"))
     mixed = windows.tumbling(mixed.withColumn("place", F.col("rn")), "pod", ["at", "place"])
@@ -59,10 +54,10 @@ def gbt_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gbt_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagged rows per pod and label, of rows learned from and held-out ones, under boosted trees over rows (fewer than the default)."""
+    """Flagged rows per pod and label, of rows learned from and held-out ones, under 300 boosted trees of depth 10."""
     flows = read_flows(spark, sf_dir)
     early, late = models.split_in_time(flows, ["pod"], "seq")
-    model = models.fit_row_gbt(early, NUMBERS, **SMALL)
+    model = models.fit_row_gbt(early, NUMBERS)
     return models.evaluate(model, {"learned": early, "held out": late}, NUMBERS, ["pod", "label"])
 
 
@@ -110,12 +105,7 @@ def mahalanobis_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream: features of each complete window of 200 rows per pod."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="netweave-stream-")
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = shared_folder(spark, "stream")
     path = f"{sf_dir}/events.parquet"
     # A pattern, as a stream's plain path has to be a folder.
     stream = flow_view(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/event[s].parquet"))
