@@ -19,8 +19,8 @@ def number_or_zero(c: Column) -> Column:
 
 
 def flag(c: Column) -> Column:
-    """'T' -> 1, anything else (also unset) -> 0."""
-    return F.when(c == "T", 1).otherwise(0)
+    """A BOOLEAN, or 'T' in a text, -> 1; anything else (also unset) -> 0."""
+    return F.when(c.cast("string").isin("T", "true"), 1).otherwise(0)
 
 
 def known(c: Column, default: str = "unknown") -> Column:

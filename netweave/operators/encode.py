@@ -4,24 +4,34 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netweave.functions.expr import flag, known, list_items, list_stats, missing, number_or_zero, one_hot, zero_activity
 
-#: Identifier and free-text columns that no model sees.
-CONN_DROPPED = ("uid", "ts", "orig_h", "resp_h", "local_orig", "local_resp", "missed_bytes", "history", "tunnel_parents", "ip_proto")
-DNS_DROPPED = ("uid", "ts", "orig_h", "resp_h", "query", "qclass_name", "qtype_name", "rcode_name")
-SSL_DROPPED = ("uid", "ts", "orig_h", "resp_h", "server_name", "last_alert", "ssl_history", "cert_chain_fps", "client_cert_chain_fps", "sni_matches_cert")
-HTTP_DROPPED = ("uid", "ts", "orig_h", "resp_h", "host", "uri", "referrer", "user_agent", "origin", "status_msg", "info_msg", "username", "password", "proxied", "orig_fuids", "orig_filenames", "orig_mime_types", "resp_fuids", "resp_filenames", "resp_mime_types")
+_WHO = ("ts", "uid", "orig_h", "orig_p", "resp_h", "resp_p")
+#: Fixed values, per log type: columns that no model sees, numbers (each with a mark where it is missing), flags and categories.
+DROPPED = {
+    "CONN": (*_WHO, "tunnel_parents", "ip_proto", "history"),
+    "DNS": (*_WHO, "trans_id", "query"),
+    "SSL": (*_WHO, "server_name", "last_alert", "next_protocol", "cert_chain_fps", "client_cert_chain_fps", "ssl_history"),
+    "HTTP": (*_WHO, "method", "host", "uri", "referrer", "version", "user_agent", "origin", "status_msg", "username", "password", "orig_fuids", "orig_filenames", "orig_mime_types", "resp_fuids", "resp_filenames", "resp_mime_types"),
+}
+NUMBERS = {"CONN": ("duration", "orig_bytes", "resp_bytes", "missed_bytes", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes"), "DNS": ("rtt", "qclass", "qtype", "rcode", "Z")}
+FLAGS = {"CONN": ("local_orig", "local_resp"), "DNS": ("AA", "TC", "RD", "RA", "rejected"), "SSL": ("resumed", "established", "sni_matches_cert")}
+CATEGORIES = {"CONN": ("proto", "service", "conn_state"), "DNS": ("proto", "qclass_name", "qtype_name", "rcode_name"), "SSL": ("version", "cipher", "curve")}
 #: Most values of a column that are made columns of their own; beyond, ``encode_sparse`` keeps every value.
 MAX_WIDE = 1000
 
 
-def fit_vocabulary(df: DataFrame, columns: list[str], most: int = MAX_WIDE) -> dict[str, list[str]]:
-    """Every value of each column, in order of name; a column with more than ``most`` is an error."""
+def fit_vocabulary(df: DataFrame, columns: list[str] | str, most: int = MAX_WIDE) -> dict[str, list[str]]:
+    """Every value of each column, in order of name; a column with more than ``most`` is an error.
+
+    ``columns`` may be a log type: its categories, as far as the rows have them.
+    """
     out = {}
-    for c in columns:
+    for c in [c for c in CATEGORIES.get(columns, ()) if c in df.columns] if isinstance(columns, str) else columns:
         values = sorted(r["v"] for r in df.select(known(F.col(c)).alias("v")).distinct().limit(most + 1).collect())
         if len(values) > most:
             raise ValueError(f"column {c} has more than {most} values: use encode_sparse")
@@ -39,45 +49,51 @@ def encode_sparse(df: DataFrame, columns: list[str], fitted: PipelineModel | Non
     return fitted.transform(ready).drop(*(f"__{c}{x}" for c in columns for x in ("", "_at"))), fitted
 
 
-def _encode(df: DataFrame, dropped: tuple[str, ...], numeric: list[str], flags: list[str], categories: dict[str, list[str]]) -> DataFrame:
-    made = {}
-    for c in numeric:
-        made[f"{c}_missing"] = missing(F.col(c))
-    out = df.withColumns(made) if made else df
-    out = out.withColumns({c: number_or_zero(F.col(c).cast("string")) for c in numeric} | {c: flag(F.col(c).cast("string")) for c in flags})
+def _encode(df: DataFrame, kind: str, categories: dict[str, list[str]], keep: tuple[str, ...]) -> DataFrame:
+    """Rows as ``logs.read_log`` types them, or with every column as text, in numbers; columns that are not there are left out."""
+    numbers, flags = ([c for c in names.get(kind, ()) if c in df.columns] for names in (NUMBERS, FLAGS))
+    out = df.withColumns({f"{c}_missing": missing(F.nullif(F.col(c).cast("string"), F.lit("-"))) for c in numbers}) if numbers else df
+    out = out.withColumns({c: number_or_zero(F.col(c).cast("string")) for c in numbers} | {c: flag(F.col(c)) for c in flags})
     hot = [x for c, values in categories.items() for x in one_hot(known(F.col(c)), values, c)]
-    return out.select("*", *hot).drop(*dropped, *categories)
+    return out.select("*", *hot).drop(*(c for c in DROPPED[kind] if c not in keep), *categories)
+
+
+def encode_conn(df: DataFrame, categories: dict[str, list[str]], keep: tuple[str, ...] = (), complete: bool = False, activity: bool = False) -> DataFrame:
+    """Connection rows; with ``complete`` only those whose byte counts are known, with ``activity`` a mark where both are 0."""
+    whole = df.dropna(subset=["orig_bytes", "resp_bytes"]) if complete else df
+    ready = whole.withColumn("zero_activity", zero_activity(F.col("orig_bytes"), F.col("resp_bytes"))) if activity else whole
+    return _encode(ready, "CONN", categories, keep)
 
 
-def encode_conn(df: DataFrame, categories: dict[str, list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """Connection rows: missing marks, zero activity, one-hot categories."""
-    ready = df.withColumn("zero_activity", zero_activity(F.col("orig_bytes"), F.col("resp_bytes")))
-    return _encode(ready, tuple(c for c in CONN_DROPPED if c not in keep), ["duration", "orig_bytes", "resp_bytes"], [], categories)
+def _items(df: DataFrame, c: str) -> Column:
+    """A list column, an array or text, as an array; none where it is unset."""
+    kind = df.schema[c].dataType
+    return F.coalesce(F.col(c), F.array().cast(kind)) if isinstance(kind, T.ArrayType) else list_items(F.nullif(F.col(c), F.lit("-")))
 
 
 def encode_dns(df: DataFrame, categories: dict[str, list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
-    """DNS rows: answer lists become counts, TTL lists their statistics."""
-    answers, ttls = list_items(F.col("answers")), list_items(F.col("TTLs"))
+    """DNS rows: answers become counts, times to live their statistics."""
+    answers, ttls = _items(df, "answers"), _items(df, "TTLs")
     stats = list_stats(ttls)
     ready = df.withColumns({
         "answers_count": F.size(answers),
-        "answers_unique": F.size(F.array_distinct(answers)),
-        "has_ipv6": F.exists(answers, lambda x: F.contains(x, F.lit(":"))).cast("int"),
-        "ttl_mean": stats["mean"],
-        "ttl_std": stats["std"],
-        "ttl_count": stats["count"],
-        "answer_ttl_mismatch": (F.size(answers) != F.size(ttls)).cast("int"),
+        "answers_unique_count": F.size(F.array_distinct(answers)),
+        "answers_has_ipv6": F.coalesce(F.exists(answers, lambda x: F.contains(x, F.lit(":"))), F.lit(False)).cast("int"),
+        "ttls_mean": stats["mean"],
+        "ttls_std": stats["std"],
+        "ttls_count": stats["count"],
+        "answers_ttls_mismatch": (F.size(answers) != F.size(ttls)).cast("int"),
     }).drop("answers", "TTLs")
-    return _encode(ready, tuple(c for c in DNS_DROPPED if c not in keep), ["rtt"], ["AA", "TC", "RD", "RA", "rejected"], categories)
+    return _encode(ready, "DNS", categories, keep)
 
 
 def encode_ssl(df: DataFrame, categories: dict[str, list[str]], keep: tuple[str, ...] = ()) -> DataFrame:
-    return _encode(df, tuple(c for c in SSL_DROPPED if c not in keep), [], ["resumed", "established"], categories)
+    return _encode(df, "SSL", categories, keep)
 
 
 def encode_http(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """HTTP rows lose their identifiers and free text; nothing else is encoded."""
-    return df.drop(*(c for c in HTTP_DROPPED if c not in keep))
+    return df.drop(*(c for c in DROPPED["HTTP"] if c not in keep))
 
 
 def align(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -420,63 +420,84 @@ def fft_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- encoders ---------------------------------------------------------------------------
 
-#: The categories of the flow view, for the SQL; the query fits them.
+#: The categories of the flow view, for the SQL; the queries fit them.
 _STATES = ["CL", "ER", "PU", "SI", "VI"]
 _SERVICES = ["click", "purchase", "signup", "unknown", "view"]
-_ONE_HOT = ", ".join(f"CAST(coalesce({c}, 'unknown') = '{v}' AS INTEGER) AS {c}_{v}" for c, values in (("proto", ["tcp", "udp"]), ("service", _SERVICES), ("conn_state", _STATES)) for v in values)
 
 
-@query(
-    f"""WITH {sql.FLOW} SELECT seq, CAST(duration IS NULL AS INTEGER) AS duration_missing, CAST(orig_bytes IS NULL AS INTEGER) AS orig_bytes_missing, CAST(resp_bytes IS NULL AS INTEGER) AS resp_bytes_missing,
-{rnd('coalesce(duration, 0)')} AS duration, CAST(coalesce(orig_bytes, 0) AS DOUBLE) AS orig_bytes, CAST(coalesce(resp_bytes, 0) AS DOUBLE) AS resp_bytes, CAST(coalesce(orig_bytes, 0) = 0 AND coalesce(resp_bytes, 0) = 0 AS INTEGER) AS zero_activity,
-{_ONE_HOT} FROM f"""
-)
-def encode_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flows = read_flows(spark, sf_dir).select("seq", "proto", "service", "conn_state", "duration", "orig_bytes", "resp_bytes")
-    found = encode.encode_conn(flows, encode.fit_vocabulary(flows, ["proto", "service", "conn_state"]))
-    return rounded(found, "duration")
+def _hot_sql(column: str, of: str, values: list[str]) -> str:
+    return ", ".join(f"CAST(coalesce({of}, 'unknown') = '{v}' AS INTEGER) AS {column}_{v}" for v in values)
+
+
+def _number_sql(**columns: str) -> str:
+    return ", ".join(f"CAST(({c}) IS NULL AS INTEGER) AS {name}_missing, {rnd(f'CAST(coalesce({c}, 0) AS DOUBLE)')} AS {name}" for name, c in columns.items())
+
+
+def _flag_sql(**columns: str) -> str:
+    return ", ".join(f"CAST(coalesce({c}, false) AS INTEGER) AS {name}" for name, c in columns.items())
+
 
+def _typed_log(flows: DataFrame, kind: str) -> DataFrame:
+    """The flow view as a typed log: flags are BOOLEAN, lists are arrays; flags of rows without a service are unset."""
+    named = F.col("service").isNotNull()
+    over = lambda n: F.when(named, F.col("orig_pkts") > n)
+    who = ["seq", (F.col("ts_us") / 1e6).cast("decimal(16,6)").alias("ts"), F.col("seq").cast("string").alias("uid"), "orig_h", "orig_p", "resp_h", "resp_p"]
+    if kind == "CONN":
+        return flows.select(
+            *who, "proto", "service", "conn_state", "duration", "orig_bytes", "resp_bytes", over(5).alias("local_orig"), over(30).alias("local_resp"), F.nullif("resp_pkts", F.lit(3)).alias("missed_bytes"),
+            "orig_pkts", (F.col("orig_bytes") + 40 * F.col("orig_pkts")).alias("orig_ip_bytes"), "resp_pkts", (F.col("resp_bytes") + 40 * F.col("resp_pkts")).alias("resp_ip_bytes"), F.array("orig_h").alias("tunnel_parents"), F.col("conn_state").alias("history"),
+        )
+    if kind == "DNS":
+        return flows.select(
+            *who, "proto", F.col("seq").alias("trans_id"), F.col("duration").alias("rtt"), F.col("resp_h").alias("query"), F.nullif(F.col("resp_p"), F.lit(4)).cast("bigint").alias("qclass"), F.col("service").alias("qclass_name"),
+            F.col("resp_bytes").alias("qtype"), F.col("conn_state").alias("qtype_name"), F.col("orig_bytes").alias("rcode"), F.col("service").alias("rcode_name"), *(over(n).alias(c) for c, n in (("AA", 5), ("TC", 10), ("RD", 20), ("RA", 30), ("rejected", 40))),
+            F.col("resp_pkts").alias("Z"), F.when(named, F.array("orig_h", F.concat(F.lit("::"), F.col("resp_p").cast("string")), "orig_h")).alias("answers"), F.when(F.col("resp_bytes") > 50, F.array(F.col("resp_bytes").cast("double"), F.col("orig_p").cast("double"))).alias("TTLs"),
+        )
+    if kind == "SSL":
+        return flows.select(*who, F.col("service").alias("version"), F.col("conn_state").alias("cipher"), F.col("proto").alias("curve"), F.col("resp_h").alias("server_name"), over(15).alias("resumed"), F.col("service").alias("next_protocol"), over(25).alias("established"), over(35).alias("sni_matches_cert"))
+    return flows.select(*who, F.col("resp_pkts").alias("trans_depth"), F.col("conn_state").alias("method"), F.col("orig_h").alias("host"), F.col("service").alias("version"), F.col("orig_bytes").alias("request_body_len"), F.col("resp_bytes").alias("response_body_len"), F.array("proto").alias("proxied"))
 
-def _as_log(flows: DataFrame) -> DataFrame:
-    """The flow view with the columns of DNS, SSL and HTTP logs."""
-    mark = lambda c: F.when(c, "T").otherwise("F")
-    return flows.select(
-        "seq", "proto", F.col("duration").alias("rtt"), F.col("resp_h").alias("query"), F.col("orig_h").alias("host"), F.col("service").alias("version"), F.col("conn_state").alias("cipher"),
-        *(mark(F.col("orig_pkts") > n).alias(c) for c, n in (("AA", 5), ("TC", 10), ("RD", 20), ("RA", 30), ("rejected", 40), ("resumed", 15), ("established", 25))),
-        F.when(F.col("service").isNotNull(), F.concat_ws(",", F.col("orig_h"), F.concat(F.lit("::"), F.col("resp_p").cast("string")), F.col("orig_h"))).alias("answers"),
-        F.when(F.col("resp_bytes") > 50, F.concat_ws(",", F.col("resp_bytes").cast("string"), F.col("orig_p").cast("string"))).alias("TTLs"),
-        F.col("orig_bytes").alias("request_body_len"),
-    )
 
+_OVER = "CASE WHEN service IS NOT NULL THEN orig_pkts > {} END"
 
-_FLAGS = ", ".join(f"CAST(orig_pkts > {n} AS INTEGER) AS {c}" for c, n in (("AA", 5), ("TC", 10), ("RD", 20), ("RA", 30), ("rejected", 40)))
+
+@query(
+    f"""WITH {sql.FLOW} SELECT seq, CAST(coalesce(orig_bytes, 0) = 0 AND coalesce(resp_bytes, 0) = 0 AS INTEGER) AS zero_activity,
+{_number_sql(duration='duration', orig_bytes='orig_bytes', resp_bytes='resp_bytes', missed_bytes='nullif(resp_pkts, 3)', orig_pkts='orig_pkts', orig_ip_bytes='orig_bytes + 40 * orig_pkts', resp_pkts='resp_pkts', resp_ip_bytes='resp_bytes + 40 * resp_pkts')},
+{_flag_sql(local_orig=_OVER.format(5), local_resp=_OVER.format(30))},
+{_hot_sql('proto', 'proto', ['tcp', 'udp'])}, {_hot_sql('service', 'service', _SERVICES)}, {_hot_sql('conn_state', 'conn_state', _STATES)} FROM f"""
+)
+def encode_conn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _typed_log(read_flows(spark, sf_dir), "CONN")
+    return rounded(encode.encode_conn(rows, encode.fit_vocabulary(rows, "CONN"), activity=True), *encode.NUMBERS["CONN"])
 
 
 @query(
     f"""WITH {sql.FLOW}, l AS (SELECT *, CASE WHEN service IS NOT NULL THEN [orig_h, '::' || resp_p, orig_h] ELSE [] END AS a, CASE WHEN resp_bytes > 50 THEN [CAST(resp_bytes AS DOUBLE), CAST(orig_p AS DOUBLE)] ELSE [] END AS t FROM f)
-SELECT seq, CAST(duration IS NULL AS INTEGER) AS rtt_missing, {rnd('coalesce(duration, 0)')} AS rtt, {_FLAGS}, CAST(len(a) AS INTEGER) AS answers_count, CAST(len(list_distinct(a)) AS INTEGER) AS answers_unique, CAST(len(a) > 0 AS INTEGER) AS has_ipv6,
-{rnd('coalesce(list_avg(t), 0)')} AS ttl_mean, {rnd('coalesce(list_stddev_pop(t), 0)')} AS ttl_std, CAST(len(t) AS INTEGER) AS ttl_count, CAST(len(a) <> len(t) AS INTEGER) AS answer_ttl_mismatch, CAST(proto = 'tcp' AS INTEGER) AS proto_tcp, CAST(proto = 'udp' AS INTEGER) AS proto_udp FROM l"""
+SELECT seq, {_number_sql(rtt='duration', qclass='nullif(resp_p, 4)', qtype='resp_bytes', rcode='orig_bytes', Z='resp_pkts')},
+{_flag_sql(AA=_OVER.format(5), TC=_OVER.format(10), RD=_OVER.format(20), RA=_OVER.format(30), rejected=_OVER.format(40))},
+CAST(len(a) AS INTEGER) AS answers_count, CAST(len(list_distinct(a)) AS INTEGER) AS answers_unique_count, CAST(len(a) > 0 AS INTEGER) AS answers_has_ipv6,
+{rnd('coalesce(list_avg(t), 0)')} AS ttls_mean, {rnd('coalesce(list_stddev_pop(t), 0)')} AS ttls_std, CAST(len(t) AS INTEGER) AS ttls_count, CAST(len(a) <> len(t) AS INTEGER) AS answers_ttls_mismatch,
+{_hot_sql('proto', 'proto', ['tcp', 'udp'])}, {_hot_sql('qclass_name', 'service', _SERVICES)}, {_hot_sql('qtype_name', 'conn_state', _STATES)}, {_hot_sql('rcode_name', 'service', _SERVICES)} FROM l"""
 )
 def encode_dns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _as_log(read_flows(spark, sf_dir)).select("seq", "proto", "rtt", "query", "AA", "TC", "RD", "RA", "rejected", "answers", "TTLs")
-    return rounded(encode.encode_dns(rows, encode.fit_vocabulary(rows, ["proto"])), "rtt", "ttl_mean", "ttl_std")
+    rows = _typed_log(read_flows(spark, sf_dir), "DNS")
+    return rounded(encode.encode_dns(rows, encode.fit_vocabulary(rows, "DNS")), *encode.NUMBERS["DNS"], "ttls_mean", "ttls_std")
 
 
 @query(
-    f"WITH {sql.FLOW} SELECT seq, CAST(orig_pkts > 15 AS INTEGER) AS resumed, CAST(orig_pkts > 25 AS INTEGER) AS established, "
-    + ", ".join(f"CAST(coalesce(service, 'unknown') = '{v}' AS INTEGER) AS version_{v}" for v in _SERVICES)
-    + ", "
-    + ", ".join(f"CAST(conn_state = '{v}' AS INTEGER) AS cipher_{v}" for v in _STATES)
-    + " FROM f"
+    f"""WITH {sql.FLOW} SELECT seq, {_flag_sql(resumed=_OVER.format(15), established=_OVER.format(25), sni_matches_cert=_OVER.format(35))},
+{_hot_sql('version', 'service', _SERVICES)}, {_hot_sql('cipher', 'conn_state', _STATES)}, {_hot_sql('curve', 'proto', ['tcp', 'udp'])} FROM f"""
 )
 def encode_ssl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _as_log(read_flows(spark, sf_dir)).select("seq", "version", "cipher", "resumed", "established", F.col("query").alias("server_name"))
-    return encode.encode_ssl(rows, encode.fit_vocabulary(rows, ["version", "cipher"]))
+    rows = _typed_log(read_flows(spark, sf_dir), "SSL")
+    return encode.encode_ssl(rows, encode.fit_vocabulary(rows, "SSL"))
 
 
-@query(f"WITH {sql.FLOW} SELECT seq, proto, orig_bytes AS request_body_len FROM f")
+@query(f"WITH {sql.FLOW} SELECT seq, resp_pkts AS trans_depth, orig_bytes AS request_body_len, resp_bytes AS response_body_len, proto AS proxied FROM f")
 def encode_http(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode.encode_http(_as_log(read_flows(spark, sf_dir)).select("seq", "proto", "host", F.col("query").alias("uri"), "request_body_len"))
+    found = encode.encode_http(_typed_log(read_flows(spark, sf_dir), "HTTP"))
+    return found.withColumn("proxied", F.array_join("proxied", ","))
 
 
 _NUMERIC = "duration IS NOT NULL AND orig_bytes IS NOT NULL AND resp_bytes IS NOT NULL"
@@ -489,10 +510,19 @@ def complete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("seq", "label")
 
 
-@query("SELECT CAST(unnest(['orig_p', 'resp_p', 'duration', 'orig_bytes', 'resp_bytes', 'missed_bytes', 'orig_pkts', 'orig_ip_bytes', 'resp_pkts', 'resp_ip_bytes']) AS VARCHAR) AS name")
+_DECLARED = ["orig_p", "resp_p", "duration", "orig_bytes", "resp_bytes", "missed_bytes", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes"]
+
+
+@query(
+    f"WITH {sql.FLOW}, c AS (SELECT *, nullif(resp_pkts, 3) AS missed_bytes, orig_bytes + 40 * orig_pkts AS orig_ip_bytes, resp_bytes + 40 * resp_pkts AS resp_ip_bytes FROM f) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS name, count({c}) AS known, {rnd(f'CAST(sum({c}) AS DOUBLE)')} AS total FROM c" for c in _DECLARED)
+)
 def numeric_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The numbers that a connection log declares (its time stamp left out)."""
-    return spark.createDataFrame([(c,) for c in logs.numeric_columns("CONN", without=("ts",))], "name string")
+    """Count and sum of every number that a connection log declares (its time stamp left out)."""
+    names = logs.numeric_columns("CONN", without=("ts",))
+    rows = _typed_log(read_flows(spark, sf_dir), "CONN")
+    sums = rows.agg(*(F.count(c).alias(f"{c}_known") for c in names), *(F.sum(c).cast("double").alias(f"{c}_total") for c in names))
+    return rounded(sums.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(f"{c}_known").alias("known"), F.col(f"{c}_total").alias("total")) for c in names))).alias("r")).select("r.*"), "total")
 
 
 #: Words of more than three characters stand for answers with a time to live.
@@ -502,12 +532,12 @@ _TTL = "list_transform(list_filter(string_split(text, ' '), lambda x: length(x)
 @query(
     f"""SELECT doc_id, CAST(len(a) AS BIGINT) AS answers_count, CAST(len(list_distinct(a)) AS BIGINT) AS answers_unique, CAST(len(list_filter(a, lambda x: contains(x, ':'))) > 0 AS INTEGER) AS has_ipv6,
 {rnd('coalesce(list_avg(t), 0)')} AS ttl_mean, {rnd('coalesce(list_stddev_pop(t), 0)')} AS ttl_std, CAST(len(t) AS BIGINT) AS ttl_count, CAST(len(a) <> len(t) AS INTEGER) AS answer_ttl_mismatch
-FROM (SELECT doc_id, string_split(text, ' ') AS a, {_TTL} AS t FROM documents WHERE text IS NOT NULL AND text <> '')"""
+FROM (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, ' ') END AS a, CASE WHEN text IS NULL THEN [] ELSE {_TTL} END AS t FROM documents)"""
 )
 def list_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """List columns as a DNS encoder sees them: words as answers, lengths of the longer ones as TTLs."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and text <> ''")
-    words = F.split("text", " ")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    words = F.when(F.col("text").isNull(), F.array().cast("array<string>")).otherwise(F.split("text", " "))
     answers = docs.select("doc_id", words.alias("a"), F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.length(w).cast("string")).alias("t"))
     stats = expr.list_stats(F.col("t"))
     found = answers.select(
@@ -699,6 +729,8 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 from netweave.plans import models as _model_queries  # noqa: E402
+from netweave.plans import streams as _stream_queries  # noqa: E402
 
-QUERIES |= _model_queries.QUERIES
-ORACLE |= _model_queries.ORACLE
+for _more in (_model_queries, _stream_queries):
+    QUERIES |= _more.QUERIES
+    ORACLE |= _more.ORACLE

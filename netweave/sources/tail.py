@@ -1,19 +1,28 @@
-"""A streaming source that tails growing text files.
+"""A streaming source that tails growing text files, across rotation.
 
 ``spark.readStream.format("log_tail")``, option ``paths`` (comma-separated files
-or glob patterns on a mounted file system) gives (source, file, pos, value),
-``pos`` being the byte at which a line starts.  The offset is the byte of each
-file up to which whole lines were read: a line whose end is not there yet waits
-for the next batch, and a file that is not there yet is taken up once it is.
-The driver looks only at the ends of files; executors read the bytes, a long
-stretch in several tasks.
+or glob patterns on a mounted file system) gives (source, file, made, pos,
+value): ``made`` is the identity of the file under its path (device and inode),
+``pos`` the byte at which a line starts.  The offset is, for each path, that
+identity and the byte up to which whole lines were read: a line whose end is not
+there yet waits for the next batch, and a file that is not there yet is taken up
+once it is; with option ``wait`` the stream fails if none is after so many
+seconds.  Where a path has got another file, the old one is read to its end
+first, under whatever name it has in its folder now, then the new one from its
+start; a file that is shorter than before is read anew.  What was rotated out of
+the folder, or renamed while no stream ran and no file stood in its place, is
+lost with a warning.  The driver looks only at the ends of files; executors read
+the bytes, a long stretch in several tasks.
 """
 
 from __future__ import annotations
 
 import glob
 import json
+import logging
 import os
+import time
+from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
@@ -23,11 +32,27 @@ BLOCK = 1 << 16
 
 
 class Stretch(InputPartition):
-    """Lines of ``file`` that start in [start, end)."""
+    """Lines of ``file``, as it was ``made``, that start in [start, end); lines end at ``stop`` at the latest."""
 
-    def __init__(self, file: str, start: int, end: int, stop: int):
-        super().__init__((file, start))
-        self.file, self.start, self.end, self.stop = file, start, end, stop
+    def __init__(self, file: str, start: int, end: int, stop: int, made: str | None = None):
+        super().__init__((file, made, start))
+        self.file, self.start, self.end, self.stop, self.made = file, start, end, stop, made
+
+
+def identity(file: str) -> str:
+    found = os.stat(file)
+    return f"{found.st_dev}:{found.st_ino}"
+
+
+def where_is(file: str, made: str | None) -> str | None:
+    """The path at which a file stands now that was tailed as ``file``: that path, or another name in its folder."""
+    for path in (file, *sorted(glob.glob(os.path.join(glob.escape(os.path.dirname(file)), "*")))):
+        try:
+            if made is None or identity(path) == made:
+                return path
+        except OSError:  # it goes while we look
+            continue
+    return None
 
 
 def last_line_end(file: str) -> int:
@@ -44,9 +69,17 @@ def last_line_end(file: str) -> int:
     return 0
 
 
-def lines_of(part: Stretch):
+def _text(line: bytes) -> str:
+    return line.rstrip(b"\r\n").decode("utf-8", "replace")
+
+
+def lines_of(part: Stretch) -> Iterator[tuple[int, str]]:
     """(pos, line) of the lines that start in the stretch."""
-    with open(part.file, "rb") as f:
+    path = where_is(part.file, part.made)
+    if path is None:
+        logging.getLogger(__name__).warning("%s is gone: bytes %d to %d are lost", part.file, part.start, part.end)
+        return
+    with open(path, "rb") as f:
         at = part.start
         if at:
             f.seek(at - 1)
@@ -57,30 +90,79 @@ def lines_of(part: Stretch):
             line = f.readline()
             if not line or at + len(line) > part.stop:
                 return
-            yield at, line.rstrip(b"\r\n").decode("utf-8", "replace")
+            yield at, _text(line)
             at += len(line)
 
 
+def line_after(file: str, made: str | None, pos: int, prev: str | None, near: int = BLOCK) -> tuple[str | None, int]:
+    """(the line that now follows the line ``prev``, bytes read): ``pos`` is where it started when it was read.
+
+    One stretch of at most ``near`` bytes before and after ``pos`` is read.  Without
+    ``prev`` it is the line at ``pos``; None where there is no whole line.
+    """
+    path = where_is(file, made)
+    if path is None:
+        return None, 0
+    low = max(0, pos - near)
+    with open(path, "rb") as f:
+        f.seek(low)
+        data = f.read(pos - low + near)
+    at = pos - low
+    if prev is not None:
+        before = prev.encode()
+        found = [i for end in (b"\n", b"\r\n") if (i := data.rfind(before + end, 0, at + len(before) + 2)) >= 0 and (i == 0 and low == 0 or data[i - 1 : i] == b"\n")]
+        if not found:
+            return None, len(data)
+        at = data.index(b"\n", max(found)) + 1
+    end = data.find(b"\n", at)
+    return (_text(data[at:end]) if end >= 0 else None), len(data)
+
+
+def _ends(offset: dict) -> dict[str, tuple[str | None, int]]:
+    return {f: tuple(x) if isinstance(x, list) else (None, x) for f, x in json.loads(offset["files"]).items()}
+
+
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.patterns = [p.strip() for p in options["paths"].split(",")]
         self.task = int(options.get("taskbytes", TASK_BYTES))
+        self.wait = float(options.get("wait", 0))
+        self.began, self.known = time.monotonic(), {}
 
     def initialOffset(self) -> dict:
         return {"files": "{}"}
 
     def latestOffset(self) -> dict:
-        ends = {file: last_line_end(file) for pattern in self.patterns for file in glob.glob(pattern)}
-        return {"files": json.dumps(ends, sort_keys=True)}
+        for file in (f for pattern in self.patterns for f in glob.glob(pattern)):
+            try:
+                self.known[file] = [identity(file), last_line_end(file)]
+            except FileNotFoundError:  # it goes while we look: what was known of it stays
+                continue
+        if not self.known and self.wait and time.monotonic() - self.began > self.wait:
+            raise TimeoutError(f"no file at {', '.join(self.patterns)} after {self.wait:g} seconds")
+        return {"files": json.dumps(self.known, sort_keys=True)}
 
     def partitions(self, start: dict, end: dict) -> list[Stretch]:
-        low, high = json.loads(start["files"]), json.loads(end["files"])
-        return [Stretch(f, at, min(at + self.task, n), n) for f, n in high.items() for at in range(low.get(f, 0), n, self.task)]
+        low, out = _ends(start), []
+
+        def add(file: str, made: str | None, at: int, stop: int) -> None:
+            out.extend(Stretch(file, i, min(i + self.task, stop), stop, made) for i in range(at, stop, self.task))
+
+        for file, (made, stop) in _ends(end).items():
+            old, at = low.get(file, (made, 0))
+            if old is not None and old != made:
+                path = where_is(file, old)
+                if path is None:
+                    logging.getLogger(__name__).warning("%s was replaced and the old file is gone from byte %d on", file, at)
+                else:
+                    add(file, old, at, last_line_end(path))
+            add(file, made, at if old in (None, made) and at <= stop else 0, stop)
+        return out
 
     def read(self, partition: Stretch):
         source = os.path.basename(os.path.dirname(partition.file))
         for pos, line in lines_of(partition):
-            yield source, partition.file, pos, line
+            yield source, partition.file, partition.made, pos, line
 
     def commit(self, end: dict) -> None:
         pass
@@ -92,7 +174,7 @@ class LogTail(DataSource):
         return "log_tail"
 
     def schema(self) -> str:
-        return "source string, file string, pos long, value string"
+        return "source string, file string, made string, pos long, value string"
 
     def streamReader(self, schema) -> TailReader:
         return TailReader(self.options)
@@ -106,8 +188,6 @@ def tail(spark, paths: str, **options):
 
 def replay(lines, target: str, delay_s: float = 0.0) -> None:
     """Append ``lines`` to a file one by one: a live log for demonstrations and tests."""
-    import time
-
     with open(target, "a") as f:
         for line in lines:
             f.write(line.rstrip("\n") + "\n")

@@ -6,15 +6,18 @@ And what watches a stream: a count of the lines read and a heartbeat.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from netweave.functions.expr import log_type
-from netweave.operators.windows import lag_rows
+from netweave.operators.windows import join_on, lag_rows
 from netweave.sources import logs, schemas, tail
+from netweave.streaming.windows import forget
 
 
 def widths(kind):
@@ -25,48 +28,76 @@ def widths(kind):
     return out
 
 
-def checked(lines: DataFrame) -> DataFrame:
-    """Data lines (file, pos, value) with log_type, prev_value (the line before) and whether they are corrupt."""
-    data = lag_rows(lines.where(logs.is_data(F.col("value"))), "file", "pos", ["value"]).withColumn("log_type", log_type(F.col("file")))
+def checked(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Data lines (file, made, pos, value) with log_type, prev_value (the line before) and whether they are corrupt.
+
+    ``before`` has the last data line (file, made, value) that earlier batches read of a file.
+    """
+    data = lines.where(logs.is_data(F.col("value"))).withColumn("__log", F.struct("file", "made"))
+    data = lag_rows(data, "__log", "pos", ["value"]).drop("__log")
+    if before is not None:
+        data = join_on(data, before.select("file", "made", F.col("value").alias("__before")), ["file", "made"], "left")
+        data = data.withColumn("prev_value", F.coalesce("prev_value", "__before")).drop("__before")
+    data = data.withColumn("log_type", log_type(F.col("file")))
     return data.withColumn("corrupt", logs.is_corrupt(logs.tokens(F.col("value")), widths(F.col("log_type"))))
 
 
-def repaired(broken: DataFrame, lines: DataFrame) -> DataFrame:
-    """Corrupt lines (file, log_type, prev_value, value) with ``fixed``, what the log holds there by now, null if that is corrupt too."""
-    fragments = broken.select("file", "log_type", F.col("prev_value").alias("prev"), F.col("value").alias("fragment"))
-    found = logs.repair_lines(fragments, lines).withColumn("sound", ~logs.is_corrupt(logs.tokens(F.col("repaired")), widths(F.col("log_type"))))
-    return found.withColumn("fixed", F.when(F.col("sound"), F.col("repaired")))
+def last_lines(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """(file, made, value): the last data line of each file, of files without new ones the one known before."""
+    new = lines.where(logs.is_data(F.col("value"))).groupBy("file", "made").agg(F.max_by("value", "pos").alias("value"))
+    return new if before is None else new.unionByName(before.join(new.select("file"), "file", "left_anti"))
+
+
+def repaired(broken: DataFrame) -> DataFrame:
+    """Corrupt lines (file, made, pos, log_type, prev_value, value) with ``fixed``: what now follows the line before.
+
+    Executors read one bounded stretch of the file around each; null where what
+    they find lacks the fragment or is corrupt too.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = ("file", "made", "pos", "prev_value")
+            found = [tail.line_after(*r)[0] for r in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in names))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "found"])
+
+    kept = broken.select("file", "made", "pos", "log_type", "prev_value", "value")
+    schema = kept.withColumn("found", F.lit(None).cast("string")).schema
+    found = kept.mapInArrow(run, schema)
+    sound = F.contains("found", "value") & ~logs.is_corrupt(logs.tokens(F.col("found")), widths(F.col("log_type")))
+    return found.withColumn("fixed", F.when(sound, F.col("found"))).drop("found")
 
 
 def format_logs(spark: SparkSession, paths: str, out: str, checkpoint: str, options: dict | None = None, **trigger):
     """Start the job: sound and repaired lines go to ``out``/lines as tagged CSV, the rest to ``out``/quarantine.
 
     Log types are told by the files' names, several at once.  A batch writes
-    into a folder of its own number, so one that runs again replaces its lines.
+    into a folder of its own number, so one that runs again replaces its lines;
+    the last line of each file is kept in the checkpoint, so a broken line that
+    comes first in its batch has one before it, also after a restart.  The job
+    fails if no log is there after 60 seconds (option ``wait``).
     """
 
     def each(batch: DataFrame, number: int) -> None:
-        own = batch.sparkSession
-        batch = batch.select("file", "pos", "value").persist(StorageLevel.DISK_ONLY)  # the files are read once
-        ready = checked(batch).persist(StorageLevel.DISK_ONLY)
+        own, at = batch.sparkSession, lambda n: f"{checkpoint.rstrip('/')}/last-lines/{n}"
+        before = own.read.parquet(at(number - 1)) if number else None
+        batch = batch.select("file", "made", "pos", "value").persist(StorageLevel.DISK_ONLY)  # the files are read once
+        ready = checked(batch, before).persist(StorageLevel.DISK_ONLY)
         try:
-            broken = ready.where("corrupt")
-            files = [r[0] for r in broken.select("file").distinct().collect()]  # log files with half-written lines: a few
-            sound = ready.where("not corrupt").select("log_type", "value")
-            bad = broken.select("file", F.col("value"))
-            if files:
-                now = logs.read_lines(own, files).withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
-                fixed = repaired(broken, now.where(logs.is_data(F.col("value"))))
-                sound = sound.unionByName(fixed.where("fixed is not null").select("log_type", F.col("fixed").alias("value")))
-                bad = fixed.where("fixed is null").select("file", F.col("fragment").alias("value"))
+            seen = repaired(ready.where("corrupt")).persist(StorageLevel.DISK_ONLY)
+            sound = ready.where("not corrupt").select("log_type", "value").unionByName(seen.where("fixed is not null").select("log_type", F.col("fixed").alias("value")))
             tagged = sound.select(logs.csvify(logs.tokens(F.col("value")), F.col("log_type")).alias("value"))
             tagged.write.mode("overwrite").text(f"{out}/lines/batch={number}")
-            bad.write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+            seen.where("fixed is null").select("file", "value").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
+            last_lines(batch, before).write.mode("overwrite").parquet(at(number))
+            seen.unpersist()
         finally:
             ready.unpersist()
             batch.unpersist()
+        if number > 1:
+            forget(own, at(number - 2))
 
-    lines = tail.tail(spark, paths, **(options or {}))
+    lines = tail.tail(spark, paths, **({"wait": 60} | (options or {})))
     return lines.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 

@@ -58,14 +58,14 @@ def place(batch: DataFrame, held: DataFrame | None, seen: DataFrame | None, key:
     """Add ``wid``, the window of each row, and ``_after``, the rows of its source so far; held rows come first.
 
     ``held``: rows of incomplete windows with ``wid``; ``seen``: (``_key``,
-    ``_seen``), the rows of a source before the batch, one row per source, so it is broadcast.
+    ``_seen``), the rows of a source before the batch, one row per source; Spark broadcasts it if it is small.
     The key is compared inside a struct, as a source without a name is one too.
     """
     last = F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1))
     new = number_rows(batch.withColumns({"_key": F.struct(F.col(key)), "_at": last}), "_key", "_at")
     before = F.lit(0).cast("long")
     if seen is not None:
-        new, before = new.join(F.broadcast(seen), "_key", "left"), F.coalesce("_seen", before)
+        new, before = new.join(seen, "_key", "left"), F.coalesce("_seen", before)
     names = [*batch.columns, "wid", "_after"]
     placed = new.withColumns({"wid": F.floor((before + F.col("rn") - 1) / size).cast("long"), "_after": before + F.col("total")}).select(*names)
     if held is None:
@@ -75,7 +75,7 @@ def place(batch: DataFrame, held: DataFrame | None, seen: DataFrame | None, key:
     return kept.withColumn("_after", F.col("_seen") + F.coalesce("_new", F.lit(0))).select(*names).unionByName(placed)
 
 
-def _forget(spark, path: str) -> None:
+def forget(spark, path: str) -> None:
     """Give back the space of a stored folder, in whatever store it is: an empty table takes its place."""
     spark.createDataFrame([], "none int").write.mode("overwrite").parquet(path)
 
@@ -104,7 +104,7 @@ def score_windows(spark, stream: DataFrame, key: str, order: str, columns: list[
             placed.unpersist()
             batch.unpersist()
         if number > 1:
-            _forget(own, at(number - 2))
+            forget(own, at(number - 2))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netweave.operators import encode, models, profile, report, scoring, windows
-from netweave.sources import logs, schemas
+from netweave.sources import logs, tail, schemas
 from netweave.streaming import job
 
 ROWS = [(None, 3, "a"), (None, None, "b"), ("x", None, "c"), ("x", 10**15, "d"), ("x", 5, "e"), ("y", 1, "f"), ("x", 7, None)]
@@ -111,7 +111,7 @@ def test_split_in_time_and_evaluation(spark):
     df = df.withColumn("x", F.col("x") + 20 * F.col("label"))
     early, late = models.split_in_time(df, ["k"], "at", 0.6)
     assert early.count() == 120 and late.count() == 80 and early.agg(F.max("at")).first()[0] < late.agg(F.min("at")).first()[0]
-    model = models.fit_row_gbt(early, ["x"], maxIter=2, maxDepth=2, maxBins=8)
+    model = models.fit_row_gbt(early, ["x"], trees=2, depth=2, bins=64)
     rates = {(r.set, r.k): r.rate for r in models.evaluate(model, {"early": early, "late": late}, ["x"], ["k"]).collect()}
     assert rates == {("early", "good"): 0.0, ("early", "bad"): 1.0, ("late", "good"): 0.0, ("late", "bad"): 1.0}
 
@@ -163,9 +163,49 @@ def test_live_job(spark, tmp_path):
     assert sum(beat.rows.values()) == 9
 
 
+def _seen(spark, log, lines):
+    made = tail.identity(str(log))
+    return spark.createDataFrame([(str(log), made, pos, x) for pos, x in lines], "file string, made string, pos long, value string")
+
+
 def test_half_written_line_is_repaired(spark, tmp_path):
     whole = [_conn(f"C{i:016d}") for i in range(3)]
-    now = spark.createDataFrame([("/a/conn.log", i, x) for i, x in enumerate(whole)], "file string, pos long, value string")
-    seen = spark.createDataFrame([("/a/conn.log", 0, whole[0]), ("/a/conn.log", 1, whole[1][:25]), ("/a/conn.log", 2, "#close")], "file string, pos long, value string")
-    broken = job.checked(seen).where("corrupt")
-    assert [r.fixed for r in job.repaired(broken, now).collect()] == [whole[1]]
+    log = tmp_path / "conn.log"
+    log.write_text("#fields\tts\n" + "\n".join(whole) + "\n")
+    at = [11 + sum(len(x) + 1 for x in whole[:i]) for i in range(3)]
+    seen = _seen(spark, log, [(at[0], whole[0]), (at[1], whole[1][:25]), (at[1] + 26, "#close")])
+    assert [r.fixed for r in job.repaired(job.checked(seen).where("corrupt")).collect()] == [whole[1]]
+    first = _seen(spark, log, [(at[0], whole[0][:30])])  # the first line of a file has none before it
+    assert [r.fixed for r in job.repaired(job.checked(first).where("corrupt")).collect()] == [whole[0]]
+
+
+def test_a_fragment_alone_in_its_batch_is_repaired(spark, tmp_path):
+    """The line before it came in an earlier batch, and the log was moved a little and rotated meanwhile."""
+    whole = [_conn(f"C{i:016d}") for i in range(4)]
+    log, other = tmp_path / "conn.log", tmp_path / "dns.log"
+    log.write_text("\n".join(whole) + "\n")
+    other.write_text("x\n")
+    size = len(whole[0]) + 1
+    before = job.last_lines(_seen(spark, log, [(0, whole[0]), (size, whole[1]), (size * 2, "#close")]).unionByName(_seen(spark, other, [(0, "x")])))
+    before = job.last_lines(_seen(spark, other, [(2, "y")]), before)
+    assert sorted(r.value for r in before.collect()) == sorted([whole[1], "y"])
+    fragment = _seen(spark, log, [(2 * size + 3, whole[2][:20])])
+    log.rename(tmp_path / "conn.log.1")
+    log.write_text("another file\n")
+    ready = job.checked(fragment, before)
+    assert [(r.prev_value, r.corrupt) for r in ready.collect()] == [(whole[1], True)]
+    assert [r.fixed for r in job.repaired(ready).collect()] == [whole[2]]
+    lost = job.repaired(job.checked(_seen(spark, other, [(2, "no such line")]), before).where("corrupt")).collect()
+    assert [r.fixed for r in lost] == [None]
+
+
+def test_repair_reads_a_stretch_not_the_file(tmp_path):
+    log = tmp_path / "conn.log"
+    lines = [f"line {i} " + "x" * 80 for i in range(100_000)]
+    log.write_text("\n".join(lines) + "\n")
+    pos = sum(len(x) + 1 for x in lines[:70_000])
+    found, read = tail.line_after(str(log), tail.identity(str(log)), pos, lines[69_999])
+    assert found == lines[70_000] and read <= 2 * tail.BLOCK
+    assert tail.line_after(str(log), None, pos, "never there")[0] is None
+    assert tail.line_after(str(log), None, pos, None)[0] == lines[70_000]
+    assert tail.line_after(str(tmp_path / "gone.log"), "1:2", 0, None) == (None, 0)

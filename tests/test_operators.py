@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 
 from netweave.functions import expr, spectral
 from netweave.operators import encode, features, mix, models, profile, report, scoring, windows
+from netweave.sources import logs, schemas
 from netweave.streaming import windows as streaming
 
 
@@ -104,14 +105,62 @@ def test_expressions(spark):
     assert tuple(got) == (None, 0.0, 1, "unknown", None, "orig", 3, 140.0, pytest.approx(np.std([60, 60, 300])), "CONN", "pod-1", "key  5", 0.75, 0.0, 0.5, 1, 1)
 
 
-def test_encoders(spark):
-    df = spark.createDataFrame([("a.b,::1,a.b", "60,60", "T", 0.5, "A"), (None, None, "F", None, None)], "answers string, TTLs string, AA string, rtt double, qtype_name string")
-    df = df.withColumns({c: F.lit("F") for c in ("TC", "RD", "RA", "rejected")}).withColumn("proto", F.lit("udp"))
-    vocabulary = encode.fit_vocabulary(df, ["proto"])
-    a, b = encode.encode_dns(df, vocabulary).orderBy(F.desc("AA")).collect()
-    assert (a.answers_count, a.answers_unique, a.has_ipv6, a.ttl_mean, a.answer_ttl_mismatch, a.AA, a.rtt_missing, a.proto_udp) == (3, 2, 1, 60.0, 1, 1, 0, 1)
-    assert (b.answers_count, b.has_ipv6, b.ttl_mean, b.answer_ttl_mismatch, b.rtt, b.rtt_missing) == (0, 0, 0.0, 0, 0.0, 1)
-    assert encode.align(df, ["rtt", "other"]).columns == ["rtt", "other"]
+_HEAD = "1700000000.000000\tCuid000000000000001\t10.0.0.1\t1234\t10.0.0.2\t53\t"
+ENCODED = {
+    "CONN": (
+        [_HEAD + "tcp\tssl\t0.5\t10\t0\tSF\tT\tF\t7\tShAD\t3\t130\t2\t80\t-", _HEAD + "udp\t-\t-\t-\t-\tS0\t-\t-\t0\tD\t1\t40\t0\t0\t-"],
+        {"duration", "orig_bytes", "resp_bytes", "missed_bytes", "orig_pkts", "orig_ip_bytes", "resp_pkts", "resp_ip_bytes", "duration_missing", "orig_bytes_missing", "resp_bytes_missing", "missed_bytes_missing", "orig_pkts_missing", "orig_ip_bytes_missing", "resp_pkts_missing", "resp_ip_bytes_missing", "local_orig", "local_resp", "proto_tcp", "proto_udp", "service_ssl", "service_unknown", "conn_state_S0", "conn_state_SF"},
+        [
+            {"duration": 0.5, "duration_missing": 0, "orig_bytes": 10.0, "resp_bytes": 0.0, "resp_bytes_missing": 0, "missed_bytes": 7.0, "local_orig": 1, "local_resp": 0, "proto_tcp": 1, "proto_udp": 0, "service_ssl": 1, "service_unknown": 0, "conn_state_SF": 1, "orig_ip_bytes": 130.0},
+            {"duration": 0.0, "duration_missing": 1, "orig_bytes": 0.0, "orig_bytes_missing": 1, "resp_bytes_missing": 1, "missed_bytes": 0.0, "missed_bytes_missing": 0, "local_orig": 0, "local_resp": 0, "proto_udp": 1, "service_unknown": 1, "conn_state_S0": 1, "resp_pkts": 0.0},
+        ],
+    ),
+    "DNS": (
+        [_HEAD + "udp\t17\t0.25\ta.b\t1\tC_INTERNET\t28\tAAAA\t0\tNOERROR\tT\tF\tT\tT\t0\t10.0.0.9,fe80::1,10.0.0.9\t60.0,300.0\tF", _HEAD + "udp\t18\t-\ta.b\t1\tC_INTERNET\t-\t-\t3\tNXDOMAIN\tF\tF\tT\t-\t1\t-\t-\tT"],
+        {"rtt", "qclass", "qtype", "rcode", "Z", "rtt_missing", "qclass_missing", "qtype_missing", "rcode_missing", "Z_missing", "AA", "TC", "RD", "RA", "rejected", "proto_udp", "qclass_name_C_INTERNET", "qtype_name_AAAA", "qtype_name_unknown", "rcode_name_NOERROR", "rcode_name_NXDOMAIN", "answers_count", "answers_unique_count", "answers_has_ipv6", "ttls_mean", "ttls_std", "ttls_count", "answers_ttls_mismatch"},
+        [
+            {"rtt": 0.25, "qtype": 28.0, "AA": 1, "TC": 0, "RD": 1, "RA": 1, "rejected": 0, "answers_count": 3, "answers_unique_count": 2, "answers_has_ipv6": 1, "ttls_mean": 180.0, "ttls_std": 120.0, "ttls_count": 2, "answers_ttls_mismatch": 1, "qtype_name_AAAA": 1, "rcode_name_NOERROR": 1},
+            {"rtt": 0.0, "rtt_missing": 1, "qtype": 0.0, "qtype_missing": 1, "AA": 0, "RD": 1, "RA": 0, "rejected": 1, "answers_count": 0, "answers_unique_count": 0, "answers_has_ipv6": 0, "ttls_mean": 0.0, "ttls_std": 0.0, "ttls_count": 0, "answers_ttls_mismatch": 0, "qtype_name_unknown": 1, "rcode_name_NXDOMAIN": 1, "Z": 1.0},
+        ],
+    ),
+    "SSL": (
+        [_HEAD + "TLSv13\tTLS_AES\tx25519\ta.b\tT\t-\th2\tT\tCs\tf1,f2\t-\tF", _HEAD + "-\tTLS_AES\t-\ta.b\tF\t-\t-\t-\tC\t-\t-\tT"],
+        {"resumed", "established", "sni_matches_cert", "version_TLSv13", "version_unknown", "cipher_TLS_AES", "curve_unknown", "curve_x25519"},
+        [{"resumed": 1, "established": 1, "sni_matches_cert": 0, "version_TLSv13": 1, "curve_x25519": 1, "cipher_TLS_AES": 1}, {"resumed": 0, "established": 0, "sni_matches_cert": 1, "version_TLSv13": 0, "version_unknown": 1, "curve_unknown": 1}],
+    ),
+    "HTTP": (
+        [_HEAD + "1\tGET\ta.b\t/x\t-\t1.1\tagent\t-\t0\t512\t200\tOK\t-\t-\t(empty)\t-\t-\tp1,p2\t" + "-\t" * 5 + "-"] * 2,
+        {"trans_depth", "request_body_len", "response_body_len", "status_code", "info_code", "info_msg", "tags", "proxied"},
+        [{"trans_depth": 1, "request_body_len": 0, "response_body_len": 512, "status_code": 200, "info_code": None, "info_msg": None, "tags": [], "proxied": ["p1", "p2"]}] * 2,
+    ),
+}
+
+
+@pytest.mark.parametrize("kind", list(ENCODED))
+@pytest.mark.parametrize("text", [False, True])
+def test_encoders_on_logs_as_they_are_read(spark, tmp_path, kind, text):
+    """A log read and encoded: the columns and values written out, from typed rows and from rows of text."""
+    lines, names, values = ENCODED[kind]
+    log = tmp_path / f"{kind.lower()}.log"
+    log.write_text("\n".join(["#fields\t" + "\t".join(n for n, _ in schemas.fields(kind)), *lines]) + "\n")
+    rows, bad = logs.read_log(spark, str(log), kind)
+    assert bad.count() == 0 and rows.count() == len(lines)
+    if text:  # every column as the log has it
+        cells = F.split("value", "\t")
+        raw = logs.read_lines(spark, str(log)).where(logs.is_data(F.col("value"))).select("pos", *(F.get(cells, F.lit(i)).alias(schemas.column_name(n)) for i, (n, _) in enumerate(schemas.fields(kind))))
+        whole = raw.select("pos", *(expr.null_if_unset(F.col(c)).alias(c) for c in raw.columns if c != "pos"))
+    else:
+        whole = rows.drop("file")
+    run = {"CONN": encode.encode_conn, "DNS": encode.encode_dns, "SSL": encode.encode_ssl}.get(kind)
+    found = run(whole, encode.fit_vocabulary(whole, kind)) if run else encode.encode_http(whole)
+    assert set(found.columns) == names | {"pos"}
+    if kind == "HTTP" and text:
+        return
+    for r, want in zip(found.orderBy("pos").collect(), values):
+        assert {c: r[c] for c in want} == want
+    if kind == "CONN":
+        assert encode.encode_conn(whole, {}, complete=True).count() == 1
+    assert encode.align(found, ["pos", "other"]).columns == ["pos", "other"]
 
 
 def test_samples_are_exact(spark):
@@ -158,10 +207,9 @@ def test_isolation_forest_finds_outliers(spark):
 
 def test_models_are_saved_and_read(spark, tmp_path):
     df = spark.createDataFrame([(float(i), None if i % 7 == 0 else float(i % 5), int(i > 50)) for i in range(100)], "a double, b double, label int")
-    model = models.fit_gbt(df, ["a", "b"], maxIter=3, maxDepth=2, maxBins=16)
+    model = models.fit_forest(df, ["a", "b"], numTrees=5, maxDepth=4)
     models.save(model, str(tmp_path / "m"))
-    got = models.predict(models.load(str(tmp_path / "m")), df, ["a", "b"]).where("predicted = label").count()
-    assert got >= 98
+    assert models.predict(models.load(str(tmp_path / "m")), df, ["a", "b"]).where("predicted = label").count() >= 98
 
 
 def test_stream_windows_equal_batch(spark, tmp_path):

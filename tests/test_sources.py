@@ -142,6 +142,56 @@ def test_tail_follows_growing_files(spark, tmp_path):
         again.stop()
 
 
+def _values(spark, folder):
+    return [r.value for r in spark.read.parquet(str(folder)).orderBy("value").collect()]
+
+
+def test_tail_across_rotation(spark, tmp_path):
+    """Renamed, replaced, cut short and late files, with a restart before each step: every line once."""
+    (tmp_path / "pod").mkdir()
+    log = tmp_path / "pod" / "conn.log"
+
+    def run():
+        frame = tail.tail(spark, f"{tmp_path}/*/*.log", taskbytes="20")
+        query = frame.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+        assert query.awaitTermination(120)
+        return _values(spark, tmp_path / "out")
+
+    log.write_text("a1\na2\n")
+    assert run() == ["a1", "a2"]
+    with log.open("a") as f:
+        f.write("a3\na4 its end is not there y")
+    assert run() == ["a1", "a2", "a3"]
+    with log.open("a") as f:
+        f.write("et\na5\n")
+    log.rename(tmp_path / "pod" / "conn.2024.gz.old")  # what was written after the last look is read first
+    log.write_text("b1\nb2\n")
+    (tmp_path / "pod" / "dns.log").write_text("d1\n")
+    assert run() == ["a1", "a2", "a3", "a4 its end is not there yet", "a5", "b1", "b2", "d1"]
+    with log.open("w") as f:  # the same file, cut short
+        f.write("c1\n")
+    assert run()[-3:] == ["b2", "c1", "d1"]
+    assert len(run()) == 9
+    log.rename(tmp_path / "away")  # another folder: the rest is lost, with a warning
+    log.write_text("e1\n")
+    assert run()[-1] == "e1"
+    made = {r.made for r in spark.read.parquet(str(tmp_path / "out")).where("file like '%conn.log'").collect()}
+    assert len(made) == 3
+
+
+def test_tail_gives_up_on_a_log_that_never_appears(tmp_path):
+    reader = tail.TailReader({"paths": f"{tmp_path}/*.log", "wait": "0.05"})
+    assert reader.latestOffset() == {"files": "{}"}
+    import time
+
+    time.sleep(0.1)
+    with pytest.raises(TimeoutError, match="no file"):
+        reader.latestOffset()
+    (tmp_path / "conn.log").write_text("x\n")
+    assert "conn.log" in tail.TailReader({"paths": f"{tmp_path}/*.log", "wait": "0.05"}).latestOffset()["files"]
+    assert tail.TailReader({"paths": f"{tmp_path}/none*.log"}).latestOffset() == {"files": "{}"}
+
+
 def test_command_line(spark, log, tmp_path):
     from netweave.__main__ import main
 
