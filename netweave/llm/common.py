@@ -139,18 +139,61 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def word_grams(words: list[bytes], least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, index of the word) of every n-gram of bytes of ``<word>``, most <= 8."""
-    data = np.frombuffer(b"<" + b"><".join(words) + b">", np.uint8).astype(np.uint64)
-    sizes = np.array([len(w) + 2 for w in words])
-    owner = np.repeat(np.arange(len(words)), sizes)
-    room = np.cumsum(sizes)[owner] - np.arange(len(data))  # bytes to the end of the word
-    packed, hashes, owners = data.copy(), [], []
+#: Bytes of words whose n-grams are made at a time: each takes some 100 bytes on the way.
+GRAM_BYTES = 1 << 19
+
+
+def _grams(data: bytes, owner: np.ndarray, room: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of bytes that start at the first ``len(owner)`` bytes and end within ``room``."""
+    data, n_starts = np.frombuffer(data, np.uint8).astype(np.uint64), len(owner)
+    packed, hashes, owners = data[:n_starts].copy(), [], []
     for n in range(1, min(most, len(data)) + 1):
         if n > 1:
-            packed[: len(data) - n + 1] |= data[n - 1 :] << np.uint64(8 * (n - 1))
+            more = data[n - 1 : n - 1 + n_starts]
+            packed[: len(more)] |= more << np.uint64(8 * (n - 1))
         if n >= least:
             whole = room >= n
             hashes.append(mix64(packed[whole] + np.uint64(n << 58)))
             owners.append(owner[whole])
     return np.concatenate([np.zeros(0, np.uint64), *hashes]), np.concatenate([np.zeros(0, np.int64), *owners])
+
+
+def gram_stretches(words: list[bytes], least: int, most: int, stretch: int = GRAM_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(64-bit hash, index of the word) of every n-gram of bytes of ``<word>``, most <= 8, some words or a stretch of a long one at a time."""
+    at = 0
+    while at < len(words):
+        end, size = at, 0
+        while end < len(words) and (end == at or size + len(words[end]) + 2 <= stretch):
+            size += len(words[end]) + 2
+            end += 1
+        data = b"<" + b"><".join(words[at:end]) + b">"
+        if end == at + 1:  # one word, of any length
+            for start in range(0, size, stretch):
+                n = min(stretch, size - start)
+                yield _grams(data[start : start + n + most - 1], np.full(n, at), size - start - np.arange(n), least, most)
+        else:
+            sizes = np.array([len(w) + 2 for w in words[at:end]])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            yield _grams(data, owner + at, np.cumsum(sizes)[owner] - np.arange(size), least, most)
+        at = end
+
+
+def gram_counts(words: list[bytes], least: int, most: int, buckets: int, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the word, bucket, times) of the n-grams of words, hashed into ``buckets``, by word; only ``live`` buckets if given."""
+    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        every, inverse = np.unique(np.concatenate([keys, *(k for k, _ in held)]), return_inverse=True)
+        return every, np.bincount(inverse, np.concatenate([times, *(n for _, n in held)]), len(every)).astype(np.int64)
+
+    for hashes, owner in gram_stretches(words, least, most):
+        bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+        if live is not None:
+            kept = live[bucket]
+            bucket, owner = bucket[kept], owner[kept]
+        held.append(np.unique(owner * buckets + bucket, return_counts=True))
+        if sum(len(k) for k, _ in held) > 4 * GRAM_BYTES:
+            keys, times = merged()
+            held = []
+    keys, times = merged()
+    return keys // buckets, keys % buckets, times

@@ -30,6 +30,8 @@ from netweave.llm.common import arrow_map, having_ids, Scratch, slices
 #: Chunk sizes in bytes: at least, on average beyond that, at most.
 MIN_CHUNK, MEAN_CHUNK, MAX_CHUNK = 512, 2048, 16384
 WINDOW = 16
+#: Bytes of a text whose marks are looked for at a time.
+STRETCH = 1 << 20
 _GEAR = np.random.default_rng(20240229).integers(0, 2**32, 256, dtype=np.uint32)
 
 
@@ -38,12 +40,16 @@ def cut_points(data: bytes, least: int = MIN_CHUNK, mean: int = MEAN_CHUNK, most
     n = len(data)
     if n <= least:
         return [n] if n else []
-    h = _GEAR[np.frombuffer(data, np.uint8)]
-    for w in (1, 2, 4, 8):  # h[i] becomes the hash of bytes i-15..i
-        h[w:] += h[:-w] << np.uint32(w)
-    marks = np.flatnonzero((h >> np.uint32(8)) & np.uint32(mean - 1) == 0) + 1
+    found = []
+    for at in range(0, n, STRETCH):  # a stretch, and the bytes before it that its first hashes cover
+        low = max(0, at - WINDOW + 1)
+        h = _GEAR[np.frombuffer(data[low : at + STRETCH], np.uint8)]
+        for w in (1, 2, 4, 8):  # h[i] becomes the hash of bytes i-15..i
+            h[w:] += h[:-w] << np.uint32(w)
+        marks = np.flatnonzero((h[at - low :] >> np.uint32(8)) & np.uint32(mean - 1) == 0) + 1 + at
+        found += marks[marks >= least].tolist()
     ends, last = [], 0
-    for m in [*marks[marks >= least].tolist(), n]:
+    for m in [*found, n]:
         while m - last > most:
             last += most
             ends.append(last)

@@ -12,7 +12,9 @@ sum over words that each worker looks up in a table.
 
 Defined results: null text counts as empty; an empty text has the score of the
 bias alone; without any labelled row every score is 0.5; repeated rows each get
-a row; extra columns are ignored.
+a row; extra columns are ignored; an empty table gives none.  Very long texts and
+words count whole: n-grams are made and counted in stretches, so that memory
+follows the text, not its n-grams.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.llm.common import MEMO_ROWS, MEMO_WORD, arrow_map, held_out, slices, word_grams
+from netweave.llm.common import MEMO_ROWS, MEMO_WORD, arrow_map, gram_counts, held_out, slices
 from netweave.llm.labelled import training_rows
 
 #: Most labelled rows that are trained on (a bound).
@@ -39,12 +41,13 @@ MIN_GRAM, MAX_GRAM = 3, 4
 AGAIN = 0  # bucket of "the word before once more"
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, index of the word): each word and its character n-grams."""
-    grams, owner = word_grams(words, MIN_GRAM, MAX_GRAM)
-    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
-    hashes = np.concatenate([own, grams])
-    return (hashes % np.uint64(BUCKETS - 1)).astype(np.int64) + 1, np.concatenate([np.arange(len(words)), owner])
+def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the word, bucket, times), by word: each word and its character n-grams."""
+    owner, bucket, times = gram_counts(words, MIN_GRAM, MAX_GRAM, BUCKETS - 1)
+    own = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64) % np.uint64(BUCKETS - 1)
+    owner, bucket = np.concatenate([np.arange(len(words)), owner]), np.concatenate([own.astype(np.int64), bucket]) + 1
+    order = np.argsort(owner, kind="stable")
+    return owner[order], bucket[order], np.concatenate([np.ones(len(words), np.int64), times])[order]
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -53,15 +56,17 @@ def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     place = {w: i for i, w in enumerate(dict.fromkeys(w for p in split for w in p))}
     if not place:
         return [(np.zeros(0, np.int32), np.zeros(0, np.float32)) for _ in texts]
-    bucket, owner = word_features(list(place))
-    order = np.argsort(owner, kind="stable")
-    bucket, first = bucket[order], np.searchsorted(owner[order], np.arange(len(place) + 1))
+    owner, bucket, times = word_features(list(place))
+    first = np.searchsorted(owner, np.arange(len(place) + 1))
     out = []
     for p in split:
         at = np.array([place[w] for w in p], np.int64)
-        ids = [bucket[first[i] : first[i + 1]] for i in at]
-        ids.append(np.full(int((at[1:] == at[:-1]).sum()), AGAIN))
-        found, n = np.unique(np.concatenate(ids), return_counts=True)
+        word, seen = np.unique(at, return_counts=True)
+        again = int((at[1:] == at[:-1]).sum())
+        ids = np.concatenate([np.full(min(again, 1), AGAIN), *(bucket[first[i] : first[i + 1]] for i in word)])
+        n = np.concatenate([np.full(min(again, 1), again), *(k * times[first[i] : first[i + 1]] for i, k in zip(word, seen))])
+        found, inverse = np.unique(ids, return_inverse=True)
+        n = np.bincount(inverse, n, len(found))
         out.append((found.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
@@ -104,8 +109,8 @@ class Scorer:
         self.table, self.bias, self.words = table, bias, {}
 
     def learn(self, words: list[bytes]) -> None:
-        bucket, owner = word_features(words)
-        total = np.bincount(owner, self.table[bucket], len(words)) + 1j * np.bincount(owner, minlength=len(words))
+        owner, bucket, times = word_features(words)
+        total = np.bincount(owner, self.table[bucket] * times, len(words)) + 1j * np.bincount(owner, times, len(words))
         self.words.update(zip(words, total.tolist()))
 
     def scores(self, texts: list[str]) -> list[float]:

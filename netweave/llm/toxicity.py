@@ -10,7 +10,9 @@ by stochastic gradient descent.
 
 Defined results: null text counts as empty; an empty text has the score of the
 bias alone; without any labelled row every score is 0.5; repeated rows each get
-a row; extra columns are ignored; an empty table gives none.
+a row; extra columns are ignored; an empty table gives none.  Very long texts and
+words count whole: n-grams are made and counted in stretches, so that memory
+follows the text, not its n-grams.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from netweave.llm.common import arrow_map, slices, word_grams
+from netweave.llm.common import arrow_map, gram_counts, slices
 from netweave.llm.labelled import MAX_ROWS, training_rows
 
 BUCKETS = 1 << 20
@@ -54,13 +56,8 @@ def values(texts: list[str], live: np.ndarray | None = None) -> tuple[np.ndarray
     place = {w: i for i, w in enumerate(dict.fromkeys(w for c in counts for w in c))}
     if not place:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    grams, owner = word_grams(list(place), MIN_GRAM, MAX_GRAM)
-    bucket = (grams % np.uint64(BUCKETS)).astype(np.int64)
-    if live is not None:
-        kept = live[bucket]
-        bucket, owner = bucket[kept], owner[kept]
-    order = np.argsort(owner, kind="stable")
-    bucket, first = bucket[order], np.searchsorted(owner[order], np.arange(len(place) + 1))
+    owner, bucket, often = gram_counts(list(place), MIN_GRAM, MAX_GRAM, BUCKETS, live)
+    first = np.searchsorted(owner, np.arange(len(place) + 1))
     word = np.fromiter((place[w] for c in counts for w in c), np.int64)
     times = np.fromiter((n for c in counts for n in c.values()), np.float64)
     text = np.repeat(np.arange(len(texts)), [len(c) for c in counts])
@@ -68,7 +65,7 @@ def values(texts: list[str], live: np.ndarray | None = None) -> tuple[np.ndarray
     # The n-grams of each (text, word), one after the other.
     at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[word], size)
     key, inverse = np.unique(np.repeat(text, size) * BUCKETS + bucket[at], return_inverse=True)
-    total = np.bincount(inverse, np.repeat(times, size), len(key))
+    total = np.bincount(inverse, np.repeat(times, size) * often[at], len(key))
     n_words = np.array([max(1, sum(c.values())) for c in counts], float)
     return key // BUCKETS, key % BUCKETS, SCALE * total / n_words[key // BUCKETS]
 

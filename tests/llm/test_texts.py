@@ -3,12 +3,15 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 
 from netweave.llm import html_extract, packing, quality_model, quality_rules, sentencepiece_codec, toxicity, url_filter
+from netweave.llm.common import mix64
 from netweave.llm.tokens import byte_bpe
 from tests.llm import brute
 from tests.llm.tables import PAGES, corpus, documents
@@ -326,17 +329,47 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(p and not y for y, _, p in rows) <= 0.01 * len(rows)
 
 
+def plain_grams(word, least, most):
+    """The hash of each n-gram of bytes of ``<word>``, one at a time."""
+    data = b"<" + word + b">"
+    return [int(mix64(np.array([int.from_bytes(data[i : i + n], "little") + (n << 58)], np.uint64))[0]) for n in range(least, most + 1) for i in range(len(data) - n + 1)]
+
+
+def test_grams_in_stretches(monkeypatch):
+    from netweave.llm import common
+
+    words = [b"a", b"", b"abc" * 50, "wörter".encode(), b"x" * 7, b"abcabc"]
+    for stretch in (1, 2, 5, 16, 40, 1000):
+        got = [(int(h), int(o)) for hs, os in common.gram_stretches(words, 2, 5, stretch) for h, o in zip(hs, os)]
+        assert sorted(got) == sorted((h, i) for i, w in enumerate(words) for h in plain_grams(w, 2, 5)), stretch
+    monkeypatch.setattr(common, "GRAM_BYTES", 8)
+    owner, bucket, times = common.gram_counts(words, 2, 5, 97)
+    want = Counter((i, h % 97) for i, w in enumerate(words) for h in plain_grams(w, 2, 5))
+    assert {(int(o), int(b)): int(n) for o, b, n in zip(owner, bucket, times)} == want and (np.diff(owner) >= 0).all()
+
+
+@pytest.mark.parametrize("scorer", [quality_model.Scorer(np.ones(quality_model.BUCKETS, np.float32), 0.0), toxicity.Scorer(np.arange(5000), np.ones(5000), 0.0)], ids=["quality", "toxicity"])
+def test_a_very_long_word_takes_bounded_memory(scorer):
+    import tracemalloc
+
+    text = "".join(random.Random(4).choices("abcdefghijklmnopqrstuvwxyz", k=30_000_000))
+    scorer.scores(["warm up"])
+    tracemalloc.start()
+    assert 0 <= scorer.scores([text])[0] <= 1
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400e6, most
+
+
 def test_scorers_match_a_plain_forward_pass():
     """Tables of words against every feature of every word, one at a time."""
-    from netweave.llm.common import word_grams
-
     rng = np.random.default_rng(1)
     texts = [t or "" for _, t in corpus(size=40)][:40] + ["same same same word", "Ärger UND Ärger"]
     table = rng.normal(size=quality_model.BUCKETS).astype(np.float32)
     got = quality_model.Scorer(table, 0.25).scores(texts)
     for t, score in zip(texts, got):
         words = t.encode().split()
-        values = [float(table[b]) for w in words for b in quality_model.word_features([w])[0]]
+        values = [float(table[h % (quality_model.BUCKETS - 1) + 1]) for w in words for h in [xxhash.xxh3_64_intdigest(w), *plain_grams(w, quality_model.MIN_GRAM, quality_model.MAX_GRAM)]]
         values += [float(table[quality_model.AGAIN])] * sum(a == b for a, b in zip(words, words[1:]))
         z = 0.25 + (sum(values) / len(values) if values else 0.0)
         assert score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
@@ -344,7 +377,7 @@ def test_scorers_match_a_plain_forward_pass():
     got = toxicity.Scorer(np.arange(toxicity.BUCKETS), weights, -0.5).scores(texts)
     for t, score in zip(texts, got):
         words = t.encode().translate(toxicity._LETTERS).split()
-        total = sum(weights[int(h) % toxicity.BUCKETS] for w in words for h in word_grams([w], toxicity.MIN_GRAM, toxicity.MAX_GRAM)[0])
+        total = sum(weights[h % toxicity.BUCKETS] for w in words for h in plain_grams(w, toxicity.MIN_GRAM, toxicity.MAX_GRAM))
         z = -0.5 + toxicity.SCALE * total / max(1, len(words))
         assert score == pytest.approx(1 / (1 + np.exp(-np.clip(z, -500, 500))), rel=1e-6, abs=1e-12)
 
@@ -361,6 +394,17 @@ def test_classifiers_on_awkward_tables(spark, model):
     assert model.score(docs.limit(0), model.fit(docs, labels)).count() == 0
 
 
+def test_one_labelled_id_with_very_many_texts(spark):
+    from netweave.llm.labelled import training_rows
+
+    many = spark.range(100_000).selectExpr("0L AS doc_id", "concat('text ', lpad(id, 9, '0')) AS text").unionByName(spark.createDataFrame([(7, "b" * 900), (8, None), (9, "c")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(0, 1), (7, 1), (8, 0), (9, 1)], "doc_id long, toxic int")
+    texts, y = training_rows(many, labels, "toxic")
+    assert sorted(zip(texts, y)) == [("", 0), ("b" * 900, 1), ("c", 1), ("text 000000000", 1)]
+    texts, _ = training_rows(many, labels, "toxic", most=500)
+    assert sorted(texts) == ["", "c", "text 000000000"]
+
+
 def test_training_rows_are_bounded_and_leave_the_fold_out(spark):
     from netweave.llm.labelled import training_rows
 
