@@ -86,40 +86,3 @@ def spectra(series: DataFrame, keys: list[str], order: str, value: str) -> DataF
         return out
 
     return series.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)
-
-
-def haar_packet_energies(y: np.ndarray, levels: int = 3) -> np.ndarray:
-    """Shares of energy in the 2 ** levels bands of a wavelet-packet tree (Haar filters)."""
-    bands = [np.asarray(y, float)]
-    for _ in range(levels):
-        deeper = []
-        for b in bands:
-            b = np.append(b, b[-1:]) if len(b) % 2 else b
-            deeper += [(b[0::2] + b[1::2]) / np.sqrt(2), (b[0::2] - b[1::2]) / np.sqrt(2)]
-        bands = deeper
-    energy = np.array([float((b * b).sum()) for b in bands])
-    return energy / (energy.sum() + 1e-12)
-
-
-def morlet_energies(y: np.ndarray, scales: tuple[int, ...] = (2, 4, 8, 16), w: float = 5.0) -> np.ndarray:
-    """Mean energy of a continuous Morlet transform at each scale."""
-    out = []
-    y = np.asarray(y, float) - np.mean(y)
-    for s in scales:
-        t = np.arange(-4 * s, 4 * s + 1) / s
-        wave = np.exp(1j * w * t) * np.exp(-t * t / 2) / np.sqrt(s)
-        out.append(float(np.mean(np.abs(np.convolve(y, wave, mode="same")) ** 2)) if len(y) else 0.0)
-    return np.array(out)
-
-
-def wavelet_metrics(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
-    """One row per group and band: its wavelet-packet energy share and Morlet energies."""
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "packet_energy array<double>", "morlet_energy array<double>"])
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        y = group.sort_values(order)[value].to_numpy(float)
-        row = {k: group[k].iloc[0] for k in keys}
-        return pd.DataFrame([{**row, "packet_energy": haar_packet_energies(y).tolist(), "morlet_energy": morlet_energies(y).tolist()}])
-
-    return series.select(*keys, order, value).groupBy(*keys).applyInPandas(run, schema)

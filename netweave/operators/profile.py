@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from netweave.functions.expr import guarded_ratio, safe_rate, traffic_class, variation
 from netweave.operators.windows import SPAN_ROWS, join_on, lag_rows, number_rows
+from netweave.sources.shared import shared_folder
 
 #: The quantiles of a profile, and of a description.
 PROFILE_QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
@@ -22,12 +23,19 @@ def quantiles(c: Column, at: tuple[float, ...], accuracy: int | None = None) ->
 def _ranked(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], parts: int) -> DataFrame:
     """(``_k``: struct of the keys, n, q); keys are compared inside a struct, as null is a key too."""
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
-    counts = df.where(F.col(value).isNotNull()).groupBy(key.alias("_k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    folder = shared_folder(df.sparkSession, "quantiles")
+
+    def stored(rows: DataFrame, name: str) -> DataFrame:
+        """Written once and read by every branch below, so the input is read once."""
+        rows.write.parquet(f"{folder}/{name}")
+        return df.sparkSession.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    counts = stored(df.where(F.col(value).isNotNull()).groupBy(key.alias("_k"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")), "counts")
     cuts = counts.groupBy("_k").agg(F.percentile_approx("v", [i / parts for i in range(1, parts)], 100 * parts).alias("cuts"))
     # The range of a value: how many splitters lie below it (one row of splitters per key).
     below = lambda at, step: F.when((at + step <= F.size("cuts")) & (F.get("cuts", at + step - 1) < F.col("v")), at + step).otherwise(at)
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(parts.bit_length()))))  # a binary search
-    cut = counts.join(cuts, "_k").withColumn("part", F.aggregate(steps, F.lit(0), below)).drop("cuts")
+    cut = stored(counts.join(cuts, "_k").withColumn("part", F.aggregate(steps, F.lit(0), below)).drop("cuts"), "cut")
     per_part = cut.groupBy("_k", "part").agg(F.sum("c").alias("own"))
     per_key = Window.partitionBy("_k")
     placed = per_part.select("_k", "part", (F.sum("own").over(per_key.orderBy("part")) - F.col("own")).alias("before"), "own", F.sum("own").over(per_key).alias("n"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netweave.functions.expr import band, z_band
-from netweave.operators.profile import PROFILE_QUANTILES, class_profiles, rate, volume, with_quantiles
+from netweave.functions.expr import band, guarded_ratio, traffic_class, z_band
+from netweave.operators.profile import PROFILE_QUANTILES, rate, spread_quantiles, volume
 from netweave.operators.windows import join_on
 
 #: The parts of a row score and of a spectral window score.
@@ -17,7 +17,7 @@ _Q = ("p01", "p05", "p95", "p99")
 
 
 def build_ruleset(df: DataFrame, keys: list[str], pps_numerator: str = "pkts") -> DataFrame:
-    """One row per key: quantiles of duration and of each class of volume and rate.
+    """One row per key: quantiles of duration and of each class of volume and rate, all in one pass over ``df``.
 
     ``pps_numerator='bytes'`` rates bytes in the packet part as well.  A class
     without data has -1 everywhere, so that a row of an unseen class scores 1.
@@ -28,11 +28,16 @@ def build_ruleset(df: DataFrame, keys: list[str], pps_numerator: str = "pkts") -
         "bps": (rate("orig_bytes", "resp_bytes", "duration"), "orig_bytes", "resp_bytes"),
         "pps": (rate(f"orig_{pps_numerator}", f"resp_{pps_numerator}", "duration"), f"orig_{pps_numerator}", f"resp_{pps_numerator}"),
     }
-    out = with_quantiles(df.select(*keys).distinct(), df, keys, "duration", PROFILE_QUANTILES)
-    out = out.select(*keys, *(F.get("q", F.lit(PROFILE_QUANTILES.index(int(p[1:]) / 100))).alias(f"dur_{p}") for p in _Q))
-    one = lambda name, c, p: F.max(F.when((F.col("metric") == name) & (F.col("cls") == c), F.col(p))).alias(f"{name}_{c}_{p}")
-    wide = class_profiles(df, profiles, keys).groupBy(*keys).agg(*(one(name, c, p) for name in profiles for c in ("both", "orig", "resp") for p in _Q))
-    return join_on(out, wide, keys)
+    value = lambda metric, cls, v: F.struct(F.lit(metric).alias("metric"), cls.alias("cls"), v.cast("double").alias("v"))
+    # A value of its own tells that a key has rows.
+    every = F.array(value("key", F.lit("all"), F.lit(0)), value("dur", F.lit("all"), F.col("duration")), *(value(m, traffic_class(F.col(o), F.col(r)), v) for m, (v, o, r) in profiles.items()))
+    long = df.select(*keys, F.explode(every).alias("x")).select(*keys, "x.*").where("cls in ('all', 'both', 'orig', 'resp')")
+    found = spread_quantiles(long, [*keys, "metric", "cls"], "v", PROFILE_QUANTILES)
+    place = {p: PROFILE_QUANTILES.index(int(p[1:]) / 100) for p in _Q}
+    one = lambda name, c, p: F.max(F.when((F.col("metric") == name) & (F.col("cls") == c), F.get("q", F.lit(place[p]))))
+    durations = [one("dur", "all", p).alias(f"dur_{p}") for p in _Q]
+    classes = [F.coalesce(one(name, c, p), F.lit(-1.0)).alias(f"{name}_{c}_{p}") for name in profiles for c in ("both", "orig", "resp") for p in _Q]
+    return found.groupBy(*keys).agg(*durations, *classes)
 
 
 def _class_band(name: str, value, cls):
@@ -50,8 +55,6 @@ def rule_scores(rows: DataFrame, ruleset: DataFrame, on: list[str] | None = None
     Rows of a key without a ruleset get no score and are left out.  Unknown
     amounts count as 0; rates count only where time has passed.
     """
-    from netweave.functions.expr import guarded_ratio, traffic_class
-
     n = {c: F.coalesce(c, F.lit(0)) for c in ("orig_bytes", "resp_bytes", "orig_pkts", "resp_pkts", "duration")}
     joined = join_on(rows, F.broadcast(ruleset), on) if on else rows.crossJoin(F.broadcast(ruleset))
     bytes_cls, pkts_cls = traffic_class(n["orig_bytes"], n["resp_bytes"]), traffic_class(n["orig_pkts"], n["resp_pkts"])
@@ -80,14 +83,16 @@ def detection_rates(scored: DataFrame, keys: list[str], score: str = "score", le
     return scored.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(hit).alias("flagged"), F.avg(hit.cast("double")).alias("rate"))
 
 
-def metric_rules(found: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
-    """(keys, metric, n, mean, std, values): each metric's values in order, their mean and population deviation.
-
-    One row per window of a baseline: the values are as many as its windows.
-    """
+def metric_values(found: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, metric, v): each metric's value of each window of a baseline, as rows."""
     each = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))
-    long = found.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
-    return long.groupBy(*keys, "metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.array_sort(F.collect_list("v")).alias("values"))
+    return found.select(*keys, F.explode(each).alias("x")).select(*keys, "x.*")
+
+
+def metric_rules(found: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+    """(keys, metric, n, mean, std, least, most): number, mean, population deviation and ends of each metric's values."""
+    values = metric_values(found, keys, metrics).groupBy(*keys, "metric")
+    return values.agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("least"), F.max("v").alias("most"))
 
 
 def window_scores(features: DataFrame, ruleset: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netweave.functions import expr, spectral
+from netweave.functions import expr, spectral, tables, wavelets
 from netweave.operators import encode, features, mix, profile, report, scoring, windows
 from netweave.plans import oracles as sql
 from netweave.plans.oracles import rnd
@@ -372,6 +372,82 @@ for _signal, _name in (("bytes", "dft_magnitudes"), ("pkts", "dft_packets"), ("c
     _raw_spectrum(_signal, _name)
 
 
+# --- wavelets, and spectra as a table function ----------------------------------------------
+
+
+def _byte_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(pod, wid, sec, y): bytes per second of windows of 200 rows."""
+    flows = windows.tumbling(read_flows(spark, sf_dir), "pod", "seq")
+    return profile.per_second(flows, "ts_us", ["pod", "wid"], y=F.coalesce("orig_bytes", F.lit(0)) + F.coalesce("resp_bytes", F.lit(0)))
+
+
+_TAPS = ", ".join(f"({j}, {half}, {x!r})" for half, taps in enumerate((wavelets.LOW, wavelets.HIGH)) for j, x in enumerate(taps))
+
+
+def _split_sql(level: int) -> str:
+    """One more level of the packet tree: each output is a sum over the taps, beyond its ends a series is mirrored."""
+    before = f"p{level - 1}"
+    return f"""p{level} AS (SELECT o.pod, o.wid, 2 * o.b + t.half AS b, o.k AS i, sum(t.x * s.y) AS y, any_value((o.n + 7) // 2) AS n
+FROM (SELECT pod, wid, b, max(n) AS n, unnest(range(0, CAST((max(n) + 7) // 2 AS BIGINT))) AS k FROM {before} GROUP BY pod, wid, b) o CROSS JOIN taps t
+JOIN {before} s ON s.pod = o.pod AND s.wid = o.wid AND s.b = o.b
+  AND s.i = least(((2 * o.k + 1 - t.j) % (2 * o.n) + 2 * o.n) % (2 * o.n), 2 * o.n - 1 - ((2 * o.k + 1 - t.j) % (2 * o.n) + 2 * o.n) % (2 * o.n))
+GROUP BY o.pod, o.wid, o.b, t.half, o.k)"""
+
+
+_BANDS = f"""{_WINDOWED}, y AS ({_series_sql("bytes", "w", "pod, wid")}), taps(j, half, x) AS (VALUES {_TAPS}), p0 AS (SELECT pod, wid, 0 AS b, i, y, n FROM y),
+{", ".join(_split_sql(k) for k in range(1, wavelets.LEVELS + 1))},
+sums AS (SELECT pod, wid, b, sum(y * y) AS e FROM p{wavelets.LEVELS} GROUP BY pod, wid, b),
+bands AS (SELECT a.pod, a.wid, f.f AS band, CASE WHEN a.n < 8 THEN 0.0 ELSE s.e END AS energy FROM (SELECT pod, wid, max(n) AS n FROM y GROUP BY pod, wid) a
+          CROSS JOIN (SELECT unnest(range(0, 8)) AS f) f JOIN sums s ON s.pod = a.pod AND s.wid = a.wid AND s.b = xor(f.f, f.f >> 1))"""
+
+
+@query(f"WITH {_BANDS} SELECT pod, wid, band, {rnd('energy / 1e6')} AS energy FROM bands")
+def wavelet_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Energy of the eight bands of each window's bytes per second."""
+    found = wavelets.packet_bands(_byte_series(spark, sf_dir), ["pod", "wid"], "sec", "y")
+    return rounded(found.withColumn("energy", F.col("energy") / 1e6), "energy")
+
+
+@query(
+    f"""WITH {_BANDS}, t AS (SELECT pod, wid, sum(energy) AS total, sum(energy + 1e-12) AS mass, max(energy) AS top FROM bands GROUP BY pod, wid)
+SELECT pod, wid, {rnd('CASE WHEN any_value(total) = 0 THEN 0 ELSE -sum((energy + 1e-12) / mass * ln((energy + 1e-12) / mass)) END')} AS entropy,
+       {rnd('CASE WHEN any_value(total) = 0 THEN 0 ELSE min(band) FILTER (WHERE energy = top) END')} AS max_band, {rnd('CASE WHEN any_value(total) = 0 THEN 0 ELSE any_value(top / (total + 1e-9)) END')} AS concentration
+FROM bands JOIN t USING (pod, wid) GROUP BY pod, wid"""
+)
+def wavelet_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the energy of each window's bytes per second lies over the bands of its wavelet packets."""
+    return rounded(wavelets.wavelet_packets(_byte_series(spark, sf_dir), ["pod", "wid"], "sec", "y"), *wavelets.PACKETS)
+
+
+@query(
+    f"""WITH {_WINDOWED}, y AS ({_series_sql("bytes", "w", "pod, wid")}),
+times AS (SELECT pod, wid, i AS b, n, unnest(range(1, greatest(2, least({wavelets.MOST_SCALE}, CAST(n // 2 AS BIGINT))))) AS s FROM y WHERE n >= 4),
+c AS (SELECT a.pod, a.wid, a.s, a.b, sum(y.y * exp(-0.5 * pow((a.b - y.i) / a.s, 2)) * cos(5 * (a.b - y.i) / a.s) / sqrt(a.s)) ^ 2 AS e
+      FROM (SELECT pod, wid, b, CAST(s AS DOUBLE) AS s FROM times) a JOIN y ON y.pod = a.pod AND y.wid = a.wid AND abs(a.b - y.i) <= {wavelets.REACH} * a.s GROUP BY a.pod, a.wid, a.s, a.b),
+t AS (SELECT pod, wid, sum(e) AS total, max(s) AS scales FROM c GROUP BY pod, wid),
+x AS (SELECT pod, wid, s, sum(e) AS e FROM c GROUP BY pod, wid, s),
+m AS (SELECT pod, wid, sum(e + 1e-12) AS mass, max(e) AS top FROM x GROUP BY pod, wid),
+whole AS (SELECT pod, wid, -sum(e / (total + 1e-12) * ln(e / (total + 1e-12) + 1e-12)) AS entropy, any_value(total) AS energy FROM c JOIN t USING (pod, wid) GROUP BY pod, wid),
+parts AS (SELECT pod, wid, min(s) FILTER (WHERE e = top) AS max_scale, coalesce(sum(e) FILTER (WHERE s <= scales // 2), 0) / (sum(e) FILTER (WHERE s > scales // 2) + 1e-9) AS energy_ratio,
+                 -sum((e + 1e-12) / mass * ln((e + 1e-12) / mass)) AS scale_diversity FROM x JOIN m USING (pod, wid) JOIN t USING (pod, wid) GROUP BY pod, wid)
+SELECT k.pod, k.wid, {rnd('coalesce(energy, 0) / 1e6')} AS energy, {', '.join(f"{rnd(f'coalesce({c}, 0)')} AS {c}" for c in wavelets.CONTINUOUS[1:])}
+FROM (SELECT DISTINCT pod, wid FROM y) k LEFT JOIN whole USING (pod, wid) LEFT JOIN parts USING (pod, wid)"""
+)
+def wavelet_transform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the continuous transform of each window's bytes per second."""
+    found = wavelets.wavelet_transform(_byte_series(spark, sf_dir), ["pod", "wid"], "sec", "y")
+    return rounded(found.withColumn("energy", F.col("energy") / 1e6), *wavelets.CONTINUOUS)
+
+
+@query(ORACLE["spectral_features_bytes"])
+def fft_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spectral features of each window's bytes per second, from Spark SQL by a table function."""
+    tables.register(spark)
+    _byte_series(spark, sf_dir).createOrReplaceTempView("netweave_byte_series")
+    found = spark.sql("SELECT * FROM fft_features(TABLE(netweave_byte_series) PARTITION BY (pod, wid) ORDER BY (sec), 'pod, wid', 'y')")
+    return rounded(rounded(found.withColumn("energy", F.col("energy") / 1e6), "energy", places=7), *spectral.METRICS[1:])
+
+
 def _metrics_sql(source: str, keys: str) -> str:
     """CTE ``ent`` (keys, signal, and the four metrics) over ``source``, which has ``keys``, seq, ts_us, sec and the amounts."""
     out = [f"{sql.dft(_series_sql(x, source, keys), keys, f'_{source}_{x}')}, m_{source}_{x} AS ({sql.spectral(keys, f'_{source}_{x}')})" for x in spectral.SIGNALS]
@@ -379,14 +455,13 @@ def _metrics_sql(source: str, keys: str) -> str:
     return ", ".join(out) + f", ent_{source} AS ({union})"
 
 
-def fft_rules(flows: DataFrame, size: int = 500) -> DataFrame:
-    """(signal, metric, n, mean, std, values): the four metrics of each signal over windows of ``size`` rows of benign data.
+def _benign_windows(flows: DataFrame, size: int = 500) -> DataFrame:
+    """The four metrics of each signal in each window of ``size`` benign rows.
 
     Windows stand for the whole files that a ruleset is otherwise made from, so that no task holds a data set.
     """
-    cut = windows.tumbling(flows, "pod", "seq", size)
-    found = spectral.signal_metrics(signal_rows(cut, ["pod", "wid"]), ["pod", "wid"])
-    return scoring.metric_rules(found, ["signal"], list(spectral.METRICS))
+    cut = windows.tumbling(flows.where("label = 0"), "pod", "seq", size)
+    return spectral.signal_metrics(signal_rows(cut, ["pod", "wid"]), ["pod", "wid"])
 
 
 _BENIGN = f"{sql.NUMBERED}, bn AS (SELECT *, row_number() OVER (PARTITION BY pod ORDER BY seq) AS brn FROM f WHERE label = 0), w AS (SELECT *, CAST((brn - 1) // 500 AS BIGINT) AS wid, {_SECOND} AS sec FROM bn), {_metrics_sql('w', 'pod, wid')}"
@@ -396,10 +471,17 @@ _UNPIVOT = " UNION ALL ".join(f"SELECT signal, '{m}' AS metric, {m}{' / 1e6' if
 @query(f"WITH {_BENIGN}, u AS ({_UNPIVOT}) SELECT signal, metric, count(*) AS n, {rnd('avg(v)', 7)} AS mean, {rnd('stddev_pop(v)', 7)} AS std, {rnd('min(v)', 7)} AS least, {rnd('max(v)', 7)} AS most FROM u GROUP BY signal, metric")
 def fft_ruleset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spectral ruleset of the benign rows, with the ends of its values."""
-    rules = fft_rules(read_flows(spark, sf_dir).where("label = 0"))
+    rules = scoring.metric_rules(_benign_windows(read_flows(spark, sf_dir)), ["signal"], list(spectral.METRICS))
     unit = F.when(F.col("metric") == "energy", 1e6).otherwise(1.0)
-    ends = rules.select("signal", "metric", "n", *((F.col(c) / unit).alias(c) for c in ("mean", "std")), (F.array_min("values") / unit).alias("least"), (F.array_max("values") / unit).alias("most"))
-    return rounded(ends, "mean", "std", "least", "most", places=7)
+    ends = ("mean", "std", "least", "most")
+    return rounded(rules.select("signal", "metric", "n", *((F.col(c) / unit).alias(c) for c in ends)), *ends, places=7)
+
+
+@query(f"WITH {_BENIGN}, u AS ({_UNPIVOT.replace('SELECT signal', 'SELECT pod, wid, signal')}) SELECT pod, wid, signal, metric, {rnd('v', 7)} AS v FROM u")
+def fft_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that the spectral ruleset is made from, one row per window, signal and metric."""
+    values = scoring.metric_values(_benign_windows(read_flows(spark, sf_dir)), ["pod", "wid", "signal"], list(spectral.METRICS))
+    return rounded(values.withColumn("v", F.col("v") / F.when(F.col("metric") == "energy", 1e6).otherwise(1.0)), "v", places=7)
 
 
 @query(
@@ -412,7 +494,7 @@ SELECT pod, k, {rnd('sum(weight * CASE WHEN z > 3 THEN 1.0 WHEN z > 2 THEN 0.75
 def fft_window_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hopping windows of all rows by the spectral ruleset of the benign ones."""
     flows = read_flows(spark, sf_dir)
-    rules = fft_rules(flows.where("label = 0")).where("metric = 'entropy'").select("signal", "mean", "std")
+    rules = scoring.metric_rules(_benign_windows(flows), ["signal"], ["entropy"]).select("signal", "mean", "std")
     hopped = windows.hopping(flows, "pod", "seq")
     found = spectral.signal_metrics(signal_rows(hopped, ["pod", "k"]), ["pod", "k"])
     return rounded(scoring.window_scores(found, rules, ["pod", "k"]), "score")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from netweave.functions import expr, spectral
+from netweave.functions import expr, spectral, tables, wavelets
 from netweave.operators import encode, features, mix, models, profile, report, scoring, windows
 from netweave.sources import logs, schemas
 from netweave.streaming import windows as streaming
@@ -85,13 +85,49 @@ def test_spectrum():
     assert set(spectral.metrics(np.array([1.0, 2, 3])).values()) == {0.0}
     wave = spectral.metrics(np.sin(2 * np.pi * 5 * np.arange(100) / 100))
     assert wave["dominant_freq"] == 0.05 and wave["entropy"] < 0.01
-    assert math.isclose(spectral.haar_packet_energies(np.arange(64.0)).sum(), 1, rel_tol=1e-6)
 
 
-def test_wavelets(spark):
-    df = spark.createDataFrame([(0, i, float(i % 4)) for i in range(64)], "w int, i int, y double")
-    r = spectral.wavelet_metrics(df, ["w"], "i", "y").first()
-    assert len(r.packet_energy) == 8 and len(r.morlet_energy) == 4
+def _joined(low, high, n):
+    """A series from its halves: the inverse of ``wavelets.halves``."""
+    spread = lambda c: np.repeat(c, 2) * np.tile([1, 0], len(c))
+    whole = np.convolve(spread(low), wavelets.LOW[::-1]) + np.convolve(spread(high), wavelets.HIGH[::-1])
+    return whole[len(wavelets.LOW) - 2 :][:n]
+
+
+def test_wavelet_packets_can_be_put_together_again():
+    for n in (1, 2, 3, 5, 8, 9, 64, 101):
+        x = np.random.default_rng(n).normal(size=n)
+        assert np.allclose(_joined(*wavelets.halves(x), n), x, atol=1e-10)
+    y = np.random.default_rng(0).normal(size=90)
+    bands = wavelets.packets(y)
+    level = [bands[f] for f in np.argsort([f ^ (f >> 1) for f in range(8)])]  # back from frequency to tree order
+    sizes = [90, 48, 27]
+    for n in reversed(sizes):
+        level = [_joined(a, b, n) for a, b in zip(level[::2], level[1::2])]
+    assert np.allclose(level[0], y, atol=1e-9)
+    tone = lambda f: int(wavelets.packet_energies(np.cos(np.pi * f * np.arange(512))).argmax())
+    assert [tone((b + 0.5) / 8) for b in range(8)] == list(range(8))  # bands stand by frequency
+    assert not wavelets.packet_energies(np.ones(7)).any() and set(wavelets.packet_metrics(np.zeros(8)).values()) == {0.0}
+
+
+def test_continuous_transform_is_its_definition():
+    y = np.random.default_rng(2).normal(size=37)
+    got = wavelets.continuous(y)
+    for s in wavelets.scales(37):
+        for b in range(37):
+            want = sum(y[i] * np.exp(-(((b - i) / s) ** 2) / 2) * np.cos(5 * (b - i) / s) / np.sqrt(s) for i in range(37) if abs(b - i) <= wavelets.REACH * s)
+            assert got[s - 1, b] == pytest.approx(want, abs=1e-9)
+    assert set(wavelets.continuous_metrics(y[:3]).values()) == {0.0} and wavelets.continuous_metrics(y[:4])["max_scale"] == 1.0
+
+
+def test_table_function(spark):
+    tables.register(spark)
+    rows = [(k, i, float((i * 7 + len(k)) % 5)) for k in ("a", "bb") for i in range(20)] + [("c", 1, 2.0)]
+    spark.createDataFrame(rows, "k string, at int, y double").createOrReplaceTempView("series")
+    found = {r.k: r for r in spark.sql("SELECT * FROM fft_features(TABLE(series) PARTITION BY k ORDER BY (at DESC), 'k', 'y')").collect()}
+    for k in ("a", "bb", "c"):
+        y = np.array([v for name, _, v in reversed(rows) if name == k])
+        assert found[k].n == len(y) and {m: found[k][m] for m in spectral.METRICS} == spectral.metrics(y)
 
 
 def test_expressions(spark):
