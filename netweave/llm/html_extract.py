@@ -1,10 +1,12 @@
 """Main text of raw HTML: flat text blocks and a decision tree.
 
-A page becomes a flat list of text blocks.  Each block has its word count and
-link density, those of the block before and after, and how likely text is in
-the kind of container it stands in.  A decision tree, grown with numpy on the
-small labelled table below, says which blocks are main text; words and link
-density decide in every container, whatever its name.
+A page becomes a flat list of text blocks.  Blocks in a menu, header, footer,
+sidebar, notice, advert, form or comment, by element or by class, id and role,
+are out.  Each other block has its word count and link density, those of the
+block before and after, whether it is a list item and whether it stands in an
+article; a decision tree, grown with numpy on the small labelled table below,
+says which are main text.  A page whose wrapper is misnamed as a sidebar or a
+form, so that no main text is found elsewhere, is read as if that had no name.
 
 Defined results: null or empty html, and pages without main text, give an empty
 text; broken markup (unclosed tags and quotes, cut-off pages) is read as far as
@@ -44,8 +46,10 @@ HINTS = {
     "comment": "comment comments commentlist reply replies respond disqus discussion reader",
 }
 HINT_OF = {w: kind for kind, words in HINTS.items() for w in words.split()}
-#: How likely a kind of container holds main text, one weak feature.
-LIKELY = {"article": 3, "none": 2, "aside": 1, "comment": 1, "form": 1, "header": 1, "nav": 0, "footer": 0, "ad": 0, "notice": 0}
+#: Words without a name, at least, that are a page's main text, so that no misnamed wrapper is looked into.
+LEAST_WORDS = 10
+#: Kinds of containers that may be main text, and those that are where nothing else is.
+MAIN, MISNAMED = frozenset(("article", "none")), frozenset(("aside", "form"))
 #: Names with one of these words tell of a layout, not of what is inside ("no-sidebar", "header-fixed").
 LAYOUT = frozenset("no not non without has have with hide hidden layout fixed sticky open closed collapsed enabled disabled content".split())
 
@@ -144,15 +148,15 @@ class _Tags:
             self.at = close + 1 if close >= 0 else len(self.page)
 
 
-def blocks(page: str) -> list[tuple[str, int, int, str]]:
-    """Flat text blocks: (text, words, words inside links, kind of container)."""
-    out: list[tuple[str, int, int, str]] = []
+def blocks(page: str) -> list[tuple[str, int, int, str, bool]]:
+    """Flat text blocks: (text, words, words inside links, kind of container, whether it is a list item)."""
+    out: list[tuple[str, int, int, str, bool]] = []
     inside: list[tuple[str, str]] = []
     depth: Counter = Counter()  # open elements by tag
     firm: Counter = Counter()  # open elements by the kind their tag stands for
     text: list[str] = []
     linked: list[str] = []
-    link = False
+    link = item = False
 
     def flush() -> None:
         nonlocal text, linked
@@ -160,7 +164,7 @@ def blocks(page: str) -> list[tuple[str, int, int, str]]:
             words = entities.unescape("".join(text)).split()
             if words:
                 in_links = len(entities.unescape(" ".join(linked)).split()) if linked else 0
-                out.append((" ".join(words), len(words), min(in_links, len(words)), outer()))
+                out.append((" ".join(words), len(words), min(in_links, len(words)), outer(), item))
             text, linked = [], []
 
     def outer() -> str:
@@ -206,6 +210,7 @@ def blocks(page: str) -> list[tuple[str, int, int, str]]:
             link = False
             if tag in VOID:
                 continue
+            item = tag in ("li", "dt", "dd") and not closes
             if tag in OPTIONAL and not closes:  # its end may be missing: it is on the stack only where it is named
                 if inside and inside[-1][0] == tag:
                     pop()
@@ -221,174 +226,59 @@ def blocks(page: str) -> list[tuple[str, int, int, str]]:
     return out
 
 
-#: The labelled table: pages as sequences of blocks "kind words linked-words label".
+#: The labelled table: pages as sequences of blocks "place words linked-words label".
+#: Places: a in an article, n without a name, ai and ni list items there.
 LABELLED = """
-nav 1 1 0; nav 1 1 0; nav 2 2 0; ad 8 0 0; article 9 0 1; article 60 0 1; article 2 0 1; article 120 4 1; article 1 0 1; footer 9 0 0
-header 4 0 0; nav 1 1 0; nav 2 2 0; article 7 0 1; article 35 0 1; article 80 2 1; article 3 0 1; aside 5 5 0; aside 30 0 0; footer 6 2 0
-header 12 12 0; notice 25 2 0; article 11 0 1; article 1 0 1; article 240 0 1; comment 3 0 0; comment 45 0 0; comment 12 1 0; footer 20 0 0
-none 2 2 0; none 3 3 0; none 2 2 0; none 10 0 1; none 75 1 1; none 90 0 1; none 55 3 1; none 4 4 0; none 5 5 0; footer 8 0 0
-none 1 1 0; none 1 1 0; none 1 1 0; none 8 0 1; none 40 0 1; none 12 0 1; none 66 0 1; none 30 0 1; none 3 2 0; none 2 2 0; none 6 6 0
-nav 4 4 0; none 7 0 1; none 130 5 1; none 20 0 1; none 88 0 1; none 5 0 1; none 64 0 1; ad 15 1 0; comment 70 0 0; comment 22 0 0; form 3 0 0
-notice 40 1 0; nav 1 1 0; nav 1 1 0; article 4 0 1; article 18 1 1; article 14 0 1; article 5 0 1; article 9 9 0; article 33 0 1; aside 60 2 0
-form 2 0 0; form 5 0 0; none 3 3 0; none 14 0 1; none 50 0 1; none 45 0 1; none 70 0 1; aside 9 9 0; aside 12 8 0; footer 30 4 0; footer 5 5 0
-article 6 0 1; article 20 0 1; article 25 0 1; ad 25 3 0; article 44 0 1; article 2 0 1; article 61 0 1; notice 12 0 0; article 8 0 1; article 150 9 1
-header 2 2 0; header 60 0 0; nav 12 12 0; article 1 0 1; article 1 0 1; article 1 0 1; comment 1 0 0; comment 2 0 0; footer 120 0 0
-none 2 0 0; none 1 1 0; none 2 2 0; none 1 1 0; none 3 3 0; none 2 0 0
-none 4 0 1; none 2 0 1; none 90 0 1; none 70 0 1; none 15 0 1; none 120 0 1; none 80 0 1; none 2 0 1; none 3 0 1; none 90 0 1; none 2 0 1; none 60 0 1
-none 6 0 1; none 3 0 1; none 45 0 1; none 3 0 1; none 60 0 1; none 2 0 1; none 4 0 1; none 50 0 1; none 1 0 1; none 35 0 1; none 5 0 1; none 6 0 1
-none 1 1 0; none 2 2 0; none 1 0 1; none 12 0 1; none 3 0 1; none 40 0 1; none 4 0 1; none 5 0 1; none 20 0 1; none 2 0 1; none 30 0 1; none 3 3 0; none 2 2 0
-none 3 0 1; none 9 0 1; none 2 0 1; none 8 0 1; none 4 0 1; none 100 0 1; none 3 0 1; none 25 0 1; none 1 0 1; none 2 0 1; none 75 0 1; footer 9 0 0
-none 95 0 1; none 15 0 1; none 200 2 1; none 6 0 1; none 58 0 1; none 1 0 1; none 77 1 1; none 4 4 0; none 4 3 0; none 2 0 0
-ad 4 4 0; ad 90 0 0; article 12 0 1; article 310 0 1; form 40 0 0; form 1 0 0; aside 1 1 0; aside 140 1 1; footer 2 0 0; footer 45 0 0
-none 14 14 0; none 22 20 0; none 9 8 0; none 16 1 1; none 70 2 1; none 11 0 1; none 48 0 1; none 10 10 0; none 35 30 0; none 12 9 0; footer 15 1 0
-none 8 8 0; none 31 31 0; none 7 7 0; none 100 6 1; none 38 2 1; none 9 1 1; none 41 0 1; none 5 0 1; none 52 0 1; none 18 17 0; none 4 0 0; none 6 0 0
-none 12 0 1; none 64 1 1; none 47 0 1; none 13 12 0; none 13 13 0; none 60 55 0; none 85 0 1; none 3 0 1; none 39 0 1; comment 14 0 0; comment 33 2 0
-nav 30 8 0; nav 60 2 0; header 25 0 0; article 3 3 0; article 7 2 1; article 500 12 1; article 2 2 0; notice 150 3 0; notice 4 0 0; comment 8 8 0
-nav 1 1 0; nav 2 2 0; aside 5 0 1; aside 110 1 1; aside 130 1 1; aside 170 0 1; aside 35 0 1; aside 70 1 1; aside 85 2 1; aside 6 6 0; aside 60 18 0; footer 4 0 0
-nav 1 1 0; nav 2 2 0; header 7 0 1; header 90 0 1; header 110 0 1; header 52 0 1; header 35 0 1; header 95 1 1; header 85 2 1; header 6 6 0; header 20 15 0; footer 30 0 0
-nav 1 1 0; nav 2 2 0; form 5 0 1; form 110 3 1; form 66 0 1; form 52 0 1; form 18 0 1; form 70 1 1; form 85 2 1; form 14 14 0; form 60 15 0; footer 30 0 0
-nav 1 1 0; nav 2 2 0; comment 5 0 1; comment 130 0 1; comment 66 0 1; comment 90 1 1; comment 12 0 1; comment 95 1 1; comment 150 2 1; comment 6 6 0; comment 60 15 0; footer 9 0 0
-nav 1 1 0; nav 2 2 0; nav 9 0 0; nav 85 0 1; nav 110 1 1; nav 52 1 0; nav 25 0 0; nav 95 1 1; nav 150 2 1; nav 14 14 0; nav 20 18 0; footer 9 0 0
-nav 1 1 0; nav 2 2 0; footer 7 0 0; footer 130 0 1; footer 52 1 1; footer 52 1 0; footer 35 0 0; footer 70 1 0; footer 150 2 1; footer 14 14 0; footer 20 18 0; footer 4 0 0
-nav 1 1 0; nav 2 2 0; ad 9 0 0; ad 130 0 1; ad 110 0 1; ad 52 0 0; ad 35 0 0; ad 95 1 1; ad 150 2 1; ad 14 14 0; ad 60 15 0; footer 30 0 0
-nav 1 1 0; nav 2 2 0; notice 9 0 0; notice 130 1 1; notice 170 1 1; notice 52 3 0; notice 12 0 0; notice 70 1 0; notice 150 2 1; notice 40 40 0; notice 60 15 0; footer 9 0 0
-nav 1 1 0; nav 2 2 0; aside 3 0 0; aside 2 2 0; aside 120 1 1; aside 2 0 0; aside 30 0 0; aside 3 0 0; aside 90 0 0; aside 2 1 0; aside 48 40 0
-nav 1 1 0; nav 2 2 0; header 8 0 0; header 2 2 0; header 120 1 1; header 2 0 0; header 30 0 0; header 3 0 0; header 70 0 0; header 2 1 0; header 48 40 0
-nav 1 1 0; nav 2 2 0; form 45 0 0; form 2 2 0; form 180 1 1; form 2 0 0; form 30 0 0; form 3 0 0; form 90 0 0; form 2 1 0; form 48 40 0
-nav 1 1 0; nav 2 2 0; comment 45 0 0; comment 2 2 0; comment 180 1 1; comment 2 0 0; comment 30 0 0; comment 3 0 0; comment 90 0 0; comment 2 1 0; comment 48 40 0
-nav 1 1 0; nav 2 2 0; nav 8 0 0; nav 2 2 0; nav 260 1 1; nav 2 0 0; nav 30 0 0; nav 3 0 0; nav 90 0 0; nav 2 1 0; nav 48 40 0
-nav 1 1 0; nav 2 2 0; footer 45 0 0; footer 2 2 0; footer 300 1 1; footer 2 0 0; footer 30 0 0; footer 3 0 0; footer 90 0 0; footer 2 1 0; footer 48 40 0
-nav 1 1 0; nav 2 2 0; ad 45 0 0; ad 2 2 0; ad 300 1 1; ad 2 0 0; ad 30 0 0; ad 3 0 0; ad 90 0 0; ad 2 1 0; ad 48 40 0
-nav 1 1 0; nav 2 2 0; notice 8 0 0; notice 2 2 0; notice 260 1 1; notice 2 0 0; notice 30 0 0; notice 3 0 0; notice 70 0 0; notice 2 1 0; notice 48 40 0
-article 8 0 1; article 70 2 1; article 5 5 0; article 12 11 0; article 30 28 0; article 60 3 1; article 14 9 0; article 3 3 0; article 25 20 0; article 40 2 1
-article 10 0 1; article 55 0 1; ad 12 0 0; article 90 0 1; ad 30 2 0; article 45 1 1; notice 20 1 0; article 70 0 1; footer 40 2 0; footer 8 0 0
-nav 1 1 0; header 9 0 0; header 3 0 0; article 9 0 1; article 130 1 1; form 20 0 0; form 2 0 0; comment 2 0 0; comment 55 0 0; comment 2 0 0; comment 18 0 0; aside 40 0 0; aside 6 6 0; footer 180 3 0; footer 9 0 0
-nav 1 1 0; nav 1 1 0; ad 8 0 0; article 3 0 1; article 9 0 1; article 12 0 1; article 30 30 0; article 7 1 1; article 5 1 1; aside 25 0 0; article 23 0 1; article 15 0 1; article 4 0 1; article 1 0 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; ad 15 0 0; article 5 0 1; article 12 0 1; article 2 0 1; article 4 0 1; article 15 0 1; article 5 0 1; article 7 1 1; article 100 0 1; article 9 0 1; footer 4 0 0
-nav 1 1 0; nav 1 1 0; form 15 0 0; article 9 0 1; article 3 0 1; article 15 0 1; article 5 0 1; article 7 0 1; article 5 0 1; article 5 1 1; article 7 1 1; article 4 1 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; form 12 0 0; article 7 0 1; article 15 0 1; article 35 0 1; article 9 0 1; article 7 0 1; article 5 0 1; article 9 0 1; article 3 0 1; article 9 0 1; footer 4 0 0
-nav 1 1 0; nav 1 1 0; form 5 0 0; article 4 0 1; article 60 0 1; article 100 1 1; article 15 15 0; article 1 0 1; article 9 0 1; aside 25 0 0; article 4 1 1; article 60 0 1; article 4 1 1; article 4 0 1; footer 13 0 0
-nav 1 1 0; nav 1 1 0; form 15 0 0; article 23 0 1; article 1 0 1; article 60 0 1; article 4 0 1; article 12 0 1; article 15 0 1; article 35 0 1; article 9 0 1; article 5 0 1; footer 4 0 0
-nav 1 1 0; nav 1 1 0; ad 8 0 0; article 12 1 1; article 23 0 1; article 170 0 1; article 1 0 1; article 7 1 1; article 15 1 1; article 100 1 1; article 9 1 1; article 23 0 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; form 4 0 0; article 4 0 1; article 35 1 1; article 15 0 1; article 23 1 1; article 170 0 1; article 3 0 1; article 3 0 1; article 9 1 1; article 5 0 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; ad 4 0 0; article 35 0 1; article 4 0 1; article 60 0 1; article 6 6 0; article 23 0 1; article 5 1 1; ad 6 0 0; article 2 0 1; article 7 1 1; article 1 0 1; article 2 0 1; footer 4 0 0
-nav 1 1 0; nav 1 1 0; notice 12 0 0; article 3 0 1; article 3 0 1; article 15 0 1; article 7 0 1; article 2 0 1; article 15 0 1; article 1 0 1; article 12 0 1; article 23 1 1; footer 13 0 0
-nav 1 1 0; nav 1 1 0; ad 8 0 0; article 1 0 1; article 15 0 1; article 35 1 1; article 170 0 1; article 1 0 1; article 7 0 1; article 5 1 1; article 9 0 1; article 23 0 1; footer 4 0 0
-nav 1 1 0; nav 1 1 0; header 8 0 0; article 3 0 1; article 15 0 1; article 170 0 1; article 4 0 1; article 12 0 1; article 4 0 1; article 12 0 1; article 60 0 1; article 100 0 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; form 5 0 0; article 3 0 1; article 35 0 1; article 23 0 1; article 30 30 0; article 2 0 1; article 15 0 1; aside 3 0 0; article 2 0 1; article 100 0 1; article 12 1 1; article 4 1 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; ad 15 0 0; article 35 1 1; article 1 0 1; article 100 0 1; article 7 0 1; article 35 0 1; article 2 0 1; article 170 1 1; article 100 0 1; article 3 0 1; footer 13 0 0
-nav 1 1 0; nav 1 1 0; form 8 0 1; article 100 0 1; article 4 0 1; article 170 0 1; article 60 1 1; article 7 0 1; article 35 0 1; article 23 0 1; article 60 1 1; article 100 0 1; footer 13 0 0
-nav 1 1 0; nav 1 1 0; ad 15 0 0; article 15 0 1; article 35 0 1; article 7 0 1; article 2 0 1; article 1 0 1; article 1 0 1; article 3 0 1; article 4 0 1; article 1 0 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; form 8 0 0; article 1 0 1; article 7 1 1; article 4 1 1; article 6 6 0; article 5 1 1; article 9 0 1; aside 3 0 0; article 4 0 1; article 23 0 1; article 2 0 1; article 5 1 1; footer 7 0 0
-nav 1 1 0; nav 1 1 0; notice 5 0 0; article 60 0 1; article 23 0 1; article 1 0 1; article 9 0 1; article 5 0 1; article 5 0 1; article 35 0 1; article 23 1 1; article 9 0 1; footer 4 0 0
-nav 1 1 0; nav 1 1 0; notice 8 0 0; article 9 0 1; article 35 0 1; article 1 0 1; article 4 0 1; article 15 0 1; article 23 0 1; article 15 1 1; article 170 0 1; article 23 0 1; footer 4 0 0
-nav 1 1 0; nav 1 1 0; form 8 0 0; article 4 0 1; article 35 1 1; article 3 0 1; article 60 0 1; article 3 0 1; article 23 0 1; article 1 0 1; article 23 1 1; article 35 0 1; footer 4 0 0
-nav 1 1 0; aside 110 11 1; aside 95 0 1; footer 3 0 0
-header 2 0 0; header 20 2 0; header 20 0 1; header 110 0 1; header 110 0 1
-form 12 1 1; form 95 0 0; form 12 0 0
-nav 1 1 0; comment 6 0 1; comment 68 6 0; comment 12 0 1; comment 55 0 1; comment 140 14 1; comment 95 0 1; footer 3 0 0
-nav 20 0 0; nav 140 0 1; nav 180 0 1; nav 55 2 0
-footer 2 0 0; footer 140 0 1; footer 110 1 1; footer 180 1 1; footer 140 14 1; footer 35 3 0
-nav 1 1 0; ad 110 0 1; ad 140 0 1; ad 35 0 0; ad 110 0 0; footer 6 0 0
-notice 6 0 0; notice 35 0 0; notice 140 0 1; notice 110 0 1; notice 20 1 0
-aside 68 0 1; aside 110 11 1; aside 55 0 1
-nav 1 1 0; header 10 0 1; header 68 0 0; header 20 0 1; header 95 0 0; footer 6 0 0
-form 68 6 0; form 35 2 0
-comment 2 0 0; comment 35 3 0; comment 12 1 0; comment 12 1 1; comment 95 0 0; comment 20 1 0
-nav 1 1 0; nav 82 0 1; nav 68 0 0; nav 35 0 0; footer 6 0 0
-footer 10 0 0; footer 68 0 0; footer 20 2 0; footer 140 0 0; footer 12 0 0
-ad 82 1 1; ad 68 2 0; ad 12 0 0
-nav 1 1 0; notice 10 0 0; notice 35 0 0; notice 55 0 0; notice 82 0 1; notice 35 2 0; notice 180 0 0; footer 3 0 0
-aside 35 1 1; aside 95 1 0; aside 20 0 0
-header 6 0 0; header 55 1 1; header 180 1 1; header 35 1 0; header 12 1 0; header 35 2 0
-nav 1 1 0; form 180 0 1; form 20 0 1; form 95 9 0; form 12 0 0; form 12 0 0; footer 3 0 0
-comment 6 0 1; comment 95 1 1; comment 55 0 1; comment 68 0 1; comment 68 2 1
-nav 55 0 0; nav 82 0 1; nav 12 2 0; nav 110 1 0
-nav 1 1 0; footer 6 0 0; footer 35 0 0; footer 110 1 0; footer 12 0 0; footer 3 0 0
-ad 68 0 0; ad 82 1 1
-notice 10 0 0; notice 140 2 0; notice 20 0 0; notice 95 9 0; notice 12 0 0; notice 140 2 0
-nav 1 1 0; aside 95 0 1; aside 82 8 1; aside 12 2 0; footer 6 0 0
-header 10 0 1; header 140 1 1; header 140 14 1; header 95 1 1; header 180 18 1; header 140 14 1
-form 95 0 1; form 180 0 1; form 140 0 1
-nav 1 1 0; comment 6 0 0; comment 20 0 0; comment 20 0 1; comment 180 2 1; comment 95 0 1; footer 3 0 0
-nav 20 0 0; nav 20 2 0; nav 68 0 0
-footer 10 0 0; footer 110 2 0; footer 20 0 0; footer 55 0 0
-nav 1 1 0; ad 95 0 1; ad 95 1 1; ad 35 3 0; ad 140 0 1; ad 180 0 1; footer 6 0 0
-notice 6 0 0; notice 140 14 1; notice 82 0 1
-aside 68 0 1; aside 68 2 1; aside 20 0 0
-nav 1 1 0; header 2 0 0; header 35 0 0; header 20 2 1; header 180 18 1; header 140 14 1; header 95 1 1; footer 3 0 0
-form 140 2 1; form 55 0 1; form 95 0 1; form 20 2 1; form 82 0 0
-comment 6 0 0; comment 35 0 1; comment 68 2 0
-nav 1 1 0; nav 95 0 1; nav 82 2 1; nav 20 2 0; footer 6 0 0
-footer 10 0 0; footer 12 1 0; footer 35 2 0
-ad 55 1 0; ad 95 0 1; ad 180 1 1; ad 20 0 0
-nav 1 1 0; notice 2 0 0; notice 20 0 0; notice 82 0 1; notice 82 2 1; footer 3 0 0
-aside 82 0 1; aside 140 2 1; aside 20 0 0; aside 20 0 0; aside 55 0 0
-header 6 0 0; header 35 1 0; header 20 0 1; header 95 2 1; header 110 1 1
-nav 1 1 0; form 180 0 1; form 35 3 0; footer 3 0 0
-comment 6 0 1; comment 82 8 0; comment 20 1 1; comment 68 0 0; comment 20 1 1; comment 82 8 0
-nav 95 0 1; nav 68 1 0; nav 20 2 0; nav 20 0 0
-nav 1 1 0; footer 6 0 0; footer 20 2 0; footer 95 0 1; footer 55 1 1; footer 55 0 0; footer 3 0 0
-ad 20 2 0; ad 110 1 0; ad 35 2 0; ad 95 0 0
-notice 2 0 0; notice 82 0 0; notice 20 0 0; notice 35 0 0; notice 12 0 0; notice 68 2 0
-nav 1 1 0; aside 75 60 0; aside 3 0 0; aside 18 0 1; aside 95 0 0; aside 105 84 0; aside 3 0 0; aside 300 135 0; aside 130 0 1; aside 2 0 0; footer 6 0 0
-header 260 260 0; header 450 450 0; header 2 0 0; header 1 0 0; header 90 22 1; header 75 0 1; header 12 1 0; header 8 0 0; header 18 4 0
-form 62 0 0
-nav 1 1 0; comment 90 0 0; comment 38 0 1; comment 105 10 1; comment 45 0 1; comment 450 0 1; comment 12 5 0; comment 3 0 0; comment 75 0 1; comment 90 0 1; footer 3 0 0
-nav 105 10 0
-footer 8 3 0; footer 25 0 0; footer 62 62 0; footer 1 0 0; footer 12 3 0; footer 3 0 0; footer 8 0 0; footer 55 0 0; footer 8 0 0
-nav 1 1 0; ad 45 0 0; footer 3 0 0
-notice 62 2 0; notice 62 27 0; notice 200 200 0; notice 95 0 1; notice 260 0 1; notice 38 0 0; notice 200 0 1; notice 75 0 0; notice 25 11 0
-aside 1 0 0
-nav 1 1 0; header 90 0 0; header 130 130 0; header 25 1 0; header 2 1 0; footer 3 0 0
-form 75 7 0
-comment 200 8 1
-nav 1 1 0; nav 95 0 1; nav 450 0 1; nav 62 62 0; nav 130 5 0; nav 260 260 0; nav 75 18 0; nav 45 0 0; nav 260 0 1; nav 450 202 0; footer 3 0 0
-footer 130 130 0; footer 75 0 0; footer 130 5 1; footer 200 20 1
-ad 8 3 0; ad 62 0 0; ad 105 0 1; ad 260 260 0; ad 18 18 0; ad 95 0 0; ad 2 0 0; ad 5 0 0; ad 8 0 0
-nav 1 1 0; notice 38 1 0; notice 105 0 0; notice 5 0 0; notice 38 0 0; notice 450 18 1; notice 75 0 1; notice 450 0 1; footer 6 0 0
-aside 12 12 0; aside 8 8 0; aside 2 0 0; aside 200 0 1; aside 1 0 0; aside 2 2 0; aside 105 0 1; aside 1 1 0; aside 90 0 0
-header 130 130 0; header 95 95 0; header 260 0 1; header 200 0 1; header 3 3 0; header 3 0 0; header 3 1 0; header 45 36 0; header 200 0 1
-nav 1 1 0; form 5 1 0; form 45 1 1; form 95 3 1; form 45 0 0; form 55 44 0; form 105 47 0; form 75 0 0; footer 3 0 0
-comment 55 55 0; comment 18 8 0; comment 3 0 0; comment 62 0 1; comment 450 112 1; comment 95 95 0; comment 130 32 1
-nav 18 0 0; nav 105 0 0; nav 130 58 0; nav 260 26 1
-nav 1 1 0; footer 8 2 0; footer 6 0 0
-ad 130 104 0; ad 18 14 0; ad 25 0 0; ad 90 72 0; ad 38 3 0; ad 45 45 0; ad 5 0 0; ad 38 9 0; ad 62 49 0
-notice 105 0 0; notice 5 0 0; notice 55 0 0; notice 5 0 0; notice 260 0 1; notice 2 1 0; notice 75 0 0
-nav 1 1 0; aside 38 0 1; aside 90 9 0; aside 5 0 0; aside 3 0 0; aside 55 13 1; aside 90 0 1; aside 3 0 0; footer 3 0 0
-header 2 0 0; header 130 32 1; header 5 2 0; header 90 0 0
-form 90 0 0; form 260 208 0; form 45 0 1; form 130 13 1
-nav 1 1 0; comment 3 1 0; comment 75 0 0; comment 12 0 0; comment 5 5 0; comment 200 0 1; comment 3 2 0; comment 75 18 0; footer 3 0 0
-nav 45 36 0; nav 95 23 0; nav 2 0 0; nav 130 0 1; nav 75 0 0; nav 18 1 0; nav 130 0 0
-footer 45 0 0; footer 450 202 0; footer 45 20 0; footer 200 200 0
-nav 1 1 0; ad 45 0 0; ad 450 18 1; ad 95 42 0; ad 75 75 0; ad 5 0 0; ad 300 0 1; ad 95 0 1; footer 6 0 0
-notice 8 0 0; notice 12 0 0; notice 95 3 0; notice 300 135 0
-aside 105 0 1; aside 45 45 0; aside 38 3 0; aside 2 1 0
-nav 1 1 0; header 18 0 0; footer 6 0 0
-form 450 202 0; form 130 130 0; form 45 45 0; form 55 0 1; form 45 0 1; form 130 32 1; form 45 11 1; form 62 0 1; form 45 0 0
-comment 1 0 0
-nav 1 1 0; nav 45 11 0; nav 45 11 0; nav 260 117 0; nav 55 44 0; footer 6 0 0
-footer 12 12 0
-ad 450 0 1; ad 200 90 0; ad 95 9 0; ad 2 0 0; ad 200 0 1; ad 105 0 1; ad 18 0 0; ad 12 9 0; ad 25 6 0
-nav 1 1 0; notice 75 18 0; footer 3 0 0
+a 9 0 1; a 60 0 1; a 2 0 1; a 120 4 1; a 1 0 1
+a 7 0 1; a 35 0 1; a 80 2 1; a 3 0 1
+a 11 0 1; a 1 0 1; a 240 0 1; a 20 20 1; a 95 1 1
+a 4 0 1; a 18 1 1; a 14 0 1; a 5 0 1; a 9 9 1; a 33 0 1
+a 6 0 1; a 20 0 1; a 25 0 1; a 44 0 1; a 2 2 1; a 61 0 1; a 8 0 1; a 150 9 1
+a 1 0 1; a 1 0 1; a 1 0 1; a 2 0 1; a 3 3 1
+a 8 0 1; a 70 2 1; a 5 5 1; a 12 11 1; a 30 28 1; a 60 3 1; a 14 9 1; a 3 3 1; a 25 20 1; a 40 40 1
+a 10 0 1; a 55 0 1; a 20 20 1; a 20 20 1; a 90 0 1; a 45 1 1; a 150 150 1; a 70 0 1
+a 5 0 1; a 12 0 1; ai 8 0 1; ai 15 1 1; ai 4 1 1; ai 9 0 1; a 30 0 1
+a 6 0 1; a 80 0 1; ai 12 0 1; ai 4 4 1; ai 10 0 1; a 60 2 1; ai 2 0 1; ai 1 0 1; ai 40 0 1
+a 7 0 1; a 70 2 1; ai 5 5 0; ai 6 6 0; ai 5 5 0; ai 7 7 0
+a 7 0 1; a 45 0 1; a 3 0 1; ai 2 2 0; ai 1 1 0; ai 3 3 0; ai 1 1 0; a 90 0 1
+ai 1 1 0; ai 2 2 0; ai 1 1 0; a 9 0 1; a 100 2 1; a 40 0 1; ai 8 8 0; ai 9 9 0; ai 12 12 0
+a 4 0 1; ai 20 0 1; ai 35 2 1; ai 18 18 1; ai 25 0 1; ai 6 6 0; ai 6 5 0
+n 3 3 0; n 2 2 0; a 8 0 1; a 60 0 1; a 35 1 1; n 5 5 0; n 4 4 0
+ni 1 1 0; ni 2 2 0; ni 1 1 0; a 6 0 1; a 70 0 1; a 12 12 1; a 55 0 1; ni 2 2 0; ni 3 3 0
+n 2 2 0; n 3 3 0; n 2 2 0; n 10 0 1; n 75 1 1; n 90 0 1; n 55 3 1; n 4 4 0; n 5 5 0
+n 1 1 0; n 1 1 0; n 1 1 0; n 8 0 1; n 40 0 1; n 12 0 1; n 66 0 1; n 30 0 1; n 3 2 0; n 2 2 0; n 6 6 0
+n 7 0 1; n 130 5 1; n 20 0 1; n 88 0 1; n 5 0 1; n 64 0 1
+n 3 3 0; n 14 0 1; n 50 0 1; n 45 0 1; n 70 0 1
+n 2 0 0; n 1 1 0; n 2 2 0; n 1 1 0; n 3 3 0; n 2 0 0
+n 4 0 1; n 2 0 1; n 90 0 1; n 70 0 1; n 15 0 1; n 120 0 1; n 80 0 1; n 2 0 1; n 3 0 1; n 90 0 1; n 2 0 1; n 60 0 1
+n 6 0 1; n 3 0 1; n 45 0 1; n 3 0 1; n 60 0 1; n 2 0 1; n 4 0 1; n 50 0 1; n 1 0 1; n 35 0 1; n 5 0 1; n 6 0 1
+n 1 1 0; n 2 2 0; n 1 0 1; n 12 0 1; n 3 0 1; n 40 0 1; n 4 0 1; n 5 0 1; n 20 0 1; n 2 0 1; n 30 0 1; n 3 3 0; n 2 2 0
+n 3 0 1; n 9 0 1; n 2 0 1; n 8 0 1; n 4 0 1; n 100 0 1; n 3 0 1; n 25 0 1; n 1 0 1; n 2 0 1; n 75 0 1
+n 95 0 1; n 15 0 1; n 200 2 1; n 6 0 1; n 58 0 1; n 1 0 1; n 77 1 1; n 4 4 0; n 4 3 0; n 2 0 0
+n 14 14 0; n 22 20 0; n 9 8 0; n 16 1 1; n 70 2 1; n 11 0 1; n 48 0 1; n 10 10 0; n 35 30 0; n 12 9 0
+n 8 8 0; n 31 31 0; n 7 7 0; n 100 6 1; n 38 2 1; n 9 1 1; n 41 0 1; n 5 0 1; n 52 0 1; n 18 17 0; n 4 0 0; n 6 0 0
+n 12 0 1; n 64 1 1; n 47 0 1; n 13 12 0; n 13 13 0; n 60 55 0; n 85 0 1; n 3 0 1; n 39 0 1
+ni 1 1 0; ni 2 2 0; ni 1 1 0; ni 3 3 0; n 7 0 1; n 110 2 1; ni 12 0 1; ni 9 1 1; ni 30 0 1; n 60 0 1; ni 4 4 0; ni 6 6 0
+ni 1 1 0; ni 1 1 0; n 5 0 1; n 80 0 1; n 25 1 1; ni 2 2 0; ni 2 2 0; ni 5 5 0; n 3 3 0
+n 6 6 0; n 20 15 0; n 7 0 1; n 90 0 1; n 110 0 1; n 52 0 1; n 35 0 1; n 95 1 1; n 85 2 1; n 14 14 0; n 60 45 0
 """
 
 
-def features(rows: list[tuple[int, int, str]]) -> np.ndarray:
-    """A row per block: words, link density, the same of both neighbours, how likely its container is."""
+def features(rows: list[tuple[int, int, bool, bool]]) -> np.ndarray:
+    """A row per block (words, words in links, in an article, list item): words, link density, the same of both neighbours, article, item."""
     words = np.array([r[0] for r in rows], float)
     density = np.array([r[1] for r in rows], float) / np.maximum(words, 1)
-    likely = np.array([LIKELY[r[2]] for r in rows], float)
     before = lambda x: np.concatenate([[0.0], x[:-1]])
     after = lambda x: np.concatenate([x[1:], [0.0]])
-    return np.column_stack([words, density, before(words), before(density), after(words), after(density), likely])
+    marks = (np.array([r[i] for r in rows], float) for i in (2, 3))
+    return np.column_stack([words, density, before(words), before(density), after(words), after(density), *marks])
 
 
 def labelled_table(text: str = LABELLED) -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
     for line in text.strip().splitlines():
         page = [b.split() for b in line.split(";")]
-        xs.append(features([(int(w), int(k), kind) for kind, w, k, _ in page]))
+        xs.append(features([(int(w), int(k), place[0] == "a", place[-1] == "i") for place, w, k, _ in page]))
         ys += [int(b[3]) for b in page]
     return np.vstack(xs), np.array(ys)
 
@@ -428,10 +318,14 @@ def predict(tree: tuple, x: np.ndarray) -> np.ndarray:
 def main_text(tree: tuple, page: str) -> str:
     """The main text of one page: its blocks in order, joined by newlines."""
     found = blocks(page)
-    if not found:
-        return ""
-    keep = predict(tree, features([(w, k, kind) for _, w, k, kind in found]))
-    return "\n".join(b[0] for b, k in zip(found, keep) if k)
+    for kinds in (MAIN, MAIN | MISNAMED):
+        some = [b for b in found if b[3] in kinds]
+        if some:
+            keep = predict(tree, features([(w, k, kind == "article", item) for _, w, k, kind, item in some]))
+            kept = [b for b, k in zip(some, keep) if k]
+            if any(b[3] == "article" for b in kept) or sum(b[1] for b in kept) >= LEAST_WORDS or kinds != MAIN:
+                return "\n".join(b[0] for b in kept)
+    return ""
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url: str = "url", html: str = "html", tree: tuple | None = None) -> DataFrame:

@@ -61,6 +61,8 @@ FAN_IN = 64
 FREQUENT, LOADS = 256, 4
 #: Sets that may share a single shingle before it counts as frequent, whatever the table says.
 HEAVY = 4096
+#: Open signatures of a set that its rows carry when pairs are made.
+FIRST = 64
 #: Similarities that the bands and sketches are made for.
 LEAST_PERCENT = 50
 #: Sets of a task that are remembered, so that their copies make no signatures again.
@@ -456,12 +458,12 @@ def link_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             pairs = join.fitting(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         else:
             part = scratch.store(placed.join(mixed, "sig").where("node <> lead and node <> other.node").select("sig", "node", "n", "component"), "open")
-            # A pair is made at the least signature that both nodes have here.
-            own = part.groupBy("node").agg(F.collect_set("sig").alias("sigs")).join(nodes.select("node", "sketch"), "node")
+            # A pair is made at the least signature that both nodes have here, as far as their FIRST least ones tell; beyond, it may be made more than once.
+            own = part.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, FIRST).alias("sigs")).join(nodes.select("node", "sketch"), "node")
             side = lambda x: part.join(own, "node").select("sig", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("component").alias(f"c{x}"), F.col("sketch").alias(f"s{x}"), F.col("sigs").alias(f"g{x}"))
             apart = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _sizes_fit("na", "nb", percent)
-            once = F.array_min(F.array_intersect("ga", "gb")) == F.col("sig")
-            pairs = side("a").join(side("b"), "sig").where(apart & _sketches_fit(percent) & once).select("a", "b")
+            once = F.coalesce(F.array_min(F.array_intersect("ga", "gb")) >= F.col("sig"), F.lit(True))
+            pairs = side("a").join(side("b"), "sig").where(apart & _sketches_fit(percent) & once).select("a", "b").distinct()
         pairs = scratch.store(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         scratch.free(placed)
         if pairs.limit(1).count():

@@ -118,6 +118,27 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
+_WORD = r"[^\x20\x09-\x0D]"
+_TEXT_LINES = f"list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{_WORD}'))"
+
+ORACLE["op4_quality_rules"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM (SELECT rid, regexp_extract_all(t, '{_WORD}+') AS ws FROM d)),
+g AS (SELECT rid, pos, word, lead(word) OVER o AS next, word || ' ' || lead(word) OVER o || ' ' || lead(word, 2) OVER o AS gram FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)),
+twice AS (SELECT rid, pos FROM (SELECT *, count(*) OVER (PARTITION BY rid, gram) AS n FROM g WHERE gram IS NOT NULL) WHERE n > 1),
+covered AS (SELECT rid, count(DISTINCT pos + k) AS n FROM twice, (VALUES (0), (1), (2)) v(k) GROUP BY rid),
+counts AS (SELECT rid, count(*) AS n_words, CAST(sum(length(word)) AS BIGINT) AS word_chars, count(*) FILTER (ends_with(word, '!')) AS shouts, count(*) FILTER (word = next) AS stutters FROM g GROUP BY rid),
+every AS (SELECT d.doc_id, t, {_TEXT_LINES} AS lines, coalesce(c.n_words, 0) AS n_words, coalesce(c.word_chars, 0) AS word_chars, coalesce(c.shouts, 0) AS shouts, coalesce(c.stutters, 0) AS stutters,
+                 coalesce(r.n, 0) AS n_repeat_words, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, length(regexp_replace(t, '[^\p{{L}}]', '', 'g')) AS n_letters
+          FROM d LEFT JOIN counts c USING (rid) LEFT JOIN covered r USING (rid)),
+judged AS (SELECT *, len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(list_filter(lines, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS cut_off,
+                  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM every)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 100 * n_symbols > 30 * n_words OR word_chars < 2 * n_words OR word_chars > 30 * n_words OR 100 * n_dup_lines > 60 * len(lines) OR 100 * shouts > 50 * n_words
+            OR 100 * cut_off > 60 * len(lines) OR 100 * n_letters < 40 * word_chars OR 100 * stutters > 40 * n_words) AS kept
+FROM judged
+"""
+
 ORACLE["op6_line_dedup"] = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 keyed AS (SELECT *, {_LOWER.format(f"trim(line, {_BLANKS})")} AS key FROM lines),

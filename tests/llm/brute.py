@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from html.parser import HTMLParser
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -105,3 +106,36 @@ def judge_url(url, rules=RULES, default="allow"):
     fit = ((len(h + p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
     best = max(fit, default=(0, 0, None, default))  # of two of one length the one with the longer host
     return host, path, best[2], best[3]
+
+
+class Article(HTMLParser):
+    """The text inside <article> of a well-formed enough page: a line for each stretch between block tags."""
+
+    INLINE = {"a", "b", "i", "em", "strong", "span", "small", "code", "u"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.hidden, self.lines = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.hidden += tag in ("script", "style")
+        if tag not in self.INLINE:
+            self.lines.append("")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.hidden -= tag in ("script", "style")
+        if tag not in self.INLINE:
+            self.lines.append("")
+
+    def handle_data(self, data):
+        if self.depth and not self.hidden:
+            self.lines[-1] += data
+
+
+def article_text(page):
+    reader = Article()
+    reader.feed(page or "")
+    reader.close()
+    return "\n".join(x for line in reader.lines if (x := " ".join(line.split())))
