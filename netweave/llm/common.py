@@ -179,21 +179,28 @@ def gram_stretches(words: list[bytes], least: int, most: int, stretch: int = GRA
 
 
 def gram_counts(words: list[bytes], least: int, most: int, buckets: int, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(index of the word, bucket, times) of the n-grams of words, hashed into ``buckets``, by word; only ``live`` buckets if given."""
-    keys, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        every, inverse = np.unique(np.concatenate([keys, *(k for k, _ in held)]), return_inverse=True)
-        return every, np.bincount(inverse, np.concatenate([times, *(n for _, n in held)]), len(every)).astype(np.int64)
+    """(index of the word, bucket, times) of the n-grams of words, hashed into ``buckets``, by word; only ``live`` buckets if given.
+
+    A bucket of a word may come more than once; those of long words are added up as they are made.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+
+    def together() -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
 
     for hashes, owner in gram_stretches(words, least, most):
         bucket = (hashes % np.uint64(buckets)).astype(np.int64)
         if live is not None:
             kept = live[bucket]
             bucket, owner = bucket[kept], owner[kept]
-        held.append(np.unique(owner * buckets + bucket, return_counts=True))
+        key = owner * buckets + bucket
+        long = len(owner) and owner[0] == owner[-1]  # a word of its own, or a stretch of one
+        held.append(np.unique(key, return_counts=True) if long else (key, np.ones(len(key), np.int64)))
         if sum(len(k) for k, _ in held) > 4 * GRAM_BYTES:
-            keys, times = merged()
-            held = []
-    keys, times = merged()
-    return keys // buckets, keys % buckets, times
+            keys, times = together()
+            keys, inverse = np.unique(keys, return_inverse=True)
+            held = [(keys, np.bincount(inverse, times, len(keys)).astype(np.int64))]
+    keys, times = together()
+    owner = keys // buckets
+    order = np.argsort(owner, kind="stable")
+    return owner[order], (keys % buckets)[order], times[order]
