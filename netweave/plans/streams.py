@@ -126,6 +126,19 @@ def stream_seconds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return newest.select("pod", "second_us", F.col("last.total").cast("long").alias("total"), F.col("last.conns").alias("conns"))
 
 
+@_query(f"WITH {_PARTED} SELECT pod, seq, row_number() OVER (ORDER BY part, pod, seq) AS sequence FROM parted")
+def stream_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One numbering over two streams (tcp and udp rows) that no restart breaks: by part, source and row."""
+    root, flows = shared_folder(spark, "stream-fan-in"), read_flows(spark, sf_dir).select("pod", "seq", "proto")
+    parted = flows.withColumn("part", _part(flows))
+
+    def start(streams: dict[str, DataFrame]):
+        return streaming.fan_in(streams["tcp"].unionByName(streams["udp"]), ["pod", "seq"], _by_batch(root), f"{root}/checkpoint", availableNow=True)
+
+    _run_parts(spark, {name: parted.where(F.col("proto") == name) for name in ("tcp", "udp")}, root, start)
+    return spark.read.parquet(f"{root}/out").select("pod", "seq", F.col("sequence").cast("long").alias("sequence"))
+
+
 #: Rows of a log before it rolls over to the next.
 ROLL = 1 << 15
 

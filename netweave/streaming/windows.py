@@ -1,4 +1,4 @@
-"""Streaming: count windows per source, the last rows of a source, latency of matched rows.
+"""Streaming: count windows per source, the last rows of a source, one sequence over streams, latency of matched rows.
 
 Count windows are cut by Spark, batch by batch: no task holds all rows of a
 source.  Between batches only the rows of each source's incomplete window and
@@ -109,6 +109,31 @@ def score_windows(spark, stream: DataFrame, key: str, order: str, columns: list[
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+def fan_in(stream: DataFrame, order: list[str], sink, checkpoint: str, **trigger):
+    """Number the rows of a stream, which may be a union of several: one sequence from 1 without gaps.
+
+    Batches follow each other; inside one the rows stand by ``order``.  ``sink(frame,
+    batch)`` gets them with ``sequence``.  How many rows there were is kept after
+    each batch under its number, so a restart goes on where it was, and a batch
+    that runs again gives its rows the same numbers.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        own, at = batch.sparkSession, lambda n: f"{checkpoint.rstrip('/')}/sequence/{n}"
+        before = own.read.parquet(at(number - 1)).first()[0] if number else 0
+        batch = batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            numbered = number_rows(batch.withColumn("_all", F.lit(0)), "_all", order)
+            sink(numbered.withColumn("sequence", F.col("rn") + F.lit(before)).drop("_all", "rn", "total"), number)
+            batch.agg((F.count("*") + F.lit(before)).alias("n")).write.mode("overwrite").parquet(at(number))
+        finally:
+            batch.unpersist()
+        if number > 1:
+            forget(own, at(number - 2))
+
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
 def match_latency(out: DataFrame, source: DataFrame, on: str, out_time: str, source_time: str, delay: str = "60 seconds") -> DataFrame:
     """Time from a row's first sight to its output: a stream-stream join inside ``delay``."""
     a = out.withWatermark(out_time, delay).alias("o")
