@@ -65,21 +65,28 @@ class Scratch:
             self.spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(df._netweave_path)
 
 
-#: Most rows of a stored table of ids that is sent to all executors; each has some 50 bytes there.
-SMALL_ROWS = 1_000_000
+#: Most rows, and most bytes of their values, of a stored table of ids that is sent to all executors.
+SMALL_ROWS, SMALL_BYTES = 1_000_000, 64 << 20
+
+
+def _is_small(ids: DataFrame) -> bool:
+    """Whether a stored table of ids may be broadcast: its rows are counted and their bytes added up."""
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`") if kind in ("string", "binary") else F.col(f"`{c}`").cast("string")), F.lit(0)) for c, kind in ids.dtypes), F.lit(16))
+    rows, size = ids.limit(SMALL_ROWS + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return rows <= SMALL_ROWS and size <= SMALL_BYTES
 
 
 def having_ids(df: DataFrame, ids: DataFrame, *columns: str | Column, without: bool = False) -> DataFrame:
     """The rows of ``df`` whose columns, or expressions, are (or are not) in the stored table ``ids``, column by column.
 
-    Up to ``SMALL_ROWS`` ids are broadcast, so that the rows, whole texts, stay
-    where they are; more are joined by a shuffle of both sides.
+    A small table of ids is broadcast, so that the rows, whole texts, stay where
+    they are; a larger one is joined by a shuffle of both sides.
     """
-    few = ids.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
+    few = _is_small(ids)
     named = ids.toDF(*(f"_id_{i}" for i in range(len(columns))))
     same = F.lit(True)
     for i, c in enumerate(columns):
-        same &= (df[c] if isinstance(c, str) else c).eqNullSafe(named[f"_id_{i}"])
+        same &= (df[f"`{c}`"] if isinstance(c, str) else c).eqNullSafe(named[f"_id_{i}"])
     return df.join(F.broadcast(named) if few else named, same, "left_anti" if without else "left_semi")
 
 

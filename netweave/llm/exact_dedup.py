@@ -132,5 +132,6 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
     mark = lambda df: F.sha2(F.coalesce(df[text], F.lit("")).cast("binary"), 256)
     stay = having_ids(docs, gone, id_col, mark(docs), without=True)
     again = having_ids(stay, twice, id_col, mark(stay))
-    one = again.groupBy(again[id_col].alias("k0"), mark(again).alias("k1")).agg(F.max_by(F.struct(*again.columns), F.xxhash64(*again.columns)).alias("r"))
+    every = [again[f"`{c}`"] for c in again.columns]
+    one = again.groupBy(again[id_col].alias("k0"), mark(again).alias("k1")).agg(F.max_by(F.struct(*every), F.xxhash64(*every)).alias("r"))
     return having_ids(stay, twice, id_col, mark(stay), without=True).unionByName(one.select("r.*"))

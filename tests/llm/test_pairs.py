@@ -4,7 +4,7 @@ import hashlib
 
 import pytest
 
-from netweave.llm import exact_dedup, line_dedup, ngram_join
+from netweave.llm import common, exact_dedup, line_dedup, ngram_join
 from tests.llm import brute
 from tests.llm.tables import corpus, documents
 
@@ -169,3 +169,23 @@ def test_frequent_shingles_found_on_the_way(spark, monkeypatch, heavy):
     rows = corpus(seed=9, size=160)
     found = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link_components(documents(spark, rows), k=4, percent=85).collect()}
     assert found == brute.components(rows, 4, 85)
+
+
+def test_columns_with_dots_in_their_names(spark):
+    rows = [(1, "same text"), (1, "same text"), (2, "same text"), (3, None), (3, None), (4, "other words here that are many enough")]
+    docs = documents(spark, rows).selectExpr("*", "doc_id AS `a.b`", "named_struct('c', 1) AS `a`")
+    kept = exact_dedup.drop_copies(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [2, 3, 4]
+    near = ngram_join.drop_near_copies(docs, k=2, percent=80)
+    assert near.columns == docs.columns and {r["doc_id"] for r in near.collect()} == {1, 3, 4}
+
+
+@pytest.mark.parametrize("rows, size", [(1_000_000, 64 << 20), (3, 1 << 30), (1_000_000, 10)])
+def test_ids_are_broadcast_only_while_rows_and_bytes_are_few(spark, monkeypatch, rows, size):
+    monkeypatch.setattr(common, "SMALL_ROWS", rows)
+    monkeypatch.setattr(common, "SMALL_BYTES", size)
+    docs, ids = documents(spark, [(i, f"t{i}") for i in range(30)]), spark.createDataFrame([(i, "x" * i) for i in range(0, 30, 3)], "i long, s string")
+    assert common._is_small(ids) == (rows > 3 and size > 10)
+    for without in (False, True):
+        found = common.having_ids(docs, ids.select("i"), "doc_id", without=without)
+        assert sorted(r.doc_id for r in found.collect()) == [i for i in range(30) if (i % 3 == 0) != without]
