@@ -166,14 +166,6 @@ def per_second(df: DataFrame, ts_us: str, keys: list[str], **sums: Column) -> Da
     return df.groupBy(*keys, second).agg(*(F.sum(c).alias(name) for name, c in sums.items()), F.count("*").alias("conns"))
 
 
-def fill_seconds(series: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
-    """The same series with a row of zeros for every second that is missing."""
-    w = Window.partitionBy(*keys).orderBy("sec")
-    gaps = series.withColumn("_next", F.coalesce(F.lead("sec").over(w), F.col("sec") + 1))
-    spread = gaps.withColumn("_at", F.explode(F.sequence(F.col("sec"), F.col("_next") - 1)))
-    return spread.select(*keys, F.col("_at").alias("sec"), *(F.when(F.col("_at") == F.col("sec"), F.col(v)).otherwise(0).alias(v) for v in values))
-
-
 def filled_hours(series: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """(keys, hour, seconds, sums of ``values``): the filled series by hour, without a row per missing second.
 

@@ -810,9 +810,10 @@ def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, *_doubles(found))
 
 
+from netweave.plans import files as _file_queries  # noqa: E402
 from netweave.plans import models as _model_queries  # noqa: E402
 from netweave.plans import streams as _stream_queries  # noqa: E402
 
-for _more in (_model_queries, _stream_queries):
+for _more in (_file_queries, _model_queries, _stream_queries):
     QUERIES |= _more.QUERIES
     ORACLE |= _more.ORACLE
