@@ -18,9 +18,10 @@ from netweave.functions import expr
 from netweave.operators import boosting, models, report, windows
 from netweave.plans import oracles as sql
 from netweave.plans.models import NUMBERS, window_table
-from netweave.sources import tail
+from netweave.sources import schemas, tail
 from netweave.sources.flowview import read_flows
 from netweave.sources.shared import shared_folder
+from netweave.streaming import job
 from netweave.streaming import windows as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,31 +141,47 @@ def stream_fan_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Rows of a log before it rolls over to the next.
-ROLL = 1 << 15
+ROLL = 1 << 11
 
 
 @_query(f"WITH {sql.FLOW} SELECT CAST(pod AS VARCHAR) || '-' || CAST(seq // {ROLL} AS VARCHAR) AS source, seq || chr(9) || orig_h || chr(9) || resp_h AS value FROM f")
 def tail_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flow view written as growing logs, rotated while the stream is down, and tailed in three runs.
+    """The flow view written as growing logs, rotated while the stream is down, and tailed in three runs."""
+    seq = F.col("seq")
+    lines = read_flows(spark, sf_dir).select("pod", "seq", F.concat_ws("\t", seq.cast("string"), "orig_h", "resp_h").alias("line"))
+    root, logs_at = _mounted(spark, "tailed")
 
-    A log has ``ROLL`` rows at most; its folder names its source and roll.  Tailing
-    reads mounted files, so the shared folder has to be one.
-    """
-    root = shared_folder(spark, "tailed")
+    def run() -> None:
+        tailed = tail.tail(spark, f"{logs_at}/*/conn.log").select("source", "value")
+        tailed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+
+    _grow_logs(lines, logs_at, run)
+    return spark.read.parquet(f"{root}/out")
+
+
+def _mounted(spark: SparkSession, name: str) -> tuple[str, str]:
+    """A new shared folder, and the path of its logs; tailing reads mounted files, so the folder has to be one."""
+    root = shared_folder(spark, name)
     folder = root.removeprefix("file:")
     if not folder.startswith("/"):
         raise ValueError("logs are tailed on a mounted file system")
-    folder = "/" + folder.lstrip("/")
+    return root, "/" + folder.lstrip("/") + "/logs"
+
+
+def _grow_logs(lines: DataFrame, folder: str, run: Callable[[], None]) -> None:
+    """Write (pod, seq, line) as logs of ``ROLL`` rows at most, in three steps with a ``run`` after each.
+
+    A log's folder names its source and roll.  Each step writes a log's first
+    quarter; its first two in the same file; three in that file, renamed, and the
+    last in a new one.  Written again, they are the same.
+    """
     seq = F.col("seq")
-    name = F.concat_ws("-", F.col("pod").cast("string"), F.floor(seq / ROLL).cast("string"))
-    lines = read_flows(spark, sf_dir).select(name.alias("log"), F.floor(seq % ROLL / (ROLL // 4)).alias("quarter"), "seq", F.concat_ws("\t", seq.cast("string"), "orig_h", "resp_h").alias("line"))
+    placed = lines.select(F.concat_ws("-", F.col("pod").cast("string"), F.floor(seq / ROLL).cast("string")).alias("log"), F.floor(seq % ROLL / (ROLL // 4)).alias("quarter"), "seq", "line")
 
     def write(step: int) -> Callable[[Iterator[Row]], None]:
-        """A log's first quarter; its first two in the same file; three in that file, renamed, and the last in a new one. Written again, they are the same."""
-
-        def run(rows: Iterator[Row]) -> None:
+        def each(rows: Iterator[Row]) -> None:
             for log, own in groupby(rows, key=lambda r: r["log"]):
-                at = f"{folder}/logs/{log}"
+                at = f"{folder}/{log}"
                 os.makedirs(at, exist_ok=True)
                 now, old = f"{at}/conn.log", f"{at}/conn.old"
                 with open(old if os.path.exists(old) else now, "w") as first, open(f"{at}/next", "w") as last:
@@ -175,14 +192,31 @@ def tail_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                         os.rename(now, old)
                     os.rename(f"{at}/next", now)
 
-        return run
+        return each
 
-    tasks = max(1, lines.select("log").distinct().count())
+    tasks = max(1, placed.select("log").distinct().count())
     for step in range(3):
-        lines.where(F.col("quarter") <= (0, 1, 3)[step]).repartition(tasks, "log").sortWithinPartitions("log", "seq").foreachPartition(write(step))
-        tailed = tail.tail(spark, f"{folder}/logs/*/conn.log").select("source", "value")
-        tailed.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{root}/out")
+        placed.where(F.col("quarter") <= (0, 1, 3)[step]).repartition(tasks, "log").sortWithinPartitions("log", "seq").foreachPartition(write(step))
+        run()
+
+
+_LIVE = "concat_ws(chr(9), ts_us // 1000000 || '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0'), 'C' || lpad(CAST(seq AS VARCHAR), 16, '0'), orig_h, orig_p, resp_h, resp_p, proto, coalesce(service, '-'), '-', coalesce(CAST(orig_bytes AS VARCHAR), '-'), coalesce(CAST(resp_bytes AS VARCHAR), '-'), conn_state, '-', '-', '-', '-', orig_pkts, '-', resp_pkts, '-', '-')"
+
+
+@_query(f"WITH {sql.FLOW}, l AS (SELECT seq, {_LIVE} AS line FROM f) SELECT CASE WHEN seq % 97 = 0 THEN 'set aside' ELSE 'line' END AS kind, CASE WHEN seq % 97 = 0 THEN line[1:30] ELSE 'CONN,' || replace(line, chr(9), ',') END AS value FROM l")
+def live_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live job over growing, rotated connection logs: tagged lines, and the half-written ones that no later look made whole."""
+    flows = read_flows(spark, sf_dir)
+    unset = F.lit("-")
+    text = {n: F.coalesce(F.col(n).cast("string"), unset) if n in flows.columns and n != "duration" else unset for n in (schemas.column_name(f) for f, _ in schemas.fields("CONN"))}
+    text["ts"] = F.concat(F.floor(F.col("ts_us") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.col("ts_us") % 1_000_000).cast("string"), 6, "0"))
+    text["uid"] = F.concat(F.lit("C"), F.lpad(F.col("seq").cast("string"), 16, "0"))
+    line = F.concat_ws("\t", *text.values())
+    lines = flows.select("pod", "seq", F.when(F.col("seq") % 97 == 0, F.substring(line, 1, 30)).otherwise(line).alias("line"))
+    root, logs_at = _mounted(spark, "live-format")
+    _grow_logs(lines, logs_at, lambda: job.format_logs(spark, f"{logs_at}/*/conn.log", f"{root}/out", f"{root}/checkpoint", availableNow=True).awaitTermination())
+    tagged = spark.read.text(f"{root}/out/lines").select(F.lit("line").alias("kind"), "value")
+    return tagged.unionByName(spark.read.parquet(f"{root}/out/quarantine").select(F.lit("set aside").alias("kind"), "value"))
 
 
 @_query()
