@@ -39,6 +39,7 @@ EPOCHS = 5
 RATE = 0.4
 MIN_GRAM, MAX_GRAM = 3, 4
 AGAIN = 0  # bucket of "the word before once more"
+STEP = 64  # training texts whose features are made together
 
 
 def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,7 +52,11 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct buckets of each text and their shares."""
+    """Distinct buckets of each text and their shares; some texts at a time, so that what is made on the way stays small."""
+    return [bag for at in range(0, len(texts), STEP) for bag in _some_bags(texts[at : at + STEP])]
+
+
+def _some_bags(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     split = [t.encode().split() for t in texts]
     place = {w: i for i, w in enumerate(dict.fromkeys(w for p in split for w in p))}
     if not place:

@@ -112,8 +112,10 @@ def test_a_repeated_id_links_its_texts(spark):
     assert {(5, 4), (7, 4), (4, 4), (9, 9), (None, None), (8, 8)} <= found
 
 
-def test_near_copies_of_one_base(spark):
-    """Many copies whose similarity to each other lies around the threshold."""
+@pytest.mark.parametrize("first", [64, 1])
+def test_near_copies_of_one_base(spark, monkeypatch, first):
+    """Many copies whose similarity to each other lies around the threshold; with one signature carried, pairs are made more than once."""
+    monkeypatch.setattr(ngram_join, "FIRST", first)
     import random
 
     rng = random.Random(5)
