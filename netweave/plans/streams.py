@@ -7,6 +7,7 @@ these queries is restarted in its middle.
 
 from __future__ import annotations
 
+import math
 import os
 from collections.abc import Callable, Iterator
 from itertools import groupby
@@ -194,7 +195,7 @@ def _grow_logs(lines: DataFrame, folder: str, run: Callable[[], None]) -> None:
 
         return each
 
-    tasks = max(1, placed.select("log").distinct().count())
+    tasks = max(1, math.ceil(placed.count() / windows.SPAN_ROWS))  # by rows: a task writes many short logs
     for step in range(3):
         placed.where(F.col("quarter") <= (0, 1, 3)[step]).repartition(tasks, "log").sortWithinPartitions("log", "seq").foreachPartition(write(step))
         run()

@@ -12,7 +12,7 @@ first, under whatever name it has in its folder now, then the new one from its
 start; a file that is shorter than before is read anew.  What was rotated out of
 the folder, or renamed while no stream ran and no file stood in its place, is
 lost with a warning.  The driver looks only at the ends of files; executors read
-the bytes, a long stretch in several tasks.
+the bytes, a long stretch in several tasks, short ones of many files in one.
 """
 
 from __future__ import annotations
@@ -22,13 +22,15 @@ import json
 import logging
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-#: Bytes that one task reads; a batch with more has more tasks.
-TASK_BYTES = 16 << 20
+#: Bytes and stretches that one task reads; a batch with more has more tasks.
+TASK_BYTES, TASK_STRETCHES = 16 << 20, 256
 BLOCK = 1 << 16
+#: Bytes at the end of a file that are looked at first for a line end.
+LOOK = 1 << 12
 
 
 class Stretch(InputPartition):
@@ -39,14 +41,40 @@ class Stretch(InputPartition):
         self.file, self.start, self.end, self.stop, self.made = file, start, end, stop, made
 
 
+class Stretches(InputPartition):
+    """What one task reads, in order."""
+
+    def __init__(self, parts: list[Stretch]):
+        super().__init__((parts[0].value, len(parts)))
+        self.parts = parts
+
+
+def grouped(parts: Iterable[Stretch], most_bytes: int, most: int = TASK_STRETCHES) -> list[Stretches]:
+    """Stretches one after the other in groups of at most ``most`` and, where that is more than one, ``most_bytes``."""
+    out, own, size = [], [], 0
+    for part in parts:
+        if own and (len(own) == most or size + part.end - part.start > most_bytes):
+            out.append(Stretches(own))
+            own, size = [], 0
+        own.append(part)
+        size += part.end - part.start
+    return [*out, Stretches(own)] if own else out
+
+
 def identity(file: str) -> str:
     found = os.stat(file)
     return f"{found.st_dev}:{found.st_ino}"
 
 
+def _names(file: str) -> Iterator[str]:
+    """That path, and only if it does not do, the others in its folder."""
+    yield file
+    yield from sorted(glob.glob(os.path.join(glob.escape(os.path.dirname(file)), "*")))
+
+
 def where_is(file: str, made: str | None) -> str | None:
     """The path at which a file stands now that was tailed as ``file``: that path, or another name in its folder."""
-    for path in (file, *sorted(glob.glob(os.path.join(glob.escape(os.path.dirname(file)), "*")))):
+    for path in _names(file):
         try:
             if made is None or identity(path) == made:
                 return path
@@ -57,10 +85,10 @@ def where_is(file: str, made: str | None) -> str | None:
 
 def last_line_end(file: str) -> int:
     """The byte after the last line end, or 0."""
-    end = os.path.getsize(file)
+    end, look = os.path.getsize(file), LOOK
     with open(file, "rb") as f:
         while end > 0:
-            low = max(0, end - BLOCK)
+            low, look = max(0, end - look), BLOCK
             f.seek(low)
             at = f.read(end - low).rfind(b"\n")
             if at >= 0:
@@ -142,7 +170,7 @@ class TailReader(DataSourceStreamReader):
             raise TimeoutError(f"no file at {', '.join(self.patterns)} after {self.wait:g} seconds")
         return {"files": json.dumps(self.known, sort_keys=True)}
 
-    def partitions(self, start: dict, end: dict) -> list[Stretch]:
+    def partitions(self, start: dict, end: dict) -> list[Stretches]:
         low, out = _ends(start), []
 
         def add(file: str, made: str | None, at: int, stop: int) -> None:
@@ -157,12 +185,13 @@ class TailReader(DataSourceStreamReader):
                 else:
                     add(file, old, at, last_line_end(path))
             add(file, made, at if old in (None, made) and at <= stop else 0, stop)
-        return out
+        return grouped(out, self.task)
 
-    def read(self, partition: Stretch):
-        source = os.path.basename(os.path.dirname(partition.file))
-        for pos, line in lines_of(partition):
-            yield source, partition.file, partition.made, pos, line
+    def read(self, partition: Stretches):
+        for part in partition.parts:
+            source = os.path.basename(os.path.dirname(part.file))
+            for pos, line in lines_of(part):
+                yield source, part.file, part.made, pos, line
 
     def commit(self, end: dict) -> None:
         pass

@@ -119,6 +119,20 @@ def test_stretches_cover_each_line_once(tmp_path):
         assert got == want
 
 
+def test_many_short_logs_are_few_tasks(tmp_path):
+    for i in range(600):
+        (tmp_path / f"pod-{i}").mkdir()
+        (tmp_path / f"pod-{i}" / "conn.log").write_text(f"a{i}\nb{i}\n")
+    reader = tail.TailReader({"paths": f"{tmp_path}/*/conn.log"})
+    parts = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(parts) == 3
+    assert sorted((r[0], r[4]) for p in parts for r in reader.read(p)) == sorted((f"pod-{i}", f"{x}{i}") for i in range(600) for x in "ab")
+    (tmp_path / "pod-0" / "conn.log").write_text("long\n" * 100)
+    small = tail.TailReader({"paths": f"{tmp_path}/pod-0/conn.log,{tmp_path}/pod-1/conn.log", "taskbytes": "200"})
+    parts = small.partitions(small.initialOffset(), small.latestOffset())
+    assert [len(p.parts) for p in parts] == [1, 1, 2] and sum(1 for p in parts for _ in small.read(p)) == 102
+
+
 def test_tail_follows_growing_files(spark, tmp_path):
     os.makedirs(tmp_path / "pod")
     path = tmp_path / "pod" / "conn.log"
