@@ -96,3 +96,20 @@ def test_one_sequence_over_streams(spark, tmp_path):
     step([4], []).awaitTermination(60)
     got = [(r.sequence, r.source, r.pos) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("sequence").collect()]
     assert got == [(1, "a", 1), (2, "a", 2), (3, "b", 1), (4, "a", 3), (5, "b", 2), (6, "b", 3), (7, "a", 4)]
+
+
+def test_many_logs_are_written_by_few_tasks(spark, tmp_path):
+    """900 rows in 300 logs: few tasks write them, not one each."""
+    from netweave.plans import streams
+
+    lines = spark.range(300).selectExpr("id as pod", "explode(sequence(0, 1200, 600)) as seq").selectExpr("pod", "seq", "concat(pod, ' ', seq) as line")
+    sc, found = spark.sparkContext, []
+    sc.setJobGroup("grow-logs", "grow-logs")
+    try:
+        streams._grow_logs(lines, str(tmp_path), lambda: found.append(sum(len(f.read_text().splitlines()) for f in tmp_path.glob("*/conn.*"))))
+        tracker = sc.statusTracker()
+        stages = {i for j in tracker.getJobIdsForGroup("grow-logs") for i in tracker.getJobInfo(j).stageIds}
+        assert max(info.numTasks for i in stages if (info := tracker.getStageInfo(i))) <= 16
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found == [300, 600, 900]
