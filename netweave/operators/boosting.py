@@ -3,9 +3,9 @@
 Columns are binned once, by exact places among quantiles from a sketch, and
 stored in the shared folder in blocks of a byte per value.  A level of a tree is
 one job: each task adds up gradients and hessians of its rows per open node,
-column and bin, the sums are merged in a tree of tasks, and the driver, which
-sees nodes x columns x bins numbers whatever the number of rows, picks the best
-cut of each node by second-order gain.  Rows and columns are sampled per tree; a
+column and bin, the sums of a node are merged in one task, which picks its best
+cut by second-order gain, and the driver sees a few numbers per node; only sums
+of at most ``DRIVER_BYTES`` are merged there.  Rows and columns are sampled per tree; a
 row keeps its margin, and margins are written to the shared folder every ``CUT``
 trees, which cuts lineage.  Where the binned rows are no more than one task's
 part (``TASK_BYTES``), there is nothing to merge, and the trees are grown where
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from netweave.sources.shared import shared_folder
 CUT = 50
 #: Bytes of binned values that one task works on, at least and at most, about; both change the work, not the result.
 TASK_BYTES, MOST_TASK_BYTES = 1 << 20, 64 << 20
+#: Bytes of sums that a level sends to the driver at most, and that one task merges, about.
+DRIVER_BYTES, MERGE_BYTES = 1 << 18, 16 << 20
 #: Gains up to this count as none.
 LEAST_GAIN = 1e-6
 
@@ -146,13 +149,33 @@ def _level(blocks: Iterator[tuple], tree: tuple, slots: np.ndarray, columns: np.
     yield out
 
 
+def _best(sums: np.ndarray, n_edges: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """What ``best_cuts`` says of each node, and its sums (gradient, hessian)."""
+    return *best_cuts(sums, n_edges, s), sums[:, 0].sum(1)
+
+
+def _best_apart(parts: RDD, nodes: int, size: int, n_edges: np.ndarray, s: Settings) -> tuple[np.ndarray, ...]:
+    """The same from ``parts`` (one array of sums a task, of ``size`` bytes together), merged node by node on the executors."""
+    by_node = parts.mapPartitionsWithIndex(lambda i, arrays: ((node, (i, own)) for sums in arrays for node, own in enumerate(sums)))
+
+    def merged(groups: Iterator[tuple]) -> Iterator[tuple]:
+        # In one order, so that a fit comes out the same again.
+        sums = ((node, sum(x for _, x in sorted(own, key=lambda x: x[0]))) for node, own in groups)
+        for some in batched(sums, 32):
+            yield from zip((node for node, _ in some), zip(*_best(np.stack([x for _, x in some]), n_edges, s)))
+
+    tasks = min(parts.getNumPartitions(), nodes, math.ceil(size / MERGE_BYTES))
+    found = dict(by_node.groupByKey(tasks).mapPartitions(merged).collect())  # a few numbers per node
+    return tuple(np.array(x) for x in zip(*(found[node] for node in range(nodes))))
+
+
 def _moved(blocks: Iterator[tuple], tree: tuple) -> Iterator[tuple]:
     for number, bins, y, margin in blocks:
         yield number, bins, y, margin + tree[4][leaf_of(bins, tree)]
 
 
-def _grow(total: Callable[..., np.ndarray], n_edges: np.ndarray, s: Settings, number: int) -> tuple[np.ndarray, ...]:
-    """One tree; ``total`` gives the sums of a level (with the arguments of ``_level`` but for the blocks)."""
+def _grow(best: Callable[..., tuple[np.ndarray, ...]], n_edges: np.ndarray, s: Settings, number: int) -> tuple[np.ndarray, ...]:
+    """One tree; ``best`` gives what ``_best`` says of a level (with the arguments of ``_level`` but for the blocks)."""
     rng = np.random.default_rng([s.seed, number])
     columns = np.sort(rng.choice(len(n_edges), max(1, round(s.columns * len(n_edges))), replace=False))
     tree = Tree()
@@ -164,9 +187,8 @@ def _grow(total: Callable[..., np.ndarray], n_edges: np.ndarray, s: Settings, nu
             break
         slots = np.full(len(tree.feature), -1)
         slots[open_] = np.arange(len(open_))
-        sums = total(tree.arrays(), slots, columns, s.rows, (s.seed, number))
-        gain, column, cut, missing_left, low = best_cuts(sums, n_edges[columns], s)
-        whole, after = sums[:, 0].sum(1), []
+        gain, column, cut, missing_left, low, whole = best(tree.arrays(), slots, columns, s.rows, (s.seed, number))
+        after = []
         if depth == 0:
             tree.value[0] = leaf(*whole[0])
         for k, node in enumerate(open_):
@@ -182,7 +204,7 @@ def _grow_here(blocks: Iterator[tuple], n_edges: np.ndarray, s: Settings) -> Ite
     """All trees, by the one task that has all rows."""
     held = list(blocks)
     for number in range(s.trees):
-        tree = _grow(lambda *args: next(_level(iter(held), *args)), n_edges, s, number)
+        tree = _grow(lambda *args: _best(next(_level(iter(held), *args)), n_edges[args[2]], s), n_edges, s, number)
         held = list(_moved(iter(held), tree))
         yield tree
 
@@ -191,13 +213,16 @@ def _grow_apart(blocks: RDD, n_edges: np.ndarray, s: Settings, folder: str) -> I
     """All trees, a job for each level."""
     tasks, held = blocks.getNumPartitions(), [blocks.persist(StorageLevel.MEMORY_AND_DISK)]
 
-    def total(*args) -> np.ndarray:
-        parts = held[-1].mapPartitions(lambda b: _level(b, *args))
-        return parts.treeReduce(np.add) if tasks > 16 else parts.reduce(np.add)
+    def best(tree: tuple, slots: np.ndarray, columns: np.ndarray, *args) -> tuple[np.ndarray, ...]:
+        parts, nodes = held[-1].mapPartitions(lambda b: _level(b, tree, slots, columns, *args)), int(slots.max()) + 1
+        size = tasks * nodes * len(columns) * 256 * 2 * 8
+        if size <= DRIVER_BYTES:
+            return _best(parts.reduce(np.add), n_edges[columns], s)
+        return _best_apart(parts, nodes, size, n_edges[columns], s)
 
     try:
         for number in range(s.trees):
-            tree = _grow(total, n_edges, s, number)
+            tree = _grow(best, n_edges, s, number)
             yield tree
             moved = held[-1].mapPartitions(lambda b, t=tree: _moved(b, t))
             if number % CUT == CUT - 1:
@@ -250,7 +275,7 @@ def fit(df: DataFrame, columns: list[str], label: str = "label", settings: Setti
 
     size, n_edges = n * len(columns), np.array([len(e) for e in edges])
     tasks = min(math.ceil(size / TASK_BYTES), max(2 * sc.defaultParallelism, math.ceil(size / MOST_TASK_BYTES)))
-    blocks = stored.repartition(max(1, tasks), "block").rdd.map(block)
+    blocks = stored.repartition(max(1, tasks), "block").sortWithinPartitions("block").rdd.map(block)
     if tasks <= 1:
         trees = blocks.coalesce(1).mapPartitions(lambda b: _grow_here(b, n_edges, s)).collect()
     else:

@@ -81,6 +81,32 @@ def test_many_tasks_and_cut_lineage(spark, monkeypatch):
     assert np.allclose(one, many, atol=1e-9)
 
 
+def test_sums_stay_on_the_executors(spark, monkeypatch):
+    """What the driver collects of a level is a few numbers per node, and the trees are those of one task."""
+    import pickle
+
+    from pyspark import RDD
+
+    x, y = rows(900, 8)
+    df, s = frame(spark, x, y).repartition(24), boosting.Settings(trees=3, depth=4, rows=1.0, columns=1.0, bins=32)
+    one = boosting.fit(df, NAMES, settings=s)
+    monkeypatch.setattr(boosting, "TASK_BYTES", 300)
+    monkeypatch.setattr(boosting, "DRIVER_BYTES", 0, raising=False)
+    sizes, collect = [], RDD.collect
+
+    def counted(rdd):
+        found = collect(rdd)
+        sizes.append(len(pickle.dumps(found)))
+        return found
+
+    monkeypatch.setattr(RDD, "collect", counted)
+    many = boosting.fit(df, NAMES, settings=s)
+    assert 3 * 4 <= len(sizes) and max(sizes) < 20_000  # sums of one node and task: 12,288 bytes
+    assert np.allclose(boosting.margins(one, x), boosting.margins(many, x), atol=1e-9)
+    again = boosting.fit(df, NAMES, settings=s)
+    assert np.allclose(boosting.margins(again, x), boosting.margins(many, x), atol=1e-9)
+
+
 def test_model_is_saved_and_scores_rows_where_they_are(spark, tmp_path):
     x, y = rows()
     df = frame(spark, x, y).withColumn("score", F.lit("old"))
