@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,24 @@ def quantiles(c: Column, at: tuple[float, ...], accuracy: int | None = None) ->
     return F.percentile_approx(c, list(at), accuracy) if accuracy else F.percentile(c, points)
 
 
+def fused(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once, as SQL engines with fused multiplication interpolate: a value that is the quantile is not beyond it.
+
+    The errors of the product and of the sum are found exactly (Dekker, Knuth) and added last.
+    """
+
+    def halves(x: Column) -> tuple[Column, Column]:
+        high = x * F.lit(134217729.0) - (x * F.lit(134217729.0) - x)
+        return high, x - high
+
+    (a1, a2), (b1, b2), p = halves(a), halves(b), a * b
+    missed = a2 * b2 - (((p - a1 * b1) - a2 * b1) - a1 * b2)
+    s = p + c
+    c1 = s - p
+    fixed = s + (((p - (s - c1)) + (c - c1)) + missed)
+    return F.when(F.abs(fixed) < F.lit(math.inf), fixed).otherwise(s)  # beyond some 1e300 the halves overflow
+
+
 def _ranked(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], parts: int) -> DataFrame:
     """(``_k``: struct of the keys, n, q); keys are compared inside a struct, as null is a key too."""
     key = F.struct(*keys) if keys else F.struct(F.lit(0).alias("all"))
@@ -46,7 +66,8 @@ def _ranked(df: DataFrame, keys: list[str], value: str, at: tuple[float, ...], p
     upto = cut.join(wanted.select("_k", "part").distinct(), ["_k", "part"], "left_semi").withColumn("upto", F.sum("c").over(inside))
     hit = upto.join(wanted, ["_k", "part"]).where((F.col("at") - F.col("before") >= F.col("upto") - F.col("c")) & (F.col("at") - F.col("before") < F.col("upto")))
     ends = hit.groupBy("_k", "i").agg(F.first("n").alias("n"), F.first("rank").alias("rank"), F.min("v").alias("low"), F.max("v").alias("high"))
-    between = (F.floor("rank") + 1 - F.col("rank")) * F.col("low") + (F.col("rank") - F.floor("rank")) * F.col("high")
+    part = F.col("rank") - F.floor("rank")
+    between = fused(F.col("low"), F.lit(1.0) - part, F.col("high") * part)
     each = ends.withColumn("q", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(between))
     return each.groupBy("_k").agg(F.first("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("q"))
 

@@ -1,5 +1,6 @@
 """Nulls, clashing names, sparse and unsorted order columns, gaps; and the live job."""
 
+import math
 import random
 
 import pytest
@@ -209,3 +210,22 @@ def test_repair_reads_a_stretch_not_the_file(tmp_path):
     assert tail.line_after(str(log), None, pos, "never there")[0] is None
     assert tail.line_after(str(log), None, pos, None)[0] == lines[70_000]
     assert tail.line_after(str(tmp_path / "gone.log"), "1:2", 0, None) == (None, 0)
+
+
+def test_quantiles_are_those_of_sql_to_the_last_bit(spark):
+    """Also where the two values around a rank are neighbours as doubles, so that a comparison with the quantile could turn."""
+    import duckdb
+
+    rng, rows = random.Random(3), []
+    for k in range(60):
+        low = rng.uniform(0.1, 60)
+        rows += [(k, v) for v in ([low] * 17 + [math.nextafter(low, 100)] * 20 if k % 2 else [rng.uniform(0, 60) for _ in range(rng.randint(20, 60))])]
+    at = profile.PROFILE_QUANTILES
+    found = {r["k"]: list(r["q"]) for r in profile.spread_quantiles(spark.createDataFrame(rows, "k long, v double"), ["k"], "v", at).collect()}
+    con = duckdb.connect()
+    for k in range(60):
+        own = [v for key, v in rows if key == k]
+        want = con.execute(f"SELECT {', '.join(f'quantile_cont(v, {p})' for p in at)} FROM (SELECT unnest(?::DOUBLE[]) AS v)", [own]).fetchall()[0]
+        assert found[k] == list(want), k
+    one = spark.createDataFrame([(1e308, 1.0, 1.0), (3.0, 7.0, -21.0), (0.1, 10.0, -1.0)], "a double, b double, c double")
+    assert [r[0] for r in one.select(profile.fused(F.col("a"), F.col("b"), F.col("c"))).collect()] == [1e308, 0.0, 2.0**-54]
