@@ -12,7 +12,8 @@ import os
 from collections.abc import Callable, Iterator
 from itertools import groupby
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netweave.functions import expr
@@ -172,33 +173,52 @@ def _mounted(spark: SparkSession, name: str) -> tuple[str, str]:
 def _grow_logs(lines: DataFrame, folder: str, run: Callable[[], None]) -> None:
     """Write (pod, seq, line) as logs of ``ROLL`` rows at most, in three steps with a ``run`` after each.
 
-    A log's folder names its source and roll.  Each step writes a log's first
-    quarter; its first two in the same file; three in that file, renamed, and the
-    last in a new one.  Written again, they are the same.
+    A log's folder names its source and roll.  The first step writes a log's
+    first quarter; the second adds the second to the same file; the third adds
+    the third, renames the file and writes the last in a new one.  The rows are
+    read and ordered once; a quarter, written again, is the same.
     """
     seq = F.col("seq")
-    placed = lines.select(F.concat_ws("-", F.col("pod").cast("string"), F.floor(seq / ROLL).cast("string")).alias("log"), F.floor(seq % ROLL / (ROLL // 4)).alias("quarter"), "seq", "line")
+    placed = lines.select(F.concat_ws("-", F.col("pod").cast("string"), F.floor(seq / ROLL).cast("string")).alias("log"), F.floor(seq % ROLL / (ROLL // 4)).cast("int").alias("quarter"), "seq", "line")
+
+    def put(file: str, at: int, text: str) -> None:
+        with open(file, "r+b" if os.path.exists(file) else "wb") as f:
+            f.truncate(at)
+            f.seek(at)
+            f.write(text.encode())
 
     def write(step: int) -> Callable[[Iterator[Row]], None]:
         def each(rows: Iterator[Row]) -> None:
             for log, own in groupby(rows, key=lambda r: r["log"]):
                 at = f"{folder}/{log}"
                 os.makedirs(at, exist_ok=True)
-                now, old = f"{at}/conn.log", f"{at}/conn.old"
-                with open(old if os.path.exists(old) else now, "w") as first, open(f"{at}/next", "w") as last:
-                    for r in own:
-                        (last if r["quarter"] == 3 else first).write(r["line"] + "\n")
+                now, old, new = f"{at}/conn.log", f"{at}/conn.old", f"{at}/next"
+                first = old if os.path.exists(old) else now
+                for r in own:
+                    if r["text"] is not None:
+                        put(new if r["quarter"] == 3 else first, r["at"], r["text"])
                 if step == 2:
-                    if not os.path.exists(old):
+                    for file in (first, new):  # a log may end before its third or last quarter
+                        open(file, "ab").close()
+                    if first == now:
                         os.rename(now, old)
-                    os.rename(f"{at}/next", now)
+                    os.rename(new, now)
 
         return each
 
     tasks = max(1, math.ceil(placed.count() / windows.SPAN_ROWS))  # by rows: a task writes many short logs
-    for step in range(3):
-        placed.where(F.col("quarter") <= (0, 1, 3)[step]).repartition(tasks, "log").sortWithinPartitions("log", "seq").foreachPartition(write(step))
-        run()
+    inside = F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: F.concat(x["line"], F.lit("\n")))
+    texts = placed.repartition(tasks, "log").groupBy("log", "quarter").agg(F.array_join(inside, "").alias("text"))  # a quarter of a log is short
+    so_far = Window.partitionBy("log").orderBy("quarter").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.when(F.col("quarter") == 3, 0).otherwise(F.coalesce(F.sum(F.octet_length("text")).over(so_far), F.lit(0)))
+    texts = texts.withColumn("at", place).sortWithinPartitions("log", "quarter").persist(StorageLevel.DISK_ONLY)
+    try:
+        for step, (low, high) in enumerate(((0, 0), (1, 1), (2, 3))):
+            known = texts.where(F.col("quarter") <= high)
+            known.select("log", "quarter", "at", F.when(F.col("quarter") >= low, F.col("text")).alias("text")).foreachPartition(write(step))
+            run()
+    finally:
+        texts.unpersist()
 
 
 _LIVE = "concat_ws(chr(9), ts_us // 1000000 || '.' || lpad(CAST(ts_us % 1000000 AS VARCHAR), 6, '0'), 'C' || lpad(CAST(seq AS VARCHAR), 16, '0'), orig_h, orig_p, resp_h, resp_p, proto, coalesce(service, '-'), '-', coalesce(CAST(orig_bytes AS VARCHAR), '-'), coalesce(CAST(resp_bytes AS VARCHAR), '-'), conn_state, '-', '-', '-', '-', orig_pkts, '-', resp_pkts, '-', '-')"

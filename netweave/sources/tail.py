@@ -23,11 +23,15 @@ import logging
 import os
 import time
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 #: Bytes and stretches that one task reads; a batch with more has more tasks.
 TASK_BYTES, TASK_STRETCHES = 16 << 20, 256
+#: Rows that a task hands to Spark at a time.
+BATCH_ROWS = 1 << 13
 BLOCK = 1 << 16
 #: Bytes at the end of a file that are looked at first for a line end.
 LOOK = 1 << 12
@@ -163,7 +167,8 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         for file in (f for pattern in self.patterns for f in glob.glob(pattern)):
             try:
-                self.known[file] = [identity(file), last_line_end(file)]
+                if self.known.get(file) != [made := identity(file), os.path.getsize(file)]:  # else it has nothing new
+                    self.known[file] = [made, last_line_end(file)]
             except FileNotFoundError:  # it goes while we look: what was known of it stays
                 continue
         if not self.known and self.wait and time.monotonic() - self.began > self.wait:
@@ -197,6 +202,16 @@ class TailReader(DataSourceStreamReader):
         pass
 
 
+class BatchReader(TailReader):
+    """The same rows in Arrow batches, which Spark takes as they are."""
+
+    def read(self, partition: Stretches):
+        rows = super().read(partition)
+        while own := list(islice(rows, BATCH_ROWS)):
+            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*own), kinds)], names=["source", "file", "made", "pos", "value"])
+
+
 class LogTail(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -206,7 +221,7 @@ class LogTail(DataSource):
         return "source string, file string, made string, pos long, value string"
 
     def streamReader(self, schema) -> TailReader:
-        return TailReader(self.options)
+        return BatchReader(self.options)
 
 
 def tail(spark, paths: str, **options):

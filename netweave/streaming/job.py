@@ -6,19 +6,24 @@ And what watches a stream: a count of the lines read and a heartbeat.
 from __future__ import annotations
 
 import logging
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
 from netweave.functions.expr import log_type
-from netweave.operators.windows import join_on, lag_rows
+from netweave.operators.windows import join_on
 from netweave.sources import logs, schemas, tail
 from netweave.streaming.windows import forget
 
+#: Broken and last lines, about, that one task has.
+LINES = 1 << 11
+
 
 def widths(kind):
     """The number of fields that a log type has."""
@@ -28,18 +33,53 @@ def widths(kind):
     return out
 
 
+def marked(lines: DataFrame) -> DataFrame:
+    """The data lines (file, made, pos, value) with log_type and whether they are corrupt."""
+    data = lines.where(logs.is_data(F.col("value"))).select("file", "made", "pos", "value", log_type(F.col("file")).alias("log_type"))
+    return data.withColumn("corrupt", logs.is_corrupt(logs.tokens(F.col("value")), widths(F.col("log_type"))))
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of marked lines in order, the corrupt ones and the last of each stretch, with the line before in that stretch."""
+
+    def keep(t: pa.Table, last: pa.Array) -> list[pa.RecordBatch]:
+        return t.append_column("last", last).filter(pc.or_(t["corrupt"], last)).combine_chunks().to_batches()
+
+    held = None  # the last line so far: whether its stretch goes on is told by the next
+    for b in batches:
+        t = pa.Table.from_batches([b]).append_column("prev_value", pa.nulls(b.num_rows, pa.string()))
+        t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+        if not t.num_rows:
+            continue
+        same = [pc.equal(t[c].slice(1), t[c].slice(0, t.num_rows - 1)) for c in ("file", "made")]
+        goes_on = pc.fill_null(pc.and_(*same), False).combine_chunks()
+        before = pc.if_else(goes_on, t["value"].slice(0, t.num_rows - 1), pa.scalar(None, pa.string()))
+        t = t.set_column(t.schema.get_field_index("prev_value"), "prev_value", pa.chunked_array([*t["prev_value"].slice(0, 1).chunks, *before.chunks], pa.string()))
+        held = t.slice(t.num_rows - 1)
+        yield from keep(t.slice(0, t.num_rows - 1), pc.invert(goes_on))
+    if held is not None:
+        yield from keep(held, pa.array([True]))
+
+
 def checked(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """Data lines (file, made, pos, value) with log_type, prev_value (the line before) and whether they are corrupt.
+    """Of the data lines (file, made, pos, value) the corrupt ones and the last of each stretch, with log_type, prev_value (the line before) and ``corrupt``.
 
-    ``before`` has the last data line (file, made, value) that earlier batches read of a file.
+    What a partition has of a file is a stretch of its lines in order, as ``tail``
+    gives them; lines may be ``marked`` already.  ``before`` has the last data line
+    (file, made, value) that earlier batches read of a file.  No line but these is
+    shuffled, and of one file only the ends of its stretches meet in one task.
     """
-    data = lines.where(logs.is_data(F.col("value"))).withColumn("__log", F.struct("file", "made"))
-    data = lag_rows(data, "__log", "pos", ["value"]).drop("__log")
+    data = lines if "corrupt" in lines.columns else marked(lines)
+    data = data.select("file", "made", "pos", "value", "log_type", "corrupt")
+    schema = data.withColumns({"prev_value": F.lit(None).cast("string"), "last": F.lit(True)}).schema
+    ends = data.mapInArrow(_ends, schema)
+    inside = F.when(F.col("prev_value").isNotNull() & ~F.col("last"), F.col("pos"))
+    carried = F.lag("value").over(Window.partitionBy("file", "made", inside).orderBy("pos"))
+    ends = ends.withColumn("prev_value", F.coalesce("prev_value", carried)).drop("last")
     if before is not None:
-        data = join_on(data, before.select("file", "made", F.col("value").alias("__before")), ["file", "made"], "left")
-        data = data.withColumn("prev_value", F.coalesce("prev_value", "__before")).drop("__before")
-    data = data.withColumn("log_type", log_type(F.col("file")))
-    return data.withColumn("corrupt", logs.is_corrupt(logs.tokens(F.col("value")), widths(F.col("log_type"))))
+        ends = join_on(ends, before.select("file", "made", F.col("value").alias("__before")), ["file", "made"], "left")
+        ends = ends.withColumn("prev_value", F.coalesce("prev_value", "__before")).drop("__before")
+    return ends
 
 
 def last_lines(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
@@ -81,15 +121,16 @@ def format_logs(spark: SparkSession, paths: str, out: str, checkpoint: str, opti
     def each(batch: DataFrame, number: int) -> None:
         own, at = batch.sparkSession, lambda n: f"{checkpoint.rstrip('/')}/last-lines/{n}"
         before = own.read.parquet(at(number - 1)) if number else None
-        batch = batch.select("file", "made", "pos", "value").persist(StorageLevel.DISK_ONLY)  # the files are read once
+        batch = marked(batch).persist(StorageLevel.DISK_ONLY)  # the files are read once
         ready = checked(batch, before).persist(StorageLevel.DISK_ONLY)
         try:
-            seen = repaired(ready.where("corrupt")).persist(StorageLevel.DISK_ONLY)
-            sound = ready.where("not corrupt").select("log_type", "value").unionByName(seen.where("fixed is not null").select("log_type", F.col("fixed").alias("value")))
+            few = ready.coalesce(max(1, math.ceil(ready.count() / LINES)))
+            seen = repaired(few.where("corrupt")).persist(StorageLevel.DISK_ONLY)
+            sound = batch.where("not corrupt").select("log_type", "value").unionByName(seen.where("fixed is not null").select("log_type", F.col("fixed").alias("value")))
             tagged = sound.select(logs.csvify(logs.tokens(F.col("value")), F.col("log_type")).alias("value"))
             tagged.write.mode("overwrite").text(f"{out}/lines/batch={number}")
             seen.where("fixed is null").select("file", "value").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-            last_lines(batch, before).write.mode("overwrite").parquet(at(number))
+            last_lines(few, before).write.mode("overwrite").parquet(at(number))
             seen.unpersist()
         finally:
             ready.unpersist()

@@ -200,6 +200,36 @@ def test_a_fragment_alone_in_its_batch_is_repaired(spark, tmp_path):
     assert [r.fixed for r in lost] == [None]
 
 
+@pytest.mark.parametrize("records", ["1", "7", "10000"])
+def test_only_broken_and_last_lines_are_moved(spark, records):
+    """Files in several stretches over several partitions: each broken line has the line before it, sound ones stay where they are."""
+    rng, rows = random.Random(3), []
+    for f in range(24):
+        for i in range(rng.choice((1, 2, 40))):
+            line = rng.choice((_conn(f"C{f:03d}{i:013d}"),) * 3 + (f"broken {f} {i}", "#remark", " "))
+            rows.append((f"/logs/p{f // 2}/conn.log", f"1:{f}", i * 200, line))  # two files in turn under each path
+    seen = spark.createDataFrame(spark.sparkContext.parallelize(rows, 9), "file string, made string, pos long, value string")
+    before = spark.createDataFrame([("/logs/p0/conn.log", "1:0", "old"), ("/logs/p1/conn.log", "1:7", "gone"), ("/logs/q/conn.log", "1:99", "other")], "file string, made string, value string")
+    last, want = {r[:2]: r.value for r in before.collect()}, set()
+    for file, made, pos, line in rows:
+        if line.strip() and not line.startswith("#"):
+            if line.startswith("broken"):
+                want.add((file, made, pos, line, last.get((file, made))))
+            last[file, made] = line
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        ready = job.checked(seen, before)
+        found = ready.collect()
+        known = {(r.file, r.made): r.value for r in job.last_lines(ready, before).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert {(r.file, r.made, r.pos, r.value, r.prev_value) for r in found if r.corrupt} == want and len(want) > 20
+    assert sum(not r.corrupt for r in found) <= 24 + 8  # at most one a stretch
+    files = {r[0] for r in rows if r[3].strip() and not r[3].startswith("#")}
+    assert known == {k: v for k, v in last.items() if k[0] not in files or k in {r[:2] for r in rows if r[3].strip() and not r[3].startswith("#")}}
+
+
 def test_repair_reads_a_stretch_not_the_file(tmp_path):
     log = tmp_path / "conn.log"
     lines = [f"line {i} " + "x" * 80 for i in range(100_000)]

@@ -225,3 +225,27 @@ def test_profiles_of_log_types(spark, log):
     assert got["rtt", "mean"] == 0.25 and got["rejected", "ratio"] == 0.0 and got["qtype_name", "AAAA"] == 1.0
     for kind, (numbers, categories, flags) in PROFILED.items():
         assert {*numbers, *categories, *flags} <= set(schemas.schema(kind).names)
+
+
+def test_tailed_rows_come_in_arrow_batches(tmp_path, monkeypatch):
+    """The same rows as one by one; logs that did not grow are not opened again."""
+    for i in range(3):
+        (tmp_path / f"pod-{i}").mkdir()
+        (tmp_path / f"pod-{i}" / "conn.log").write_bytes(b"".join(b"line %d \xc3\xa9 \xff\n" % j for j in range(50)) + b"no end")
+    monkeypatch.setattr(tail, "BATCH_ROWS", 60)
+    options = {"paths": f"{tmp_path}/*/conn.log"}
+    plain, batches = tail.TailReader(options), tail.LogTail(options).streamReader(None)
+    parts = plain.partitions(plain.initialOffset(), plain.latestOffset())
+    found = [b for p in parts for b in batches.read(p)]
+    assert [b.num_rows for b in found] == [60, 60, 30]
+    assert [tuple(r.values()) for b in found for r in b.to_pylist()] == [r for p in parts for r in plain.read(p)]
+    ended = tmp_path / "pod-0" / "conn.log"
+    with ended.open("ab") as f:
+        f.write(b"\n")
+    looked, look = [], tail.last_line_end
+    monkeypatch.setattr(tail, "last_line_end", lambda file: looked.append(file) or look(file))
+    first = plain.latestOffset()
+    assert len(looked) == 3 and plain.latestOffset() == first and looked.count(str(ended)) == 1
+    with ended.open("ab") as f:
+        f.write(b"more\n")
+    assert plain.latestOffset() != first and looked.count(str(ended)) == 2

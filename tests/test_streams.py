@@ -113,3 +113,34 @@ def test_many_logs_are_written_by_few_tasks(spark, tmp_path):
     finally:
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert found == [300, 600, 900]
+
+
+def test_logs_are_grown_from_one_reading(spark, tmp_path):
+    """The rows are read for their number and once more, not again in each step; the same logs at each step, some of them short."""
+    from netweave.plans import streams
+
+    read = spark.sparkContext.accumulator(0)
+
+    def rows(part):
+        for i in part:
+            read.add(1)
+            yield i % 2, i // 2 * 7, f"line {i} \u00e9"
+
+    lines = spark.createDataFrame(spark.sparkContext.parallelize(range(800), 3).mapPartitions(rows), "pod long, seq long, line string")
+    found = []
+
+    def run():
+        found.append({str(f.relative_to(tmp_path)): f.read_text().splitlines() for f in tmp_path.glob("*/*")})
+
+    streams._grow_logs(lines, str(tmp_path), run)
+    assert read.value == 2 * 800
+    own = {}
+    for i in range(800):
+        seq = i // 2 * 7
+        own.setdefault((f"{i % 2}-{seq // streams.ROLL}", seq % streams.ROLL // (streams.ROLL // 4)), []).append(f"line {i} \u00e9")
+    logs = {log for log, _ in own}
+    part = lambda log, *quarters: [x for q in quarters for x in own.get((log, q), [])]
+    assert found[0] == {f"{log}/conn.log": part(log, 0) for log in logs}
+    assert found[1] == {f"{log}/conn.log": part(log, 0, 1) for log in logs}
+    assert found[2] == {f"{log}/conn.old": part(log, 0, 1, 2) for log in logs} | {f"{log}/conn.log": part(log, 3) for log in logs}
+    assert any(not part(log, 3) for log in logs)
