@@ -61,31 +61,42 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from keep(held, pa.array([True]))
 
 
-def checked(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """Of the data lines (file, made, pos, value) the corrupt ones and the last of each stretch, with log_type, prev_value (the line before) and ``corrupt``.
+def ends(lines: DataFrame) -> DataFrame:
+    """Of the data lines (file, made, pos, value) the corrupt ones and the last of each stretch, with log_type, ``corrupt``, ``last`` and prev_value, the line before in the stretch.
 
     What a partition has of a file is a stretch of its lines in order, as ``tail``
-    gives them; lines may be ``marked`` already.  ``before`` has the last data line
-    (file, made, value) that earlier batches read of a file.  No line but these is
-    shuffled, and of one file only the ends of its stretches meet in one task.
+    gives them; lines may be ``marked`` already.  Nothing is shuffled.
     """
     data = lines if "corrupt" in lines.columns else marked(lines)
     data = data.select("file", "made", "pos", "value", "log_type", "corrupt")
-    schema = data.withColumns({"prev_value": F.lit(None).cast("string"), "last": F.lit(True)}).schema
-    ends = data.mapInArrow(_ends, schema)
+    return data.mapInArrow(_ends, data.withColumns({"prev_value": F.lit(None).cast("string"), "last": F.lit(True)}).schema)
+
+
+def checked(lines: DataFrame, before: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
+    """Lines, or their ``ends``, as these, with prev_value also over the stretches: the line before.
+
+    ``before`` has the last data line (file, made, value) that earlier batches read
+    of a file.  Of one file only the ends of its stretches meet in one task.
+    """
     inside = F.when(F.col("prev_value").isNotNull() & ~F.col("last"), F.col("pos"))
-    carried = F.lag("value").over(Window.partitionBy("file", "made", inside).orderBy("pos"))
-    ends = ends.withColumn("prev_value", F.coalesce("prev_value", carried)).drop("last")
+    found = (lines if "last" in lines.columns else ends(lines)).withColumn("__inside", inside)
+    if tasks:
+        found = found.repartition(tasks, "file", "made", "__inside")
+    carried = F.lag("value").over(Window.partitionBy("file", "made", "__inside").orderBy("pos"))
+    found = found.withColumn("prev_value", F.coalesce("prev_value", carried)).drop("last", "__inside")
     if before is not None:
-        ends = join_on(ends, before.select("file", "made", F.col("value").alias("__before")), ["file", "made"], "left")
-        ends = ends.withColumn("prev_value", F.coalesce("prev_value", "__before")).drop("__before")
-    return ends
+        found = join_on(found, before.select("file", "made", F.col("value").alias("__before")), ["file", "made"], "left")
+        found = found.withColumn("prev_value", F.coalesce("prev_value", "__before")).drop("__before")
+    return found
 
 
 def last_lines(lines: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(file, made, value): the last data line of each file, of files without new ones the one known before."""
-    new = lines.where(logs.is_data(F.col("value"))).groupBy("file", "made").agg(F.max_by("value", "pos").alias("value"))
-    return new if before is None else new.unionByName(before.join(new.select("file"), "file", "left_anti"))
+    rows = lines.where(logs.is_data(F.col("value"))).select("file", "made", "value", "pos", F.lit(True).alias("new"))
+    if before is not None:
+        rows = rows.unionByName(before.select("file", "made", "value", F.lit(None).cast("long").alias("pos"), F.lit(False).alias("new")))
+    last = rows.groupBy("file", "made").agg(F.max_by("value", F.struct("new", "pos")).alias("value"), F.max("new").alias("new"))
+    return last.withColumn("any", F.max("new").over(Window.partitionBy("file"))).where("new = any").select("file", "made", "value")
 
 
 def repaired(broken: DataFrame) -> DataFrame:
@@ -122,18 +133,18 @@ def format_logs(spark: SparkSession, paths: str, out: str, checkpoint: str, opti
         own, at = batch.sparkSession, lambda n: f"{checkpoint.rstrip('/')}/last-lines/{n}"
         before = own.read.parquet(at(number - 1)) if number else None
         batch = marked(batch).persist(StorageLevel.DISK_ONLY)  # the files are read once
-        ready = checked(batch, before).persist(StorageLevel.DISK_ONLY)
+        near = ends(batch).persist(StorageLevel.DISK_ONLY)
         try:
-            few = ready.coalesce(max(1, math.ceil(ready.count() / LINES)))
-            seen = repaired(few.where("corrupt")).persist(StorageLevel.DISK_ONLY)
+            tasks = max(1, math.ceil(near.count() / LINES))
+            seen = repaired(checked(near, before, tasks).where("corrupt")).persist(StorageLevel.DISK_ONLY)
             sound = batch.where("not corrupt").select("log_type", "value").unionByName(seen.where("fixed is not null").select("log_type", F.col("fixed").alias("value")))
             tagged = sound.select(logs.csvify(logs.tokens(F.col("value")), F.col("log_type")).alias("value"))
             tagged.write.mode("overwrite").text(f"{out}/lines/batch={number}")
             seen.where("fixed is null").select("file", "value").write.mode("overwrite").parquet(f"{out}/quarantine/batch={number}")
-            last_lines(few, before).write.mode("overwrite").parquet(at(number))
+            last_lines(near.coalesce(tasks), before).write.mode("overwrite").parquet(at(number))
             seen.unpersist()
         finally:
-            ready.unpersist()
+            near.unpersist()
             batch.unpersist()
         if number > 1:
             forget(own, at(number - 2))
