@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 SLICE_ROWS = 256
 #: Bytes of an Arrow batch on its way to Python, so that a batch of very long texts stays small.
 BATCH_BYTES = 8 << 20
+#: Rows that a Parquet reader decodes at a time, and bytes of a row group that a writer holds until it is full: each task
+#: has both in the heap beside its Arrow batches, and Spark's own 4,096 rows and 128 MB are too much there for whole texts.
+READ_ROWS, GROUP_BYTES = 512, 16 << 20
 #: Entries of a memo table before it starts afresh; a worker holds several tables.
 MEMO_ROWS = 120_000
 #: Longest word, in bytes or characters, that a memo table keeps; with MEMO_ROWS it bounds the table's bytes.
@@ -96,8 +99,11 @@ def ascii_lower(column):
 
 
 def arrow_map(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
-    """``mapInArrow`` with batches of bounded bytes."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    """``mapInArrow`` with batches of bounded bytes, read from and written to Parquet in small pieces."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    conf.set("parquet.block.size", str(GROUP_BYTES))
     return df.mapInArrow(run, schema)
 
 

@@ -1,12 +1,15 @@
 """The corpus pipeline against its stages run apart, and the registered queries."""
 
+import glob
+
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from netweave.llm import quality_model
+from netweave.llm import common, quality_model
 from tests.llm import brute
 
 
@@ -74,3 +77,14 @@ def test_queries_and_oracles():
     names = list(entry.queries())
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
+
+
+def test_stored_texts_are_written_in_small_groups(spark):
+    """A task that stores 40 MB of texts holds 16 MB of them at a time, about, as 8 such tasks may share a heap of 1 GB."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(160)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), "")
+    docs = spark.range(0, 4000, 1, 1).select("id", text.alias("text"))
+    stored = common.Scratch(spark, "groups").store(common.arrow_map(docs, lambda batches: batches, docs.schema), "texts")
+    files = glob.glob(stored._netweave_path.removeprefix("file://") + "/*.parquet")
+    groups = [f.metadata.row_group(i) for f in map(pq.ParquetFile, files) for i in range(f.metadata.num_row_groups)]
+    assert len(files) == 1 and sum(g.num_rows for g in groups) == 4000
+    assert max(g.total_byte_size for g in groups) < 1.5 * common.GROUP_BYTES
