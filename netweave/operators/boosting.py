@@ -1,13 +1,16 @@
 """Boosted trees over histograms, for many deep trees on rows that no one task holds.
 
-Columns are binned once, by exact places among quantiles from a sketch, and
-stored in the shared folder in blocks of a byte per value.  A level of a tree is
+Columns are binned once, by exact places among quantiles from a sketch; rows
+that are equal then, label included, are one row with a weight, as no cut parts
+them and all have one margin.  They are stored in the shared folder in blocks of
+a byte per value, column by column.  A level of a tree is
 one job: each task adds up gradients and hessians of its rows per open node,
 column and bin, the sums of a node are merged in one task, which picks its best
 cut by second-order gain, and the driver sees a few numbers per node; only sums
 of at most ``DRIVER_BYTES`` are merged there.  Rows and columns are sampled per tree; a
 row keeps its margin, and margins are written to the shared folder every ``CUT``
-trees, which cuts lineage.  Where the binned rows are no more than one task's
+trees, which cuts lineage.  Of a row of weight n a tree draws a binomial number,
+as if each of the n were drawn on its own.  Where the binned rows are no more than one task's
 part (``TASK_BYTES``), there is nothing to merge, and the trees are grown where
 the rows are, in one job.
 
@@ -36,6 +39,10 @@ CUT = 50
 TASK_BYTES, MOST_TASK_BYTES = 1 << 20, 64 << 20
 #: Bytes of sums that a level sends to the driver at most, and that one task merges, about.
 DRIVER_BYTES, MERGE_BYTES = 1 << 18, 16 << 20
+#: Rows whose sums are added up together; small blocks would each pay for sums of all open nodes.
+SUM_ROWS = 1 << 18
+#: Nodes of a tree up to which each cut is compared with all rows, which then takes less than to follow the rows.
+FEW_NODES = 32
 #: Gains up to this count as none.
 LEAST_GAIN = 1e-6
 
@@ -91,22 +98,31 @@ class Boosted:
 
 
 def leaf_of(bins: np.ndarray, tree: tuple[np.ndarray, ...]) -> np.ndarray:
-    """The node at which each row ends."""
+    """The node at which each row ends; quickest where ``bins`` is stored column by column."""
     feature, cut, missing_left, left, _ = tree
-    node = np.zeros(len(bins), np.int64)
-    rows = np.arange(len(bins))
-    while len(rows):
-        at = node[rows]
-        inner = feature[at] >= 0
-        rows, at = rows[inner], at[inner]
-        b = bins[rows, feature[at]]
-        node[rows] = left[at] + ~np.where(b == 0, missing_left[at], b <= cut[at])
+    inner = feature >= 0
+    # A missing value is bin 0: where it goes right, bins less one are compared, so that it is the greatest byte.
+    less = (inner & ~missing_left.astype(bool)).astype(np.uint8)
+    most = np.where(inner, cut - less, 255).astype(np.uint8)
+    if len(feature) <= FEW_NODES:
+        ends: list = list(range(len(feature)))
+        for i in np.flatnonzero(inner)[::-1]:  # children come after their parent
+            low = bins[:, feature[i]] - less[i] <= most[i]
+            ends[i] = np.where(low, *(np.asarray(ends[left[i] + k], np.int32) for k in (0, 1)))
+        return np.broadcast_to(np.asarray(ends[0], np.int64), len(bins)) if not inner[0] else ends[0].astype(np.int64)
+    column, after = np.where(inner, feature, 0), np.where(inner, left, np.arange(len(feature)))
+    # Leaves lead to themselves.
+    flat, (down, across) = bins.ravel("K"), (x // bins.itemsize for x in bins.strides)
+    node, start = np.zeros(len(bins), np.int64), np.arange(len(bins)) * down
+    while inner[node].any():
+        low = flat.take(start + column.take(node) * across) - less.take(node) <= most.take(node)
+        node = after.take(node) + ~low
     return node
 
 
 def binned(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     """Bytes: 0 for a missing value, else 1 + the number of edges below it."""
-    out = np.empty(values.shape, np.uint8)
+    out = np.empty(values.shape, np.uint8, order="F")
     for j, e in enumerate(edges):
         out[:, j] = np.where(np.isnan(values[:, j]), 0, 1 + np.searchsorted(e, values[:, j], side="left"))
     return out
@@ -134,18 +150,38 @@ def best_cuts(sums: np.ndarray, n_edges: np.ndarray, s: Settings) -> tuple[np.nd
     return gain, at // upto.shape[2], at % upto.shape[2] + 1, with_missing, low
 
 
+def _drawn(weight: np.ndarray, share: float, key: list) -> np.ndarray:
+    """How many of each row's equals a tree takes."""
+    if share >= 1:
+        return weight
+    rng = np.random.default_rng(key)
+    out, many = (rng.random(len(weight)) < share).astype(float), np.flatnonzero(weight > 1)
+    out[many] = rng.binomial(weight[many].astype(np.int64), share)
+    return out
+
+
 def _level(blocks: Iterator[tuple], tree: tuple, slots: np.ndarray, columns: np.ndarray, share: float, key: tuple) -> Iterator[np.ndarray]:
     """The sums of a task's rows per open node, column and bin."""
     out = np.zeros((int(slots.max()) + 1, len(columns), 256, 2))
-    for number, bins, y, margin in blocks:
-        slot = slots[leaf_of(bins, tree)]
-        use = np.flatnonzero((slot >= 0) & (np.random.default_rng([*key, number]).random(len(y)) < share))
-        p = 1 / (1 + np.exp(-margin[use]))
-        g, h, first = p - y[use], np.maximum(p * (1 - p), 1e-16), slot[use] * 256
-        for j, c in enumerate(columns):
-            at = first + bins[use, c]
+    held: list[tuple] = []
+
+    def add() -> None:
+        first, g, h = (np.concatenate([x[i] for x in held]) for i in range(3))
+        for j in range(len(columns)):
+            at = first + np.concatenate([x[3][j] for x in held])
             for k, w in ((0, g), (1, h)):
                 out[:, j, :, k] += np.bincount(at, w, len(out) * 256).reshape(-1, 256)
+        held.clear()
+
+    for number, bins, y, margin, weight in blocks:
+        slot, drawn = slots[leaf_of(bins, tree)], _drawn(weight, share, [*key, number])
+        use = np.flatnonzero((slot >= 0) & (drawn > 0))
+        p, drawn = 1 / (1 + np.exp(-margin[use])), drawn[use]
+        held.append((slot[use] * 256, (p - y[use]) * drawn, np.maximum(p * (1 - p), 1e-16) * drawn, [bins[:, c].take(use) for c in columns]))
+        if sum(len(x[0]) for x in held) >= SUM_ROWS:
+            add()
+    if held:
+        add()
     yield out
 
 
@@ -170,8 +206,8 @@ def _best_apart(parts: RDD, nodes: int, size: int, n_edges: np.ndarray, s: Setti
 
 
 def _moved(blocks: Iterator[tuple], tree: tuple) -> Iterator[tuple]:
-    for number, bins, y, margin in blocks:
-        yield number, bins, y, margin + tree[4][leaf_of(bins, tree)]
+    for number, bins, y, margin, weight in blocks:
+        yield number, bins, y, margin + tree[4][leaf_of(bins, tree)], weight
 
 
 def _grow(best: Callable[..., tuple[np.ndarray, ...]], n_edges: np.ndarray, s: Settings, number: int) -> tuple[np.ndarray, ...]:
@@ -258,20 +294,32 @@ def fit(df: DataFrame, columns: list[str], label: str = "label", settings: Setti
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = np.column_stack([b.column(j).to_numpy(zero_copy_only=False) for j in range(len(columns))]).astype(float)
-            y = b.column(len(columns)).to_numpy(zero_copy_only=False).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([y.sum()], pa.float64()), pa.array([binned(x, edges).tobytes()], pa.binary()), pa.array([y.tobytes()], pa.binary())], names=["n", "ones", "bins", "y"])
+            ends = np.arange(len(x) + 1, dtype=np.int32) * len(columns)
+            row = pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(binned(x, edges).tobytes())])
+            yield pa.RecordBatch.from_arrays([row, b.column(len(columns))], names=["row", "y"])
 
-    ready = known.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)), (F.col(label) != 0).cast("double").alias("y"))
-    ready.mapInArrow(cut, "n long, ones double, bins binary, y binary").withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{folder}/binned")
+    def block_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            y, weight = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in (1, 2))
+            values = [len(y)], [weight.sum()], [y @ weight], [rows.tobytes("F")], [y.astype(np.float32).tobytes()], [weight.tobytes()]
+            types = pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(values, types)], names=["n", "rows", "ones", "bins", "y", "weight"])
+
+    ready = known.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)), (F.col(label) != 0).cast("int").alias("y"))
+    weighted = ready.mapInArrow(cut, "row binary, y int").groupBy("row", "y").agg(F.count("*").alias("weight")).sortWithinPartitions("row", "y")
+    found = weighted.mapInArrow(block_of, "n long, rows double, ones double, bins binary, y binary, weight binary")
+    found.withColumn("block", F.monotonically_increasing_id()).write.parquet(f"{folder}/binned")
     stored = spark.read.parquet(f"{folder}/binned")
-    n, ones = stored.agg(F.sum("n"), F.sum("ones")).first()
+    n, rows, ones = stored.agg(F.sum("n"), F.sum("rows"), F.sum("ones")).first()
     if not n:
         return Boosted(columns, edges, [], 0.0)
-    rate = min(max(ones / n, 1e-6), 1 - 1e-6)
+    rate = min(max(ones / rows, 1e-6), 1 - 1e-6)
     base = math.log(rate / (1 - rate))
 
     def block(r) -> tuple:
-        return r["block"], np.frombuffer(r["bins"], np.uint8).reshape(r["n"], -1), np.frombuffer(r["y"], np.float32), np.full(r["n"], base)
+        bins = np.frombuffer(r["bins"], np.uint8).reshape(-1, r["n"]).T
+        return r["block"], bins, np.frombuffer(r["y"], np.float32), np.full(r["n"], base), np.frombuffer(r["weight"])
 
     size, n_edges = n * len(columns), np.array([len(e) for e in edges])
     tasks = min(math.ceil(size / TASK_BYTES), max(2 * sc.defaultParallelism, math.ceil(size / MOST_TASK_BYTES)))

@@ -128,3 +128,49 @@ def test_awkward_tables(spark):
     assert boosting.predict(boosting.fit(frame(spark, nothing, [0, 1, None] * 10), NAMES, trees=2), frame(spark, nothing, [0] * 30)).count() == 30
     with pytest.raises(ValueError, match="256"):
         boosting.fit(frame(spark, nothing, [0, 1] * 15), NAMES, bins=300)
+
+
+def test_equal_rows_are_one_row_with_a_weight(spark, monkeypatch):
+    """600 rows 40 times each are no more work than 600, and give the trees of the plain version."""
+    x, y = rows(600, 9)
+    s = boosting.Settings(trees=1, depth=3, rows=1.0, columns=1.0, bins=12)
+    df = frame(spark, x, y).crossJoin(spark.range(40).select(F.lit(1).alias("copy"))).repartition(5)
+    monkeypatch.setattr(boosting, "TASK_BYTES", x.size)
+    with monkeypatch.context() as m:
+        m.setattr(boosting, "_grow_apart", lambda *_: pytest.fail("rows were not put together"))
+        model = boosting.fit(df, NAMES, settings=s)
+        drawn = boosting.fit(df, NAMES, settings=s, rows=0.5, depth=1)
+    many, ys = np.repeat(x, 40, axis=0), np.repeat(y, 40)
+    p = 1 / (1 + np.exp(-model.base))
+    assert p == pytest.approx(y.mean())
+    got, g, h = boosting.margins(model, x) - model.base, p - ys, np.full(len(ys), p * (1 - p))
+    for i in range(0, len(x), 97):
+        assert got[i] == pytest.approx(plain_value(many, g, h, x[i], model.edges, s), abs=1e-9)
+    # Half of 24,000 rows: the hessian of the root is that of the rows drawn, not of half of the 600.
+    assert len(drawn.trees[0][0]) == 3
+    taken = boosting._drawn(np.full(600, 40.0), 0.5, [1, 2])
+    assert abs(taken.sum() - 12_000) < 400 and 10 < len(np.unique(taken)) < 41
+    monkeypatch.setattr(boosting, "TASK_BYTES", 100)
+    assert np.allclose(boosting.margins(boosting.fit(df, NAMES, settings=s), x), boosting.margins(model, x), atol=1e-9)
+
+
+@pytest.mark.parametrize("size", [1, 3, 31, 33, 301])
+def test_rows_end_at_the_leaf_that_the_cuts_lead_to(size):
+    rng, tree, open_ = np.random.default_rng(size), boosting.Tree(), [0]
+    tree.add(0.0)
+    while len(tree.feature) < size:
+        node, left = open_.pop(0), tree.add(0.0)
+        open_ += [left, tree.add(0.0)]
+        tree.feature[node], tree.cut[node], tree.missing_left[node], tree.left[node] = int(rng.integers(4)), int(rng.integers(1, 255)), bool(rng.integers(2)), left
+    bins = rng.integers(0, 256, (500, 4)).astype(np.uint8)
+    bins[rng.random(bins.shape) < 0.2] = 0
+    want = []
+    for row in bins:
+        at = 0
+        while tree.feature[at] >= 0:
+            b = row[tree.feature[at]]
+            at = tree.left[at] + (not (tree.missing_left[at] if b == 0 else b <= tree.cut[at]))
+        want.append(at)
+    for stored in (bins, np.asfortranarray(bins)):
+        assert boosting.leaf_of(stored, tree.arrays()).tolist() == want
+    assert len(boosting.leaf_of(bins[:0], tree.arrays())) == 0
